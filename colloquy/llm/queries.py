@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import packing
+from colloquy.llm import packing, quality, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +17,17 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), 2048, "byte_bpe_50k")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_best_two_fit": op3_best_two_fit}
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_two_fit": op3_best_two_fit,
+    "op7_rule_ensemble": op7_rule_ensemble,
+    "op8_markov_secrets": op8_markov_secrets,
+}
 ORACLE_SQL: dict[str, str] = {}

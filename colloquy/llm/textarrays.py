@@ -1,4 +1,4 @@
-"""Arrow string columns as numpy byte arrays: word spans, word hashes and shingle hashes, a block of texts at a time.
+"""Arrow string columns as numpy byte arrays: spans of words and other runs, word hashes and shingle hashes, a block of texts at a time.
 
 Words are maximal runs of bytes other than space and \\x09-\\x0D. Hashes are 64 bits wide, the same on every executor.
 """
@@ -46,9 +46,9 @@ class Block:
         self.first, self.data, self.offsets = first, data, offsets
         self.n = len(offsets) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte starts and ends of all words, and bounds: text i has the words bounds[i]:bounds[i + 1]."""
-        inside = ~_SPACE[self.data]
+    def runs(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte starts and ends of the maximal runs of members (a table of 256 booleans), and bounds: text i has the runs bounds[i]:bounds[i + 1]."""
+        inside = members[self.data]
         if not inside.size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(self.n + 1, np.int64)
         cut = self.offsets[(self.offsets > 0) & (self.offsets < len(self.data))]
@@ -60,6 +60,14 @@ class Block:
         ends = np.flatnonzero(inside & ~after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of bytes other than white space."""
+        return self.runs(~_SPACE)
+
+    def code_points(self) -> np.ndarray:
+        """How many code points begin before each byte, and in all."""
+        return np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
         codes = (_LOWER[self.data] if lower else self.data).astype(np.uint64) + np.uint64(1)
         power, inverse = _power_tables(len(codes) + 1)
