@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import jaccard, packing, quality, secrets
+from colloquy.llm import jaccard, mixing, packing, quality, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,15 @@ def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_documents(spark, sf_dir))
 
 
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(_documents(spark, sf_dir), target_entropy=0.97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_best_two_fit": op3_best_two_fit,
     "op7_rule_ensemble": op7_rule_ensemble,
     "op8_markov_secrets": op8_markov_secrets,
+    "op9_temperature_mixing": op9_temperature_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
