@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import jaccard, mixing, packing, quality, secrets
+from colloquy.llm import jaccard, mixing, packing, quality, secrets, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), 2048, "byte_bpe_50k")
 
 
+def op6_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(_documents(spark, sf_dir))
+
+
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -36,6 +40,7 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_best_two_fit": op3_best_two_fit,
+    "op6_repeated_phrases": op6_repeated_phrases,
     "op7_rule_ensemble": op7_rule_ensemble,
     "op8_markov_secrets": op8_markov_secrets,
     "op9_temperature_mixing": op9_temperature_mixing,
