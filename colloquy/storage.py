@@ -26,3 +26,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, megabytes: int = 16) -> None:
+    """From now on, Arrow batches of this session hold no more than so much, whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
