@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.graph import components
 from colloquy.llm.textarrays import blocks, mix, shingle_hashes
-from colloquy.storage import materialize
+from colloquy.storage import bound_batches, materialize
 
 #: Shingles are compared by 48 bits of their hash: two differ with the same bits once in 2**48.
 BITS = np.uint64(16)
@@ -34,6 +34,8 @@ SHARED, FREQUENT_FROM = 2, 16
 #: Prefix shingles that meet in one task.
 TOGETHER = 1_000_000
 MASK_SLOTS = 1 << 24
+#: Documents whose shared shingles are counted at once.
+TOGETHER_READ = 2500
 SETS = "doc_id long, n int, sig long, mins array<long>, bitmap binary, shingles binary, shared array<long>, times array<int>"
 
 
@@ -69,7 +71,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     salts = mix(np.arange(1, MINHASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, TOGETHER_READ) for b in batches for at in range(0, b.num_rows, TOGETHER_READ)):
             ids, rows, every = batch.column(0).to_pylist(), [], []
             for block in blocks(batch.column(1)):
                 words = block.words()
@@ -269,6 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     null or empty text or one of white space none; it links with nothing. component_id is the smallest doc_id that links
     reach. Rows that repeat a doc_id are texts of their own with that id. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     sets = materialize(shingle_sets(docs, width), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     labels = components(verify(sets, shared_minimum_pairs(sets), percent))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.textarrays import Block, blocks, mix
+from colloquy.storage import bound_batches
 
 WINDOW, PHRASE = 20, 8
 MASK_BITS = 1 << 26
@@ -106,6 +107,7 @@ def recurring_mask(docs: DataFrame, window: int, phrase: int, shards: int) -> np
 def later_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id and starts (little-endian 32-bit word numbers) of windows whose word sequence also starts earlier; several rows a document."""
     spark = docs.sparkSession
+    bound_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     held = spark.sparkContext.broadcast(recurring_mask(docs, window, phrase, max(64, size // 40 // PHRASES_TOGETHER)))
     shards = max(64, size // 10 // WORDS_TOGETHER)
