@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import jaccard, mixing, packing, quality, secrets, substrings
+from colloquy.llm import jaccard, language_model, mixing, packing, quality, secrets, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_documents(spark, sf_dir), target_entropy=0.97)
 
 
+def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_best_two_fit": op3_best_two_fit,
@@ -44,5 +48,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_rule_ensemble": op7_rule_ensemble,
     "op8_markov_secrets": op8_markov_secrets,
     "op9_temperature_mixing": op9_temperature_mixing,
+    "op10_maxent_scores": op10_maxent_scores,
 }
 ORACLE_SQL: dict[str, str] = {}
