@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import jaccard, language_id, language_model, mixing, packing, quality, secrets, substrings
+from colloquy.llm import fingerprints, jaccard, language_id, language_model, mixing, packing, quality, secrets, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), 2048, "byte_bpe_50k")
 
 
+def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
+
+
 def op5_crf_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_best_two_fit": op3_best_two_fit,
+    "op4_imatch_fingerprints": op4_imatch_fingerprints,
     "op5_crf_languages": op5_crf_languages,
     "op6_repeated_phrases": op6_repeated_phrases,
     "op7_rule_ensemble": op7_rule_ensemble,
