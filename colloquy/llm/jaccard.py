@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.graph import components
@@ -36,7 +38,9 @@ TOGETHER = 1_000_000
 MASK_SLOTS = 1 << 24
 #: Documents whose shared shingles are counted at once.
 TOGETHER_READ = 2500
-SETS = "doc_id long, n int, sig long, mins array<long>, bitmap binary, shingles binary, shared array<long>, times array<int>"
+SETS = "doc_id long, n int, sig long, mins array<long>, bitmap binary, bits array<long>, shingles binary, shared array<long>, times array<int>"
+#: 64-bit words of the bitmap of fixed size that tiles compare; sets of up to about 1000 shingles can fail it.
+WORDS = 16
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -57,6 +61,13 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def small_bitmap(shingles: np.ndarray) -> list[int]:
+    """WORDS * 64 bits, a bit for each shingle by its high hash bits."""
+    bits = np.zeros(WORDS * 64, np.uint8)
+    bits[(shingles >> np.uint64(20)).astype(np.int64) % (WORDS * 64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
 def most_shared(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> int:
     """An upper bound of the overlap: every bit that differs stands for a shingle that only one set has."""
     while len(x) > len(y):
@@ -82,16 +93,16 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                     own = np.unique(full >> BITS)
                     sig = mix(np.bitwise_xor.reduce(full, keepdims=True) + full.sum(keepdims=True) * np.uint64(3) + np.uint64(n)).view(np.int64)[0] if n else 0
                     mins = [int(mix(own * s).min().view(np.int64)) for s in salts] if n else []
-                    rows.append((ids[block.first + i], n, int(sig), mins, bitmap(own).tobytes(), _pack(own), None, None))
+                    rows.append((ids[block.first + i], n, int(sig), mins, bitmap(own).tobytes(), small_bitmap(own), _pack(own), None, None))
                     every.append(own)
             yield _table(rows)
             if every:
                 shared, times = np.unique(np.concatenate(every), return_counts=True)
                 frequent = times >= SHARED
-                yield _table([(None, None, None, None, None, None, shared[frequent].astype(np.int64), times[frequent].astype(np.int32))])
+                yield _table([(None, None, None, None, None, None, None, shared[frequent].astype(np.int64), times[frequent].astype(np.int32))])
 
     def _table(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in SETS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
@@ -106,7 +117,7 @@ def frequent_shingles(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(batch: pa.RecordBatch, percent: int, ordered: np.ndarray, by_value: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """sig, n, rare and frequent prefix shingles of each different set of a batch(sig, n, shingles). ordered: the frequent shingles, by_value: their order by value."""
+    """sig, n, rare and then frequent prefix shingles of each different set of a batch(sig, n, shingles). ordered: the frequent shingles, by_value: their order by value."""
     values, seen = ordered[by_value], set()
     for sig, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         if not n or sig in seen:
@@ -125,7 +136,10 @@ def _prefixes(batch: pa.RecordBatch, percent: int, ordered: np.ndarray, by_value
 
 
 def prefix_rows(sets: DataFrame, percent: int, total: int) -> DataFrame:
-    """shingle, sig, n: the prefixes of all different sets, without rare shingles that no second set has in its prefix."""
+    """shingle, sig, n, rank: the prefixes of all different sets, without rare shingles that no second set has in its prefix.
+
+    rank is the shingle's place in the order of its set, as a part of n in steps of 1 / 256, rounded down.
+    """
     ordered = frequent_shingles(sets)
     by_value = np.argsort(ordered)
     ranges = max(64, total * (100 - percent) // 100 // TOGETHER)
@@ -140,46 +154,50 @@ def prefix_rows(sets: DataFrame, percent: int, total: int) -> DataFrame:
                 sigs, sizes = np.array([x[0] for x in found], "<i8"), np.array([x[1] for x in found], "<u4")
                 shingles = np.concatenate([x[2] for x in found])
                 owner = np.repeat(np.arange(len(found)), [len(x[2]) for x in found])
+                rank = np.concatenate([np.arange(len(x[2])) * 256 // x[1] for x in found]).astype(np.uint8)
                 part = ((shingles >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                part, shingles, owner = part[order], shingles[order], owner[order]
+                part, shingles, owner, rank = part[order], shingles[order], owner[order], rank[order]
                 cuts = np.searchsorted(part, np.arange(ranges + 1))
                 out = []
                 for r in range(ranges):
                     s = slice(cuts[r], cuts[r + 1])
                     if s.start < s.stop:
                         who, place = np.unique(owner[s], return_inverse=True)
-                        out.append((r, _pack(shingles[s]), place.astype("<u2").tobytes(), sigs[who].tobytes(), sizes[who].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[pa.array([x[i] for x in out], pa.binary()) for i in range(1, 5)]], names=["part", "shingles", "owner", "sigs", "sizes"])
+                        out.append((r, _pack(shingles[s]), place.astype("<u2").tobytes(), sigs[who].tobytes(), sizes[who].tobytes(), rank[s].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[pa.array([x[i] for x in out], pa.binary()) for i in range(1, 6)]], names=["part", "shingles", "owner", "sigs", "sizes", "ranks"])
 
     def meet(table: pa.Table) -> pa.Table:
-        shingles, sigs, sizes = [], [], []
+        shingles, sigs, sizes, ranks = [], [], [], []
         for i in range(table.num_rows):
             owner = np.frombuffer(table["owner"][i].as_py(), "<u2")
             shingles.append(_unpack(table["shingles"][i].as_py()))
             sigs.append(np.frombuffer(table["sigs"][i].as_py(), "<i8")[owner])
             sizes.append(np.frombuffer(table["sizes"][i].as_py(), "<u4")[owner])
-        s, g, n = np.concatenate(shingles), np.concatenate(sigs), np.concatenate(sizes)
+            ranks.append(np.frombuffer(table["ranks"][i].as_py(), np.uint8))
+        s, g, n, r = np.concatenate(shingles), np.concatenate(sigs), np.concatenate(sizes), np.concatenate(ranks)
         order = np.lexsort((g, s))
-        s, g, n = s[order], g[order], n[order]
+        s, g, n, r = s[order], g[order], n[order], r[order]
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
-        s, g, n = s[new], g[new], n[new]
+        s, g, n, r = s[new], g[new], n[new], r[new]
         same = s[1:] == s[:-1]
         keep = np.zeros(len(s), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        return pa.table({"shingle": pa.array(s[keep].astype(np.int64)), "sig": pa.array(g[keep]), "n": pa.array(n[keep].astype(np.int32))})
+        return pa.table({"shingle": pa.array(s[keep].astype(np.int64)), "sig": pa.array(g[keep]), "n": pa.array(n[keep].astype(np.int32)), "rank": pa.array(r[keep].astype(np.int32))})
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x for x in _prefixes(batch, percent, ordered, by_value) if len(x[3])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[3].astype(np.int64) for x in found], pa.list_(pa.int64())), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32())], names=["shingles", "sig", "n"])
+            ranks = [((np.arange(len(x[3])) + len(x[2])) * 256 // x[1]).astype(np.int32) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([x[3].astype(np.int64) for x in found], pa.list_(pa.int64())), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array(ranks, pa.list_(pa.int32()))], names=["shingles", "sig", "n", "ranks"])
 
-    rare = rows.mapInArrow(deal, "part int, shingles binary, owner binary, sigs binary, sizes binary").groupBy("part").applyInArrow(meet, "shingle long, sig long, n int")
+    rare = rows.mapInArrow(deal, "part int, shingles binary, owner binary, sigs binary, sizes binary, ranks binary").groupBy("part").applyInArrow(meet, "shingle long, sig long, n int, rank int")
     if not len(ordered):
         return rare
-    frequent = rows.mapInArrow(often, "shingles array<long>, sig long, n int").select(F.explode("shingles").alias("shingle"), "sig", "n").distinct()
+    frequent = rows.mapInArrow(often, "shingles array<long>, sig long, n int, ranks array<int>").select(F.explode(F.arrays_zip("shingles", "ranks")).alias("x"), "sig", "n")
+    frequent = frequent.select(F.col("x.shingles").alias("shingle"), "sig", "n", F.col("x.ranks").alias("rank")).distinct()
     return rare.unionAll(frequent)
 
 
@@ -251,17 +269,33 @@ def shared_minimum_pairs(sets: DataFrame) -> DataFrame:
     return keys.join(first, "key").filter("sig <> a").select("a", F.col("sig").alias("b")).distinct()
 
 
-def prefix_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: nodes of different components, of sizes that allow a link, that share a prefix shingle."""
+def prefix_pairs(sets: DataFrame, rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b: nodes of different components that share a prefix shingle and can still reach the threshold.
+
+    A tile holds the sets of a size band and the next with one shingle. A pair stays if its sizes, the places of the shingle
+    in both orders (nothing before the first shared one is shared) and the bit counts of small bitmaps allow enough overlap.
+    """
     rows = rows.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     mixed = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9)
     live = materialize(rows.join(mixed, "shingle").withColumn("band", band), "live")
-    x = live.select("shingle", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), "band", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "component")])
-    y = live.select("shingle", F.col("band").alias("tile"), *[F.col(c).alias(f"{c}_b") for c in ("sig", "n", "component")])
-    apart = (F.col("component_a") != F.col("component_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    once = (F.col("band") < F.col("tile")) | (F.col("sig_a") < F.col("sig_b"))
-    return x.join(y, ["shingle", "tile"]).filter(apart & once).select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct()
+    live = live.join(_of_nodes(sets, live.select("sig"), ["bits"]), "sig")
+    columns = [*[F.col(c) for c in ("sig", "n", "component", "rank")], *[F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)]]
+    x = live.select("shingle", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), "band", *columns).alias("x")
+    y = live.select("shingle", F.col("band").alias("tile"), *columns).alias("y")
+
+    def of(side: str, name: str) -> Column:
+        return F.col(f"{side}.{name}")
+
+    total = of("x", "n") + of("y", "n")
+    differing = reduce(add, (F.bit_count(of("x", f"w{i}").bitwiseXOR(of("y", f"w{i}"))) for i in range(WORDS)))
+    tests = [of("x", "component") != of("y", "component"), (of("x", "band") < of("y", "tile")) | (of("x", "sig") < of("y", "sig"))]
+    for most in (of("x", "n"), of("y", "n"), of("x", "n") - F.floor(of("x", "rank") * of("x", "n") / 256), of("y", "n") - F.floor(of("y", "rank") * of("y", "n") / 256)):
+        tests.append((100 + percent) * most >= percent * total)
+    tests.append((100 + percent) * (total - differing) >= 2 * percent * total)
+    same = (of("x", "shingle") == of("y", "shingle")) & (of("x", "tile") == of("y", "tile"))
+    pairs = x.join(y, reduce(and_, tests, same))
+    return pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -276,7 +310,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     total = sets.agg(F.sum("n")).first()[0] or 0
     labels = components(verify(sets, shared_minimum_pairs(sets), percent))
     rows = materialize(prefix_rows(sets, percent, total), "prefixes")
-    more = verify(sets, prefix_pairs(rows, labels, percent), percent)
+    more = verify(sets, prefix_pairs(sets, rows, labels, percent), percent)
     for side in "ab":
         more = more.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
     more = components(more.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
