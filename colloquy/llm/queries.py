@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import fingerprints, jaccard, language_id, language_model, mixing, packing, quality, secrets, substrings
+from colloquy.llm import embeddings, fingerprints, jaccard, language_id, language_model, mixing, packing, quality, secrets, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_documents(spark, sf_dir), percent=75, width=5)
 
@@ -50,6 +54,7 @@ def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_itq_near_vectors": op1_itq_near_vectors,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_best_two_fit": op3_best_two_fit,
     "op4_imatch_fingerprints": op4_imatch_fingerprints,
