@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.graph import components
-from colloquy.llm.textarrays import blocks, mix, shingle_hashes
+from colloquy.llm.textarrays import blocks, mix, release_memory, shingle_hashes
 from colloquy.storage import bound_batches, materialize
 
 #: Shingles are compared by 48 bits of their hash: two differ with the same bits once in 2**48.
@@ -96,9 +96,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                     rows.append((ids[block.first + i], n, int(sig), mins, bitmap(own).tobytes(), small_bitmap(own), _pack(own), None, None))
                     every.append(own)
             yield _table(rows)
+            del rows
             if every:
                 shared, times = np.unique(np.concatenate(every), return_counts=True)
                 frequent = times >= SHARED
+                del every
+                release_memory()
                 yield _table([(None, None, None, None, None, None, None, shared[frequent].astype(np.int64), times[frequent].astype(np.int32))])
 
     def _table(rows: list[tuple]) -> pa.RecordBatch:

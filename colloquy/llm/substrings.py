@@ -22,13 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.textarrays import Block, blocks, mix
+from colloquy.llm.textarrays import Block, blocks, mix, release_memory
 from colloquy.storage import bound_batches
 
 WINDOW, PHRASE = 20, 8
 MASK_BITS = 1 << 26
 #: Phrases, or words of passages, that meet in one shard.
-PHRASES_TOGETHER, WORDS_TOGETHER = 500_000, 2_000_000
+PHRASES_TOGETHER, WORDS_TOGETHER = 500_000, 500_000
 _GAP = 256  # a symbol that no word has
 
 
@@ -92,6 +92,7 @@ def recurring_mask(docs: DataFrame, window: int, phrase: int, shards: int) -> np
         again = counts > 1
         again[place[twice]] = True
         bits = np.unique(found[again] % np.uint64(MASK_BITS)).astype(np.int64)
+        release_memory()
         words, at = np.unique(bits >> 6, return_inverse=True)
         marks = np.zeros(len(words), np.uint64)
         np.bitwise_or.at(marks, at, np.uint64(1) << (bits & 63).astype(np.uint64))
@@ -158,6 +159,8 @@ def later_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -
             for i in np.flatnonzero(np.diff(cuts)):
                 h, n = head[cuts[i] : cuts[i + 1]], long[cuts[i] : cuts[i + 1]]
                 out.append((int(i), None, None, doc[h].astype("<i8").tobytes(), start[h].astype("<u4").tobytes(), n.astype("<u4").tobytes(), phrase_at[h].astype("<u4").tobytes(), codes[_ranges(at[h], n + window - 1)].tobytes()))
+            del codes, at, row, start, least, phrase_at, doc, total, order
+            release_memory()
             types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
             for i in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out[i : i + 2000]], k) for j, k in enumerate(types)], names=["shard", "doc_id", "later", "docs", "starts", "longs", "phrases", "codes"])
@@ -173,6 +176,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -
         offset = np.cumsum(words) - words
         run = np.repeat(np.arange(len(long)), long)
         use = _located(codes, offset, words, at, phrase)[run]
+        release_memory()
         pos, run = _ranges(offset, long)[use], run[use]
         where = start[run] + pos - offset[run]
         total = _sums(codes, pos, window)

@@ -5,6 +5,7 @@ Words are maximal runs of bytes other than space and \\x09-\\x0D. Hashes are 64
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,14 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def release_memory() -> None:
+    """Gives what Arrow and the C allocator hold but don't use back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Block:
     """Some whole texts of a batch as one byte array; text i is data[offsets[i]:offsets[i + 1]]."""
 
