@@ -2,9 +2,10 @@
 
 A text's terms are its distinct lower-case words, except those in more than a share of all documents: the band of inverse
 document frequency is open at the rare end, where terms tell most. Terms are known by 64-bit hashes, and their document
-frequencies counted in a table of hashed slots, so its size is fixed. The sorted terms, and those in each of REPLICAS
-random lexicon subsets at every one of LEVELS sampling rates, are hashed; the hashes make up the fingerprint. Short texts
-meet in dense subsets, long ones in sparse subsets.
+frequencies counted in a table of hashed slots, so its size is fixed. The set of all terms, and of those in each of REPLICAS
+random lexicon subsets at every one of LEVELS sampling rates, is hashed by combining term hashes so that order doesn't
+matter, which takes the place of sorting; the hashes make up the fingerprint. Short texts meet in dense subsets, long ones
+in sparse subsets.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from colloquy.storage import materialize
 
 SLOTS = 1 << 18
-#: Subset r at level j holds a term if j pairs of its hash bits, from 10 * r on, are zero: 6 subsets by each of two hashes.
+#: A subset at level j holds a term if 2 * j bits of its hash, from a place of its own on, are zero.
 REPLICAS, LEVELS = 12, 5
 _EMPTY = "...."
 _SPACES = r"[ \t-\r]+"
@@ -23,9 +24,8 @@ _LEAST_KEY = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the different lower-case words."""
-    words = F.filter(F.split(F.lower(text), _SPACES), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    """Hashes of the different lower-case words; white space at an end adds the empty word, which `kept` leaves out."""
+    return F.array_distinct(F.transform(F.split(F.lower(text), _SPACES), lambda w: F.xxhash64(w)))
 
 
 def frequent_slots(docs: DataFrame, max_share: float) -> list[int]:
@@ -35,25 +35,25 @@ def frequent_slots(docs: DataFrame, max_share: float) -> list[int]:
     return [r["slot"] for r in slots.groupBy("slot").count().filter(F.col("count") > limit).select("slot").collect()]
 
 
-def _four(array: str) -> str:
-    return f"if(size({array}) = 0, '{_EMPTY}', lpad(hex(pmod(xxhash64({array}), 65536)), 4, '0'))"
+def _four(x: Column) -> Column:
+    return F.when(x.isNull(), _EMPTY).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(x), F.lit(65536))), 4, "0"))
 
 
-def with_fingerprint(docs: DataFrame, text: str, name: str, frequent: list[int]) -> DataFrame:
-    """Appends the fingerprint of a text column: four signs for all terms and four for each subset, dots where it is empty."""
-    kept = terms(F.col(text))
+def fingerprints(texts: DataFrame, key: list[str], frequent: list[int]) -> DataFrame:
+    """key and fingerprint for texts(key, text), key different for each row: four signs for all terms and four for each subset, dots where it is empty."""
+    h = F.explode_outer(terms(F.col("text"))).alias("h")
+    out = F.col("h") == F.xxhash64(F.lit(""))
     if frequent:
-        kept = F.filter(kept, lambda h: ~F.pmod(h, F.lit(SLOTS)).isin(frequent))
-    out = docs.withColumn("_h", F.array_sort(kept)).withColumn("_g", F.array_sort(F.transform("_h", lambda h: F.xxhash64(h))))
-    out = out.withColumn(name, F.expr(_four("_h")))
-    half = REPLICAS // 2
-    out = out.withColumn("_l", F.expr(f"transform(sequence(0, {REPLICAS - 1}), r -> filter(if(r < {half}, _h, _g), x -> (shiftright(x, 10 * (r % {half})) & 3) = 0))")).drop("_h", "_g")
+        out = out | F.pmod("h", F.lit(SLOTS)).isin(frequent)
+    rows = texts.select(*key, h).select(*key, F.when(~out, F.col("h")).alias("h")).withColumn("g", F.xxhash64("h"))
+    half, sums = REPLICAS // 2, [F.bit_xor(F.when(F.col("h").isNotNull(), F.col("g"))).alias("all")]
     for level in range(1, LEVELS + 1):
-        out = out.withColumn(name, F.concat(name, F.expr(f"array_join(transform(_l, a -> {_four('a')}), '')")))
-        if level < LEVELS:
-            mask = 4 ** (level + 1) - 1
-            out = out.withColumn("_l", F.expr(f"transform(_l, (a, r) -> filter(a, x -> (shiftright(x, 10 * (r % {half})) & {mask}) = 0))"))
-    return out.drop("_l")
+        for r in range(REPLICAS):
+            side, mask = ("h", "g")[r // half], (4**level - 1) << (2 * LEVELS * (r % half))
+            sums.append(F.bit_xor(F.when(F.col(side).bitwiseAND(F.lit(mask)) == 0, F.xxhash64(side))).alias(f"s{level}_{r}"))
+    rows = rows.withColumn("g", F.when(F.col("h").isNotNull(), F.col("g")))
+    hashed = rows.groupBy(*key).agg(*sums)
+    return hashed.select(*key, F.concat(*[_four(F.col(c)) for c in hashed.columns if c not in key]).alias("fingerprint"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -64,7 +64,7 @@ def likeness(a: str, b: str) -> Column:
         places = f"sequence({begin}, {begin + (REPLICAS - 1) * 4}, 4)"
         some = f"size(filter({places}, p -> substr({a}, p, 4) <> '{_EMPTY}' or substr({b}, p, 4) <> '{_EMPTY}'))"
         same = f"size(filter({places}, p -> substr({a}, p, 4) <> '{_EMPTY}' and substr({a}, p, 4) = substr({b}, p, 4)))"
-        shares.append(F.expr(f"cast({same} as double) / greatest({some}, 4)"))
+        shares.append(F.expr(f"cast({same} as double) / greatest({some}, 3)"))
     return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(*shares))
 
 
@@ -80,20 +80,20 @@ def _bucket(docs: DataFrame, rows: int) -> Column:
     return out.cast("long")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Appends next_<column> of the row with the next smaller key (ties: smaller text); after the last row comes the first.
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs(key, text, bucket, ...) with place in its bucket, and next_text of the row with the next smaller key (ties: smaller text); after the last row comes the first.
 
-    Rows are sorted in buckets of bounded size. Each bucket also gets the first row of the bucket below it, found by a
-    window over the short list of buckets.
+    Rows are sorted in buckets of bounded size. Each bucket also gets, as a last row with guest true, the first row of the
+    bucket below it, found by a window over the short list of buckets.
     """
     ends = docs.groupBy("bucket").agg(F.max("key").alias("key"))
     below = F.lead("key").over(Window.orderBy(F.desc("bucket")))
-    top = ends.agg(F.max("key").alias("_top"))
+    top = ends.agg(F.max("key").alias("_top"))  # one row
     ends = materialize(ends.select("bucket", below.alias("key")).join(F.broadcast(top)).select(F.col("bucket").alias("_into"), F.coalesce("key", "_top").alias("key")), "ends")
-    guests = docs.join(ends, "key").select(*[c for c in docs.columns if c != "bucket"], F.col("_into").alias("bucket"), F.lit(True).alias("_guest"))
-    both = docs.withColumn("_guest", F.lit(False)).select(*guests.columns).unionAll(guests)
-    order = Window.partitionBy("bucket").orderBy("_guest", F.desc("key"), F.desc("text"))
-    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).filter("not _guest").drop("_guest")
+    guests = docs.join(ends, "key").select(*[c for c in docs.columns if c != "bucket"], F.col("_into").alias("bucket"), F.lit(True).alias("guest"))
+    both = docs.withColumn("guest", F.lit(False)).select(*guests.columns).unionAll(guests)
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), F.desc("text"))
+    return both.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
 
 
 def fingerprint_documents(docs: DataFrame, max_share: float = 0.1) -> DataFrame:
@@ -103,16 +103,21 @@ def fingerprint_documents(docs: DataFrame, max_share: float = 0.1) -> DataFrame:
     the next smaller doc_id; a null doc_id comes after all others, and rows with one doc_id follow each other by text. A
     null text counts as empty. Texts without terms in the band have equal fingerprints, all dots. A single row is its own
     next. An empty table gives no rows; other columns are ignored.
+
+    Texts are shuffled once, into the buckets; all that follows keeps that partitioning.
     """
     size = docs.count()
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_KEY)).alias("key"))
     frequent = frequent_slots(docs, max_share)
-    docs = docs.withColumn("bucket", _bucket(docs, max(500, min(20_000, size // 400))))
-    rows = with_next(with_fingerprint(docs, "text", "fingerprint", frequent), ["text", "fingerprint"])
-    chars = F.length("text")
-    cut = F.floor(chars / 3).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = rows.select("doc_id", chars.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
-    rows = with_fingerprint(rows, "edited", "edited_fingerprint", frequent)
-    sha = F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")
-    return rows.select("doc_id", "n_chars", sha, "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    rows = with_next(docs.withColumn("bucket", _bucket(docs, max(500, min(20_000, size // 400)))))
+    third = "cast(floor(length(text) / 3) as int)"
+    edited = F.expr(f"concat(substring(text, 1, length(text) - {third}), substring(next_text, 1, {third}))")
+    rows = rows.withColumn("edited", F.coalesce(edited, F.lit("")))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
+    key = ["bucket", "place", "which", "doc_id", "guest", "n_chars", "edited_sha256"]
+    texts = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t")
+    texts = rows.select(*[c for c in key if c != "which"], texts).select(*[c for c in key if c != "which"], "t.which", "t.text")
+    order = Window.partitionBy("bucket").orderBy("place", "which")
+    marked = fingerprints(texts, key, frequent).withColumn("edited_fingerprint", F.lead("fingerprint", 1).over(order)).withColumn("_next", F.lead("fingerprint", 2).over(order))
+    out = marked.filter("which = 0 and not guest")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "_next").alias("near_next"))
