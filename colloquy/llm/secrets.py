@@ -1,9 +1,9 @@
 """Secret scans: patterns for well-known secrets, and character Markov models for the rest.
 
 Two first-order character models are trained from labelled samples: values that the patterns find in the corpus (random
-strings) and other long runs (ordinary identifiers and words). A run of at least 16 characters outside the patterns' spans
-becomes a secret when the log-likelihood ratio of the two models is high enough. Training counts are sums over all texts,
-in a table whose size is fixed by the alphabet.
+strings) and shorter runs (ordinary identifiers and words). A run of at least 16 characters, not digits alone, outside the
+patterns' spans becomes a secret when the log-likelihood ratio of the two models is high enough. Training counts are sums
+over all texts, in a table whose size is fixed by the alphabet.
 """
 
 from __future__ import annotations
@@ -25,13 +25,18 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
+#: Runs of so many characters are judged; shorter ones, of 8 and more, are the samples of ordinary strings.
+CANDIDATE = 16
 
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Samples of a character that weigh as much as the fallback.
+PRIOR = 10.0
 START = len(ALPHABET)
 SIZE = START + 1
 _CODE = np.full(256, -1)
 _CODE[list(ALPHABET)] = np.arange(START)
 _TOKEN = _CODE >= 0
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)]).astype(int)
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 SECRETS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 
@@ -106,7 +111,7 @@ def count_transitions(docs: DataFrame) -> DataFrame:
                 codes, values, plain = _CODE[block.data], [], []
                 for _, _, found, own in _texts(block):
                     values += found
-                    plain.append(own)
+                    plain.append(own[own[:, 1] - own[:, 0] < CANDIDATE])
                 own = np.concatenate(plain) if plain else np.zeros((0, 4), np.int64)
                 total[0] += np.bincount(_transitions(codes, own[:, 2], own[:, 3] - own[:, 2])[0], minlength=SIZE * SIZE)
                 for value in values:
@@ -120,16 +125,22 @@ def count_transitions(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> np.ndarray:
-    """Log-likelihood ratio of each transition, random over ordinary. A model without samples is uniform."""
-    total = np.full((2, SIZE * SIZE), 0.5)
+    """Log-likelihood ratio of each transition, random over ordinary.
+
+    Transitions that are seldom seen fall back to equal chances in random strings, and to how frequent the character is
+    in ordinary ones.
+    """
+    total = np.zeros((2, SIZE * SIZE))
     for r in count_transitions(docs).collect():  # at most 2 * SIZE ** 2 rows
         total[r["random"], r["transition"]] += r["n"]
     table = total.reshape(2, SIZE, SIZE)[:, :, :START]
-    chance = np.log(table / table.sum(2, keepdims=True))
+    usual = table[0].sum(0) + 0.5
+    prior = np.stack([usual / usual.sum(), np.full(START, 1 / START)])
+    chance = np.log((table + PRIOR * prior[:, None, :]) / (table.sum(2, keepdims=True) + PRIOR))
     return np.pad(chance[1] - chance[0], ((0, 0), (0, 1))).ravel()
 
 
-def find_secrets(docs: DataFrame, name: str = "secrets", least: int = 16, per_character: float = 0.5, redact: str | None = None, model: np.ndarray | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, name: str = "secrets", least: int = CANDIDATE, per_character: float = 0.5, redact: str | None = None, model: np.ndarray | None = None) -> DataFrame:
     """Appends to docs, by row, the array `name` of (kind, start, end, score): code points, end exclusive, by start and then kind.
 
     Null and empty texts have no secrets. Repeated rows get equal arrays; texts of any length are scanned whole. A column
@@ -142,8 +153,10 @@ def find_secrets(docs: DataFrame, name: str = "secrets", least: int = 16, per_ch
 
     def scanned(block: Block) -> Iterator[list[Span]]:
         codes = _CODE[block.data]
+        letters = np.concatenate([[0], np.cumsum(_LETTER[block.data])])
         for _, spans, _, own in _texts(block):
             long = own[own[:, 1] - own[:, 0] >= least]
+            long = long[letters[long[:, 3]] > letters[long[:, 2]]]
             if len(long):
                 pairs, bounds = _transitions(codes, long[:, 2], long[:, 3] - long[:, 2])
                 scores = np.add.reduceat(ratios[pairs], bounds[:-1]) / np.diff(bounds)
