@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import embeddings, fingerprints, jaccard, language_id, language_model, mixing, packing, quality, secrets, substrings
+from colloquy.llm import embeddings, fingerprints, jaccard, language_id, language_model, mixing, oracles, packing, quality, secrets, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_temperature_mixing": op9_temperature_mixing,
     "op10_maxent_scores": op10_maxent_scores,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Learned models, token ids and fingerprints have no SQL; tests hold them against brute force or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op1_itq_near_vectors": oracles.NEAR_VECTORS,
+    "op2_jaccard_join": oracles.JACCARD,
+    "op6_repeated_phrases": oracles.SUBSTRINGS,
+}
