@@ -1,13 +1,17 @@
-"""LM scoring: a hashed maximum-entropy model with a class-factored softmax.
+"""LM scoring: a hashed maximum-entropy model with a class-factored softmax, and counts of n-grams and skips on top of it.
 
-A token is a word in lower case, or the end of a text. Its probability is that of its class, by a softmax over hashed
-n-gram and skip features of the two tokens before it, times its own within the class, by counts of all training tokens.
+A token is a word in lower case, or the end of a text. Its probability is that of its class times its own within the class.
 Words of up to three bytes fall into classes by hash, longer ones by their last two bytes, so classes need no table.
+Both factors depend on the two tokens before. Their base is a softmax over hashed features of both tokens for the class, and
+counts of all training tokens for the word in its class. Then both are drawn towards what followed the token two before
+(skip), and then the previous token, in all training texts: the class to (n(context, class) + S p(class)) / (n(context) + S),
+the word in it to (n(context, word) + S p(word)) / (n(context, class) + S p(class)), where p(word) = p(class) p(word | class).
+Classes, and the words of a class, go on to sum to 1. In the product the counts of context and class cancel, so none is made.
 
 The softmax is trained in rounds. In each, every task starts from the same weights and makes gradient updates over its
 share of the training texts; the changes are averaged, weighted by tokens, and every training text is used in one round.
-Word counts are too many to broadcast: each batch sends its distinct words, with the texts they occur in, to shards by word
-hash; a shard sums the counts and sends back what its words add to the score of each text.
+Its table has a fixed size. The counts have not: they grow with the training tokens and are never broadcast. Each block of
+texts sends its distinct words and contexts, as hashes, to shards; a shard sums them and sends the sums back to the block. Counts go by 48 bits of a hash.
 """
 
 from __future__ import annotations
@@ -30,9 +34,16 @@ FEATURES = PREVIOUS + SKIP + CLASSES * 16 + 1
 ROUNDS, RATE, MINIBATCH = 2, 0.3, 8192
 #: Text that one trainer reads at least, and trainers at most; each sends one weight table.
 TRAINER_BYTES, TRAINERS = 8_000_000, 1024
+#: Occurrences that the estimate a context starts from is worth; of 20, 200 and 2,000 the best on held-out rows at sf0.1.
+STRENGTH = 2000.0
 _SLICES = 64
 _END, _START = (mix(np.array([x], np.uint64))[0] for x in (1, 2))
-_SHARD_BYTES = 20_000_000
+_SHARD_BYTES, _BLOCK_BYTES = 6_000_000, 2_000_000
+_KEY = np.uint64((1 << 48) - 1)
+#: The keys of a token that are counted; the other one is a word that was counted at its own place.
+_COUNTED = [0, 1, 2, 4]
+#: Marks keys that are no words.
+_CONTEXT = 255
 
 
 class Tokens:
@@ -55,12 +66,24 @@ class Tokens:
         self.cls = np.full(n, CLASSES - 1)
         self.cls[word] = own
         first = self.bounds[:-1]
-        one, two = self._before(self.hash, first, _START), None
-        two = self._before(one, first, _START)
+        self.one = one = self._before(self.hash, first, _START)
+        self.two = two = self._before(one, first, _START)
         c1 = self._before(self.cls, first, CLASSES - 1)
         c2 = self._before(c1, first, CLASSES - 1)
         self.rows = np.stack([(one % np.uint64(PREVIOUS)).astype(np.int64), PREVIOUS + (mix(two) % np.uint64(SKIP)).astype(np.int64), PREVIOUS + SKIP + c1 * 16 + (c2 * 7 + c1) % 16])
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys, and the places among them of five keys of each token: its word, the token two before as a context, that with the word, the previous word, that with the word."""
+        after = [mix(mix(before + np.uint64(salt)) * np.uint64(0xA0761D6478BD642F) + self.hash) for salt, before in ((3, self.two), (5, self.one))]
+        # what follows a word is counted by the word, what begins a text by the ends of texts
+        own = [x & _KEY for x in (self.hash, mix(self.two + np.uint64(3)), after[0], np.where(self.one == _START, _END, self.one), after[1])]
+        coded = pa.array(np.concatenate(own)).dictionary_encode()  # cheaper than sorting all
+        found, places = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order = np.argsort(found)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        return found[order], rank[places].reshape(len(own), -1)
+
     @staticmethod
     def _before(x: np.ndarray, first: np.ndarray, start) -> np.ndarray:
         out = np.empty_like(x)
@@ -132,77 +155,89 @@ def train(docs: DataFrame) -> np.ndarray:
     return weights
 
 
-def _sum_by_word(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Rows of batches (texts with the logarithms of their class probabilities), of shards (what words add) and of class sums."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(48, size // _SHARD_BYTES)
-    held = spark.sparkContext.broadcast(weights)
-    log10 = np.log(10)
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of one rank side by side: those that are mostly zero take no room once compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _text_blocks(docs: DataFrame) -> DataFrame:
+    """Rows of a batch number, ids (a), held_out (b), compressed bytes (c) and offsets (d) of texts that are worked on together."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids, held = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8"), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for block in blocks(batch.column(1), _BLOCK_BYTES):
+                texts = slice(block.first, block.first + block.n)
+                row = (key, ids[texts].tobytes(), held[texts].tobytes(), pa.compress(block.data.tobytes(), codec="zstd", asbytes=True), block.offsets.astype("<i8").tobytes())
+                key += 1
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), *[pa.binary()] * 4], strict=True)], names=["batch", "a", "b", "c", "d"])
+
+    return docs.mapInArrow(cut, "batch long, a binary, b binary, c binary, d binary")
+
+
+def _tokens(c: bytes, d: bytes) -> Tokens:
+    offsets = np.frombuffer(d, "<i8")
+    return Tokens(Block(0, np.frombuffer(pa.decompress(c, int(offsets[-1]), codec="zstd"), np.uint8) if offsets[-1] else np.zeros(0, np.uint8), offsets))
+
+
+def _sum_by_key(texts: DataFrame, shards: int) -> DataFrame:
+    """Rows of shards (a: what the keys sent by a block count in training) and of sums by class."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, batch in enumerate(batches):
-            key = (TaskContext.get().partitionId() << 32) + i  # the same if the task runs again
-            train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            hashes, classes, counts, logs = [], [], [], []
-            n_classes = np.zeros((batch.num_rows, CLASSES), "<u4")
-            for block in blocks(batch.column(1)):
-                tokens = Tokens(block)
-                hashes.append(tokens.hash)
-                classes.append(tokens.cls.astype(np.uint8))
-                n = np.diff(tokens.bounds)
-                counts.append(n)
-                text = np.repeat(np.arange(block.n), n)
-                n_classes[block.first : block.first + block.n] = np.bincount(text * CLASSES + tokens.cls, minlength=block.n * CLASSES).reshape(block.n, CLASSES)
-                chosen = np.concatenate([log_classes(held.value, tokens.rows[:, a : a + MINIBATCH])[np.arange(len(tokens.cls[a : a + MINIBATCH])), tokens.cls[a : a + MINIBATCH]] for a in range(0, len(tokens.cls), MINIBATCH)])
-                logs.append(np.add.reduceat(chosen.astype(float), tokens.bounds[:-1]) / log10)
-            if not hashes:
-                continue
-            words, first, word = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-            text = np.repeat(np.arange(batch.num_rows), np.concatenate(counts))
-            times = np.bincount(word, weights=train[text], minlength=len(words)).astype("<u4")
-            kinds = np.concatenate(classes)[first]
-            pair, tf = np.unique(word * batch.num_rows + text, return_counts=True)
-            word, text = pair // batch.num_rows, (pair % batch.num_rows).astype("<u4")
-            shard = ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # words are sorted, so shards are
-            cuts, edges = np.searchsorted(shard, np.arange(shards + 1)), np.searchsorted(word, np.arange(len(words) + 1))
-            out = [(key % shards, key, None, None, None, batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), (~train).tobytes(), n_classes.tobytes(), np.concatenate(logs).tobytes())]
-            for i in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[i], cuts[i + 1]
-                p = slice(edges[a], edges[b])
-                out.append((int(i), key, words[a:b].tobytes(), times[a:b].tobytes(), kinds[a:b].tobytes(), np.diff(edges[a : b + 1]).astype("<u4").tobytes(), text[p].tobytes(), tf[p].astype("<u4").tobytes(), None))
-            del hashes, classes, pair, tf, word, text
-            release_memory()
-            types = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(types)], names=["shard", "batch", "words", "times", "kinds", "a", "b", "c", "d"])
+        for batch in batches:
+            for r in range(batch.num_rows):
+                key, _, held, c, d = (x[r].as_py() for x in batch.columns)
+                tokens = _tokens(c, d)
+                keys, places = tokens.keys()
+                train = np.repeat(~np.frombuffer(held, bool), np.diff(tokens.bounds))
+                times = np.bincount(places[_COUNTED][:, train].ravel(), minlength=len(keys)).astype("<u4")
+                kinds = np.full(len(keys), _CONTEXT, np.uint8)
+                kinds[places[0]] = tokens.cls
+                shard = ((keys >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # keys are sorted, so shards are
+                cuts = np.searchsorted(shard, np.arange(shards + 1))
+                out = [(int(i), key, _pack(np.diff(keys[cuts[i] : cuts[i + 1]], prepend=np.uint64(0))), _pack(times[cuts[i] : cuts[i + 1]]), kinds[cuts[i] : cuts[i + 1]].tobytes()) for i in np.flatnonzero(np.diff(cuts))]
+                del tokens, keys, places, train, times, kinds, shard
+                release_memory()
+                types = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(types)], names=["shard", "batch", "keys", "times", "kinds"])
 
     def meet(table: pa.Table) -> pa.Table:
-        rows, out = [], []
-        for r in table.to_pylist():
-            if r["words"] is None:
-                out.append((r["batch"], None, r["a"], r["b"], r["c"], r["d"]))
-            else:
-                rows.append(r)
-        if rows:
-            words, times, kinds = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in (("words", np.uint64), ("times", "<u4"), ("kinds", np.uint8)))
-            found, first, place = np.unique(words, return_index=True, return_inverse=True)
-            count = np.bincount(place, weights=times, minlength=len(found))
-            known = count > 0
-            sums = [np.bincount(kinds[first], weights=x, minlength=CLASSES) for x in (count, known)]
-            out.append((None, np.concatenate(sums).tolist(), None, None, None, None))
-            gain, at = np.log10(count + 0.5), 0
-            for r in rows:
-                many = np.frombuffer(r["a"], "<u4")
-                own = np.repeat(place[at : at + len(many)], many)
-                at += len(many)
-                text, tf = np.frombuffer(r["b"], "<u4"), np.frombuffer(r["c"], "<u4")
-                some, back = np.unique(text, return_inverse=True)
-                out.append((r["batch"], None, None, some.astype("<u4").tobytes(), np.bincount(back, weights=known[own] * tf).astype("<u4").tobytes(), np.bincount(back, weights=gain[own] * tf).tobytes()))
-        types = [pa.int64(), pa.list_(pa.float64()), *[pa.binary()] * 4]
-        return pa.table([pa.array([x[j] for x in out], k) for j, k in enumerate(types)], names=["batch", "sums", "a", "b", "c", "d"])
-
-    sent = docs.mapInArrow(deal, "shard int, batch long, words binary, times binary, kinds binary, a binary, b binary, c binary, d binary")
-    return sent.groupBy("shard").applyInArrow(meet, "batch long, sums array<double>, a binary, b binary, c binary, d binary")
+        rows = table.to_pylist()
+        keys = np.concatenate([np.cumsum(_unpack(r["keys"], "<u8"), dtype=np.uint64) for r in rows])
+        times = np.concatenate([_unpack(r["times"], "<u4") for r in rows])
+        kinds = np.frombuffer(b"".join(r["kinds"] for r in rows), np.uint8)
+        found, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        del keys
+        count, kind = np.bincount(place, weights=times, minlength=len(found)), kinds[first]
+        words = kind < CLASSES
+        sums = [np.bincount(kind[words], weights=x[words], minlength=CLASSES) for x in (count, count > 0)]
+        out, at = [(rows[0]["shard"], None, np.concatenate(sums).tolist(), None)], 0
+        for r in rows:
+            many = len(r["kinds"])
+            out.append((r["shard"], r["batch"], None, _pack(count[place[at : at + many]].astype("<i8"))))
+            at += many
+        del rows, times, kinds, found, first, place, count, kind, words
+        release_memory()
+        types = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.binary()]
+        return pa.table([pa.array([x[j] for x in out], k) for j, k in enumerate(types)], names=["shard", "batch", "sums", "a"])
+
+    sent = texts.mapInArrow(deal, "shard int, batch long, keys binary, times binary, kinds binary")
+    return sent.groupBy("shard").applyInArrow(meet, "shard int, batch long, sums array<double>, a binary")
+
+
+def log_scores(tokens: Tokens, weights: np.ndarray, count: np.ndarray, n_class: np.ndarray, v_class: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each token. count has what the five keys of each count in training, n_class and v_class tokens and distinct words by class."""
+    n = len(tokens.cls)
+    logs = np.concatenate([log_classes(weights, tokens.rows[:, a : a + MINIBATCH])[np.arange(len(tokens.cls[a : a + MINIBATCH])), tokens.cls[a : a + MINIBATCH]] for a in range(0, n, MINIBATCH)])
+    p = np.exp(logs.astype(float)) * (count[0] + 0.5) / (n_class + 0.5 * (v_class + 1))[tokens.cls]
+    for context, with_word in (count[1:3], count[3:5]):
+        p = (with_word + STRENGTH * p) / (context + STRENGTH)
+    return np.log10(p)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -216,25 +251,31 @@ def score_documents(docs: DataFrame) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     weights = train(docs.filter("not held_out"))
-    rows = materialize(_sum_by_word(docs, weights), "sums")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = materialize(_text_blocks(docs), "texts")
+    rows = materialize(_sum_by_key(texts, max(48, size // _SHARD_BYTES)), "sums")
     sums = np.zeros(2 * CLASSES)
     for r in rows.filter("sums is not null").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
         sums[r["k"]] = r["x"]
-    tokens, distinct = sums[:CLASSES], sums[CLASSES:]
-    n, per_class = int(tokens.sum()), np.log10(tokens + 0.5 * (distinct + 1))
-    base = np.log10(n + 0.5 * (distinct.sum() + 1))
+    n_class, v_class = sums[:CLASSES], sums[CLASSES:]
+    n = int(n_class.sum())
+    base = np.log10(n + 0.5 * (v_class.sum() + 1))
+    model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def finish(table: pa.Table) -> pa.Table:
-        head = next(r for r in table.to_pylist() if r["a"] is not None)
+        rows = table.to_pylist()
+        head = next(r for r in rows if r["b"] is not None)
+        own = sorted((r for r in rows if r["b"] is None), key=lambda r: r["shard"])
         ids, held = np.frombuffer(head["a"], "<i8"), np.frombuffer(head["b"], bool)
-        classes, logs = np.frombuffer(head["c"], "<u4").reshape(-1, CLASSES), np.frombuffer(head["d"])
-        known, gain = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-        for a, b, c, d in zip(*(table[x].to_pylist() for x in "abcd"), strict=True):
-            if a is None:
-                at = np.frombuffer(b, "<u4")
-                known[at] += np.frombuffer(c, "<u4")
-                gain[at] += np.frombuffer(d)
-        size = classes.sum(1).astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids), "held_out": pa.array(held), "n_tokens": pa.array(size), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), n)), "base_score": pa.array(gain - size * base), "score": pa.array(logs + gain - classes @ per_class)})
-
-    return rows.filter("sums is null").groupBy("batch").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        tokens = _tokens(head["c"], head["d"])
+        count = np.concatenate([_unpack(r["a"], "<i8") for r in own])[tokens.keys()[1]]
+        first, size = tokens.bounds[:-1], np.diff(tokens.bounds)
+        known = np.add.reduceat((count[0] > 0).astype(np.int64), first)
+        gain = np.add.reduceat(np.log10(count[0] + 0.5), first)
+        score = np.add.reduceat(log_scores(tokens, model.value, count, n_class, v_class), first)
+        del table, rows, head, own, tokens, count
+        release_memory()
+        return pa.table({"doc_id": pa.array(ids), "held_out": pa.array(held), "n_tokens": pa.array(size), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), n)), "base_score": pa.array(gain - size * base), "score": pa.array(score)})
+
+    back = rows.filter("sums is null").drop("sums").unionByName(texts, allowMissingColumns=True)
+    return back.groupBy("batch").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -70,6 +70,52 @@ def test_scores_of_unigrams_are_exact_and_the_model_is_normalised(spark):
     assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-5)
 
 
+def test_context_tells_words_of_a_class_apart(spark):
+    rng = np.random.default_rng(8)
+    pairs = [("happy", "planted"), ("gloomy", "granted")]  # both end in "ed", so they share a class
+
+    def text():
+        return " ".join(" ".join(pairs[k]) for k in rng.integers(0, 2, 20))
+
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    texts = {i: text() for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1} | dict(zip(held, ("happy planted", "happy granted"), strict=True))
+    score = {r.doc_id: r.score for r in language_model.score_documents(frame(spark, texts)).collect()}
+    assert score[held[0]] - score[held[1]] > 0.2
+
+
+def test_scores_are_those_of_counts_by_hand_and_sum_to_one(spark):
+    texts = passages(2) | {500: "The THE the", 501: "der u1 der p0_3"}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    docs = frame(spark, texts).coalesce(1)
+    weights = language_model.train(docs.filter(~docs.doc_id.isin([i for i in texts if held[i]])))
+    block = {i: language_model.Tokens(next(language_model.blocks(language_model.pa.array([t or ""])))) for i, t in texts.items()}
+    counts = Counter()
+    kind = {}
+    for i, b in block.items():
+        if not held[i]:
+            for w, c, one, two in zip(*(x.tolist() for x in (b.hash, b.cls, b.one, b.two)), strict=True):
+                kind[w] = c
+                counts.update([("w", w), *(k for x in ((1, one), (2, two)) for k in ((x, "t"), (x, "w", w)))])
+    n, v = Counter(), Counter(kind.values())
+    for w, c in kind.items():
+        n[c] += counts["w", w]
+    s = language_model.STRENGTH
+
+    def p(w, c, one, two, of_class):
+        likely = of_class * (counts["w", w] + 0.5) / (n[c] + 0.5 * (v[c] + 1))
+        for x in ((2, two), (1, one)):
+            likely = (counts[x, "w", w] + s * likely) / (counts[x, "t"] + s)
+        return likely
+
+    got = {r.doc_id: r.score for r in language_model.score_documents(docs).collect()}
+    for i, b in block.items():
+        classes = np.exp(language_model.log_classes(weights, b.rows))
+        want = sum(math.log10(p(w, c, one, two, float(classes[k, c]))) for k, (w, c, one, two) in enumerate(zip(*(x.tolist() for x in (b.hash, b.cls, b.one, b.two)), strict=True)))
+        assert math.isclose(got[i], want, rel_tol=1e-3)
+        one, two = b.one[-1].item(), b.two[-1].item()
+        assert math.isclose(sum(p(w, c, one, two, float(classes[-1, c])) for w, c in [*kind.items(), *((None, c) for c in range(language_model.CLASSES))]), 1, rel_tol=1e-4)
+
+
 def test_languages_are_learned(spark):
     rng = np.random.default_rng(4)
     sounds = {"xa": ["ba", "bo", "bi", "ban"], "xo": ["ku", "kr", "kek", "ok"]}
