@@ -9,9 +9,11 @@ length. Ranks come from salted groups, so that no length, however frequent, is r
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -33,17 +35,26 @@ class WordIds:
     """Token ids of whole texts by the byte-level BPE, one remembered word at a time.
 
     The tokenizer never merges across a single space that stands before a word, so " word" has the same ids in any text;
-    texts with other spacing are encoded whole.
+    texts with other spacing are encoded whole. Given the tokenizer's own file, texts that hold one of its added tokens are
+    left to the tokenizer, which finds those tokens in text; without it they are ordinary text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, tokenizer_path: str | None = None):
         import tiktoken
 
         lines = Path(ranks_path).read_bytes().splitlines()
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = [re.escape(t["content"]) for t in json.loads(Path(tokenizer_path).read_text(encoding="utf-8"))["added_tokens"]] if tokenizer_path else []
+        self.added, self.path = re.compile("|".join(added)) if added else None, tokenizer_path
         self.forget()
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
         self.ids: list[list[int]] = []
@@ -54,7 +65,9 @@ class WordIds:
             self.forget()
         codes, memory, encode, ends, whole = [], self.codes, self.encode, [], {}
         for i, text in enumerate(texts):
-            if _NOT_SINGLE_SPACED.search(text):
+            if self.added and self.added.search(text):
+                whole[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+            elif _NOT_SINGLE_SPACED.search(text):
                 whole[i] = np.array([*encode(text), 0], "<u4")
             else:
                 first, *rest = text.split(" ")
@@ -80,11 +93,11 @@ class WordIds:
         return out
 
 
-def token_pieces(docs: DataFrame, capacity: int, ranks_path: str, pattern: str) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int, ranks_path: str, pattern: str, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece of at most capacity tokens; of a longer document only the first piece may be short."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(ranks_path, pattern)
+        encoder = WordIds(ranks_path, pattern, tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -185,14 +198,16 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k", encode_special_tokens: bool = True) -> DataFrame:
     """Packs docs(doc_id, text) into sequences of at most capacity tokens; other columns are ignored.
 
     A document is its ids and one id 0, so a null or empty text is one piece of length 1. A repeated doc_id is packed once
-    for each row. An empty table gives no rows. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    for each row. An empty table gives no rows. encode_special_tokens is that of `tokenizers`: True encodes the literal of an
+    added token, such as <|endoftext|>, as ordinary text, False gives it that token's id, as `tokenizers` does unless told
+    otherwise; op3 and the pipeline use False. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     import public_tokenizers
 
-    pieces = token_pieces(docs, capacity, public_tokenizers.path(f"{tokenizer}.tiktoken"), public_tokenizers.PATTERN)
+    pieces = token_pieces(docs, capacity, public_tokenizers.path(f"{tokenizer}.tiktoken"), public_tokenizers.PATTERN, None if encode_special_tokens else public_tokenizers.path(f"{tokenizer}.json"))
     packed = pack(materialize(pieces, "pieces"), capacity)
     return packed.withColumn("length", F.col("length").cast("long"))

@@ -22,7 +22,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf_dir), 2048, "byte_bpe_50k")
+    return packing.pack_documents(_documents(spark, sf_dir), 2048, "byte_bpe_50k", encode_special_tokens=False)
 
 
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, 2048, "byte_bpe_50k")
+    return packing.pack_documents(docs, 2048, "byte_bpe_50k", encode_special_tokens=False)
 
 
 STAGES = [("quality", drop_poor), ("near_duplicates", drop_near_copies), ("secrets", redact_secrets), ("mixing", mix_sources), ("packing", pack)]

@@ -6,6 +6,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
+from colloquy.llm import queries
 from colloquy.llm.packing import WordIds, best_two_fit, pack_documents
 
 TEXTS = [None, "", "a", "  two  spaces \n and\t tabs ", "été, ça va ?", "x " * 5000, "end <|endoftext|>", " lead", "trail ", "\n\n a\n b", "word", "word", "it's 1234 ok... don't"]
@@ -46,6 +48,18 @@ def test_every_token_has_one_place(spark):
     assert len(bins) == -(-sum(r.length for r in rows) // 64)
 
 
+def test_queries_give_added_tokens_their_ids(spark, tmp_path):
+    texts = [*TEXTS, "<|endoftext|>", "a <|endoftext|><|endoftext|>  b", "a<|endoftext|>b c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert whole[6] == [437, 220, 50256, 0]
+    for rows in (queries.op3_best_two_fit(spark, str(tmp_path)).collect(), corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()):
+        assert sum(r.length for r in rows) == sum(map(len, whole.values()))
+        assert all(r.ids_crc32 == zlib.crc32(np.array(whole[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) for r in rows)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_patterns_use_up_the_counts_and_fit(seed):
     rng = np.random.default_rng(seed)
