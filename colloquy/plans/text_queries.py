@@ -103,6 +103,13 @@ def repeated_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", tx.repeated_unit(F.col("t")).alias("unit"))
 
 
+@register("repeated_unit_whole")
+def repeated_unit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeated_unit over every document, however long. A test holds it against brute force, as its SQL has the limit of n_chars."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", tx.repeated_unit(F.col("t")).alias("unit"))
+
+
 @register("edit_le_1", f"""{W}, {NEXT} SELECT session, turn, levenshtein(tokens[1], after[1]) <= 1 AS near FROM n WHERE len(tokens) > 0 AND len(after) > 0""")
 def edit_le_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _pairs(spark, sf_dir).filter((F.size("tokens") > 0) & (F.size("after") > 0))
