@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.storage import materialize
+from colloquy.llm.textarrays import parts
+from colloquy.storage import bound_batches, materialize
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Words whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
 #: Pieces of one length that are ranked together.
 RANKED_TOGETHER = 20_000
 _NOT_SINGLE_SPACED = re.compile(r" (?:\s|\Z)")
@@ -99,8 +100,7 @@ def token_pieces(docs: DataFrame, capacity: int, ranks_path: str, pattern: str,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordIds(ranks_path, pattern, tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part, _ in parts(batch, 1):
                 rows: list[tuple] = []
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.texts([x or "" for x in part.column(1).to_pylist()]), strict=True):
                     stop, piece, start = len(ids) % capacity or capacity, 0, 0
@@ -109,6 +109,7 @@ def token_pieces(docs: DataFrame, capacity: int, ranks_path: str, pattern: str,
                         piece, start, stop = piece + 1, stop, stop + capacity
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
@@ -183,11 +184,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     salts = max(8, sum(counts.values()) // RANKED_TOGETHER)
     rows = _segments(best_two_fit(counts, capacity)) or [(0, 0, 0, 1, 0, 0)]
     plan = spark.createDataFrame(rows, "_length int, _begin long, _end long, _each int, _bin long, _at long")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.join(groups, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1)
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_begin")) & (F.col("_rank") < F.col("_end")))
     since = F.col("_rank") - F.col("_begin")

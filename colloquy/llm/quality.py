@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.textarrays import Block, blocks, shingle_hashes
-from colloquy.storage import materialize
+from colloquy.llm.textarrays import Block, parts, shingle_hashes
+from colloquy.storage import bound_batches, materialize
 
 STATISTICS = ["log_bytes", "log_words", "word_length", "upper", "digit", "symbol", "bang", "pipe", "newline", "stop", "high", "distinct_words", "top_word", "same_next", "distinct_shingles", "symbol_end", "upper_end"]
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "symbol": b"#$%&*@^~<>{}[]\\_+=/`", "bang": b"!", "pipe": b"|", "newline": b"\n", "stop": b".,;:?", "high": range(0xC0, 256)}
@@ -60,16 +60,17 @@ def block_statistics(block: Block) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, name: str = "_statistics", keep: list[str] | None = None) -> DataFrame:
     """Appends the statistics of column text as an array<double>; keep: the columns to pass on, all if None."""
+    bound_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     at = docs.columns.index("text")
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [block_statistics(b) for b in blocks(batch.column(at))]
-            flat = np.concatenate(rows) if rows else np.zeros((0, len(STATISTICS)))
-            column = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(STATISTICS), pa.int32()), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], column], names=[*keep, name])
+            for part, block in parts(batch, at):
+                flat = block_statistics(block)
+                column = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(STATISTICS), pa.int32()), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in keep], column], names=[*keep, name])
 
     return docs.mapInArrow(run, schema)
 

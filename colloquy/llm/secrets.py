@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.textarrays import Block, blocks
+from colloquy.llm.textarrays import Block, parts
+from colloquy.storage import bound_batches
 
 # Kinds in their order, patterns and least lengths.
 KINDS = ["assign", "access", "hex", "markov"]
@@ -27,16 +29,18 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: Runs of so many characters are judged; shorter ones, of 8 and more, are the samples of ordinary strings.
 CANDIDATE = 16
+#: Text that is scanned at once.
+TOGETHER_BYTES = 500_000
 
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Samples of a character that weigh as much as the fallback.
 PRIOR = 10.0
 START = len(ALPHABET)
 SIZE = START + 1
-_CODE = np.full(256, -1)
+_CODE = np.full(256, -1, np.int32)
 _CODE[list(ALPHABET)] = np.arange(START)
 _TOKEN = _CODE >= 0
-_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)]).astype(int)
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)]).astype(np.int32)
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 SECRETS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 
@@ -107,7 +111,7 @@ def count_transitions(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SIZE * SIZE), np.int64)
         for batch in batches:
-            for block in blocks(batch.column(0)):
+            for _, block in parts(batch, 0, TOGETHER_BYTES):
                 codes, values, plain = _CODE[block.data], [], []
                 for _, _, found, own in _texts(block):
                     values += found
@@ -146,6 +150,7 @@ def find_secrets(docs: DataFrame, name: str = "secrets", least: int = CANDIDATE,
     Null and empty texts have no secrets. Repeated rows get equal arrays; texts of any length are scanned whole. A column
     that is called like name is replaced. redact: if given, secrets (overlapping ones together) give way to it in text.
     """
+    bound_batches(docs.sparkSession)
     ratios = fit(docs) if model is None else model
     docs = docs.drop(name)
     at = docs.columns.index("text")
@@ -171,15 +176,18 @@ def find_secrets(docs: DataFrame, name: str = "secrets", least: int = CANDIDATE,
             done = max(done, b)
         return "".join([*out, text[done:]]) if spans else text
 
+    kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [spans for block in blocks(batch.column(at)) for spans in scanned(block)]
-            columns = list(batch.columns)
-            if redact is not None:
-                columns[at] = pa.array([cut(t, s) for t, s in zip(columns[at].to_pylist(), found, strict=True)], columns[at].type)
-            kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
-            columns.append(pa.array([[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in s] for s in found], pa.list_(kind)))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name])
+            for part, block in parts(batch, at, TOGETHER_BYTES):
+                found, columns = list(scanned(block)), list(part.columns)
+                hit = np.array([bool(s) for s in found], bool)
+                if redact is not None and hit.any():
+                    new = [cut(t, s) for t, s in zip(columns[at].filter(pa.array(hit)).to_pylist(), filter(None, found), strict=True)]
+                    columns[at] = pc.replace_with_mask(columns[at], pa.array(hit), pa.array(new, columns[at].type))
+                columns.append(pa.array([[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in s] for s in found], pa.list_(kind)))
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, SECRETS)]))
 

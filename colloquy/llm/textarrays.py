@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -101,6 +101,13 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         first = last
 
 
+def parts(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    """The rows of a batch, a block of texts at a time, so that what an operator holds follows the block and not the batch."""
+    for block in blocks(batch.column(column), limit):
+        yield batch.slice(block.first, block.n), block
+    release_memory()
+
+
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of width consecutive words, in text order, and their bounds by text; a shorter text is one shingle of all its words."""
     counts = np.diff(bounds)
