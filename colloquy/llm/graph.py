@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.storage import materialize
+from colloquy.storage import discard, materialize
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -27,5 +27,6 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialize(small.unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), name)
+        before, links = links, materialize(small.unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), name)
+        discard(before)
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

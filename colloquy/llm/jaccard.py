@@ -1,46 +1,55 @@
-"""N-gram Jaccard join: all pairs of texts whose sets of word shingles have a Jaccard similarity of at least a threshold.
+"""N-gram Jaccard join: links texts whose sets of word shingles have a Jaccard similarity of at least a threshold.
 
-Texts with equal sets are one node. Two rounds find the links between nodes; both bound the overlap of a candidate pair by
-the bit counts of hashed bitmaps before sorted arrays are intersected exactly.
+Texts with equal sets are one node. Nodes are joined into classes, in two steps; in both, bit counts of hashed bitmaps bound
+an overlap from above before sorted arrays are intersected exactly.
 
-1. Nodes that share a minimum hash are compared with the first of them. That joins most of every large group by a number
-   of comparisons in proportion to its size.
-2. Exact: sets in one order of shingles, frequent ones last, can only reach the threshold if they share a shingle in a
-   prefix of length n - ceil(threshold * n) + 1. Nodes that share one and lie in different components of round 1 are
-   compared in tiles of neighbouring size bands. Pairs inside a component can't change the classes and are left out.
+1. Stars. Nodes that share a minimum hash are compared with one of them, drawn anew for each hash. A second wave takes more
+   hashes and only compares nodes of classes that are still apart. This joins most of every large group by a number of
+   comparisons in proportion to its size.
+2. Exact tiles. Sets in one order of shingles, frequent ones last, can only reach the threshold if they share a shingle in a
+   prefix of length n - ceil(threshold * n) + 1. Of shingles that nodes of different classes share, tiles of neighbouring
+   size bands compare the bitmaps, each pair of nodes of different classes. A tile doesn't send on pairs: it names, once,
+   each node and the class it may link with. Those nodes' arrays are then shipped once to the class they may link with,
+   and intersected there until the two classes are joined. Pairs inside a class can't change it and are left out.
+
+Hot shingles and large classes are cut into blocks that meet pairwise, so no task holds a whole large group.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
-from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.graph import components
-from colloquy.llm.textarrays import blocks, mix, release_memory, shingle_hashes
-from colloquy.storage import bound_batches, materialize
+from colloquy.llm.textarrays import Block, mix, parts, release_memory, shingle_hashes
+from colloquy.storage import bound_batches, discard, materialize
 
 #: Shingles are compared by 48 bits of their hash: two differ with the same bits once in 2**48.
 BITS = np.uint64(16)
-MINHASHES = 4
+#: Minimum hashes of each wave of stars.
+WAVES = (2, 6)
 #: The most frequent shingles that are ordered last; more would only save comparisons.
 FREQUENT = 131_072
 #: Documents of a batch that must share a shingle before the batch counts it, and the count from which it is frequent.
 SHARED, FREQUENT_FROM = 2, 16
-#: Prefix shingles that meet in one task.
-TOGETHER = 1_000_000
+#: Prefix shingles, and rows of tiles, that meet in one task.
+TOGETHER, TILE_ROWS = 1_000_000, 30_000
+#: Nodes with one shingle that are one tile, and shingles of a class that are intersected in one task.
+BLOCK, ARRAYS_TOGETHER = 4096, 2_000_000
+#: Above so many nodes a tile goes node by node over those outside its largest class.
+SMALL_TILE = 48
 MASK_SLOTS = 1 << 24
-#: Documents whose shared shingles are counted at once.
-TOGETHER_READ = 2500
-SETS = "doc_id long, n int, sig long, mins array<long>, bitmap binary, bits array<long>, shingles binary, shared array<long>, times array<int>"
-#: 64-bit words of the bitmap of fixed size that tiles compare; sets of up to about 1000 shingles can fail it.
-WORDS = 16
+#: Shingles whose documents are counted at once.
+COUNTED_TOGETHER = 1_000_000
+SETS = "doc_id long, n int, sig long, mins array<long>, bits binary, shingles binary, shared array<long>, times array<int>"
+_SETS = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+#: Bits of the bitmap of fixed size that tiles compare; sets of up to about 1000 shingles can fail it.
+BITMAP = 1024
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -53,60 +62,83 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A bit for each shingle by its low hash bits; at least two bits for a shingle, a power of two in all, up to 2**16."""
-    size = min(1 << 16, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
-    bits = np.zeros(size, np.uint8)
-    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little")
+def bitmaps(shingles: np.ndarray, row: np.ndarray, rows: int, size: int = BITMAP) -> np.ndarray:
+    """A bitmap of size bits (a power of two), as 64-bit words, for each row; a bit for each shingle by its hash."""
+    bits = np.zeros(rows * size, bool)
+    bits[row.astype(np.int64) * size + (shingles >> np.uint64(20)).astype(np.int64) % size] = True
+    return np.packbits(bits, bitorder="little").view("<u8").reshape(rows, size // 64)
+
+
+def most_shared(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    """An upper bound of the overlap of sets by rows of bitmaps: every bit that differs stands for a shingle that only one set has."""
+    return (n_x + n_y - np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)) // 2
+
+
+def _reaches(overlap, n_a, n_b, percent: int):
+    return 100 * overlap >= percent * (n_a + n_b - overlap)
+
+
+def _bounds(rows: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(rows, np.arange(n + 1))
 
 
-def small_bitmap(shingles: np.ndarray) -> list[int]:
-    """WORDS * 64 bits, a bit for each shingle by its high hash bits."""
-    bits = np.zeros(WORDS * 64, np.uint8)
-    bits[(shingles >> np.uint64(20)).astype(np.int64) % (WORDS * 64)] = 1
-    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+def _binary(data: bytes, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype("<i4").tobytes()), pa.py_buffer(data)])
 
 
-def most_shared(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> int:
-    """An upper bound of the overlap: every bit that differs stands for a shingle that only one set has."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    return (n_x + n_y - int(np.bitwise_count(x ^ y).sum())) // 2
+def _block_sets(block: Block, width: int) -> tuple[list[pa.Array], np.ndarray]:
+    """Columns n, sig, mins, bits and shingles of a block's texts, and the shingles of all."""
+    starts, ends, cuts = block.words()
+    hashes, bounds = shingle_hashes(block.word_hashes(starts, ends), cuts, width)
+    text = np.repeat(np.arange(block.n), np.diff(bounds))
+    order = np.lexsort((hashes, text))
+    full, row = hashes[order], text[order]
+    new = np.ones(len(full), bool)
+    new[1:] = (full[1:] != full[:-1]) | (row[1:] != row[:-1])
+    full, row = full[new], row[new]
+    at = _bounds(row, block.n)
+    n = np.diff(at)
+    some = np.flatnonzero(n)
+    sig = np.zeros(block.n, np.uint64)
+    own = full >> BITS
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
+    own, of = own[new], row[new]
+    at48 = _bounds(of, block.n)
+    mins = np.zeros((block.n, sum(WAVES)), np.uint64)
+    if len(some):
+        sig[some] = mix(np.bitwise_xor.reduceat(full, at[some]) + np.add.reduceat(full, at[some]) * np.uint64(3) + n[some].astype(np.uint64))
+        for k, salt in enumerate(mix(np.arange(1, sum(WAVES) + 1, dtype=np.uint64)) | np.uint64(1)):
+            mins[some, k] = np.minimum.reduceat(mix(own * salt), at48[some])
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1) * sum(WAVES), pa.int32()), pa.array(mins.view(np.int64).ravel()))
+    bits = bitmaps(own, of, block.n)
+    columns = [pa.array(n, pa.int32()), pa.array(sig.view(np.int64)), flat, _binary(bits.tobytes(), np.arange(block.n + 1) * (BITMAP // 8)), _binary(_pack(own), at48 * 6)]
+    return columns, own
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """A row of SETS for each of docs(doc_id, text), and rows without sig that count the shingles a batch's documents share."""
-    salts = mix(np.arange(1, MINHASHES + 1, dtype=np.uint64)) | np.uint64(1)
+    names = [x.split()[0] for x in SETS.split(", ")]
+
+    def counted(every: list[np.ndarray]) -> pa.RecordBatch:
+        shared, times = np.unique(np.concatenate(every), return_counts=True)
+        frequent = times >= SHARED
+        last = [pa.array([shared[frequent].astype(np.int64)], _SETS[6]), pa.array([times[frequent].astype(np.int32)], _SETS[7])]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in _SETS[:6]], *last], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, TOGETHER_READ) for b in batches for at in range(0, b.num_rows, TOGETHER_READ)):
-            ids, rows, every = batch.column(0).to_pylist(), [], []
-            for block in blocks(batch.column(1)):
-                words = block.words()
-                hashes, bounds = shingle_hashes(block.word_hashes(words[0], words[1]), words[2], width)
-                for i in range(block.n):
-                    full = np.unique(hashes[bounds[i] : bounds[i + 1]])
-                    n = len(full)
-                    own = np.unique(full >> BITS)
-                    sig = mix(np.bitwise_xor.reduce(full, keepdims=True) + full.sum(keepdims=True) * np.uint64(3) + np.uint64(n)).view(np.int64)[0] if n else 0
-                    mins = [int(mix(own * s).min().view(np.int64)) for s in salts] if n else []
-                    rows.append((ids[block.first + i], n, int(sig), mins, bitmap(own).tobytes(), small_bitmap(own), _pack(own), None, None))
-                    every.append(own)
-            yield _table(rows)
-            del rows
-            if every:
-                shared, times = np.unique(np.concatenate(every), return_counts=True)
-                frequent = times >= SHARED
-                del every
-                release_memory()
-                yield _table([(None, None, None, None, None, None, None, shared[frequent].astype(np.int64), times[frequent].astype(np.int32))])
-
-    def _table(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in SETS.split(", ")])
+        every, size = [], 0
+        for batch in batches:
+            for part, block in parts(batch, 1):
+                columns, own = _block_sets(block, width)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, *[pa.nulls(block.n, t) for t in _SETS[6:]]], names=names)
+                every.append(own)
+                size += len(own)
+                if size > COUNTED_TOGETHER:
+                    yield counted(every)
+                    every, size = [], 0
+        if size:
+            yield counted(every)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
@@ -229,76 +261,179 @@ def _of_nodes(sets: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFram
     return picked.mapInArrow(run, picked.schema).dropDuplicates(["sig"]).join(nodes, "sig", "left_semi")
 
 
-def _both(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
-    for side in "ab":
-        pairs = pairs.join(rows.select(F.col("sig").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-    return pairs
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows(sig, ...) with the class of each sig, which is its own where labels(node, component) has none."""
+    if labels is None:
+        return rows.withColumn("component", F.col("sig"))
+    return rows.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
 
-def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of sigs whose sets reach the threshold: bit counts first, sorted arrays for those that pass."""
+def star_pairs(sets: DataFrame, labels: DataFrame | None, first: int, last: int) -> DataFrame:
+    """a, b: of nodes that share one of the minimum hashes first to last, each (b) with one drawn by hash (a), unless their classes are the same."""
+    keys = sets.filter("n > 0").select("sig", F.explode(F.slice("mins", first + 1, last - first)).alias("key")).distinct()
+    keys = _labelled(keys, labels)
+    drawn = F.min(F.struct(F.xxhash64("sig", "key").alias("h"), F.col("sig").alias("a"), F.col("component").alias("of"))).alias("x")
+    heads = keys.groupBy("key").agg(drawn, F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key", "x.a", "x.of")
+    return keys.join(heads, "key").filter("component <> of").select("a", F.col("sig").alias("b")).distinct()
 
-    def ends(x: DataFrame) -> DataFrame:
-        return x.select(F.explode(F.array("a", "b")).alias("sig"))
 
-    def reaches(overlap: int, n_a: int, n_b: int) -> bool:
-        return 100 * overlap >= percent * (n_a + n_b - overlap)
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for n_a, x, n_b, y in zip(*(batch[c].to_pylist() for c in ("n_a", "bitmap_a", "n_b", "bitmap_b")), strict=True):
-                keep.append(reaches(min(n_a, n_b), n_a, n_b) and reaches(most_shared(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), n_a, n_b), n_a, n_b))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) of sigs whose sets reach the threshold: bit counts first, sorted arrays for those that pass."""
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["shingles_a"].to_pylist(), batch["shingles_b"].to_pylist(), strict=True):
-                x, y = _unpack(x), _unpack(y)
-                keep.append(reaches(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
+            n_a, n_b = (batch[c].to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u8").reshape(-1, BITMAP // 64) for c in ("bits_a", "bits_b"))
+            keep = _reaches(np.minimum(most_shared(x, y, n_a, n_b), np.minimum(n_a, n_b)), n_a, n_b, percent)
+            for i in np.flatnonzero(keep):
+                p, q = _unpack(batch["shingles_a"][i].as_py()), _unpack(batch["shingles_b"][i].as_py())
+                keep[i] = _reaches(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    columns = ["n", "bits", "shingles"]
     pairs = materialize(pairs, "pairs")
-    near = _both(pairs, _of_nodes(sets, ends(pairs), ["n", "bitmap"]), ["n", "bitmap"]).mapInArrow(bounded, "a long, b long")
-    near = materialize(near, "near")
-    return _both(near, _of_nodes(sets, ends(near), ["shingles"]), ["shingles"]).mapInArrow(exact, "a long, b long")
-
-
-def shared_minimum_pairs(sets: DataFrame) -> DataFrame:
-    """a, b: each node with the first of those that have a minimum hash in common with it."""
-    keys = sets.filter("n > 0").select("sig", F.explode("mins").alias("key")).distinct()
-    first = keys.groupBy("key").agg(F.min("sig").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    return keys.join(first, "key").filter("sig <> a").select("a", F.col("sig").alias("b")).distinct()
+    rows = _of_nodes(sets, pairs.select(F.explode(F.array("a", "b")).alias("sig")), columns)
+    for side in "ab":
+        pairs = pairs.join(rows.select(F.col("sig").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs.mapInArrow(run, "a long, b long")
 
 
-def prefix_pairs(sets: DataFrame, rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: nodes of different components that share a prefix shingle and can still reach the threshold.
+def tiled(rows: DataFrame, labels: DataFrame, parts_of: int, percent: int) -> DataFrame:
+    """part, tile and rows(shingle, sig, n, rank) with their classes, of shingles that nodes of different classes share.
 
-    A tile holds the sets of a size band and the next with one shingle. A pair stays if its sizes, the places of the shingle
-    in both orders (nothing before the first shared one is shared) and the bit counts of small bitmaps allow enough overlap.
+    Up to BLOCK nodes with one shingle are one tile. More are cut into tiles of a size band and the next, and those into
+    blocks: nodes of the largest class, which needn't meet each other, into blocks of one kind, all others into blocks of
+    the other kind, and every block of the second kind meets all blocks.
     """
-    rows = rows.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
+    rows = _labelled(rows, labels)
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).filter("low <> high").select("shingle", "k")
+    live = materialize(rows.join(mixed, "shingle"), "live")
+    hot = live.filter(F.col("k") > BLOCK)
+    small = live.filter(F.col("k") <= BLOCK).withColumn("tile", F.col("shingle")).drop("k")
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9)
-    live = materialize(rows.join(mixed, "shingle").withColumn("band", band), "live")
-    live = live.join(_of_nodes(sets, live.select("sig"), ["bits"]), "sig")
-    columns = [*[F.col(c) for c in ("sig", "n", "component", "rank")], *[F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)]]
-    x = live.select("shingle", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), "band", *columns).alias("x")
-    y = live.select("shingle", F.col("band").alias("tile"), *columns).alias("y")
-
-    def of(side: str, name: str) -> Column:
-        return F.col(f"{side}.{name}")
-
-    total = of("x", "n") + of("y", "n")
-    differing = reduce(add, (F.bit_count(of("x", f"w{i}").bitwiseXOR(of("y", f"w{i}"))) for i in range(WORDS)))
-    tests = [of("x", "component") != of("y", "component"), (of("x", "band") < of("y", "tile")) | (of("x", "sig") < of("y", "sig"))]
-    for most in (of("x", "n"), of("y", "n"), of("x", "n") - F.floor(of("x", "rank") * of("x", "n") / 256), of("y", "n") - F.floor(of("y", "rank") * of("y", "n") / 256)):
-        tests.append((100 + percent) * most >= percent * total)
-    tests.append((100 + percent) * (total - differing) >= 2 * percent * total)
-    same = (of("x", "shingle") == of("y", "shingle")) & (of("x", "tile") == of("y", "tile"))
-    pairs = x.join(y, reduce(and_, tests, same))
-    return pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+    hot = hot.drop("k").withColumn("band", F.explode(F.array(band, band + 1)))
+    classes = hot.groupBy("shingle", "band", "component").count()
+    most = classes.groupBy("shingle", "band").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("k"))
+    most = most.select("shingle", "band", F.col("top.component").alias("major"), F.ceil(F.col("top.count") / BLOCK).alias("g"), F.ceil((F.col("k") - F.col("top.count")) / BLOCK).alias("h")).filter("h > 0")
+    hot = hot.join(most, ["shingle", "band"])
+    own = F.col("component") == F.col("major")
+    block = F.pmod(F.xxhash64("sig"), F.when(own, F.col("g")).otherwise(F.col("h")))
+    meets = F.when(own, F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("across")))).otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("across"))),
+            F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(False).alias("across"))),
+        )
+    )
+    hot = hot.withColumn("block", block).withColumn("m", F.explode(meets))
+    hot = hot.withColumn("tile", F.xxhash64("shingle", "band", "m.i", "m.j", "m.across")).select(*small.columns)
+    return small.unionAll(hot).withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(parts_of)))
+
+
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return [c[new] for c in columns]
+
+
+def compare_tiles(tiles: DataFrame, percent: int) -> DataFrame:
+    """own, partner, sig, n: nodes of class own that places in prefixes and bit counts allow to link with a node of class partner."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tile, sig, n, rank, cls = (table[c].to_numpy().astype(np.int64) for c in ("tile", "sig", "n", "rank", "component"))
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), "<u8").reshape(len(tile), -1)
+        order = np.lexsort((n, tile))
+        tile, sig, n, rank, cls, bits = (x[order] for x in (tile, sig, n, rank, cls, bits))
+        most = n - rank * n // 256  # nothing before the first shared shingle is shared
+        found: list[list[np.ndarray]] = []
+
+        def meet(i: np.ndarray, j: np.ndarray) -> None:
+            apart = cls[i] != cls[j]
+            i, j = i[apart], j[apart]
+            total = n[i] + n[j]
+            near = (100 + percent) * np.minimum(most[i], most[j]) >= percent * total
+            i, j, total = i[near], j[near], total[near]
+            near = _reaches(most_shared(bits[i], bits[j], n[i], n[j]), n[i], n[j], percent)
+            if near.any():
+                i, j = i[near], j[near]
+                found.append([np.concatenate(x) for x in ((cls[i], cls[j]), (cls[j], cls[i]), (sig[i], sig[j]), (n[i], n[j]))])
+                if sum(len(x[0]) for x in found) > 500_000:
+                    found[:] = [_distinct(*map(np.concatenate, zip(*found, strict=True)))]
+
+        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
+        size = np.repeat(np.diff(cuts), np.diff(cuts))
+        i, step = np.flatnonzero(size <= SMALL_TILE), 1
+        while len(i):
+            i = i[i + step < len(tile)]
+            j = i + step
+            within = (tile[i] == tile[j]) & (percent * n[j] <= 100 * n[i])
+            i = i[within]
+            meet(i, i + step)
+            step += 1
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > SMALL_TILE:
+                values, place, times = np.unique(cls[a:b], return_inverse=True, return_counts=True)
+                for x in a + np.flatnonzero(place != times.argmax()):
+                    low, high = a + np.searchsorted(n[a:b], [-(-percent * n[x] // 100), 100 * n[x] // percent + 1])
+                    j = np.arange(low, high)
+                    meet(np.full(len(j), x), j)
+        out = _distinct(*map(np.concatenate, zip(*found, strict=True))) if found else [np.zeros(0, np.int64)] * 4
+        return pa.table([pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), pa.array(out[3], pa.int32())], names=["own", "partner", "sig", "n"])
+
+    return tiles.groupBy("part").applyInArrow(run, "own long, partner long, sig long, n int").distinct()
+
+
+def exact_links(sets: DataFrame, near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of classes of near(own, partner, sig, n) that some pair of these nodes links, by exact intersection.
+
+    Of two classes the one with more nodes is the hub. Nodes of a hub meet those of all its partners once, in tasks of
+    about ARRAYS_TOGETHER shingles.
+    """
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    for side in ("own", "partner"):
+        near = near.join(sizes.select(F.col("component").alias(side), F.col("size").alias(f"_{side}")), side, "left").fillna(1, [f"_{side}"])
+    is_hub = F.struct("_own", "own") > F.struct("_partner", "partner")
+    rows = near.select(F.when(is_hub, F.col("own")).otherwise(F.col("partner")).alias("hub"), F.when(~is_hub, F.col("own")).alias("other"), "sig", "n").distinct()
+    rows = materialize(rows, "cases")
+    weigh = [F.greatest(F.ceil(F.sum(F.when(side, F.col("n"))) / ARRAYS_TOGETHER), F.lit(1)).alias(name) for side, name in ((F.col("other").isNull(), "g"), (F.col("other").isNotNull(), "h"))]
+    weights = rows.groupBy("hub").agg(*weigh)
+    left = F.col("other").isNull()
+    own = F.pmod(F.xxhash64("sig"), F.when(left, F.col("g")).otherwise(F.col("h")))
+    rows = rows.join(weights, "hub").withColumn("mine", own).withColumn("its", F.explode(F.sequence(F.lit(0), F.when(left, F.col("h")).otherwise(F.col("g")) - 1)))
+    tile = [F.when(left, F.col("mine")).otherwise(F.col("its")).alias("i"), F.when(left, F.col("its")).otherwise(F.col("mine")).alias("j")]
+    rows = rows.select("hub", "other", "sig", "n", *tile).join(_of_nodes(sets, rows.select("sig"), ["shingles"]), "sig")
+
+    def run(table: pa.Table) -> pa.Table:
+        n, other = table["n"].to_numpy().astype(np.int64), table["other"]
+        left = other.is_null().to_numpy(zero_copy_only=False)
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        a, b = a[np.argsort(n[a], kind="stable")], b[np.argsort(n[b], kind="stable")]
+        arrays = [_unpack(x) for x in table["shingles"].to_pylist()]
+        size = min(1 << 15, max(BITMAP, 1 << int(8 * np.median(n)).bit_length()))
+
+        def bits(rows: np.ndarray) -> np.ndarray:
+            return bitmaps(np.concatenate([arrays[i] for i in rows]), np.repeat(np.arange(len(rows)), [len(arrays[i]) for i in rows]), len(rows), size)
+
+        classes, linked = other.to_pylist(), set()
+        held = bits(a) if len(a) and len(b) else None
+        for i in b if len(a) else ():
+            if classes[i] in linked:
+                continue
+            low, high = np.searchsorted(n[a], [-(-percent * n[i] // 100), 100 * n[i] // percent + 1])
+            bound = most_shared(held[low:high], bits(np.array([i])), n[a[low:high]], n[i])
+            order = np.argsort(-bound, kind="stable")
+            for k in order[_reaches(bound, n[a[low:high]], n[i], percent)[order]]:
+                x, y = arrays[a[low + k]], arrays[i]
+                if _reaches(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+                    linked.add(classes[i])
+                    break
+        hub = table["hub"][0].as_py()
+        release_memory()
+        return pa.table({"a": pa.array([hub] * len(linked), pa.int64()), "b": pa.array(list(linked), pa.int64())})
+
+    return rows.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -306,21 +441,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
 
     A-Z count as lower case; words are runs without space and \\x09-\\x0D. A text shorter than width words has one shingle, a
     null or empty text or one of white space none; it links with nothing. component_id is the smallest doc_id that links
-    reach. Rows that repeat a doc_id are texts of their own with that id. An empty table gives no rows.
+    reach. Rows that repeat a doc_id are texts of their own with that id; a null doc_id takes part in links and is never the
+    smallest, unless all of a class are null. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     sets = materialize(shingle_sets(docs, width), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    labels = components(verify(sets, shared_minimum_pairs(sets), percent))
+    labels, first = None, 0
+    for many in WAVES:
+        links = verify(sets, star_pairs(sets, labels, first, first + many), percent)
+        if labels is not None:
+            links = links.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = materialize(components(links), "labels")
+        first += many
     rows = materialize(prefix_rows(sets, percent, total), "prefixes")
-    more = verify(sets, prefix_pairs(sets, rows, labels, percent), percent)
-    for side in "ab":
-        more = more.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
-    more = components(more.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
-    final = more.select(F.col("node").alias("component"), F.col("component").alias("_root"))
-    out = sets.filter("sig is not null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig")
-    out = out.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    out = out.join(final, "component", "left").withColumn("component", F.coalesce("_root", "component"))
+    tiles = tiled(rows, labels, max(64, rows.count() // TILE_ROWS), percent)
+    tiles = tiles.join(_of_nodes(sets, tiles.select("sig"), ["bits"]), "sig")
+    near = materialize(compare_tiles(tiles, percent), "near")
+    discard(rows)
+    links = exact_links(sets, near, labels, percent)
+    labels = materialize(components(links.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "labels")
+    out = _labelled(sets.filter("sig is not null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig"), labels)
     out = materialize(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component")), "classes")
-    first = out.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return out.join(first, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    discard(sets)
+    smallest = out.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return out.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

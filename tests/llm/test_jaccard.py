@@ -4,8 +4,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from colloquy.llm import jaccard
 from colloquy.llm.graph import components
-from colloquy.llm.jaccard import bitmap, most_shared, near_duplicates
+from colloquy.llm.jaccard import bitmaps, most_shared, near_duplicates
 
 
 def brute(texts, percent=75, width=5):
@@ -56,7 +57,17 @@ def test_bit_counts_never_understate_the_overlap():
     rng = np.random.default_rng(3)
     for _ in range(200):
         x, y = (np.unique(rng.integers(0, 300, int(rng.integers(1, 400)))).astype(np.uint64) for _ in range(2))
-        assert most_shared(bitmap(x), bitmap(y), len(x), len(y)) >= len(np.intersect1d(x, y))
+        x, y = x << np.uint64(20), y << np.uint64(20)
+        bits = [bitmaps(z, np.zeros(len(z), int), 1, 64) for z in (x, y)]
+        assert most_shared(*bits, len(x), len(y))[0] >= len(np.intersect1d(x, y))
+
+
+def test_blocks_of_hot_shingles_and_classes_lose_no_link(spark, monkeypatch):
+    for name, value in (("WAVES", (1, 1)), ("BLOCK", 4), ("ARRAYS_TOGETHER", 300), ("SMALL_TILE", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = near_texts(3, 100)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()} == brute(texts)
 
 
 def test_components_of_paths_stars_and_cycles(spark):
