@@ -4,15 +4,17 @@ Texts with equal sets are one node. Nodes are joined into classes, in two steps;
 an overlap from above before sorted arrays are intersected exactly.
 
 1. Stars. Nodes that share a minimum hash are compared with one of them, drawn anew for each hash. A second wave takes more
-   hashes and only compares nodes of classes that are still apart. This joins most of every large group by a number of
-   comparisons in proportion to its size.
-2. Exact tiles. Sets in one order of shingles, frequent ones last, can only reach the threshold if they share a shingle in a
-   prefix of length n - ceil(threshold * n) + 1. Of shingles that nodes of different classes share, tiles of neighbouring
-   size bands compare the bitmaps, each pair of nodes of different classes. A tile doesn't send on pairs: it names, once,
-   each node and the class it may link with. Those nodes' arrays are then shipped once to the class they may link with,
-   and intersected there until the two classes are joined. Pairs inside a class can't change it and are left out.
-
-Hot shingles and large classes are cut into blocks that meet pairwise, so no task holds a whole large group.
+   hashes, and of two classes that are still apart only the pair whose bit counts are nearest. This joins most of every
+   large group by a number of comparisons in proportion to its size.
+2. Tiles. Sets in one order of shingles, frequent ones last, can only reach the threshold if they share a shingle in a
+   prefix of length n - ceil(threshold * n) + 1. Of shingles that nodes of different classes share, tiles compare the
+   bitmaps of neighbouring size bands. A tile doesn't send on pairs, but its nodes that may link with another class, once
+   each, and the cluster that such links would make.
+3. Clusters. The arrays of these nodes are shipped once, to their cluster, in tiles of size bands again. There bit counts
+   and then exact intersections join classes; a tile sends on the links of a tree at most. Pairs inside a class can't
+   change it and are left out.
+
+Hot shingles and large clusters are cut into blocks that meet pairwise, so no task holds a whole large group.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.graph import components
@@ -39,17 +41,19 @@ FREQUENT = 131_072
 SHARED, FREQUENT_FROM = 2, 16
 #: Prefix shingles, and rows of tiles, that meet in one task.
 TOGETHER, TILE_ROWS = 1_000_000, 30_000
-#: Nodes with one shingle that are one tile, and shingles of a class that are intersected in one task.
+#: Nodes with one shingle that are one tile, and shingles of a cluster whose arrays are.
 BLOCK, ARRAYS_TOGETHER = 4096, 2_000_000
 #: Above so many nodes a tile goes node by node over those outside its largest class.
 SMALL_TILE = 48
+#: Arrays' shingles that meet in one task.
+CLUSTER_TASK = 4_000_000
 MASK_SLOTS = 1 << 24
 #: Shingles whose documents are counted at once.
 COUNTED_TOGETHER = 1_000_000
 SETS = "doc_id long, n int, sig long, mins array<long>, bits binary, shingles binary, shared array<long>, times array<int>"
 _SETS = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-#: Bits of the bitmap of fixed size that tiles compare; sets of up to about 1000 shingles can fail it.
-BITMAP = 1024
+#: Bits of the smallest and the largest bitmap; between them, a set has at least a bit for each shingle.
+BITMAP, BITMAP_MOST = 1024, 1 << 15
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -62,16 +66,51 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def bitmaps(shingles: np.ndarray, row: np.ndarray, rows: int, size: int = BITMAP) -> np.ndarray:
-    """A bitmap of size bits (a power of two), as 64-bit words, for each row; a bit for each shingle by its hash."""
-    bits = np.zeros(rows * size, bool)
-    bits[row.astype(np.int64) * size + (shingles >> np.uint64(20)).astype(np.int64) % size] = True
-    return np.packbits(bits, bitorder="little").view("<u8").reshape(rows, size // 64)
+def bitmap_size(n: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set of n shingles, a power of two."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), BITMAP, BITMAP_MOST)
 
 
-def most_shared(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
-    """An upper bound of the overlap of sets by rows of bitmaps: every bit that differs stands for a shingle that only one set has."""
-    return (n_x + n_y - np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)) // 2
+def bitmaps(shingles: np.ndarray, row: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Bitmaps of size[row] bits with a bit for each shingle by its hash, one after the other, and their bounds in bytes."""
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    bits = np.zeros(bounds[-1], bool)
+    bits[bounds[row] + (shingles >> np.uint64(20)).astype(np.int64) % size[row]] = True
+    return np.packbits(bits, bitorder="little").tobytes(), bounds // 8
+
+
+class Bitmaps:
+    """Bitmaps of several sizes. Two are compared at the size of the smaller one, to which the other one is folded."""
+
+    def __init__(self, raw: list[bytes]):
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.place, self.rows = {}, {}
+        for size in np.unique(self.size):
+            parts, place, done = [], np.full(len(raw), -1), 0
+            for larger in (size, 2 * size):
+                own = np.flatnonzero(self.size == larger)
+                if len(own):
+                    x = np.frombuffer(b"".join(raw[i] for i in own), "<u8").reshape(len(own), -1)
+                    parts.append(x if larger == size else x[:, : size // 8] | x[:, size // 8 :])
+                    place[own] = done + np.arange(len(own))
+                    done += len(own)
+            self.place[size], self.rows[size] = place, np.concatenate(parts)
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many bits of rows i and j differ; 0, which bounds nothing, where one is more than twice as large."""
+        out, level = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
+        for size in np.unique(level):
+            place, rows = self.place[size], self.rows[size]
+            at = np.flatnonzero((level == size) & (place[i] >= 0) & (place[j] >= 0))
+            for k in range(0, len(at), 50_000):
+                some = at[k : k + 50_000]
+                out[some] = np.bitwise_count(rows[place[i[some]]] ^ rows[place[j[some]]]).sum(1)
+        return out
+
+
+def most_shared(n_x: np.ndarray, n_y: np.ndarray, differing: np.ndarray) -> np.ndarray:
+    """An upper bound of the overlap: every bit that differs stands for a shingle that only one set has."""
+    return np.minimum((n_x + n_y - differing) // 2, np.minimum(n_x, n_y))
 
 
 def _reaches(overlap, n_a, n_b, percent: int):
@@ -111,8 +150,8 @@ def _block_sets(block: Block, width: int) -> tuple[list[pa.Array], np.ndarray]:
         for k, salt in enumerate(mix(np.arange(1, sum(WAVES) + 1, dtype=np.uint64)) | np.uint64(1)):
             mins[some, k] = np.minimum.reduceat(mix(own * salt), at48[some])
     flat = pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1) * sum(WAVES), pa.int32()), pa.array(mins.view(np.int64).ravel()))
-    bits = bitmaps(own, of, block.n)
-    columns = [pa.array(n, pa.int32()), pa.array(sig.view(np.int64)), flat, _binary(bits.tobytes(), np.arange(block.n + 1) * (BITMAP // 8)), _binary(_pack(own), at48 * 6)]
+    bits = bitmaps(own, of, bitmap_size(np.diff(at48)))
+    columns = [pa.array(n, pa.int32()), pa.array(sig.view(np.int64)), flat, _binary(*bits), _binary(_pack(own), at48 * 6)]
     return columns, own
 
 
@@ -170,6 +209,23 @@ def _prefixes(batch: pa.RecordBatch, percent: int, ordered: np.ndarray, by_value
             yield sig, n, own[:length], own[:0]
 
 
+def with_partner(shingle: np.ndarray, n: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows, sorted by shingle and n, have another one of their shingle that sizes and places allow to link with; of hot shingles all rows stay."""
+    cuts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1], [True]]))
+    size = np.repeat(np.diff(cuts), np.diff(cuts))
+    most, keep = n - rank * n // 256, size > SMALL_TILE
+    i, step = np.flatnonzero(~keep), 1
+    while len(i):
+        i = i[i + step < len(n)]
+        j = i + step
+        within = (shingle[i] == shingle[j]) & (percent * n[j] <= 100 * n[i])
+        i, j = i[within], j[within]
+        fits = (100 + percent) * np.minimum(most[i], most[j]) >= percent * (n[i] + n[j])
+        keep[i[fits]] = keep[j[fits]] = True
+        step += 1
+    return keep
+
+
 def prefix_rows(sets: DataFrame, percent: int, total: int) -> DataFrame:
     """shingle, sig, n, rank: the prefixes of all different sets, without rare shingles that no second set has in its prefix.
 
@@ -211,15 +267,13 @@ def prefix_rows(sets: DataFrame, percent: int, total: int) -> DataFrame:
             sizes.append(np.frombuffer(table["sizes"][i].as_py(), "<u4")[owner])
             ranks.append(np.frombuffer(table["ranks"][i].as_py(), np.uint8))
         s, g, n, r = np.concatenate(shingles), np.concatenate(sigs), np.concatenate(sizes), np.concatenate(ranks)
-        order = np.lexsort((g, s))
+        order = np.lexsort((g, n, s))
         s, g, n, r = s[order], g[order], n[order], r[order]
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
         s, g, n, r = s[new], g[new], n[new], r[new]
-        same = s[1:] == s[:-1]
-        keep = np.zeros(len(s), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
+        keep = with_partner(s, n.astype(np.int64), r.astype(np.int64), percent)
+        release_memory()
         return pa.table({"shingle": pa.array(s[keep].astype(np.int64)), "sig": pa.array(g[keep]), "n": pa.array(n[keep].astype(np.int32)), "rank": pa.array(r[keep].astype(np.int32))})
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,64 +323,74 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def star_pairs(sets: DataFrame, labels: DataFrame | None, first: int, last: int) -> DataFrame:
-    """a, b: of nodes that share one of the minimum hashes first to last, each (b) with one drawn by hash (a), unless their classes are the same."""
+    """a, b and their classes of_a, of_b: of nodes that share one of the minimum hashes first to last, each (b) with one drawn by hash (a), unless their classes are the same."""
     keys = sets.filter("n > 0").select("sig", F.explode(F.slice("mins", first + 1, last - first)).alias("key")).distinct()
     keys = _labelled(keys, labels)
-    drawn = F.min(F.struct(F.xxhash64("sig", "key").alias("h"), F.col("sig").alias("a"), F.col("component").alias("of"))).alias("x")
-    heads = keys.groupBy("key").agg(drawn, F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key", "x.a", "x.of")
-    return keys.join(heads, "key").filter("component <> of").select("a", F.col("sig").alias("b")).distinct()
+    drawn = F.min(F.struct(F.xxhash64("sig", "key").alias("h"), F.col("sig").alias("a"), F.col("component").alias("of_a"))).alias("x")
+    heads = keys.groupBy("key").agg(drawn, F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key", "x.a", "x.of_a")
+    return keys.join(heads, "key").filter("component <> of_a").select("a", F.col("sig").alias("b"), "of_a", F.col("component").alias("of_b")).distinct()
 
 
 def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of sigs whose sets reach the threshold: bit counts first, sorted arrays for those that pass."""
+    """Pairs(a, b) of sigs whose sets reach the threshold: bit counts first, and of two classes only the pair that these bring nearest is intersected."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = (batch[c].to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u8").reshape(-1, BITMAP // 64) for c in ("bits_a", "bits_b"))
-            keep = _reaches(np.minimum(most_shared(x, y, n_a, n_b), np.minimum(n_a, n_b)), n_a, n_b, percent)
-            for i in np.flatnonzero(keep):
-                p, q = _unpack(batch["shingles_a"][i].as_py()), _unpack(batch["shingles_b"][i].as_py())
-                keep[i] = _reaches(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    columns = ["n", "bits", "shingles"]
+            held, at = Bitmaps([*batch["bits_a"].to_pylist(), *batch["bits_b"].to_pylist()]), np.arange(batch.num_rows)
+            most = most_shared(n_a, n_b, held.differing(at, at + batch.num_rows))
+            out = batch.select(["a", "b", "of_a", "of_b"]).append_column("nearness", pa.array(most / (n_a + n_b)))
+            yield out.filter(pa.array(_reaches(most, n_a, n_b, percent)))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["shingles_a"], batch["shingles_b"], strict=True):
+                p, q = _unpack(x.as_py()), _unpack(y.as_py())
+                keep.append(_reaches(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     pairs = materialize(pairs, "pairs")
+    near = _both(sets, pairs, ["n", "bits"]).mapInArrow(bounded, "a long, b long, of_a long, of_b long, nearness double")
+    near = near.groupBy(F.least("of_a", "of_b").alias("x"), F.greatest("of_a", "of_b").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("nearness", "a", "b")).alias("p"))
+    near = materialize(near.select("p.a", "p.b"), "near")
+    return _both(sets, near, ["shingles"]).mapInArrow(exact, "a long, b long")
+
+
+def _both(sets: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
     rows = _of_nodes(sets, pairs.select(F.explode(F.array("a", "b")).alias("sig")), columns)
     for side in "ab":
         pairs = pairs.join(rows.select(F.col("sig").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs
 
 
-def tiled(rows: DataFrame, labels: DataFrame, parts_of: int, percent: int) -> DataFrame:
-    """part, tile and rows(shingle, sig, n, rank) with their classes, of shingles that nodes of different classes share.
+def tiled(rows: DataFrame, weight: Column, most: int, percent: int) -> DataFrame:
+    """rows(key, sig, n, component, ...) with `tile`: rows of a key and different classes that may link meet in a tile.
 
-    Up to BLOCK nodes with one shingle are one tile. More are cut into tiles of a size band and the next, and those into
-    blocks: nodes of the largest class, which needn't meet each other, into blocks of one kind, all others into blocks of
-    the other kind, and every block of the second kind meets all blocks.
+    Keys of up to `most` in weight are one tile. Larger ones are cut into tiles of a size band and the next, and those into
+    blocks: rows of the largest class, which needn't meet each other, into blocks of one kind, all others into blocks of
+    the other kind, and every block of the second kind meets all blocks. Keys of one class have no tile.
     """
-    rows = _labelled(rows, labels)
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).filter("low <> high").select("shingle", "k")
-    live = materialize(rows.join(mixed, "shingle"), "live")
-    hot = live.filter(F.col("k") > BLOCK)
-    small = live.filter(F.col("k") <= BLOCK).withColumn("tile", F.col("shingle")).drop("k")
+    sizes = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(weight).alias("k")).filter("low <> high").select("key", "k")
+    live = materialize(rows.join(sizes, "key"), "live")
+    hot = live.filter(F.col("k") > most)
+    small = live.filter(F.col("k") <= most).drop("k").withColumn("tile", F.xxhash64("key"))
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9)
     hot = hot.drop("k").withColumn("band", F.explode(F.array(band, band + 1)))
-    classes = hot.groupBy("shingle", "band", "component").count()
-    most = classes.groupBy("shingle", "band").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("k"))
-    most = most.select("shingle", "band", F.col("top.component").alias("major"), F.ceil(F.col("top.count") / BLOCK).alias("g"), F.ceil((F.col("k") - F.col("top.count")) / BLOCK).alias("h")).filter("h > 0")
-    hot = hot.join(most, ["shingle", "band"])
+    classes = hot.groupBy("key", "band", "component").agg(F.sum(weight).alias("w"))
+    cut = classes.groupBy("key", "band").agg(F.max(F.struct("w", "component")).alias("top"), F.sum("w").alias("k"))
+    cut = cut.select("key", "band", F.col("top.component").alias("major"), F.ceil(F.col("top.w") / most).alias("g"), F.ceil((F.col("k") - F.col("top.w")) / most).alias("h")).filter("h > 0")
+    hot = hot.join(cut, ["key", "band"])
     own = F.col("component") == F.col("major")
-    block = F.pmod(F.xxhash64("sig"), F.when(own, F.col("g")).otherwise(F.col("h")))
-    meets = F.when(own, F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("across")))).otherwise(
-        F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("across"))),
-            F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(False).alias("across"))),
-        )
-    )
-    hot = hot.withColumn("block", block).withColumn("m", F.explode(meets))
-    hot = hot.withColumn("tile", F.xxhash64("shingle", "band", "m.i", "m.j", "m.across")).select(*small.columns)
-    return small.unionAll(hot).withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(parts_of)))
+    hot = hot.withColumn("block", F.pmod(F.xxhash64("sig"), F.when(own, F.col("g")).otherwise(F.col("h"))))
+
+    def across(i: Column, j: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(True).alias("across"))
+
+    minor = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(False).alias("across")))
+    meets = F.when(own, F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda j: across(F.col("block"), j))).otherwise(F.concat(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda i: across(i, F.col("block"))), minor))
+    hot = hot.withColumn("m", F.explode(meets)).withColumn("tile", F.xxhash64("key", "band", "m.i", "m.j", "m.across"))
+    return small.unionByName(hot.select(*small.columns))
 
 
 def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
@@ -338,102 +402,122 @@ def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
     return [c[new] for c in columns]
 
 
+def _roots(pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in pairs, sorted, and for each the smallest that the pairs connect it with."""
+    names, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    a, b = at[: len(pairs[0])], at[len(pairs[0]) :]
+    root = np.arange(len(names))
+    while True:
+        low, before = np.minimum(root[a], root[b]), root.copy()
+        for x in (root[a], root[b], a, b):
+            np.minimum.at(root, x, low)
+        root = root[root]
+        if (root == before).all():
+            return names, names[root]
+
+
 def compare_tiles(tiles: DataFrame, percent: int) -> DataFrame:
-    """own, partner, sig, n: nodes of class own that places in prefixes and bit counts allow to link with a node of class partner."""
+    """sig, n, component, cluster: nodes that places in prefixes and bit counts allow to link with a node of another class of their tile.
+
+    Clusters join, by a number, the classes that may link; a node has one row for each task that finds it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         tile, sig, n, rank, cls = (table[c].to_numpy().astype(np.int64) for c in ("tile", "sig", "n", "rank", "component"))
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), "<u8").reshape(len(tile), -1)
         order = np.lexsort((n, tile))
-        tile, sig, n, rank, cls, bits = (x[order] for x in (tile, sig, n, rank, cls, bits))
+        raw = table["bits"].to_pylist()
+        tile, sig, n, rank, cls, held = tile[order], sig[order], n[order], rank[order], cls[order], Bitmaps([raw[i] for i in order])
+        del raw
         most = n - rank * n // 256  # nothing before the first shared shingle is shared
-        found: list[list[np.ndarray]] = []
+        marked, found = np.zeros(len(n), bool), []
 
         def meet(i: np.ndarray, j: np.ndarray) -> None:
-            apart = cls[i] != cls[j]
-            i, j = i[apart], j[apart]
             total = n[i] + n[j]
-            near = (100 + percent) * np.minimum(most[i], most[j]) >= percent * total
-            i, j, total = i[near], j[near], total[near]
-            near = _reaches(most_shared(bits[i], bits[j], n[i], n[j]), n[i], n[j], percent)
+            near = (cls[i] != cls[j]) & ((100 + percent) * np.minimum(most[i], most[j]) >= percent * total)
+            i, j = i[near], j[near]
+            near = _reaches(most_shared(n[i], n[j], held.differing(i, j)), n[i], n[j], percent)
             if near.any():
                 i, j = i[near], j[near]
-                found.append([np.concatenate(x) for x in ((cls[i], cls[j]), (cls[j], cls[i]), (sig[i], sig[j]), (n[i], n[j]))])
+                marked[i] = marked[j] = True
+                found.append(_distinct(np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])))
                 if sum(len(x[0]) for x in found) > 500_000:
                     found[:] = [_distinct(*map(np.concatenate, zip(*found, strict=True)))]
 
-        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
-        size = np.repeat(np.diff(cuts), np.diff(cuts))
-        i, step = np.flatnonzero(size <= SMALL_TILE), 1
-        while len(i):
-            i = i[i + step < len(tile)]
-            j = i + step
-            within = (tile[i] == tile[j]) & (percent * n[j] <= 100 * n[i])
-            i = i[within]
-            meet(i, i + step)
-            step += 1
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a > SMALL_TILE:
-                values, place, times = np.unique(cls[a:b], return_inverse=True, return_counts=True)
-                for x in a + np.flatnonzero(place != times.argmax()):
-                    low, high = a + np.searchsorted(n[a:b], [-(-percent * n[x] // 100), 100 * n[x] // percent + 1])
-                    j = np.arange(low, high)
-                    meet(np.full(len(j), x), j)
-        out = _distinct(*map(np.concatenate, zip(*found, strict=True))) if found else [np.zeros(0, np.int64)] * 4
-        return pa.table([pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), pa.array(out[3], pa.int32())], names=["own", "partner", "sig", "n"])
-
-    return tiles.groupBy("part").applyInArrow(run, "own long, partner long, sig long, n int").distinct()
-
-
-def exact_links(sets: DataFrame, near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of classes of near(own, partner, sig, n) that some pair of these nodes links, by exact intersection.
-
-    Of two classes the one with more nodes is the hub. Nodes of a hub meet those of all its partners once, in tasks of
-    about ARRAYS_TOGETHER shingles.
-    """
-    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    for side in ("own", "partner"):
-        near = near.join(sizes.select(F.col("component").alias(side), F.col("size").alias(f"_{side}")), side, "left").fillna(1, [f"_{side}"])
-    is_hub = F.struct("_own", "own") > F.struct("_partner", "partner")
-    rows = near.select(F.when(is_hub, F.col("own")).otherwise(F.col("partner")).alias("hub"), F.when(~is_hub, F.col("own")).alias("other"), "sig", "n").distinct()
-    rows = materialize(rows, "cases")
-    weigh = [F.greatest(F.ceil(F.sum(F.when(side, F.col("n"))) / ARRAYS_TOGETHER), F.lit(1)).alias(name) for side, name in ((F.col("other").isNull(), "g"), (F.col("other").isNotNull(), "h"))]
-    weights = rows.groupBy("hub").agg(*weigh)
-    left = F.col("other").isNull()
-    own = F.pmod(F.xxhash64("sig"), F.when(left, F.col("g")).otherwise(F.col("h")))
-    rows = rows.join(weights, "hub").withColumn("mine", own).withColumn("its", F.explode(F.sequence(F.lit(0), F.when(left, F.col("h")).otherwise(F.col("g")) - 1)))
-    tile = [F.when(left, F.col("mine")).otherwise(F.col("its")).alias("i"), F.when(left, F.col("its")).otherwise(F.col("mine")).alias("j")]
-    rows = rows.select("hub", "other", "sig", "n", *tile).join(_of_nodes(sets, rows.select("sig"), ["shingles"]), "sig")
+        for a, b in _tile_pairs(tile, n, cls, percent):
+            meet(a, b)
+        at = np.flatnonzero(marked)
+        names, roots = _roots(tuple(map(np.concatenate, zip(*found, strict=True)))) if found else (np.zeros(0, np.int64),) * 2
+        at = at[np.unique(sig[at], return_index=True)[1]]
+        release_memory()
+        return pa.table({"sig": pa.array(sig[at]), "n": pa.array(n[at].astype(np.int32)), "component": pa.array(cls[at]), "cluster": pa.array(roots[np.searchsorted(names, cls[at])])})
+
+    return tiles.groupBy("part").applyInArrow(run, "sig long, n int, component long, cluster long")
+
+
+def _tile_pairs(tile: np.ndarray, n: np.ndarray, cls: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i, j of rows of one tile, sorted by tile and n, whose sizes allow a link, many at a time: all pairs of small tiles, those with a node outside the largest class of others."""
+    cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
+    size = np.repeat(np.diff(cuts), np.diff(cuts))
+    i, step = np.flatnonzero(size <= SMALL_TILE), 1
+    while len(i):
+        i = i[i + step < len(tile)]
+        within = (tile[i] == tile[i + step]) & (percent * n[i + step] <= 100 * n[i])
+        i = i[within]
+        yield i, i + step
+        step += 1
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > SMALL_TILE:
+            _, place, times = np.unique(cls[a:b], return_inverse=True, return_counts=True)
+            for x in a + np.flatnonzero(place != times.argmax()):
+                low, high = a + np.searchsorted(n[a:b], [-(-percent * n[x] // 100), 100 * n[x] // percent + 1])
+                j = np.arange(low, high)
+                yield np.full(len(j), x), j
+
+
+def exact_links(tiles: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between classes that some nodes of tiles(part, tile, n, component, shingles) have, a tree of them at most for each tile."""
 
     def run(table: pa.Table) -> pa.Table:
-        n, other = table["n"].to_numpy().astype(np.int64), table["other"]
-        left = other.is_null().to_numpy(zero_copy_only=False)
-        a, b = np.flatnonzero(left), np.flatnonzero(~left)
-        a, b = a[np.argsort(n[a], kind="stable")], b[np.argsort(n[b], kind="stable")]
-        arrays = [_unpack(x) for x in table["shingles"].to_pylist()]
-        size = min(1 << 15, max(BITMAP, 1 << int(8 * np.median(n)).bit_length()))
-
-        def bits(rows: np.ndarray) -> np.ndarray:
-            return bitmaps(np.concatenate([arrays[i] for i in rows]), np.repeat(np.arange(len(rows)), [len(arrays[i]) for i in rows]), len(rows), size)
-
-        classes, linked = other.to_pylist(), set()
-        held = bits(a) if len(a) and len(b) else None
-        for i in b if len(a) else ():
-            if classes[i] in linked:
-                continue
-            low, high = np.searchsorted(n[a], [-(-percent * n[i] // 100), 100 * n[i] // percent + 1])
-            bound = most_shared(held[low:high], bits(np.array([i])), n[a[low:high]], n[i])
-            order = np.argsort(-bound, kind="stable")
-            for k in order[_reaches(bound, n[a[low:high]], n[i], percent)[order]]:
-                x, y = arrays[a[low + k]], arrays[i]
-                if _reaches(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
-                    linked.add(classes[i])
-                    break
-        hub = table["hub"][0].as_py()
+        tile, n, cls = (table[c].to_numpy().astype(np.int64) for c in ("tile", "n", "component"))
+        order = np.lexsort((n, tile))
+        tile, n, cls = tile[order], n[order], cls[order]
+        raw = table["shingles"].to_pylist()
+        arrays = [_unpack(raw[i]) for i in order]
+        del raw
+        sizes = np.minimum(4 * bitmap_size(n), BITMAP_MOST)
+        data, at = bitmaps(np.concatenate(arrays), np.repeat(np.arange(len(n)), [len(x) for x in arrays]), sizes)
+        held = Bitmaps([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+        root, links = {int(c): int(c) for c in np.unique(cls)}, []
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for i, j in _tile_pairs(tile, n, cls, percent):
+            apart = cls[i] != cls[j]
+            i, j = i[apart], j[apart]
+            most = most_shared(n[i], n[j], held.differing(i, j))
+            order = np.argsort(-most / (n[i] + n[j]), kind="stable")
+            for k in order[_reaches(most, n[i], n[j], percent)[order]]:
+                p, q = top(int(cls[i[k]])), top(int(cls[j[k]]))
+                if p != q:
+                    x, y = arrays[i[k]], arrays[j[k]]
+                    if _reaches(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+                        root[max(p, q)] = min(p, q)
+                        links.append((int(cls[i[k]]), int(cls[j[k]])))
         release_memory()
-        return pa.table({"a": pa.array([hub] * len(linked), pa.int64()), "b": pa.array(list(linked), pa.int64())})
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return tiles.groupBy("part").applyInArrow(run, "a long, b long")
+
+
+def _parts(tiles: DataFrame, many: int) -> DataFrame:
+    return tiles.withColumn("part", F.pmod(F.col("tile"), F.lit(many)))
+
 
-    return rows.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+def _edges(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -450,17 +534,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     labels, first = None, 0
     for many in WAVES:
         links = verify(sets, star_pairs(sets, labels, first, first + many), percent)
-        if labels is not None:
-            links = links.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = materialize(components(links), "labels")
+        labels = materialize(components(links if labels is None else links.unionAll(_edges(labels))), "labels")
         first += many
     rows = materialize(prefix_rows(sets, percent, total), "prefixes")
-    tiles = tiled(rows, labels, max(64, rows.count() // TILE_ROWS), percent)
+    tiles = tiled(_labelled(rows, labels).withColumnRenamed("shingle", "key"), F.lit(1), BLOCK, percent)
     tiles = tiles.join(_of_nodes(sets, tiles.select("sig"), ["bits"]), "sig")
-    near = materialize(compare_tiles(tiles, percent), "near")
+    near = materialize(compare_tiles(_parts(tiles, max(64, rows.count() // TILE_ROWS)), percent), "near")
     discard(rows)
-    links = exact_links(sets, near, labels, percent)
-    labels = materialize(components(links.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "labels")
+    clusters = materialize(components(near.select(F.col("component").alias("a"), F.col("cluster").alias("b"))), "clusters")
+    nodes = near.select("sig", "n", "component").distinct().join(clusters.select(F.col("node").alias("component"), F.col("component").alias("key")), "component")
+    tiles = tiled(nodes, F.col("n"), ARRAYS_TOGETHER, percent)
+    weight = nodes.agg(F.sum("n")).first()[0] or 0
+    tiles = tiles.join(_of_nodes(sets, tiles.select("sig"), ["shingles"]), "sig")
+    links = exact_links(_parts(tiles, max(64, weight // CLUSTER_TASK)), percent)
+    labels = materialize(components(links.unionAll(_edges(labels))), "labels")
     out = _labelled(sets.filter("sig is not null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig"), labels)
     out = materialize(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component")), "classes")
     discard(sets)

@@ -6,7 +6,7 @@ import pytest
 
 from colloquy.llm import jaccard
 from colloquy.llm.graph import components
-from colloquy.llm.jaccard import bitmaps, most_shared, near_duplicates
+from colloquy.llm.jaccard import Bitmaps, bitmap_size, bitmaps, most_shared, near_duplicates
 
 
 def brute(texts, percent=75, width=5):
@@ -55,11 +55,14 @@ def test_repeated_rows(spark):
 
 def test_bit_counts_never_understate_the_overlap():
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        x, y = (np.unique(rng.integers(0, 300, int(rng.integers(1, 400)))).astype(np.uint64) for _ in range(2))
-        x, y = x << np.uint64(20), y << np.uint64(20)
-        bits = [bitmaps(z, np.zeros(len(z), int), 1, 64) for z in (x, y)]
-        assert most_shared(*bits, len(x), len(y))[0] >= len(np.intersect1d(x, y))
+    sets = [np.unique(rng.integers(0, 1 << 44, int(rng.integers(1, 9000)))).astype(np.uint64) for _ in range(20)]
+    sets += [np.unique(np.concatenate([x[: len(x) * 3 // 4], sets[0][:40]])) for x in sets]
+    n = np.array([len(x) for x in sets])
+    data, at = bitmaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), bitmap_size(n))
+    held = Bitmaps([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+    i, j = map(np.array, zip(*combinations(range(len(sets)), 2), strict=True))
+    most = most_shared(n[i], n[j], held.differing(i, j))
+    assert all(m >= len(np.intersect1d(sets[a], sets[b])) for a, b, m in zip(i, j, most, strict=True))
 
 
 def test_blocks_of_hot_shingles_and_classes_lose_no_link(spark, monkeypatch):
