@@ -2,10 +2,10 @@
 
 A token is a word in lower case, or the end of a text. Its probability is that of its class times its own within the class.
 Words of up to three bytes fall into classes by hash, longer ones by their last two bytes, so classes need no table.
-Both factors depend on the two tokens before. Their base is a softmax over hashed features of both tokens for the class, and
-counts of all training tokens for the word in its class. Then both are drawn towards what followed the token two before
-(skip), and then the previous token, in all training texts: the class to (n(context, class) + S p(class)) / (n(context) + S),
-the word in it to (n(context, word) + S p(word)) / (n(context, class) + S p(class)), where p(word) = p(class) p(word | class).
+Both factors depend on the tokens before. Their base is a softmax over hashed features of the previous token and the one
+before it (skip) for the class, and counts of all training tokens for the word in its class. Then both are drawn towards
+what followed the previous token in all training texts: the class to (n(previous, class) + S p(class)) / (n(previous) + S),
+the word in it to (n(previous, word) + S p(word)) / (n(previous, class) + S p(class)), where p(word) = p(class) p(word | class).
 Classes, and the words of a class, go on to sum to 1. In the product the counts of context and class cancel, so none is made.
 
 The softmax is trained in rounds. In each, every task starts from the same weights and makes gradient updates over its
@@ -41,7 +41,7 @@ _END, _START = (mix(np.array([x], np.uint64))[0] for x in (1, 2))
 _SHARD_BYTES, _BLOCK_BYTES = 6_000_000, 2_000_000
 _KEY = np.uint64((1 << 48) - 1)
 #: The keys of a token that are counted; the other one is a word that was counted at its own place.
-_COUNTED = [0, 1, 2, 4]
+_COUNTED = [0, 2]
 #: Marks keys that are no words.
 _CONTEXT = 255
 
@@ -67,16 +67,16 @@ class Tokens:
         self.cls[word] = own
         first = self.bounds[:-1]
         self.one = one = self._before(self.hash, first, _START)
-        self.two = two = self._before(one, first, _START)
+        two = self._before(one, first, _START)
         c1 = self._before(self.cls, first, CLASSES - 1)
         c2 = self._before(c1, first, CLASSES - 1)
         self.rows = np.stack([(one % np.uint64(PREVIOUS)).astype(np.int64), PREVIOUS + (mix(two) % np.uint64(SKIP)).astype(np.int64), PREVIOUS + SKIP + c1 * 16 + (c2 * 7 + c1) % 16])
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys, and the places among them of five keys of each token: its word, the token two before as a context, that with the word, the previous word, that with the word."""
-        after = [mix(mix(before + np.uint64(salt)) * np.uint64(0xA0761D6478BD642F) + self.hash) for salt, before in ((3, self.two), (5, self.one))]
+        """Sorted distinct keys, and the places among them of three keys of each token: its word, the previous word, that with the word."""
+        after = mix(mix(self.one + np.uint64(5)) * np.uint64(0xA0761D6478BD642F) + self.hash)
         # what follows a word is counted by the word, what begins a text by the ends of texts
-        own = [x & _KEY for x in (self.hash, mix(self.two + np.uint64(3)), after[0], np.where(self.one == _START, _END, self.one), after[1])]
+        own = [x & _KEY for x in (self.hash, np.where(self.one == _START, _END, self.one), after)]
         coded = pa.array(np.concatenate(own)).dictionary_encode()  # cheaper than sorting all
         found, places = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         order = np.argsort(found)
@@ -165,19 +165,19 @@ def _unpack(raw: bytes, kind: str) -> np.ndarray:
 
 
 def _text_blocks(docs: DataFrame) -> DataFrame:
-    """Rows of a batch number, ids (a), held_out (b), compressed bytes (c) and offsets (d) of texts that are worked on together."""
+    """Rows of a batch number, ids, held_out (b), compressed bytes (c) and offsets (d) of texts that are worked on together."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, held = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8"), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for block in blocks(batch.column(1), _BLOCK_BYTES):
                 texts = slice(block.first, block.first + block.n)
-                row = (key, ids[texts].tobytes(), held[texts].tobytes(), pa.compress(block.data.tobytes(), codec="zstd", asbytes=True), block.offsets.astype("<i8").tobytes())
+                row = (key, batch.column(0).slice(block.first, block.n).to_pylist(), held[texts].tobytes(), pa.compress(block.data.tobytes(), codec="zstd", asbytes=True), block.offsets.astype("<i8").tobytes())
                 key += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), *[pa.binary()] * 4], strict=True)], names=["batch", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3], strict=True)], names=["batch", "ids", "b", "c", "d"])
 
-    return docs.mapInArrow(cut, "batch long, a binary, b binary, c binary, d binary")
+    return docs.mapInArrow(cut, "batch long, ids array<long>, b binary, c binary, d binary")
 
 
 def _tokens(c: bytes, d: bytes) -> Tokens:
@@ -231,13 +231,11 @@ def _sum_by_key(texts: DataFrame, shards: int) -> DataFrame:
 
 
 def log_scores(tokens: Tokens, weights: np.ndarray, count: np.ndarray, n_class: np.ndarray, v_class: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each token. count has what the five keys of each count in training, n_class and v_class tokens and distinct words by class."""
+    """log10 of the probability of each token. count has what the three keys of each count in training, n_class and v_class tokens and distinct words by class."""
     n = len(tokens.cls)
     logs = np.concatenate([log_classes(weights, tokens.rows[:, a : a + MINIBATCH])[np.arange(len(tokens.cls[a : a + MINIBATCH])), tokens.cls[a : a + MINIBATCH]] for a in range(0, n, MINIBATCH)])
     p = np.exp(logs.astype(float)) * (count[0] + 0.5) / (n_class + 0.5 * (v_class + 1))[tokens.cls]
-    for context, with_word in (count[1:3], count[3:5]):
-        p = (with_word + STRENGTH * p) / (context + STRENGTH)
-    return np.log10(p)
+    return np.log10((count[2] + STRENGTH * p) / (count[1] + STRENGTH))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -266,16 +264,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
         rows = table.to_pylist()
         head = next(r for r in rows if r["b"] is not None)
         own = sorted((r for r in rows if r["b"] is None), key=lambda r: r["shard"])
-        ids, held = np.frombuffer(head["a"], "<i8"), np.frombuffer(head["b"], bool)
+        ids, held = head["ids"], np.frombuffer(head["b"], bool)
         tokens = _tokens(head["c"], head["d"])
         count = np.concatenate([_unpack(r["a"], "<i8") for r in own])[tokens.keys()[1]]
         first, size = tokens.bounds[:-1], np.diff(tokens.bounds)
         known = np.add.reduceat((count[0] > 0).astype(np.int64), first)
         gain = np.add.reduceat(np.log10(count[0] + 0.5), first)
         score = np.add.reduceat(log_scores(tokens, model.value, count, n_class, v_class), first)
-        del table, rows, head, own, tokens, count
+        del table, rows, head, own, tokens, count, first
         release_memory()
-        return pa.table({"doc_id": pa.array(ids), "held_out": pa.array(held), "n_tokens": pa.array(size), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), n)), "base_score": pa.array(gain - size * base), "score": pa.array(score)})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(size), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), n)), "base_score": pa.array(gain - size * base), "score": pa.array(score)})
 
     back = rows.filter("sums is null").drop("sums").unionByName(texts, allowMissingColumns=True)
     return back.groupBy("batch").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
