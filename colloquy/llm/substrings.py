@@ -6,8 +6,9 @@ phrases, an eighth as many as windows, tell which windows can recur:
 1. Phrases that occur twice anywhere are marked in a mask of bounded size.
 2. Each batch streams its documents; passages around marked phrases go to the shard that owns the phrase. Of equal windows
    in a batch only the first is sent, so a passage that all documents share reaches its shard once for each batch.
-3. A shard compiles an Aho-Corasick automaton of its phrases and streams the passages through it; phrases that it locates
-   twice are confirmed, and windows around them are compared word by word (by hashes of all their words).
+3. A shard confirms which of its phrases recur, compiles these into an Aho-Corasick automaton and streams the passages
+   through it. Where it locates a phrase, the windows around are compared with those at its other places, word by word
+   (words are hashes of 48 bits).
 4. Later windows are sent back to their documents, where the words that they cover go.
 """
 
@@ -19,10 +20,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.textarrays import Block, blocks, mix, release_memory
+from colloquy.llm.textarrays import Block, blocks, mix, pack48, release_memory, unpack48
 from colloquy.storage import bound_batches
 
 WINDOW, PHRASE = 20, 8
@@ -105,8 +106,13 @@ def recurring_mask(docs: DataFrame, window: int, phrase: int, shards: int) -> np
     return mask.view(np.uint8)
 
 
+def row_key() -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def later_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """doc_id and starts (little-endian 32-bit word numbers) of windows whose word sequence also starts earlier; several rows a document."""
+    """doc_id, row_key and starts (little-endian 32-bit word numbers) of windows whose word sequence also starts earlier; several rows a document."""
     spark = docs.sparkSession
     bound_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -120,7 +126,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             codes, at, row, start, least, phrase_at, total, done = [], [], [], [], [], [], [], 0
             for block in blocks(batch.column(1)):
                 w = Windows(block, window, phrase)
@@ -134,21 +140,20 @@ def later_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -
                     row.append(w.text[keep] + block.first)
                     start.append(pos - w.bounds[w.text[keep]])
                     least.append(w.least[keep])
-                codes.append((w.words >> np.uint64(32)).astype("<u4"))
+                codes.append(w.words >> np.uint64(16))
                 done += len(w.words)
             if not at:
                 continue
             codes, at, row, start, least, phrase_at, total = map(np.concatenate, (codes, at, row, start, least, phrase_at, total))
-            doc = ids[row]
+            doc, key = ids[row], keys[row]
             order = np.lexsort((start, doc, total))
             t, d, s = total[order], doc[order], start[order]
             new = np.concatenate([[True], t[1:] != t[:-1]])
             head = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
             first = np.zeros(len(t), bool)
             first[order] = (d == d[head]) & (s == s[head])
-            out = [(int(shard), doc_id, starts, None, None, None, None, None) for shard, (doc_id, starts) in enumerate(_by_document(doc[~first], start[~first]))]
-            out = [(x[0] % shards, *x[1:]) for x in out]
-            at, row, start, least, phrase_at, doc = (x[first] for x in (at, row, start, least, phrase_at, doc))
+            out = [(i % shards, *x, *[None] * 6) for i, x in enumerate(_by_document(doc[~first], key[~first], start[~first]))]
+            at, row, start, least, phrase_at, doc, key = (x[first] for x in (at, row, start, least, phrase_at, doc, key))
             cut = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row) != 0) | (least[1:] != least[:-1])])
             head = np.flatnonzero(cut)
             long = np.diff(np.append(head, len(at)))
@@ -158,26 +163,28 @@ def later_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             for i in np.flatnonzero(np.diff(cuts)):
                 h, n = head[cuts[i] : cuts[i + 1]], long[cuts[i] : cuts[i + 1]]
-                out.append((int(i), None, None, doc[h].astype("<i8").tobytes(), start[h].astype("<u4").tobytes(), n.astype("<u4").tobytes(), phrase_at[h].astype("<u4").tobytes(), codes[_ranges(at[h], n + window - 1)].tobytes()))
-            del codes, at, row, start, least, phrase_at, doc, total, order
+                out.append((int(i), None, None, None, doc[h].astype("<i8").tobytes(), key[h].astype("<i8").tobytes(), start[h].astype("<u4").tobytes(), n.astype("<u4").tobytes(), phrase_at[h].astype("<u4").tobytes(), pack48(codes[_ranges(at[h], n + window - 1)])))
+            del codes, at, row, start, least, phrase_at, doc, key, total, order
             release_memory()
-            types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+            types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
             for i in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out[i : i + 2000]], k) for j, k in enumerate(types)], names=["shard", "doc_id", "later", "docs", "starts", "longs", "phrases", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out[i : i + 2000]], k) for j, k in enumerate(types)], names=["shard", "doc_id", "row_key", "later", "docs", "keys", "starts", "longs", "phrases", "codes"])
 
     def meet(table: pa.Table) -> pa.Table:
         sent = table.filter(pc.is_valid(table["docs"]))
-        local = table.filter(pc.is_valid(table["later"])).select(["doc_id", "later"])
+        local = table.filter(pc.is_valid(table["later"])).select(["doc_id", "row_key", "later"])
         if not sent.num_rows:
             return local
-        doc, start, long, at, codes = (np.frombuffer(b"".join(sent[c].to_pylist()), k) for c, k in (("docs", "<i8"), ("starts", "<u4"), ("longs", "<u4"), ("phrases", "<u4"), ("codes", "<u4")))
+        doc, key, start, long, at = (np.frombuffer(b"".join(sent[c].to_pylist()), k) for c, k in (("docs", "<i8"), ("keys", "<i8"), ("starts", "<u4"), ("longs", "<u4"), ("phrases", "<u4")))
+        codes = unpack48(b"".join(sent["codes"].to_pylist()))
         start, long, at = start.astype(np.int64), long.astype(np.int64), at.astype(np.int64)
         words = long + window - 1
         offset = np.cumsum(words) - words
         run = np.repeat(np.arange(len(long)), long)
-        use = _located(codes, offset, words, at, phrase)[run]
+        pos = _ranges(offset, long)
+        use = _located(codes, offset, words, at, window, phrase)[pos]
         release_memory()
-        pos, run = _ranges(offset, long)[use], run[use]
+        pos, run = pos[use], run[use]
         where = start[run] + pos - offset[run]
         total = _sums(codes, pos, window)
         order = np.lexsort((where, doc[run], total))
@@ -185,12 +192,13 @@ def later_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -
         new = np.concatenate([[True], t[1:] != t[:-1]]) if len(t) else np.zeros(0, bool)
         head = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
         later = (d != d[head]) | (s != s[head])
-        rows = list(_by_document(d[later], s[later]))
-        found = pa.table({"doc_id": pa.array([x[0] for x in rows], pa.int64()), "later": pa.array([x[1] for x in rows], pa.binary())})
+        rows = list(_by_document(d[later], key[run][order][later], s[later]))
+        found = pa.table({"doc_id": pa.array([x[0] for x in rows], pa.int64()), "row_key": pa.array([x[1] for x in rows], pa.int64()), "later": pa.array([x[2] for x in rows], pa.binary())})
         return pa.concat_tables([local, found.cast(local.schema)])
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(deal, "shard int, doc_id long, later binary, docs binary, starts binary, longs binary, phrases binary, codes binary")
-    return sent.groupBy("shard").applyInArrow(meet, "doc_id long, later binary")
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").select("doc_id", "text", row_key())
+    sent = sent.mapInArrow(deal, "shard int, doc_id long, row_key long, later binary, docs binary, keys binary, starts binary, longs binary, phrases binary, codes binary")
+    return sent.groupBy("shard").applyInArrow(meet, "doc_id long, row_key long, later binary")
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -199,46 +207,55 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
-def _by_document(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(doc, kind="stable")
-    doc, start = doc[order], start[order]
-    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else []
+def _by_document(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    order = np.lexsort((key, doc))
+    doc, key, start = doc[order], key[order], start[order]
+    edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]), [True]])) if len(doc) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(doc[a]), start[a:b].astype("<u4").tobytes()
+        yield int(doc[a]), int(key[a]), start[a:b].astype("<u4").tobytes()
 
 
-def _located(codes: np.ndarray, offset: np.ndarray, words: np.ndarray, at: np.ndarray, phrase: int) -> np.ndarray:
-    """Which passages hold a phrase that the automaton of all the passages' phrases locates twice. A word is two symbols of 8 bits."""
+def _located(codes: np.ndarray, offset: np.ndarray, words: np.ndarray, at: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """For each word of the passages, whether a window that starts there holds a phrase that an automaton locates.
+
+    The automaton has those of the passages' phrases (at word `at` of each) that occur at two places. It reads a word as two
+    symbols of 8 bits, so it may locate too much, but misses nothing; passages are set apart by a symbol that no word has.
+    """
+    begin = offset + at
+    sums = _sums(codes, begin, phrase)
+    different = np.unique(np.stack([sums, begin.astype(np.uint64)], 1), axis=0)[:, 0]
+    found, times = np.unique(different, return_counts=True)
+    recurring = np.flatnonzero(np.isin(sums, found[times > 1]))
     symbols = np.full(2 * (len(codes) + len(words)), _GAP, "<u2")
     place = 2 * (_ranges(offset, words) + np.repeat(np.arange(len(words)), words))
-    symbols[place], symbols[place + 1] = codes & 255, codes >> 8 & 255
+    symbols[place], symbols[place + 1] = codes & np.uint64(255), codes >> np.uint64(8) & np.uint64(255)
     text = symbols.tobytes().decode("utf-16-le")
-    begin = 2 * (offset + np.arange(len(words)))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    numbers = np.empty(len(words), np.int64)
-    for i, b in enumerate((begin + 2 * at).tolist()):
-        key = text[b : b + 2 * phrase]
-        numbers[i] = known = automaton.get(key, len(automaton))
-        if known == len(automaton):
-            automaton.add_word(key, known)
-    automaton.make_automaton()
-    times = np.zeros(len(automaton), np.int64)
-    for end, number in automaton.iter(text):
-        if end & 1:
-            times[number] += 1
-    return times[numbers] > 1
+    for b in (2 * (begin + np.arange(len(words))))[recurring].tolist():
+        automaton.add_word(text[b : b + 2 * phrase], 0)
+    holds = np.zeros(len(codes) + 1, np.int64)
+    if len(automaton):
+        automaton.make_automaton()
+        word_at = np.full(len(symbols) // 2, -1)
+        word_at[place // 2] = np.arange(len(codes))
+        ends = np.fromiter((end for end, _ in automaton.iter(text) if end & 1), np.int64)
+        first = word_at[(ends - 2 * phrase + 1) // 2]
+        np.add.at(holds, np.maximum(first - (window - phrase), 0), 1)
+        np.add.at(holds, first + 1, -1)
+    return np.cumsum(holds[:-1]) > 0
 
 
 def keep_first_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for each row of docs(doc_id, text); other columns are ignored.
 
     Words are runs without space and \\x09-\\x0D, compared as they are. A word goes if a window covers it whose words also
-    start earlier: in a smaller doc_id, or earlier in its document. Windows that start at the same place of rows with one
-    doc_id aren't earlier than each other. A row with a null doc_id is neither compared nor changed. A null or empty text
+    start earlier: in a smaller doc_id, or earlier in its document. Rows with one doc_id and different texts are compared as
+    well: windows of theirs that start at the same place aren't earlier than each other. A row with a null doc_id is neither compared nor changed. A null or empty text
     has no words; texts shorter than a window stay. An empty table gives no rows.
     """
-    later = later_windows(docs, window, phrase).groupBy("doc_id").agg(F.collect_list("later").alias("_later"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(later, "doc_id", "left")
+    later = later_windows(docs, window, phrase).groupBy("doc_id", "row_key").agg(F.collect_list("later").alias("_later"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", row_key())
+    joined = rows.join(later, ["doc_id", "row_key"], "left").select("doc_id", "text", "_later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

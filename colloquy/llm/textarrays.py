@@ -48,6 +48,17 @@ def release_memory() -> None:
         trim(0)
 
 
+def pack48(x: np.ndarray) -> bytes:
+    """Six bytes for each number under 2**48."""
+    return x.astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpack48(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 4), "<u2")
+    out[:, :3] = np.frombuffer(raw, "<u2").reshape(-1, 3)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 class Block:
     """Some whole texts of a batch as one byte array; text i is data[offsets[i]:offsets[i + 1]]."""
 

@@ -53,6 +53,21 @@ def test_only_first_windows_stay(spark, seed):
     assert got == first_windows(texts)
 
 
+def test_rows_of_one_id_do_not_mark_each_other(spark):
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(a)), (5, " ".join(b + a)), (5, "q1 q2 q3"), (7, "r1 r2 r3"), (8, " ".join(a[:25])), (8, " ".join(a[:25])), (None, " ".join(a))]
+    got = substrings.digests(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 30, 0), (1, 30, 0), (5, 3, 0), (5, 70, 30), (7, 3, 0), (8, 25, 25), (8, 25, 25)]
+    assert substrings.digests(frame(spark, {1: "x"}).filter("false")).count() == 0
+
+
+def test_long_texts_and_passages_that_all_share(spark):
+    shared = " ".join(f"s{i}" for i in range(80))
+    texts = {i: f"{' '.join(f'w{i}_{j}' for j in range(50))} {shared} end{i}" for i in range(40)} | {99: shared + " " + "long " * 60000}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digests(frame(spark, texts).repartition(5)).collect()}
+    assert got == first_windows(texts)
+
+
 def test_scores_of_unigrams_are_exact_and_the_model_is_normalised(spark):
     texts = passages(2) | {500: "The THE the"}
     rows = language_model.score_documents(frame(spark, texts)).collect()
@@ -93,27 +108,32 @@ def test_scores_are_those_of_counts_by_hand_and_sum_to_one(spark):
     kind = {}
     for i, b in block.items():
         if not held[i]:
-            for w, c, one, two in zip(*(x.tolist() for x in (b.hash, b.cls, b.one, b.two)), strict=True):
+            for w, c, one in zip(*(x.tolist() for x in (b.hash, b.cls, b.one)), strict=True):
                 kind[w] = c
-                counts.update([("w", w), *(k for x in ((1, one), (2, two)) for k in ((x, "t"), (x, "w", w)))])
+                counts.update([("w", w), (one, "t"), (one, "w", w)])
     n, v = Counter(), Counter(kind.values())
     for w, c in kind.items():
         n[c] += counts["w", w]
     s = language_model.STRENGTH
 
-    def p(w, c, one, two, of_class):
+    def p(w, c, one, of_class):
         likely = of_class * (counts["w", w] + 0.5) / (n[c] + 0.5 * (v[c] + 1))
-        for x in ((2, two), (1, one)):
-            likely = (counts[x, "w", w] + s * likely) / (counts[x, "t"] + s)
-        return likely
+        return (counts[one, "w", w] + s * likely) / (counts[one, "t"] + s)
 
     got = {r.doc_id: r.score for r in language_model.score_documents(docs).collect()}
     for i, b in block.items():
         classes = np.exp(language_model.log_classes(weights, b.rows))
-        want = sum(math.log10(p(w, c, one, two, float(classes[k, c]))) for k, (w, c, one, two) in enumerate(zip(*(x.tolist() for x in (b.hash, b.cls, b.one, b.two)), strict=True)))
+        want = sum(math.log10(p(w, c, one, float(classes[k, c]))) for k, (w, c, one) in enumerate(zip(*(x.tolist() for x in (b.hash, b.cls, b.one)), strict=True)))
         assert math.isclose(got[i], want, rel_tol=1e-3)
-        one, two = b.one[-1].item(), b.two[-1].item()
-        assert math.isclose(sum(p(w, c, one, two, float(classes[-1, c])) for w, c in [*kind.items(), *((None, c) for c in range(language_model.CLASSES))]), 1, rel_tol=1e-4)
+        one = b.one[-1].item()
+        assert math.isclose(sum(p(w, c, one, float(classes[-1, c])) for w, c in [*kind.items(), *((None, c) for c in range(language_model.CLASSES))]), 1, rel_tol=1e-4)
+
+
+def test_null_and_repeated_ids_come_back_as_they_are(spark):
+    texts = [(None, "a b c"), (9007199254740993, "a b"), (9007199254740993, "b"), (4, None)]
+    rows = language_model.score_documents(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in rows) == [(False, 4, 1), (False, 9007199254740993, 2), (False, 9007199254740993, 3), (True, 0, 4)]
+    assert language_model.score_documents(frame(spark, {1: "x"}).filter("false")).count() == 0
 
 
 def test_languages_are_learned(spark):
