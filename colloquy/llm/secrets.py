@@ -1,9 +1,10 @@
 """Secret scans: patterns for well-known secrets, and character Markov models for the rest.
 
-Two first-order character models are trained from labelled samples: values that the patterns find in the corpus (random
-strings) and shorter runs (ordinary identifiers and words). A run of at least 16 characters, not digits alone, outside the
-patterns' spans becomes a secret when the log-likelihood ratio of the two models is high enough. Training counts are sums
-over all texts, in a table whose size is fixed by the alphabet.
+Two first-order character models are trained from labelled samples. Random: the values that the patterns find in the corpus,
+and strings drawn from the alphabets of keys. Ordinary: the shorter runs and the words of any length in the corpus, and
+identifiers and paths that are put together, in every usual spelling, from common programming words. A run of at least 16 characters, not
+digits alone, outside the patterns' spans becomes a secret when the log-likelihood ratio of the two models is high enough.
+Training counts are sums over all texts, in a table whose size is fixed by the alphabet.
 """
 
 from __future__ import annotations
@@ -41,11 +42,57 @@ _CODE = np.full(256, -1, np.int32)
 _CODE[list(ALPHABET)] = np.arange(START)
 _TOKEN = _CODE >= 0
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)]).astype(np.int32)
+_LOWER = np.isin(np.arange(256), range(97, 123)).astype(np.int32)
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 SECRETS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 
 Span = tuple[str, int, int, float | None]
 
+#: Words that identifiers are made of, for the ordinary samples.
+ORDINARY_WORDS = """get set user account by id max min retry count per host src main java com example app docs getting started install sha file content version
+ name list path index item value type key node table column row query result error message config option default timeout cache session request response
+ client server http url data base model view controller service manager factory handler builder parser writer reader stream buffer queue thread process
+ test unit spec mock util helper common core public static final void string integer boolean float double array object map hash tree graph image video
+ audio email phone address order product price total date time start end begin stop update delete create insert select from where group sort filter
+ left right top bottom width height color background margin padding border content page button label input output format encode decode convert""".split()
+#: Labelled samples of each kind; corpus counts are added to theirs.
+SAMPLES = 4000
+
+
+def labelled_samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int]]:
+    """(string, 1 if random): n ordinary identifiers and n random keys, always the same for a seed."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        words = [ORDINARY_WORDS[i] for i in rng.integers(0, len(ORDINARY_WORDS), int(rng.integers(3, 8)))]
+        style = k % 7
+        if style == 0:
+            text = "_".join(words)
+        elif style == 1:
+            text = words[0] + "".join(w.capitalize() for w in words[1:])
+        elif style == 2:
+            text = "_".join(words).upper()
+        elif style == 3:
+            text = "/".join(words)
+        elif style == 4:
+            text = "-".join(words)
+        elif style == 5:
+            text = "".join(w.capitalize() for w in words)
+        else:
+            text = f"{'_'.join(words)}_v{int(rng.integers(1, 300))}"
+        out.append((text, 0))
+        letters = (ALPHABET[:62], ALPHABET[26:62], b"0123456789abcdef", ALPHABET[:64], ALPHABET[:26] + ALPHABET[52:62])[k % 5]
+        out.append((rng.choice(list(letters), int(rng.integers(16, 48))).astype(np.uint8).tobytes().decode(), 1))
+    return out
+
+
+def sample_counts() -> np.ndarray:
+    total = np.zeros((2, SIZE * SIZE))
+    for text, random in labelled_samples():
+        codes = _CODE[np.frombuffer(text.encode(), np.uint8)]
+        total[random] += np.bincount(_transitions(codes, np.array([0]), np.array([len(codes)]))[0], minlength=SIZE * SIZE)
+    return total
+
 
 def _runs(block: Block, members: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, _ = block.runs(members)
@@ -106,16 +153,18 @@ def _transitions(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
 
 
 def count_transitions(docs: DataFrame) -> DataFrame:
-    """random (1: values of pattern spans, 0: other runs), transition, n: sums over all of docs(text)."""
+    """random (1: values of pattern spans, 0: shorter runs, and longer ones that are small letters but for the first), transition, n: sums over all of docs(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SIZE * SIZE), np.int64)
         for batch in batches:
             for _, block in parts(batch, 0, TOGETHER_BYTES):
                 codes, values, plain = _CODE[block.data], [], []
+                lower = np.concatenate([[0], np.cumsum(_LOWER[block.data])])
                 for _, _, found, own in _texts(block):
                     values += found
-                    plain.append(own[own[:, 1] - own[:, 0] < CANDIDATE])
+                    size = own[:, 1] - own[:, 0]
+                    plain.append(own[(size < CANDIDATE) | (lower[own[:, 3]] - lower[own[:, 2]] >= size - 1)])
                 own = np.concatenate(plain) if plain else np.zeros((0, 4), np.int64)
                 total[0] += np.bincount(_transitions(codes, own[:, 2], own[:, 3] - own[:, 2])[0], minlength=SIZE * SIZE)
                 for value in values:
@@ -132,11 +181,12 @@ def fit(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each transition, random over ordinary.
 
     Transitions that are seldom seen fall back to equal chances in random strings, and to how frequent the character is
-    in ordinary ones.
+    in ordinary ones. Corpus and labelled samples weigh the same, so prose, however much of it, doesn't drown identifiers.
     """
-    total = np.zeros((2, SIZE * SIZE))
+    own, total = np.zeros((2, SIZE * SIZE)), sample_counts()
     for r in count_transitions(docs).collect():  # at most 2 * SIZE ** 2 rows
-        total[r["random"], r["transition"]] += r["n"]
+        own[r["random"], r["transition"]] += r["n"]
+    total += own * np.minimum(1.0, total.sum(1) / np.maximum(own.sum(1), 1))[:, None]
     table = total.reshape(2, SIZE, SIZE)[:, :, :START]
     usual = table[0].sum(0) + 0.5
     prior = np.stack([usual / usual.sum(), np.full(START, 1 / START)])

@@ -204,6 +204,21 @@ def test_patterns_are_exact_and_random_strings_are_found(spark):
     assert {r.doc_id: r.text for r in hidden}[93] == "token=short [SECRET]" and all(r.n_chars == len(r.text) for r in hidden if r.text is not None)
 
 
+def test_random_strings_are_told_from_identifiers(spark):
+    rng = np.random.default_rng(77)
+    plain = "get_user_account_by_id getUserAccountByIdentifier MAX_RETRY_COUNT_PER_HOST src/main/java/com/example/app en/docs/getting-started/install sha256_of_file_contents_v2 createTemporaryDirectory test_links_are_those_of_all_pairs Geschwindigkeitsbegrenzung donaudampfschifffahrt home/user/projects/reports UNCLASSIFIED_WARNING_LEVEL".split()
+    plain += [x for x, random in secrets.labelled_samples(300, seed=99) if not random and len(x) >= 16]
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    random = ["".join(rng.choice(letters, int(rng.integers(20, 41)))) for _ in range(300)] + ["".join(rng.choice(list("0123456789abcdef"), 28)) for _ in range(60)]
+    prose = " ".join(["the quick brown fox jumps over lazy dogs while sunshine warms"] * 30)
+    texts = dict(enumerate([f"see {x} here" for x in plain + random] + [prose]))
+    rows = {r.doc_id: r.spans for r in secrets.digests(frame(spark, texts)).collect()}
+    wrong = [plain[i] for i in range(len(plain)) if rows[i]]
+    found = sum(bool(rows[len(plain) + i]) for i in range(len(random)))
+    print("false", len(wrong), "of", len(plain), wrong[:12], "found", found, "of", len(random))
+    assert not [x for x in wrong if x in plain[:12]] and len(wrong) <= 0.02 * len(plain) and found >= 0.97 * len(random)
+
+
 def test_links_are_those_of_all_pairs(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(30, 16))
