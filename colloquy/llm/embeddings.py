@@ -1,16 +1,19 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables and a rerank with the original vectors.
 
 ITQ learns rotations, from a bounded sample, that make the signs of the rotated vectors balanced codes with little
-quantisation error. Codes are cut into substrings, one table each; vectors of a label whose codes agree in a substring are
-compared by their exact cosine. The width of substrings follows the number of vectors, so that buckets stay small, and the
-number of rotations follows the width, so that a pair at the threshold is missed less than once in 200. Equal vectors are
-one node. A bucket of more than BLOCK nodes becomes tiles of block pairs, so no task gets a whole large group.
+quantisation error. Codes are cut into substrings, one table each; of vectors of a label whose codes agree in a substring,
+those within a Hamming radius are compared by their exact cosine. The width of substrings follows the number of vectors, so
+that buckets stay small. The number of rotations and the radius are set by trial: pairs at the threshold are made from the
+sample, off in directions of chance and in those in which the data differ, and rotations are added until at most one in 200
+of them is missed. Equal vectors are one node. A bucket of more than BLOCK nodes becomes tiles of block pairs, so no task gets
+a whole large group.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,38 +21,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.graph import components
-from colloquy.storage import materialize
+from colloquy.storage import bound_batches, discard, materialize
 
 #: Vectors that ITQ learns from at most.
 SAMPLE = 20_000
 BITS, BLOCK, BUCKET = 64, 512, 32
+#: Rotations at most; beyond them recall falls, which only vectors that hardly differ from their mean need.
+MOST_ROTATIONS = 64
 ROWS_TOGETHER = 20_000
-_ROWS = "label int, dim int, tab int, code long, node long, mult long, parts binary, vector binary"
-
-
-def learn_rotations(x: np.ndarray, rotations: int, rounds: int = 50, seed: int = 5) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The mean, and matrices (dimensions, bits) whose signs are the codes: principal directions, rotated by ITQ."""
+_ROWS = "label long, dim int, tab int, code long, node long, mult long, parts binary, vector binary"
+
+
+def learn_rotation(centred: np.ndarray, basis: np.ndarray, rng: np.random.Generator, rounds: int = 50) -> np.ndarray:
+    """A matrix (dimensions, bits) whose signs are the codes: principal directions, rotated by ITQ from a start of chance."""
+    v = centred @ basis
+    r = np.linalg.qr(rng.standard_normal((basis.shape[1],) * 2))[0]
+    for _ in range(rounds):
+        u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+        r = (u @ w).T
+    return basis @ r
+
+
+def trial_pairs(x: np.ndarray, cosine: float, rng: np.random.Generator, n: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two sets of pairs of unit vectors at the cosine: vectors of x, moved in directions of chance and towards other vectors of x."""
+    own = x[rng.integers(0, len(x), n)]
+    out = []
+    for away in (rng.standard_normal(own.shape), x[rng.integers(0, len(x), n)] - x[rng.integers(0, len(x), n)]):
+        away = away - (away * own).sum(1, keepdims=True) * own
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        some = size[:, 0] > 1e-9
+        out.append((own[some], (cosine * own + math.sqrt(max(1 - cosine * cosine, 0.0)) * away / np.maximum(size, 1e-12))[some]))
+    return [p for p in out if len(p[0])]
+
+
+@dataclass
+class Codes:
+    """What ITQ learned: mean, rotations, bits of a substring, and the largest Hamming distance (all rotations together) that is looked at."""
+
+    mean: np.ndarray
+    turns: np.ndarray
+    width: int
+    per: int
+    radius: int
+
+    def signs(self, unit_vectors: np.ndarray) -> np.ndarray:
+        """(vectors, tables, bits of a substring) of vectors of length 1."""
+        bits = self.turns.shape[1] // self.rotations
+        out = ((unit_vectors - self.mean) @ self.turns >= 0).reshape(len(unit_vectors), self.rotations, bits)
+        return out[:, :, : self.per * self.width].reshape(len(unit_vectors), self.per * self.rotations, self.width)
+
+    @property
+    def rotations(self) -> int:
+        return self.turns.shape[1] // min(BITS, len(self.mean))
+
+
+def learn(x: np.ndarray, vectors: int, cosine: float, misses: float = 0.005, seed: int = 5) -> Codes:
+    """Codes for as many vectors of a label, from a sample x."""
+    rng = np.random.default_rng(seed)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(0)
     centred = x - mean
-    values, vectors = np.linalg.eigh(centred.T @ centred)
-    basis = vectors[:, np.argsort(values)[::-1][:BITS]]
-    v, rng, out = centred @ basis, np.random.default_rng(seed), []
-    for _ in range(rotations):
-        r = np.linalg.qr(rng.standard_normal((basis.shape[1],) * 2))[0]
-        for _ in range(rounds):
-            u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-            r = (u @ w).T
-        out.append(basis @ r)
-    return mean, out
-
-
-def table_shape(vectors: int, bits: int, cosine: float, misses: float = 0.005) -> tuple[int, int]:
-    """Substring width and number of rotations for so many vectors of a label."""
+    values, directions = np.linalg.eigh(centred.T @ centred)
+    basis = directions[:, np.argsort(values)[::-1][:BITS]]
+    bits = basis.shape[1]
     width = min(bits, 32, max(8, math.ceil(math.log2(max(vectors, 1) / BUCKET)) if vectors > BUCKET else 8))
-    agree = (1 - math.acos(min(cosine, 1.0)) / math.pi) ** width
-    needed = math.log(misses) / math.log(1 - agree)
-    return width, max(1, math.ceil(needed / max(bits // width, 1)))
+    trials, turns = trial_pairs(x, cosine, rng), []
+    while True:
+        turns.append(learn_rotation(centred, basis, rng))
+        codes = Codes(mean, np.concatenate(turns, 1), width, bits // width, 0)
+        missed, far = 0.0, 0
+        for a, b in trials:
+            differ = codes.signs(a) != codes.signs(b)
+            hit = (~differ.any(2)).any(1)
+            missed = max(missed, 1 - hit.mean())
+            distance = differ.sum((1, 2))
+            far = max(far, math.ceil(np.quantile(distance, 0.999) + 2 * distance.std()))
+        codes.radius = far
+        if missed <= misses or len(turns) == MOST_ROTATIONS:
+            return codes
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,16 +107,16 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(column.values), offsets, np.diff(offsets)
 
 
-def coded(nodes: DataFrame, mean: np.ndarray, rotations: list[np.ndarray], width: int) -> DataFrame:
+def coded(nodes: DataFrame, codes: Codes) -> DataFrame:
     """A row of _ROWS for each table of each of nodes(node, label, mult, embedding). Vectors of other dimensions than mean share one bucket a label and dimension."""
-    held = nodes.sparkSession.sparkContext.broadcast((mean, np.concatenate(rotations, 1)))
-    per = rotations[0].shape[1] // width or 1
-    tables = per * len(rotations)
-    bits = rotations[0].shape[1]
-    weights = np.int64(1) << np.arange(min(width, bits), dtype=np.int64)
+    held = nodes.sparkSession.sparkContext.broadcast(codes)
+    tables = codes.per * codes.rotations
+    weights = np.int64(1) << np.arange(codes.width, dtype=np.int64)
+    kind = "<f8" if nodes.schema["embedding"].dataType.elementType.simpleString() == "double" else "<f4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, turn = held.value
+        codes = held.value
+        mean = codes.mean
         for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             values, offsets, sizes = _matrix(batch.column(3))
             fits = np.flatnonzero(sizes == len(mean))
@@ -75,9 +124,8 @@ def coded(nodes: DataFrame, mean: np.ndarray, rotations: list[np.ndarray], width
             if len(fits):
                 x = values[offsets[fits][:, None] + np.arange(len(mean))].astype(float)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                signs = ((x - mean) @ turn >= 0).reshape(len(fits), len(rotations), bits)[:, :, : per * len(weights)]
-                parts[fits] = (signs.reshape(len(fits), tables, len(weights)) * weights).sum(2)
-            vectors = [values[a:b].astype("<f4").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                parts[fits] = (codes.signs(x) * weights).sum(2)
+            vectors = [values[a:b].astype(kind).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             own = [p.astype("<i8").tobytes() for p in parts]
             for t in range(tables):
                 use = np.ones(len(sizes), bool) if t == 0 else sizes == len(mean)
@@ -98,7 +146,7 @@ def tiled(rows: DataFrame) -> DataFrame:
     return out.withColumn("tile", tile).drop("count", "other")
 
 
-def compare(tiles: DataFrame, cosine: float, parts: int) -> DataFrame:
+def compare(tiles: DataFrame, cosine: float, parts: int, radius: int, kind: str) -> DataFrame:
     """node, n (partners with their copies) and partner: sums over tiles. A pair counts in the first table where its codes agree; partners join a tile's nodes into trees."""
 
     def groups(table: pa.Table) -> Iterator[tuple[np.ndarray, int]]:
@@ -117,22 +165,25 @@ def compare(tiles: DataFrame, cosine: float, parts: int) -> DataFrame:
         vectors, codes = table["vector"].to_pylist(), table["parts"].to_pylist()
         nodes, counts, partners = [], [], []
         for at in groups(table):
-            x = np.stack([np.frombuffer(vectors[i], "<f4") for i in at if len(vectors[i]) == len(vectors[at[0]])]).astype(float)
-            if len(x) < len(at):
-                at = at[[len(vectors[i]) == len(vectors[at[0]]) for i in at]]
-            norm = np.linalg.norm(x, axis=1)
-            near = (x @ x.T) / (norm[:, None] * norm) >= cosine
-            np.fill_diagonal(near, False)
+            at = at[[len(vectors[i]) == len(vectors[at[0]]) for i in at]]  # hashes of buckets may be equal by chance
+            own = np.stack([np.frombuffer(codes[k], "<i8") for k in at])
+            bits = np.unpackbits(own.view(np.uint8), axis=1).astype(np.float32)
+            ones = bits.sum(1)
+            near = np.triu(ones[:, None] + ones - 2 * (bits @ bits.T) <= radius, 1)
             if block[at].min() != block[at].max():  # pairs within a block have a tile of their own
                 near &= block[at][:, None] != block[at]
-            same = (label[at][:, None] == label[at]) & (dim[at][:, None] == dim[at]) & (code[at][:, None] == code[at])
-            i, j = np.nonzero(near & same)
-            if not len(i):
-                continue
+            near &= (label[at][:, None] == label[at]) & (dim[at][:, None] == dim[at]) & (code[at][:, None] == code[at])
+            i, j = np.nonzero(near)
             t = int(tab[at[0]])
-            own = np.stack([np.frombuffer(codes[k], "<i8") for k in at])
             first = (own[i, :t] != own[j, :t]).all(1)
             i, j = i[first], j[first]
+            x = np.stack([np.frombuffer(vectors[k], kind) for k in at]).astype(float)
+            x /= np.abs(x).max(1, keepdims=True)  # so that no square overflows
+            norm = np.linalg.norm(x, axis=1)
+            link = np.concatenate([np.einsum("kd,kd->k", x[i[k : k + 20_000]], x[j[k : k + 20_000]]) / (norm[i[k : k + 20_000]] * norm[j[k : k + 20_000]]) >= cosine for k in range(0, len(i), 20_000)]) if len(i) else np.zeros(0, bool)
+            i, j = np.concatenate([i[link], j[link]]), np.concatenate([j[link], i[link]])
+            if not len(i):
+                continue
             total = np.bincount(i, mult[at][j], len(at))
             link = np.zeros((len(at), len(at)), bool)
             link[i, j] = True
@@ -160,13 +211,18 @@ def usable(embedding: Column) -> Column:
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
-    """vec_id, n_links, component_id and kept for each row of vectors(vec_id, embedding array<float>, label); other columns are ignored.
+    """vec_id, n_links, component_id and kept for each row of vectors(vec_id, embedding, label); other columns are ignored.
+
+    embedding is an array of float or double, label of any type that can be hashed; vec_id is a whole number.
 
     Rows link if their labels are equal and not null, their dimensions equal and their cosine, in double precision, is at
     least the threshold. Rows whose vector is null, zero or has a null or non-finite component link with nothing, and are
     their own component. Rows that repeat a vec_id are vectors of their own. An empty table gives no rows.
     """
-    rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    bound_batches(vectors.sparkSession)
+    double = vectors.schema["embedding"].dataType.elementType.simpleString() == "double"
+    label = F.when(F.col("label").isNotNull(), F.xxhash64("label")).alias("label")
+    rows = vectors.select("vec_id", label, F.col("embedding").cast(f"array<{'double' if double else 'float'}>").alias("embedding"))
     node = F.when(F.col("label").isNotNull() & usable(F.col("embedding")), F.xxhash64("label", "embedding"))
     rows = materialize(rows.withColumn("node", node), "vectors")
     valid = rows.filter("node is not null")
@@ -176,11 +232,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = nodes.filter(F.size("embedding") == most["d"]).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
     sample = np.array(sample["embedding"].to_pylist(), float)
-    width, rotations = table_shape(nodes.groupBy("label").count().agg(F.max("count")).first()[0], min(BITS, sample.shape[1]), cosine)
-    mean, turns = learn_rotations(sample, rotations)
-    tables = materialize(coded(nodes, mean, turns, width), "tables")
+    codes = learn(sample, nodes.groupBy("label").count().agg(F.max("count")).first()[0], cosine)
+    tables = materialize(coded(nodes, codes), "tables")
     tiles = tiled(tables)
-    found = materialize(compare(tiles, cosine, max(96, tables.count() // ROWS_TOGETHER)), "found")
+    found = materialize(compare(tiles, cosine, max(96, tables.count() // ROWS_TOGETHER), codes.radius, "<f8" if double else "<f4"), "found")
+    discard(tables)
     sums = found.groupBy("node").agg(F.sum("n").alias("n"))
     labels = components(found.select(F.col("node").alias("a"), F.col("partner").alias("b")))
     ids = valid.groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"))
