@@ -13,47 +13,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.storage import materialize
+from colloquy.storage import discard, materialize
 
 SLOTS = 1 << 18
-#: A subset at level j holds a term if 2 * j bits of its hash, from a place of its own on, are zero.
-REPLICAS, LEVELS = 12, 5
+#: A subset at level j holds a term if 2 * j bits of its hash, from a place of its own on, are zero: one term in 4**j. A hash has room for so many.
+REPLICAS, LEVELS, TO_A_HASH = 12, 7, 4
 _EMPTY = "...."
 _SPACES = r"[ \t-\r]+"
 _LEAST_KEY = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the different lower-case words; white space at an end adds the empty word, which `kept` leaves out."""
+    """Hashes of the different lower-case words; white space at an end adds the empty word, which the band leaves out."""
     return F.array_distinct(F.transform(F.split(F.lower(text), _SPACES), lambda w: F.xxhash64(w)))
 
 
-def frequent_slots(docs: DataFrame, max_share: float) -> list[int]:
-    """Hash slots of terms in more than max_share of docs(text): at most distinct terms a document / max_share."""
-    slots = docs.select(F.explode(F.array_distinct(F.transform(terms(F.col("text")), lambda h: F.pmod(h, F.lit(SLOTS))))).alias("slot"))
+def band(docs: DataFrame, max_share: float) -> tuple[list[int], list[int]]:
+    """Of docs(text): the terms in more than max_share of them, at most distinct terms a document / max_share; and a mask, 32 bits a number, of the slots whose terms occur in two documents or more."""
     limit = max(1.0, docs.count() * max_share)
-    return [r["slot"] for r in slots.groupBy("slot").count().filter(F.col("count") > limit).select("slot").collect()]
+    counts = docs.select(F.explode(terms(F.col("text"))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "terms")
+    frequent = [r["h"] for r in counts.filter(F.col("n") > limit).select("h").collect()]
+    slots = counts.groupBy(F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.sum("n").alias("n")).filter("n > 1")
+    mask = [0] * (SLOTS // 32)
+    for r in slots.groupBy(F.expr("slot div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("b")).collect():
+        mask[r["w"]] = r["b"]
+    discard(counts)
+    return frequent, mask
+
+
+def band_terms(text: Column, frequent: list[int], mask: list[int]) -> Column:
+    """Sorted hashes of the text's terms in the band."""
+    held, empty = F.from_json(F.lit(str(mask)), "array<bigint>"), F.xxhash64(F.lit(""))
+
+    def inside(h: Column) -> Column:
+        slot = F.pmod(h, F.lit(SLOTS))
+        bit = F.get(held, F.floor(slot / 32).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(32)).cast("int")))
+        seen = (bit != 0) & (h != empty)
+        return seen & ~h.isin(frequent) if frequent else seen
+
+    return F.array_sort(F.filter(terms(text), inside))
 
 
 def _four(x: Column) -> Column:
-    return F.when(x.isNull(), _EMPTY).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(x), F.lit(65536))), 4, "0"))
+    return F.when(F.size(x) == 0, _EMPTY).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(x), F.lit(65536))), 4, "0"))
 
 
-def fingerprints(texts: DataFrame, key: list[str], frequent: list[int]) -> DataFrame:
-    """key and fingerprint for texts(key, text), key different for each row: four signs for all terms and four for each subset, dots where it is empty."""
-    h = F.explode_outer(terms(F.col("text"))).alias("h")
-    out = F.col("h") == F.xxhash64(F.lit(""))
-    if frequent:
-        out = out | F.pmod("h", F.lit(SLOTS)).isin(frequent)
-    rows = texts.select(*key, h).select(*key, F.when(~out, F.col("h")).alias("h")).withColumn("g", F.xxhash64("h"))
-    half, sums = REPLICAS // 2, [F.bit_xor(F.when(F.col("h").isNotNull(), F.col("g"))).alias("all")]
+def with_fingerprint(rows: DataFrame, text: str, name: str, frequent: list[int], mask: list[int]) -> DataFrame:
+    """Adds the fingerprint of a text column: four signs for all terms and four for each subset, dots where it is empty."""
+    sides = [lambda h: h, lambda h: F.xxhash64(h), lambda h: F.xxhash64(h, F.lit(1))]
+    rows = rows.withColumn("_l0", F.array(band_terms(F.col(text), frequent, mask)))
+    signs = ["_s0"]
+    rows = rows.withColumn("_s0", _four(F.get("_l0", F.lit(0))))
     for level in range(1, LEVELS + 1):
-        for r in range(REPLICAS):
-            side, mask = ("h", "g")[r // half], (4**level - 1) << (2 * LEVELS * (r % half))
-            sums.append(F.bit_xor(F.when(F.col(side).bitwiseAND(F.lit(mask)) == 0, F.xxhash64(side))).alias(f"s{level}_{r}"))
-    rows = rows.withColumn("g", F.when(F.col("h").isNotNull(), F.col("g")))
-    hashed = rows.groupBy(*key).agg(*sums)
-    return hashed.select(*key, F.concat(*[_four(F.col(c)) for c in hashed.columns if c not in key]).alias("fingerprint"))
+
+        def kept(r: int, level: int = level) -> Column:
+            bits = 3 << (2 * (LEVELS * (r % TO_A_HASH) + level - 1))
+            side = sides[r // TO_A_HASH]
+            return F.filter(F.get(f"_l{level - 1}", F.lit(0 if level == 1 else r)), lambda h: side(h).bitwiseAND(F.lit(bits)) == 0)
+
+        rows = rows.withColumn(f"_l{level}", F.array(*[kept(r) for r in range(REPLICAS)])).drop(f"_l{level - 1}")
+        rows = rows.withColumn(f"_s{level}", F.array_join(F.transform(f"_l{level}", _four), ""))
+        signs.append(f"_s{level}")
+    return rows.withColumn(name, F.concat(*signs)).drop(*signs, f"_l{LEVELS}")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -69,19 +91,20 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _bucket(docs: DataFrame, rows: int) -> Column:
-    """A number for ranges of column key, in its order, of about as many rows: interpolated between 64-quantiles."""
-    cuts = docs.agg(F.percentile_approx("key", [i / 64 for i in range(65)], 10_000), F.count("*")).first()
+    """A number for ranges of column key, in its order, of about as many rows: between quantiles, and interpolated inside these."""
+    many = 256
+    cuts = docs.agg(F.percentile_approx("key", [i / many for i in range(many + 1)], 10_000), F.count("*")).first()
     edges = sorted({int(x) for x in cuts[0] or [0]})
     each = max(1, round(cuts[1] / max(len(edges) - 1, 1) / rows))
-    out = F.lit(0)
-    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        inner = F.least(F.floor((F.col("key").cast("double") - float(a)) / max(float(b) - float(a), 1.0) * each), F.lit(each - 1))
-        out = F.when(F.col("key") >= a, i * each + F.greatest(inner, F.lit(0))).otherwise(out)
-    return out.cast("long")
+    held = F.from_json(F.lit(str([*edges, edges[-1] + 1])), "array<bigint>")
+    at = F.greatest(F.size(F.filter(held, lambda e: e <= F.col("key"))) - 1, F.lit(0))
+    low, high = F.get(held, at).cast("double"), F.get(held, at + 1).cast("double")
+    inner = F.least(F.floor((F.col("key").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * each), F.lit(each - 1))
+    return (at * each + F.greatest(F.coalesce(inner, F.lit(0)), F.lit(0))).cast("long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(key, text, bucket, ...) with place in its bucket, and next_text of the row with the next smaller key (ties: smaller text); after the last row comes the first.
+    """docs(key, text, bucket, ...) with next_text of the row with the next smaller key (ties: smaller text); after the last row comes the first.
 
     Rows are sorted in buckets of bounded size. Each bucket also gets, as a last row with guest true, the first row of the
     bucket below it, found by a window over the short list of buckets.
@@ -93,7 +116,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     guests = docs.join(ends, "key").select(*[c for c in docs.columns if c != "bucket"], F.col("_into").alias("bucket"), F.lit(True).alias("guest"))
     both = docs.withColumn("guest", F.lit(False)).select(*guests.columns).unionAll(guests)
     order = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), F.desc("text"))
-    return both.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
+    return both.withColumn("next_text", F.lead("text").over(order))
 
 
 def fingerprint_documents(docs: DataFrame, max_share: float = 0.1) -> DataFrame:
@@ -108,16 +131,14 @@ def fingerprint_documents(docs: DataFrame, max_share: float = 0.1) -> DataFrame:
     """
     size = docs.count()
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_KEY)).alias("key"))
-    frequent = frequent_slots(docs, max_share)
+    frequent, mask = band(docs, max_share)
     rows = with_next(docs.withColumn("bucket", _bucket(docs, max(500, min(20_000, size // 400)))))
     third = "cast(floor(length(text) / 3) as int)"
     edited = F.expr(f"concat(substring(text, 1, length(text) - {third}), substring(next_text, 1, {third}))")
-    rows = rows.withColumn("edited", F.coalesce(edited, F.lit("")))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
-    key = ["bucket", "place", "which", "doc_id", "guest", "n_chars", "edited_sha256"]
-    texts = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t")
-    texts = rows.select(*[c for c in key if c != "which"], texts).select(*[c for c in key if c != "which"], "t.which", "t.text")
-    order = Window.partitionBy("bucket").orderBy("place", "which")
-    marked = fingerprints(texts, key, frequent).withColumn("edited_fingerprint", F.lead("fingerprint", 1).over(order)).withColumn("_next", F.lead("fingerprint", 2).over(order))
-    out = marked.filter("which = 0 and not guest")
+    rows = rows.withColumn("edited", F.when(~F.col("guest"), F.coalesce(edited, F.lit(""))))
+    rows = with_fingerprint(rows, "text", "fingerprint", frequent, mask)
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), F.desc("text"))
+    rows = rows.withColumn("_next", F.lead("fingerprint").over(order)).filter("not guest").drop("next_text")
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).drop("text")
+    out = with_fingerprint(rows, "edited", "edited_fingerprint", frequent, mask)
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "_next").alias("near_next"))
