@@ -553,3 +553,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     discard(sets)
     smallest = out.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return out.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def drop_copies(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+    """docs without the rows that are near copies of another one: of each class the row with the smallest doc_id stays.
+
+    Rows count one by one: of rows with one doc_id and text one stays, whichever; rows with one doc_id and different texts
+    don't drag each other along; a null doc_id comes last in its class. Rows without words all stay. Columns are kept.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), percent, width).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
+    groups = materialize(groups.join(keyed.select(row, "doc_id"), row), "groups")
+    first = groups.groupBy("component_id").agg(F.min_by(row, order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    gone = groups.join(first, "component_id").filter(F.col(row) != F.col("_first")).select(row)
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)

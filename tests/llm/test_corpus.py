@@ -116,3 +116,24 @@ def test_stages_keep_clean_documents_and_place_every_token(spark, corpus, tmp_pa
         assert o == ends.get(s, 0)
         ends[s] = o + n
     assert max(ends.values()) <= 2048
+
+
+def test_pipeline_runs_over_odd_rows_and_none(spark, corpus, tmp_path):
+    docs, labels = corpus
+    pipeline = importlib.import_module("corpus_pipeline")
+    good = docs.filter("doc_id = 1").first()
+    other = docs.filter("doc_id = 2").first()
+    odd = [(1, good.text), (None, good.text), (None, other.text + " and a tail of its own"), (7001, None), (7002, ""), (3, " ".join(reversed(docs.filter("doc_id = 3").first().text.split())))]
+    rows = [tuple((dict(doc_id=i, text=t)[c] if c in ("doc_id", "text") else good[c]) for c in docs.columns) for i, t in odd]
+    docs.unionByName(spark.createDataFrame(rows, docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    whole = Counter(r.doc_id for r in out if r.piece == 0)
+    assert {i for i in range(300) if i % 4} <= set(whole) and None not in whole
+    kept = pipeline.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    ids = Counter(r.doc_id for r in kept)
+    assert ids[1] == 1 and ids[None] == 0 and ids[3] == 2 and ids[7001] == ids[7002] == 1
+    none = tmp_path / "none"
+    docs.filter("false").write.parquet(str(none / "documents.parquet"))
+    labels.filter("false").write.parquet(str(none / "labels.parquet"))
+    assert pipeline.run(spark, str(none)).count() == 0

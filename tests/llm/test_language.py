@@ -179,6 +179,46 @@ def test_next_documents_and_likeness(spark):
         assert 0 <= rows[i].near_edited <= 1 and 0 <= rows[i].near_next <= 1
 
 
+def test_fingerprints_are_those_of_sorted_terms_in_the_band(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join(["common", *rng.choice(words, int(rng.integers(0, 200))), f"once{i}"]) for i in range(40)} | {50: None, 51: " \t", 52: "Common COMMON"}
+    docs = frame(spark, texts)
+    frequent, mask = fingerprints.band(docs.fillna("", "text"), 0.5)
+    low = {i: {w for w in re.split(r"[ \t-\r]+", (t or "").lower())} for i, t in texts.items()}
+    df = Counter(w for ws in low.values() for w in ws)
+    number = {r.w: (r.h, r.g, r.k) for r in spark.createDataFrame([(w,) for w in df], "w string").selectExpr("w", "xxhash64(w) as h", "xxhash64(xxhash64(w)) as g", "xxhash64(xxhash64(w), 1) as k").collect()}
+    slots = Counter()
+    for w, n in df.items():
+        slots[number[w][0] % fingerprints.SLOTS] += n
+    assert set(frequent) == {number[w][0] for w, n in df.items() if n > 0.5 * len(texts)}
+    lists = {}
+    for i, ws in low.items():
+        own = sorted(number[w] for w in ws if w and df[w] <= 0.5 * len(texts) and slots[number[w][0] % fingerprints.SLOTS] > 1)
+        lists[i] = [[x[0] for x in own]]
+        for level in range(1, fingerprints.LEVELS + 1):
+            for r in range(fingerprints.REPLICAS):
+                bits = (4**level - 1) << (2 * fingerprints.LEVELS * (r % fingerprints.TO_A_HASH))
+                lists[i].append([x[0] for x in own if x[r // fingerprints.TO_A_HASH] & bits == 0])
+    flat = spark.createDataFrame([(i, k, x) for i, ls in lists.items() for k, x in enumerate(ls)], "i long, k int, x array<long>").selectExpr("i", "k", "case when size(x) = 0 then '....' else lpad(hex(pmod(xxhash64(x), 65536)), 4, '0') end as s")
+    want = {}
+    for r in sorted(flat.collect()):
+        want[r.i] = want.get(r.i, "") + r.s
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs, max_share=0.5).collect()}
+    assert {i: r.fingerprint for i, r in got.items()} == want
+
+    def like(a, b):
+        four = lambda f: [f[k : k + 4] for k in range(0, len(f), 4)]
+        x, y, n = four(a)[1:], four(b)[1:], fingerprints.REPLICAS
+        levels = [list(zip(x[k : k + n], y[k : k + n], strict=True)) for k in range(0, len(x), n)]
+        return 1.0 if a == b else max(sum(p == q != "...." for p, q in z) / max(3, sum((p, q) != ("....", "....") for p, q in z)) for z in levels)
+
+    order = sorted(texts, reverse=True)
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        assert math.isclose(got[i].near_next, like(want[i], want[j])) and math.isclose(got[i].near_edited, like(want[i], got[i].edited_fingerprint))
+    assert fingerprints.fingerprint_documents(docs.filter("false")).count() == 0
+
+
 def test_equal_texts_have_equal_fingerprints(spark):
     rows = fingerprints.fingerprint_documents(spark.createDataFrame([(i, "one two three four") for i in range(3)] + [(9, "five six")], "doc_id long, text string")).collect()
     assert len({r.fingerprint for r in rows if r.doc_id < 9}) == 1 and {r.near_next for r in rows if r.doc_id in (1, 2)} == {1.0}
@@ -239,3 +279,24 @@ def test_links_are_those_of_all_pairs(spark):
     assert len(got) == len(rows) and all(got[i][0] <= len(n) for i, n in near.items()) and found >= 0.9 * true > 0
     assert all(got[i] == (0, i, True) for i in (1000, 1001, 1002, 1003, 1007)) and got[1006][:2] == (1, 1005)
     assert all(g[2] == (i == g[1]) for i, g in got.items())
+
+
+@pytest.mark.parametrize("dim, common", [(64, 3.0), (128, 0.0)])
+def test_recall_does_not_depend_on_a_common_component(spark, dim, common):
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(500, dim)) + common * np.sqrt(dim) * np.eye(dim)[0]
+    near = np.repeat(base[:200], 2, 0)
+    away = rng.normal(size=near.shape)
+    away -= (away * near).sum(1, keepdims=True) / (near * near).sum(1, keepdims=True) * near
+    near = near + away / np.linalg.norm(away, axis=1, keepdims=True) * np.linalg.norm(near, axis=1, keepdims=True) * 0.19
+    x = np.concatenate([base, near])
+    rows = [(i, v.tolist(), "a label") for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(1) - 1
+    assert links.sum() >= 400 and sum(got.values()) >= 0.98 * links.sum() and all(got[i] <= n for i, n in enumerate(links))
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert embeddings.near_duplicates(none).count() == 0
