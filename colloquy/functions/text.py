@@ -31,10 +31,10 @@ def short(text: Column, limit: int) -> Column:
 
 
 def char_ngrams(text: Column, size: int = 3) -> Column:
-    """Different n-grams of the text without spaces; a shorter text is its own."""
-    bare = F.regexp_replace(text, " ", "")
-    grams = F.transform(F.sequence(F.lit(1), F.length(bare) - size + 1), lambda i: F.substring(bare, i, F.lit(size)))
-    return F.when(F.length(bare) <= size, F.array(bare)).otherwise(F.array_distinct(grams))
+    """Different n-grams of the normalised text without spaces; a shorter text is its own, an empty one has none."""
+    bare = F.regexp_replace(normalize(text), " ", "")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - size + 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(size)))
+    return F.when(F.length(bare) == 0, F.array().cast("array<string>")).when(F.length(bare) <= size, F.array(bare)).otherwise(F.array_distinct(grams))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -49,6 +49,21 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, b)) / F.size(own))
 
 
+def ranked(a: Column) -> Column:
+    """Each item with how many equal ones come before it: as a set, these pairs are the multiset."""
+    return F.transform(a, lambda x, i: F.struct(x.alias("t"), F.size(F.filter(F.slice(a, F.lit(1), i), lambda y: y == x)).alias("k")))
+
+
+def multiset_intersect(a: Column, b: Column) -> Column:
+    """Items of a that b has as well, each as often as in both, in the order of a."""
+    return F.transform(F.array_intersect(ranked(a), ranked(b)), lambda x: x["t"])
+
+
+def multiset_except(a: Column, b: Column) -> Column:
+    """Items of a beyond those that b has, in the order of a; of equal items the first ones are matched."""
+    return F.transform(F.array_except(ranked(a), ranked(b)), lambda x: x["t"])
+
+
 def suffix_prefix(a: Column, b: Column) -> Column:
     """The longest k so that the last k items of a are the first k of b."""
     most = F.least(F.size(a), F.size(b))
@@ -106,3 +121,70 @@ def level_db(samples: Column, floor: float = -120.0) -> Column:
     """Root mean square in dB, at least floor; floor for no samples."""
     mean = dot(samples, samples) / F.greatest(F.size(samples), F.lit(1))
     return F.round(F.greatest(F.when(mean > 0, 10 * F.log10(mean)).otherwise(floor), F.lit(floor)), 3)
+
+
+def unit(vector: Column | str) -> Column:
+    """The vector at length 1; a zero vector stays."""
+    vector = F.col(vector) if isinstance(vector, str) else vector
+    size = F.sqrt(dot(vector, vector))
+    return F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size)).otherwise(F.transform(vector, lambda x: x.cast("double")))
+
+
+def target_score(x: Column, positive: Column, negative: Column) -> Column:
+    """Similarity to a voice, less that to its contrast; a missing contrast counts 0."""
+    return cosine(x, positive) - cosine(x, negative)
+
+
+def peak_db(samples: Column) -> Column:
+    """The largest amplitude in dB; -240 for silence, -120 for no samples."""
+    top = F.array_max(F.transform(samples, lambda x: F.abs(x.cast("double"))))
+    return F.coalesce(F.round(20 * F.log10(top + 1e-12), 3), F.lit(-120.0))
+
+
+def zero_lag_corr(a: Column, b: Column, least: int = 160) -> Column:
+    """Absolute Pearson correlation of the samples that both have; 0 for fewer than least, or flat ones."""
+    n = F.least(F.size(a), F.size(b))
+    x, y = F.slice(a, F.lit(1), F.greatest(n, F.lit(1))), F.slice(b, F.lit(1), F.greatest(n, F.lit(1)))
+
+    def mean(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda s, w: s + w.cast("double")) / n
+
+    def centred(v: Column) -> Column:
+        return F.transform(v, lambda w: w.cast("double") - mean(v))
+
+    return F.when(n < least, 0.0).otherwise(F.abs(cosine(centred(x), centred(y))))
+
+
+def shifted(samples: Column, by: int) -> Column:
+    """The signal of equal length moved by some samples, zeros where nothing is left; negative numbers move it forward."""
+    n = F.size(samples)
+    zeros = F.array_repeat(F.lit(0.0), F.least(F.lit(abs(by)), n))
+    kept = F.greatest(n - abs(by), F.lit(0))
+    body = F.transform(F.slice(samples, F.lit(1 if by >= 0 else 1 - by), kept), lambda x: x.cast("double"))
+    return F.concat(zeros, body) if by >= 0 else F.concat(body, zeros)
+
+
+def vad_ratio(raw: Column, clean: Column, frame: int, threshold: float) -> Column:
+    """Full frames of the clean signal at or over the threshold in dB, by those of the raw signal; 1 if the raw one has none."""
+
+    def active(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(x) / frame).cast("int") - 1, F.lit(0))), lambda i: F.slice(x, i * frame + 1, F.lit(frame)))
+        return F.size(F.filter(parts, lambda p: (F.size(p) == frame) & (10 * F.log10(dot(p, p) / frame + 1e-12) >= threshold)))
+
+    return F.when(active(raw) == 0, 1.0).otherwise(active(clean) / active(raw))
+
+
+def dedupe_strings(values: Column) -> Column:
+    """Trimmed different strings in the order of their first use, without nulls and empty ones."""
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+
+
+def edit_le_1(a: Column, b: Column) -> Column:
+    """Whether one edit at most leads from a to b; lengths are compared first."""
+    return (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b) <= 1)
+
+
+def probable_noise(text: Column, ms: Column, mean_p: Column, low_share: Column) -> Column:
+    """At most two words in three seconds and more, with a low mean probability or many improbable tokens; unknown figures speak for neither."""
+    few = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")) <= 2
+    return few & (ms >= 3000) & (F.coalesce(mean_p < 0.64, F.lit(False)) | F.coalesce(low_share >= 0.45, F.lit(False)))

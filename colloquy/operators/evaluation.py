@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions import text as tx
+from colloquy.operators.intervals import with_carry
 
-def multiset_prf(rows: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
-    """key, both, recall (of left), precision (of right), f1 of two token arrays as multisets; null ratios where a side is empty. key identifies rows."""
-
-    def counts(name: str) -> DataFrame:
-        return rows.select(*key, F.explode(name).alias("_t")).groupBy(*key, "_t").agg(F.count("*").alias(f"_{name}"))
 
-    both = counts(left).join(counts(right), [*key, "_t"]).groupBy(*key).agg(F.sum(F.least(f"_{left}", f"_{right}")).alias("both"))
-    out = rows.select(*key, F.size(left).alias("_l"), F.size(right).alias("_r")).join(both, key, "left").withColumn("both", F.coalesce("both", F.lit(0)))
+def multiset_prf(rows: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
+    """key, both, recall (of left), precision (of right), f1 of two token arrays as multisets; null ratios where a side is empty. Row by row, without a shuffle."""
+    out = rows.select(*key, F.size(left).alias("_l"), F.size(right).alias("_r"), F.size(tx.multiset_intersect(F.col(left), F.col(right))).cast("long").alias("both"))
     recall, precision = F.when(F.col("_l") > 0, F.col("both") / F.col("_l")), F.when(F.col("_r") > 0, F.col("both") / F.col("_r"))
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).when(precision + recall == 0, 0.0)
     return out.select(*key, "both", recall.alias("recall"), precision.alias("precision"), f1.alias("f1"))
@@ -71,3 +69,115 @@ def baseline_compare(current: DataFrame, baseline: DataFrame, higher_is_better:
     ok = F.when(higher_is_better, F.col("value") >= threshold).otherwise(F.col("value") <= threshold)
     status = F.when(F.col("base").isNull(), "warn").when(ok, "pass").otherwise("fail")
     return both.select(F.col("metric").alias("id"), F.when(F.col("base").isNull(), "soft").otherwise("hard").alias("severity"), status.alias("status"), F.col("value").alias("observed"), threshold.alias("threshold"))
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, of: dict[str, float]) -> DataFrame:
+    """by and exact percentiles {name: share}, linear between neighbours; nulls are left out, and keys without values have no row.
+
+    Equal values are counted first, and running counts are carried over buckets of the key's values, so no task sorts a key.
+    """
+    spread = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ends = spread.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_t"))
+    counts = spread.join(ends, by).withColumn("_k", F.coalesce(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)) * 64), F.lit(0)))
+    counts = with_carry(counts, by, {"_before": (F.sum("_n"), F.sum)})
+    run = Window.partitionBy(*by, "_k").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_c", F.coalesce("_before", F.lit(0)) + F.sum("_n").over(run))
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("_c") > place, F.col(value)))
+
+    found = []
+    for name, q in of.items():
+        place = (F.col("_t") - 1) * F.lit(q)
+        found += [at(F.floor(place)).alias(f"{name}_lo"), at(F.ceil(place)).alias(f"{name}_hi"), F.first(place - F.floor(place)).alias(f"{name}_w")]
+    out = counts.groupBy(*by).agg(*found)
+    return out.select(*by, *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_w")).alias(n) for n in of])
+
+
+def centroids(rows: DataFrame, by: str, embedding: str) -> DataFrame:
+    """by and the mean vector of unit length."""
+    x = rows.select(by, F.posexplode(embedding).alias("i", "v")).groupBy(by, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    mean = x.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+    return mean.withColumn("centroid", tx.unit("centroid"))
+
+
+#: Centroids that may be sent to every task.
+MOST_CENTROIDS = 10_000
+
+
+def _similarities(rows: DataFrame, centers: DataFrame, by: str, embedding: str) -> DataFrame:
+    """rows with `_s`: (similarity, class) of every centroid, nearest first, ties by class. The table of centroids is checked to be small."""
+    if centers.count() > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids: look for near vectors in tables instead")
+    held = centers.agg(F.collect_list(F.struct(F.col(by).alias("k"), F.col("centroid").alias("c"))).alias("_all"))
+    own = rows.join(F.broadcast(held)).withColumn("_u", tx.unit(embedding))
+    ranked = F.array_sort(F.transform("_all", lambda x: F.struct((-tx.dot(F.col("_u"), x["c"])).alias("d"), x["k"].alias("k"))))
+    return own.withColumn("_s", ranked).drop("_all", "_u")
+
+
+def nearest_centroid(rows: DataFrame, centers: DataFrame, by: str, embedding: str, similarity: float, margin: float) -> DataFrame:
+    """rows with `assigned`: the class of the nearest centroid if it is near enough and leads by the margin; a single centroid leads by its similarity."""
+    near = _similarities(rows, centers, by, embedding)
+    first, second = -F.get("_s", F.lit(0))["d"], -F.coalesce(F.get("_s", F.lit(1))["d"], F.lit(0.0))
+    return near.withColumn("assigned", F.when((first >= similarity) & (first - second >= margin), F.get("_s", F.lit(0))["k"])).drop("_s")
+
+
+def _cohesion(rows: DataFrame, by: str, embedding: str) -> DataFrame:
+    """rows with `similarity` to the centroid of their own class."""
+    return rows.join(centroids(rows, by, embedding), by).withColumn("similarity", tx.dot(tx.unit(embedding), F.col("centroid"))).drop("centroid")
+
+
+def cluster_stats(rows: DataFrame, by: str, embedding: str, at: str) -> DataFrame:
+    """by, units, first, last, cohesion_median, cohesion_p10 of clusters."""
+    near = _cohesion(rows, by, embedding)
+    sums = near.groupBy(by).agg(F.count("*").alias("units"), F.min(at).cast("long").alias("first"), F.max(at).cast("long").alias("last"))
+    spread = percentiles(near, [by], "similarity", {"cohesion_median": 0.5, "cohesion_p10": 0.1})
+    return sums.join(spread.select(by, *[F.round(c, 6).alias(c) for c in ("cohesion_median", "cohesion_p10")]), by)
+
+
+def assign_speakers(rows: DataFrame, key: str, by: str, embedding: str, overlaps: DataFrame, least_units: int, similarity: float, margin: float) -> DataFrame:
+    """key, speaker and reason: members of large clusters that are near their centroid and not nearly as near to another large one's.
+
+    Rows with is_unit false have no voice evidence. Of overlaps(a, b) between two speakers both sides lose theirs; all conflicts are found first.
+    """
+    large = rows.groupBy(by).count().filter(F.col("count") >= least_units).select(by)
+    centers = centroids(rows, by, embedding)
+    near = _similarities(rows, centers.join(large, by, "left_semi"), by, embedding)
+    near = near.join(centers, by).withColumn("own", tx.dot(tx.unit(embedding), F.col("centroid")))
+    other = -F.get(F.filter("_s", lambda x: x["k"] != F.col(by)), F.lit(0))["d"]
+    is_large = F.exists("_s", lambda x: x["k"] == F.col(by))
+    reason = F.when(~F.col("is_unit"), "not_an_embedding_unit").when(~is_large, "minor_or_unstable_cluster").when(F.col("own") < similarity, "low_cluster_similarity")
+    reason = reason.when(F.col("own") - F.coalesce(other, F.lit(0.0)) < margin, "low_cluster_margin").otherwise("stable_anonymous_cluster")
+    first = near.select(key, F.col(by).alias("_by"), reason.alias("reason")).withColumn("speaker", F.when(F.col("reason") == "stable_anonymous_cluster", F.col("_by"))).drop("_by")
+    said = first.filter("speaker is not null")
+    a, b = (said.select(F.col(key).alias(s), F.col("speaker").alias(f"_{s}")) for s in "ab")
+    both = overlaps.join(a, "a").join(b, "b").filter("_a <> _b")
+    conflict = both.select(F.explode(F.array("a", "b")).alias(key)).distinct().withColumn("_conflict", F.lit(True))
+    out = first.join(conflict, key, "left")
+    return out.select(key, F.when(F.col("_conflict").isNull(), F.col("speaker")).alias("speaker"), F.when(F.col("_conflict").isNull(), F.col("reason")).otherwise("possible_remote_double_talk").alias("reason"))
+
+
+def purity_report(aligned: DataFrame, published: int, least_words: int = 5, split_share: float = 0.15, minority_share: float = 0.05) -> DataFrame:
+    """One row of figures for aligned(speaker, cluster or null, words, matched): all from the table of counts by speaker and cluster."""
+    cells = aligned.groupBy("speaker", "cluster", "matched").agg(F.sum("words").alias("w"))
+    reference = cells.groupBy("speaker").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("matched"), F.col("w"))).alias("total"))
+    totals = reference.agg(F.sum("n").alias("all"), F.sum("total").alias("matched"), F.count("*").alias("speakers"))
+    found = cells.filter("matched and cluster is not null").groupBy("speaker", "cluster").agg(F.sum("w").alias("w"))
+
+    def best(by: str, other: str) -> DataFrame:
+        return found.groupBy(by).agg(F.max("w").alias("w"), F.min_by(other, F.struct(-F.col("w"), F.col(other))).alias(other))
+
+    collisions = best("speaker", "cluster").join(reference, "speaker").filter(F.col("total") >= least_words).groupBy("cluster").count().filter("count > 1").agg(F.count("*").alias("collisions"))
+    share = F.col("w") / F.greatest(F.lit(1), F.col("total"))
+    split = found.join(reference, "speaker").filter((F.col("w") >= least_words) & (share >= split_share)).groupBy("speaker").count().filter("count > 1").agg(F.count("*").alias("split_speakers"))
+    small = reference.join(F.broadcast(totals)).filter(F.col("n") / F.greatest(F.lit(1), F.col("all")) <= minority_share).select("speaker", "n")
+    minority = small.agg(F.count("*").alias("minority"), F.sum("n").alias("minority_words"))
+    kept = best("cluster", "speaker").join(small.select("speaker"), "speaker", "left_semi").agg(F.sum("w").alias("minority_kept"))
+    dominant = best("cluster", "speaker").agg(F.sum("w").alias("dominant"))
+    attributed = found.agg(F.sum("w").alias("attributed"))
+    one = totals
+    for part in (collisions, split, minority, kept, dominant, attributed):  # one row each
+        one = one.join(F.broadcast(part))
+    alignment, pure = F.col("matched") / F.col("all"), F.col("dominant") / F.col("attributed")
+    route = F.when(alignment < 0.55, "EVIDENCE_BOUND").when((F.col("collisions") > 0) | (F.col("speakers") > published), "ADVANCE_SEGMENTATION").when(pure < 0.95, "ADVANCE_USABILITY_GATE").otherwise("EVIDENCE_BOUND")
+    return one.select(alignment.alias("alignment"), pure.alias("purity"), "collisions", "split_speakers", "minority", (F.col("minority_kept") / F.col("minority_words")).alias("minority_recall"), route.alias("route"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.plans import interval_queries, ladder_queries, review_queries, text_queries  # noqa: F401
+from colloquy.plans import decision_queries, interval_queries, ladder_queries, matching_queries, note_queries, review_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

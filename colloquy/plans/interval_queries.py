@@ -129,8 +129,8 @@ def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("isolation_lag_lead", f"""{W} SELECT id FROM (SELECT id, s - lag(e) OVER w AS before, lead(s) OVER w - e AS after FROM iv WINDOW w AS (PARTITION BY day, track ORDER BY s, id)) WHERE coalesce(before, 8000) >= 8000 AND coalesce(after, 8000) >= 8000""")
 def isolation_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("day", "track").orderBy("start", "id")
-    gaps = intervals(spark, sf_dir).select("id", (F.col("start") - F.lag("end").over(w)).alias("before"), (F.lead("start").over(w) - F.col("end")).alias("after"))
+    near = iv.lagged(intervals(spark, sf_dir), ["day", "track"], ["start", "id"], {"_end": "end"}, {"_start": "start"})
+    gaps = near.select("id", (F.col("start") - F.col("_end")).alias("before"), (F.col("_start") - F.col("end")).alias("after"))
     return gaps.filter((F.coalesce("before", F.lit(8000)) >= 8000) & (F.coalesce("after", F.lit(8000)) >= 8000)).select("id")
 
 

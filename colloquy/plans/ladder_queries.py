@@ -44,8 +44,7 @@ _BOUNDARY = """b AS (SELECT id, coalesce(gap >= 600000, FALSE) OR coalesce(d >=
 
 
 def _boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gap = F.col("start") - F.lag("end").over(Window.partitionBy("day").orderBy("start", "id"))
-    rows = intervals(spark, sf_dir).withColumn("gap", gap)
+    rows = iv.lagged(intervals(spark, sf_dir), ["day"], ["start", "id"], {"_end": "end"}).withColumn("gap", F.col("start") - F.col("_end"))
     distance = F.when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 10) / 10.0)
     found = boundary(F.col("gap"), distance, (F.col("id") % 7) / 7.0, F.col("track") == "view", F.col("end") - F.col("start") < 5000, 600_000, 0.5)
     return rows.select("id", found.alias("found"), (F.col("user_id") % 2 == 0).alias("truth"))
@@ -63,32 +62,6 @@ def boundary_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("precision", F.when(F.col("tp") + F.col("fp") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fp")))).withColumn("recall", F.when(F.col("tp") + F.col("fn") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fn"))))
 
 
-@register("suggested_decision", "SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'drop_me' ELSE 'needs_review' END WHEN 'error' THEN 'drop_me' WHEN 'signup' THEN 'keep_me' ELSE 'needs_review' END AS decision, CASE WHEN event_type = 'click' AND user_id % 3 = 0 AND value >= 90 THEN 'high' WHEN event_type IN ('click', 'error') THEN 'medium' ELSE 'low' END AS confidence FROM events")
-def suggested_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, hinted = F.col("event_type"), F.col("user_id") % 3 == 0
-    decision = rv.ladder("needs_review", ((kind == "click") & hinted, "drop_me"), (kind == "error", "drop_me"), (kind == "signup", "keep_me"))
-    sure = rv.ladder("low", ((kind == "click") & hinted & (F.col("value") >= 90), "high"), (kind.isin("click", "error"), "medium"))
-    return table(spark, sf_dir, "events").select("event_id", decision.alias("decision"), sure.alias("confidence"))
-
-
-@register("order_blocking", "SELECT event_id, CASE WHEN event_type = 'error' THEN TRUE WHEN event_type = 'signup' THEN FALSE WHEN user_id % 6 >= 3 AND (value / 500 <= 0.2 OR user_id % 8 <= 3) THEN FALSE ELSE TRUE END AS blocking FROM events")
-def order_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A role mismatch blocks, an ambiguous match doesn't, nor does one of three and more with a small margin or few words."""
-    many = (F.col("user_id") % 6 >= 3) & ((F.col("value") / 500 <= 0.2) | (F.col("user_id") % 8 <= 3))
-    blocking = F.when(F.col("event_type") == "error", True).when(F.col("event_type") == "signup", False).when(many, False).otherwise(True)
-    return table(spark, sf_dir, "events").select("event_id", blocking.alias("blocking"))
-
-
-@register("overlap_classify", f"""{W}, {_SHARE}, u AS (SELECT user_id, unnest([{{'s': round(local * 100, 3), 'k': 'double_talk'}}, {{'s': round(remote * 100, 3), 'k': 'leak'}}, {{'s': round(dbl * 100, 3), 'k': 'noise'}}]) AS x FROM s),
-r AS (SELECT user_id, x.s AS s, x.k AS k, row_number() OVER (PARTITION BY user_id ORDER BY x.s DESC, x.k DESC) AS r, lead(x.s) OVER (PARTITION BY user_id ORDER BY x.s DESC, x.k DESC) AS second FROM u) SELECT user_id, CASE WHEN s < 40 OR s - second < 12 THEN 'needs_review' ELSE k END AS label FROM r WHERE r = 1""")
-def overlap_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The category with the highest score, if it is high enough and leads by 12."""
-    scores = F.array(*[F.struct(F.round(F.col(c) * 100, 3).alias("s"), F.lit(k).alias("k")) for c, k in (("local", "double_talk"), ("remote", "leak"), ("double", "noise"))])
-    ranked = _share(spark, sf_dir).withColumn("r", F.sort_array(scores, asc=False))
-    top, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
-    return ranked.select("user_id", F.when((top["s"] < 40) | (top["s"] - second["s"] < 12), "needs_review").otherwise(top["k"]).alias("label"))
-
-
 @register("age_filter", "SELECT event_id, CASE event_type WHEN 'click' THEN 1800 WHEN 'view' THEN 86400 WHEN 'error' THEN 604800 WHEN 'signup' THEN 2419200 END AS seconds FROM events")
 def age_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = rv.ladder("soon", (F.col("event_type") == "click", "30m"), (F.col("event_type") == "view", "24h"), (F.col("event_type") == "error", "7d"), (F.col("event_type") == "signup", "4w"))
@@ -114,12 +87,6 @@ def temporal_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session", "turn", F.when(shared > 0, shared / F.greatest(F.lit(1), F.least(e - s, ne - ns))).otherwise(near).alias("similarity"))
 
 
-@register("safe_cast", "SELECT event_id, TRY_CAST(CASE WHEN user_id % 3 = 0 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS DOUBLE) AS number FROM events")
-def safe_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(F.col("user_id") % 3 == 0, F.col("event_type")).otherwise(F.col("user_id").cast("string"))
-    return table(spark, sf_dir, "events").select("event_id", raw.try_cast("double").alias("number"))
-
-
 @register("eta", f"{W} SELECT day, CASE WHEN done > 0 THEN CAST(spent AS DOUBLE) / done * (n - done) END AS remaining FROM (SELECT day, count(*) AS n, count_if(track = 'click') AS done, sum(CASE WHEN track = 'click' THEN e - s ELSE 0 END) AS spent FROM iv GROUP BY day)")
 def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time spent per finished item times the items that remain; unknown before the first."""
@@ -132,11 +99,13 @@ def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks before the first changed one are reused, all from there on made again."""
     c = intervals(spark, sf_dir).groupBy("day", F.expr("start div 60000").alias("chunk")).agg(F.bool_or(F.col("id") % 97 == 0).alias("changed"))
-    first = F.min(F.when(F.col("changed"), F.col("chunk"))).over(Window.partitionBy("day"))
-    return c.withColumn("first", first).select("day", "chunk", F.when(F.col("first").isNull() | (F.col("chunk") < F.col("first")), "reuse").otherwise("recompute").alias("plan"))
+    first = c.groupBy("day").agg(F.min(F.when(F.col("changed"), F.col("chunk"))).alias("first"))
+    return c.join(first, "day").select("day", "chunk", F.when(F.col("first").isNull() | (F.col("chunk") < F.col("first")), "reuse").otherwise("recompute").alias("plan"))
 
 
 @register("causal_target_me_lag", f"{W} SELECT id, max(e) OVER (PARTITION BY day) - e > 3600000 AS skipped FROM iv")
 def causal_target_me_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optional work is skipped for what lags behind the latest end by more than the budget; the row stays."""
-    return intervals(spark, sf_dir).select("id", (F.max("end").over(Window.partitionBy("day")) - F.col("end") > 3_600_000).alias("skipped"))
+    rows = intervals(spark, sf_dir)
+    captured = rows.groupBy("day").agg(F.max("end").alias("captured"))
+    return rows.join(captured, "day").select("id", (F.col("captured") - F.col("end") > 3_600_000).alias("skipped"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.operators import evaluation as ev
+from colloquy.operators import review as rv
 from colloquy.plans.registry import register
 from colloquy.plans.views import TURNS_SQL, WORDS_SQL, table, turns, words
 
@@ -60,13 +61,15 @@ def sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("salted_rank", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('salt:' || doc_id), doc_id) AS rank FROM documents")
 def salted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("source").orderBy(F.sha2(F.concat(F.lit("salt:"), F.col("doc_id").cast("string")), 256), "doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(order).cast("long").alias("rank"))
+    """Ranks by salted hash: its first digits are the buckets that are ranked apart."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.concat(F.lit("salt:"), F.col("doc_id").cast("string")), 256).alias("h"))
+    return rv.ranked(rows, ["source"], ["h", "doc_id"], F.conv(F.substring("h", 1, 3), 16, 10).cast("long")).select("doc_id", "rank")
 
 
-@register("char_ngrams", """SELECT item_id, CASE WHEN length(b) <= 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(b) - 1), lambda i: substr(b, i, 3)))) END AS n FROM (SELECT item_id, replace(text, ' ', '') AS b FROM benchmark)""")
+@register("char_ngrams", f"""SELECT item_id, CASE WHEN length(b) = 0 THEN 0 WHEN length(b) <= 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(b) - 1), lambda i: substr(b, i, 3)))) END AS n FROM (SELECT item_id, replace({NORM}, ' ', '') AS b FROM (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN ' ' ELSE text END AS text FROM benchmark))""")
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(tx.char_ngrams(F.col("text"))).cast("long").alias("n"))
+    text = F.when(F.col("item_id") % 9 == 0, " ").otherwise(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.size(tx.char_ngrams(text)).cast("long").alias("n"))
 
 
 @register("jaccard", f"""{W}, {NEXT} SELECT session, turn, CASE WHEN len(tokens) = 0 OR len(after) = 0 THEN 0.0 ELSE CAST(len(list_intersect(list_distinct(tokens), after)) AS DOUBLE) / len(list_distinct(list_concat(tokens, after))) END AS jaccard FROM n WHERE after IS NOT NULL""")
@@ -96,24 +99,19 @@ def phrase_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("session", "turn", tx.count_sublist(F.col("after"), F.slice("tokens", 1, 1)).cast("long").alias("n"))
 
 
-@register("repeated_unit", """SELECT doc_id, list_min(list_filter([1, 2, 3, 4], lambda k: len(t) % k = 0 AND len(t) / k >= 4 AND len(list_filter(range(1, len(t) + 1), lambda i: t[i] <> t[(i - 1) % k + 1])) = 0)) AS unit
-FROM (SELECT doc_id, list_filter(string_split(""" + NORM + """, ' '), lambda x: x <> '') AS t FROM documents WHERE n_chars < 2000)""")
+@register("repeated_unit", """SELECT doc_id, list_min(list_filter([1, 2, 3, 4], lambda k: len(t) % k = 0 AND len(t) / k >= 4 AND array_to_string(t[:len(t) - k], ' ') = array_to_string(t[k + 1:], ' '))) AS unit
+FROM (SELECT doc_id, list_filter(string_split(""" + NORM + """, ' '), lambda x: x <> '') AS t FROM documents)""")
 def repeated_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 2000").select("doc_id", tx.tokens(F.col("text")).alias("t"))
-    return docs.select("doc_id", tx.repeated_unit(F.col("t")).alias("unit"))
-
-
-@register("repeated_unit_whole")
-def repeated_unit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """repeated_unit over every document, however long. A test holds it against brute force, as its SQL has the limit of n_chars."""
     docs = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
     return docs.select("doc_id", tx.repeated_unit(F.col("t")).alias("unit"))
 
 
-@register("edit_le_1", f"""{W}, {NEXT} SELECT session, turn, levenshtein(tokens[1], after[1]) <= 1 AS near FROM n WHERE len(tokens) > 0 AND len(after) > 0""")
+@register("edit_le_1", f"""{W}, {NEXT}, x AS (SELECT session, turn, unnest(tokens) AS a, after FROM n WHERE after IS NOT NULL) SELECT session, turn, count(*) AS tokens, count_if(len(list_filter(after, lambda b: levenshtein(a, b) <= 1)) > 0) AS near FROM x GROUP BY ALL""")
 def edit_le_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _pairs(spark, sf_dir).filter((F.size("tokens") > 0) & (F.size("after") > 0))
-    return both.select("session", "turn", (F.levenshtein(F.get("tokens", F.lit(0)), F.get("after", F.lit(0))) <= 1).alias("near"))
+    """How many tokens of a turn are at most one edit away from one of the next turn."""
+    both = _pairs(spark, sf_dir).filter(F.size("tokens") > 0)
+    near = F.filter("tokens", lambda a: F.exists("after", lambda b: tx.edit_le_1(a, b)))
+    return both.select("session", "turn", F.size("tokens").cast("long").alias("tokens"), F.size(near).cast("long").alias("near"))
 
 
 @register("cer", """WITH b AS (SELECT item_id, regexp_replace(text, '[^a-z ]', '', 'g') AS text FROM benchmark) SELECT a.item_id, CAST(levenshtein(a.text, b.text) AS DOUBLE) / length(a.text) AS cer FROM b a JOIN b ON b.item_id = a.item_id + 1""")
@@ -158,34 +156,21 @@ def multiset_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("multiset_except", f"{W}, {NEXT}, a AS (SELECT session, turn, unnest(tokens) AS t FROM n WHERE after IS NOT NULL), b AS (SELECT session, turn, unnest(after) AS t FROM n WHERE after IS NOT NULL) SELECT session, turn, t AS token FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
 def multiset_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
-    return p.select("session", "turn", F.explode("tokens").alias("token")).exceptAll(p.select("session", "turn", F.explode("after").alias("token")))
+    return p.select("session", "turn", F.explode(tx.multiset_except(F.col("tokens"), F.col("after"))).alias("token"))
 
 
 @register("multiset_intersect", f"{W}, {NEXT}, a AS (SELECT session, turn, unnest(tokens) AS t FROM n WHERE after IS NOT NULL), b AS (SELECT session, turn, unnest(after) AS t FROM n WHERE after IS NOT NULL) SELECT session, turn, t AS token FROM (SELECT * FROM a INTERSECT ALL SELECT * FROM b)")
 def multiset_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
-    return p.select("session", "turn", F.explode("tokens").alias("token")).intersectAll(p.select("session", "turn", F.explode("after").alias("token")))
-
-
-@register("inverted_index_anchor_join", f"""{W}, t AS (SELECT DISTINCT session, turn, track, unnest(tokens) AS t FROM words), d AS (SELECT t, count(*) AS df FROM t GROUP BY t),
-r AS (SELECT t.*, row_number() OVER (PARTITION BY session, turn ORDER BY df, t) AS k FROM t JOIN d USING (t)), p AS (SELECT * FROM r WHERE k <= 3)
-SELECT a.session AS left_session, a.turn AS left_turn, b.session AS right_session, b.turn AS right_turn, count(*) AS shared FROM p a JOIN p b ON a.t = b.t AND a.track = 'mic' AND b.track = 'remote' GROUP BY ALL""")
-def inverted_index_anchor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = words(spark, sf_dir).select("session", "turn", "track", F.explode(F.array_distinct("tokens")).alias("t"))
-    rare = t.join(t.groupBy("t").agg(F.count("*").alias("df")), "t")
-    rare = rare.withColumn("k", F.row_number().over(Window.partitionBy("session", "turn").orderBy("df", "t"))).filter("k <= 3")
-    a, b = (rare.filter(F.col("track") == k).select("t", F.col("session").alias(f"{s}_session"), F.col("turn").alias(f"{s}_turn")) for k, s in (("mic", "left"), ("remote", "right")))
-    return a.join(b, "t").groupBy("left_session", "left_turn", "right_session", "right_turn").agg(F.count("*").alias("shared"))
+    return p.select("session", "turn", F.explode(tx.multiset_intersect(F.col("tokens"), F.col("after"))).alias("token"))
 
 
-@register("semi_leak_join", _BAG + """ SELECT s.session, s.turn FROM s JOIN m USING (session, turn) JOIN words w USING (session, turn) WHERE w.track = 'mic' AND size >= 3 AND CAST(inter AS DOUBLE) / size >= 0.55""")
-def semi_leak_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mic = _pairs(spark, sf_dir).filter((F.col("track") == "mic") & (F.size("tokens") >= 3))
-    return ev.multiset_prf(mic, ["session", "turn"], "tokens", "after").filter("recall >= 0.55").select("session", "turn")
+_SHORT = """h AS (SELECT event_id AS id, CASE user_id % 4 WHEN 0 THEN 'thank you' WHEN 1 THEN 'so' WHEN 2 THEN 'see you all tomorrow' ELSE NULL END AS text, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + CAST(floor(value * 100) AS BIGINT) AS e, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id * 37 % 101) / 101e0 END AS p, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id * 53 % 103) / 103e0 END AS low FROM events)"""
 
 
-@register("hallucination_filter", f"""{W} SELECT session, turn FROM turns JOIN words USING (session, turn) WHERE len(tokens) <= 2 AND e - s >= 3000 AND (hash_p < 0.64) IS NOT FALSE""".replace("hash_p", "((turns.session * 37 + turns.turn) % 100) / 100.0"))
+@register("hallucination_filter", f"""WITH {_SHORT} SELECT id FROM h WHERE len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) <= 2 AND e - s >= 3000 AND (coalesce(p < 0.64, FALSE) OR coalesce(low >= 0.45, FALSE))""")
 def hallucination_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = turns(spark, sf_dir).join(words(spark, sf_dir).drop("track"), ["session", "turn"])
-    p = F.expr("(session * 37 + turn) % 100") / 100.0
-    return both.filter((F.size("tokens") <= 2) & (F.col("end") - F.col("start") >= 3000) & (p < 0.64)).select("session", "turn")
+    """Long remote stretches of at most two words that the recogniser wasn't sure of."""
+    text = F.when(F.col("user_id") % 4 == 0, "thank you").when(F.col("user_id") % 4 == 1, "so").when(F.col("user_id") % 4 == 2, "see you all tomorrow")
+    h = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), text.alias("text"), F.floor(F.col("value") * 100).alias("ms"), F.when(F.col("event_id") % 5 != 0, F.expr("(event_id * 37 % 101) / 101e0")).alias("p"), F.when(F.col("event_id") % 7 != 0, F.expr("(event_id * 53 % 103) / 103e0")).alias("low"))
+    return h.filter(tx.probable_noise(F.col("text"), F.col("ms"), F.col("p"), F.col("low"))).select("id")
