@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.plans import decision_queries, interval_queries, ladder_queries, matching_queries, note_queries, review_queries, text_queries  # noqa: F401
+from colloquy.plans import decision_queries, interval_queries, ladder_queries, matching_queries, note_queries, review_queries, session_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps between tracks of each day, with their kinds."""
-    return interval_queries.cross_role_overlap_join(spark, sf_dir)
+    return session_queries.cross_role_overlap_join(spark, sf_dir)

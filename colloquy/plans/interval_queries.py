@@ -140,24 +140,6 @@ def lag_order_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("start") + 1000 < F.col("previous_start")).select("id", "previous_start")
 
 
-@register("running_pareto", f"""{W} SELECT day, id FROM (SELECT *, e - s AS gain, max(e - s) OVER w AS best FROM iv WINDOW w AS (PARTITION BY day ORDER BY user_id, e - s DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE best IS NULL OR gain > best""")
-def running_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gain = F.col("end") - F.col("start")
-    w = Window.partitionBy("day").orderBy("user_id", gain.desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
-    return intervals(spark, sf_dir).withColumn("best", F.max(gain).over(w)).filter(F.col("best").isNull() | (gain > F.col("best"))).select("day", "id")
-
-
-@register("cross_role_overlap_join", f"""{W} SELECT a.id AS left_id, b.id AS right_id, least(a.e, b.e) - greatest(a.s, b.s) AS overlap_ms, CASE WHEN least(a.e, b.e) - greatest(a.s, b.s) <= 2000 THEN 'short_overlap' WHEN a.user_id = b.user_id THEN 'possible_duplicate' ELSE 'double_talk' END AS type
-FROM iv a JOIN iv b ON a.day = b.day AND a.track <> b.track AND (a.s < b.s OR a.s = b.s AND a.id < b.id) AND a.s < b.e AND a.e > b.s""")
-def cross_role_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = intervals(spark, sf_dir)
-    pairs = iv.overlap_join(rows, rows, ["day"], BUCKET)
-    first = (F.col("l.start") < F.col("r.start")) | ((F.col("l.start") == F.col("r.start")) & (F.col("l.id") < F.col("r.id")))
-    shared = iv.overlap(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end"))
-    kind = F.when(shared <= 2000, "short_overlap").when(F.col("l.user_id") == F.col("r.user_id"), "possible_duplicate").otherwise("double_talk")
-    return pairs.filter((F.col("l.track") != F.col("r.track")) & first).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), shared.alias("overlap_ms"), kind.alias("type"))
-
-
 @register("self_overlap_pairs", f"{W} SELECT a.id AS left_id, b.id AS right_id FROM iv a JOIN iv b ON a.day = b.day AND a.track = 'view' AND b.track = 'view' AND a.id < b.id AND least(a.e, b.e) - greatest(a.s, b.s) >= 500")
 def self_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _track(spark, sf_dir, "view")
@@ -213,14 +195,6 @@ def nearest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.col("near.id").alias("near_id"), F.abs(F.col("m") - F.col("near.m")).alias("distance"))
 
 
-@register("nearest_tolerance_join", f"""{W}, c AS (SELECT id, day, s AS m FROM iv WHERE track = 'purchase'), v AS (SELECT id, day, s AS m FROM iv WHERE track = 'click')
-SELECT id, near_id, distance, CASE WHEN nm <= m THEN 'before' ELSE 'after' END AS side FROM (SELECT c.id, c.m, v.id AS near_id, v.m AS nm, abs(c.m - v.m) AS distance, row_number() OVER (PARTITION BY c.id ORDER BY abs(c.m - v.m), v.m, v.id) AS r FROM c JOIN v USING (day)) WHERE r = 1 AND distance <= 5000""")
-def nearest_tolerance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right = (_track(spark, sf_dir, t).select("id", "day", F.col("start").alias("m")) for t in ("purchase", "click"))
-    found = iv.nearest(left, right, ["day"], "m", "id").withColumn("distance", F.abs(F.col("m") - F.col("near.m"))).filter("distance <= 5000")
-    return found.select("id", F.col("near.id").alias("near_id"), "distance", F.when(F.col("near.m") <= F.col("m"), "before").otherwise("after").alias("side"))
-
-
 @register("cumulative_order_windows", f"""{W}, b AS (SELECT day, (s // 3600000) AS block, min(s) AS bs, max(e) AS be FROM iv GROUP BY ALL) SELECT i.id, min(b.block) AS block FROM iv i JOIN b ON i.day = b.day AND i.s BETWEEN b.bs AND b.be GROUP BY i.id""")
 def cumulative_order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = intervals(spark, sf_dir)

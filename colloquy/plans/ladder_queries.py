@@ -27,12 +27,6 @@ def _share(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHARE = "s AS (SELECT user_id, CAST(sum(CASE WHEN track = 'click' THEN e - s ELSE 0 END) AS DOUBLE) / sum(e - s) AS local, CAST(sum(CASE WHEN track = 'view' THEN e - s ELSE 0 END) AS DOUBLE) / sum(e - s) AS remote, CAST(sum(CASE WHEN track IN ('error', 'signup') THEN e - s ELSE 0 END) AS DOUBLE) / sum(e - s) AS dbl FROM iv GROUP BY user_id)"
 
 
-@register("echo_class", f"{W}, {_SHARE} SELECT user_id, CASE WHEN local >= 0.55 THEN 'local' WHEN remote >= 0.55 THEN 'remote' WHEN dbl >= 0.25 THEN 'double' ELSE 'uncertain' END AS echo_class FROM s")
-def echo_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = rv.ladder("uncertain", (F.col("local") >= 0.55, "local"), (F.col("remote") >= 0.55, "remote"), (F.col("double") >= 0.25, "double"))
-    return _share(spark, sf_dir).select("user_id", kind.alias("echo_class"))
-
-
 def boundary(gap: Column, distance: Column, contrast: Column, edge: Column, valley: Column, pause: float, least: float) -> Column:
     """A long pause, or enough distance and contrast, or an utterance's edge in a silence; null features don't count."""
     far = F.coalesce((distance >= least) & (contrast >= least), F.lit(False))
@@ -62,19 +56,6 @@ def boundary_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("precision", F.when(F.col("tp") + F.col("fp") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fp")))).withColumn("recall", F.when(F.col("tp") + F.col("fn") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fn"))))
 
 
-@register("age_filter", "SELECT event_id, CASE event_type WHEN 'click' THEN 1800 WHEN 'view' THEN 86400 WHEN 'error' THEN 604800 WHEN 'signup' THEN 2419200 END AS seconds FROM events")
-def age_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = rv.ladder("soon", (F.col("event_type") == "click", "30m"), (F.col("event_type") == "view", "24h"), (F.col("event_type") == "error", "7d"), (F.col("event_type") == "signup", "4w"))
-    return table(spark, sf_dir, "events").select("event_id", rv.age_seconds(value).alias("seconds"))
-
-
-@register("retention_plan", "SELECT source, CASE WHEN count_if(quality = 0) = 0 THEN 'keep' WHEN count_if(quality = 1) >= 3 THEN 'delete' ELSE 'wait' END AS action FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
-def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deleted only if the policy says so (a bad document) and the export succeeded (three good ones)."""
-    by = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("source").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good"))
-    return by.select("source", rv.ladder("wait", (F.col("bad") == 0, "keep"), (F.col("good") >= 3, "delete")).alias("action"))
-
-
 @register("temporal_similarity", f"""{WT} SELECT session, turn, CASE WHEN least(e, ne) > greatest(s, ns) THEN CAST(least(e, ne) - greatest(s, ns) AS DOUBLE) / greatest(1, least(e - s, ne - ns)) ELSE greatest(0.0, 1 - (greatest(s, ns) - least(e, ne)) / 12000.0) END AS similarity
 FROM (SELECT *, lead(s, 2) OVER w AS ns, lead(e, 2) OVER w AS ne FROM turns WINDOW w AS (PARTITION BY session ORDER BY turn)) WHERE ns IS NOT NULL""")
 def temporal_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -32,31 +32,47 @@ def speech_sessions(events: DataFrame, key: str, gap_seconds: int, delay: str =
     return out.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def without_repeats(segments: DataFrame, recall: float = 0.8) -> DataFrame:
+def without_repeats(segments: DataFrame, recall: float = 0.8, idle_minutes: int = 240) -> DataFrame:
     """session, index, text, kept: a segment goes if the last one kept in its session has most of its words, as a multiset.
 
-    The state of a session is the words of one segment.
+    The state of a session is the words of one segment. It ends when a session has been silent for `idle_minutes`. Segments
+    of a micro-batch are taken in the order of their index.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last: list[Any] = list(state.get[0]) if state.exists else []
-        for rows in batches:
-            kept = []
-            for text in rows.sort_values("index")["text"]:
-                words, left = str(text or "").lower().split(), list(last)
-                shared = 0
-                for w in words:
-                    if w in left:
-                        left.remove(w)
-                        shared += 1
-                new = not words or not last or shared < recall * len(words)
-                kept.append(new)
-                last = words if new else last
-            ordered = rows.sort_values("index")
-            yield pd.DataFrame({"session": ordered["session"], "index": ordered["index"], "text": ordered["text"], "kept": kept})
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("index")
+        kept = []
+        for text in rows["text"]:
+            words = str(text or "").lower().split()
+            shared = (Counter(words) & Counter(last)).total()
+            new = not words or not last or shared < recall * len(words)
+            kept.append(new)
+            last = words if new else last
         state.update((last,))
+        state.setTimeoutDuration(idle_minutes * 60_000)
+        yield pd.DataFrame({"session": rows["session"], "index": rows["index"], "text": rows["text"], "kept": kept})
 
-    return segments.groupBy("session").applyInPandasWithState(step, "session string, index int, text string, kept boolean", "words array<string>", "append", GroupStateTimeout.NoTimeout)
+    return segments.groupBy("session").applyInPandasWithState(step, "session string, index int, text string, kept boolean", "words array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def write_draft(segments: DataFrame, path: str, checkpoint: str):
+    """Keeps a draft of streamed segments at path: each micro-batch appends its rows, told apart by batch, and readers see with `draft` what is provisional."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return segments.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+
+
+def draft(spark: SparkSession, path: str, commit_delay: float) -> DataFrame:
+    """The draft so far: the last version of each segment, with `provisional`."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    last = rows.groupBy("session", "source", "index").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("session", "source", "index", "batch")]), "batch").alias("r"))
+    return provisional(last.select("session", "source", "index", "r.*"), commit_delay)
 
 
 def provisional(segments: DataFrame, commit_delay: float) -> DataFrame:
