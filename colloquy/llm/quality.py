@@ -158,9 +158,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is at least threshold."""
-    ids = labels.select("doc_id").distinct()
-    sample = with_statistics(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), keep=["doc_id"])
+    """The rows of docs, with all their columns, whose score is at least threshold.
+
+    Statistics are made twice, for the fit and for the choice: that is cheaper than shuffling texts to their labels.
+    """
+    sample = with_statistics(docs.select("doc_id", "text"), keep=["doc_id"])
     model = fit(materialize(labelled(sample, labels), "labelled"))
     name = "_statistics"
     while name in docs.columns:
