@@ -70,9 +70,9 @@ def chunk_consistency(rows: DataFrame, by: str, left: str, right: str, least_uni
 
     both = rows.join(large(left, "_l"), [by, left]).join(large(right, "_r"), [by, right])
     shared = both.filter("_l and _r")
-    share = both.groupBy(by).agg(F.count_if("_l").alias("n"), F.count_if(F.col("_l") & F.col("_r")).alias("k"))
+    share = both.groupBy(by).agg(F.count_if("_l").alias("_n"), F.count_if(F.col("_l") & F.col("_r")).alias("_m"))
     out = share.join(adjusted_rand(shared, by, left, right), by, "left")
-    return out.select(by, F.when(F.col("k") < 2, 0.0).otherwise(F.col("ari")).alias("ari"), F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0).alias("coverage"))
+    return out.select(by, F.when(F.col("_m") < 2, 0.0).otherwise(F.col("ari")).alias("ari"), F.when(F.col("_n") > 0, F.col("_m") / F.col("_n")).otherwise(0.0).alias("coverage"))
 
 
 def nearest_partition(candidates: DataFrame, by: str, expected: str, distance: float) -> DataFrame:
