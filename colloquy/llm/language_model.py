@@ -92,24 +92,46 @@ class Tokens:
         return out
 
 
+def _odds(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Unnormalised logarithms of the class probabilities of each token, at most 0."""
+    x = weights[rows[0]]
+    x += weights[rows[1]]
+    x += weights[rows[2]]
+    x += weights[-1]
+    x -= x.max(1, keepdims=True)
+    return x
+
+
 def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Natural logarithms of the class probabilities of each token."""
-    x = weights[rows[0]] + weights[rows[1]] + weights[rows[2]] + weights[-1]
-    x -= x.max(1, keepdims=True)
+    x = _odds(weights, rows)
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def log_class(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each token's own class."""
+    x = _odds(weights, rows)
+    own = x[np.arange(len(cls)), cls]
+    return own - np.log(np.exp(x, out=x).sum(1))
+
+
 def update(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
     """One AdaGrad step on a minibatch, in place."""
-    error = np.exp(log_classes(weights, rows))
+    error = _odds(weights, rows)
+    np.exp(error, out=error)
+    error /= error.sum(1, keepdims=True)
     error[np.arange(len(cls)), cls] -= 1
-    for own in (*rows, np.full(len(cls), FEATURES - 1)):
-        order = np.argsort(own, kind="stable")
-        cuts = np.flatnonzero(np.diff(own[order], prepend=-1))
-        at, sums = own[order[cuts]], np.add.reduceat(error[order], cuts, axis=0)
+
+    def step(at, sums: np.ndarray) -> None:
         squares[at] += sums * sums
         weights[at] -= RATE * sums / np.sqrt(squares[at] + 1.0)
 
+    for own in rows:
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order], prepend=-1))
+        step(own[order[cuts]], np.add.reduceat(error[order], cuts, axis=0))
+    step(FEATURES - 1, error.sum(0))
+
 
 def train_round(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
     """Weights after every task has gone over its share of docs(text): the mean of their results, by tokens."""
@@ -233,7 +255,7 @@ def _sum_by_key(texts: DataFrame, shards: int) -> DataFrame:
 def log_scores(tokens: Tokens, weights: np.ndarray, count: np.ndarray, n_class: np.ndarray, v_class: np.ndarray) -> np.ndarray:
     """log10 of the probability of each token. count has what the three keys of each count in training, n_class and v_class tokens and distinct words by class."""
     n = len(tokens.cls)
-    logs = np.concatenate([log_classes(weights, tokens.rows[:, a : a + MINIBATCH])[np.arange(len(tokens.cls[a : a + MINIBATCH])), tokens.cls[a : a + MINIBATCH]] for a in range(0, n, MINIBATCH)])
+    logs = np.concatenate([log_class(weights, tokens.rows[:, a : a + MINIBATCH], tokens.cls[a : a + MINIBATCH]) for a in range(0, n, MINIBATCH)])
     p = np.exp(logs.astype(float)) * (count[0] + 0.5) / (n_class + 0.5 * (v_class + 1))[tokens.cls]
     return np.log10((count[2] + STRENGTH * p) / (count[1] + STRENGTH))
 
