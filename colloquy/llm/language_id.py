@@ -25,7 +25,7 @@ from colloquy.storage import bound_batches
 FEATURES, KINDS = 1 << 15, 7
 SEGMENT, MINIBATCH_WORDS, RATE = 64, 16_384, 0.5
 #: Text that one trainer reads at least, and trainers at most; each sends one weight table.
-TRAINER_BYTES, TRAINERS = 8_000_000, 1024
+TRAINER_BYTES, TRAINERS = 8_000_000, 8192
 _SLICES = 64
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)])
 _ANY_LETTER = re.compile(r"[^\W\d_]")
