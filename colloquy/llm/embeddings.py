@@ -32,6 +32,12 @@ ROWS_TOGETHER = 20_000
 _ROWS = "label long, dim int, tab int, code long, node long, mult long, parts binary, vector binary"
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; scaled first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def learn_rotation(centred: np.ndarray, basis: np.ndarray, rng: np.random.Generator, rounds: int = 50) -> np.ndarray:
     """A matrix (dimensions, bits) whose signs are the codes: principal directions, rotated by ITQ from a start of chance."""
     v = centred @ basis
@@ -78,7 +84,7 @@ class Codes:
 def learn(x: np.ndarray, vectors: int, cosine: float, misses: float = 0.005, seed: int = 5) -> Codes:
     """Codes for as many vectors of a label, from a sample x."""
     rng = np.random.default_rng(seed)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(x)
     mean = x.mean(0)
     centred = x - mean
     values, directions = np.linalg.eigh(centred.T @ centred)
@@ -123,7 +129,7 @@ def coded(nodes: DataFrame, codes: Codes) -> DataFrame:
             parts = np.zeros((len(sizes), tables), np.int64)
             if len(fits):
                 x = values[offsets[fits][:, None] + np.arange(len(mean))].astype(float)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(x)
                 parts[fits] = (codes.signs(x) * weights).sum(2)
             vectors = [values[a:b].astype(kind).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             own = [p.astype("<i8").tobytes() for p in parts]
@@ -178,7 +184,7 @@ def compare(tiles: DataFrame, cosine: float, parts: int, radius: int, kind: str)
             first = (own[i, :t] != own[j, :t]).all(1)
             i, j = i[first], j[first]
             x = np.stack([np.frombuffer(vectors[k], kind) for k in at]).astype(float)
-            x /= np.abs(x).max(1, keepdims=True)  # so that no square overflows
+            x = x / np.abs(x).max(1, keepdims=True)
             norm = np.linalg.norm(x, axis=1)
             link = np.concatenate([np.einsum("kd,kd->k", x[i[k : k + 20_000]], x[j[k : k + 20_000]]) / (norm[i[k : k + 20_000]] * norm[j[k : k + 20_000]]) >= cosine for k in range(0, len(i), 20_000)]) if len(i) else np.zeros(0, bool)
             i, j = np.concatenate([i[link], j[link]]), np.concatenate([j[link], i[link]])
