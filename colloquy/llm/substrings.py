@@ -29,7 +29,7 @@ from colloquy.storage import bound_batches
 WINDOW, PHRASE = 20, 8
 MASK_BITS = 1 << 26
 #: Phrases, or words of passages, that meet in one shard.
-PHRASES_TOGETHER, WORDS_TOGETHER = 500_000, 500_000
+PHRASES_TOGETHER, WORDS_TOGETHER = 500_000, 200_000
 _GAP = 256  # a symbol that no word has
 
 
@@ -177,6 +177,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -
             return local
         doc, key, start, long, at = (np.frombuffer(b"".join(sent[c].to_pylist()), k) for c, k in (("docs", "<i8"), ("keys", "<i8"), ("starts", "<u4"), ("longs", "<u4"), ("phrases", "<u4")))
         codes = unpack48(b"".join(sent["codes"].to_pylist()))
+        del sent, table
         start, long, at = start.astype(np.int64), long.astype(np.int64), at.astype(np.int64)
         words = long + window - 1
         offset = np.cumsum(words) - words
@@ -226,20 +227,21 @@ def _located(codes: np.ndarray, offset: np.ndarray, words: np.ndarray, at: np.nd
     different = np.unique(np.stack([sums, begin.astype(np.uint64)], 1), axis=0)[:, 0]
     found, times = np.unique(different, return_counts=True)
     recurring = np.flatnonzero(np.isin(sums, found[times > 1]))
-    symbols = np.full(2 * (len(codes) + len(words)), _GAP, "<u2")
-    place = 2 * (_ranges(offset, words) + np.repeat(np.arange(len(words)), words))
-    symbols[place], symbols[place + 1] = codes & np.uint64(255), codes >> np.uint64(8) & np.uint64(255)
+    del sums, different, found, times
+    passage = np.repeat(np.arange(len(words), dtype=np.int32), words)
+    symbols = np.full((len(codes) + len(words), 2), _GAP, "<u2")
+    place = np.arange(len(codes), dtype=np.int32) + passage
+    symbols[place, 0], symbols[place, 1] = codes & np.uint64(255), codes >> np.uint64(8) & np.uint64(255)
     text = symbols.tobytes().decode("utf-16-le")
+    del passage, place, symbols
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for b in (2 * (begin + np.arange(len(words))))[recurring].tolist():
         automaton.add_word(text[b : b + 2 * phrase], 0)
-    holds = np.zeros(len(codes) + 1, np.int64)
+    holds = np.zeros(len(codes) + 1, np.int32)
     if len(automaton):
         automaton.make_automaton()
-        word_at = np.full(len(symbols) // 2, -1)
-        word_at[place // 2] = np.arange(len(codes))
-        ends = np.fromiter((end for end, _ in automaton.iter(text) if end & 1), np.int64)
-        first = word_at[(ends - 2 * phrase + 1) // 2]
+        at = (np.fromiter((end for end, _ in automaton.iter(text) if end & 1), np.int64) - 2 * phrase + 1) // 2
+        first = at - (np.searchsorted(offset + np.arange(len(words)), at, "right") - 1)
         np.add.at(holds, np.maximum(first - (window - phrase), 0), 1)
         np.add.at(holds, first + 1, -1)
     return np.cumsum(holds[:-1]) > 0
