@@ -114,7 +114,7 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def coded(nodes: DataFrame, codes: Codes) -> DataFrame:
-    """A row of _ROWS for each table of each of nodes(node, label, mult, embedding). Vectors of other dimensions than mean share one bucket a label and dimension."""
+    """A row of _ROWS for each table of each of nodes(node, label, mult, embedding). Vectors of other dimensions than mean, and those of small labels, share one bucket a label and dimension."""
     held = nodes.sparkSession.sparkContext.broadcast(codes)
     tables = codes.per * codes.rotations
     weights = np.int64(1) << np.arange(codes.width, dtype=np.int64)
@@ -125,7 +125,8 @@ def coded(nodes: DataFrame, codes: Codes) -> DataFrame:
         mean = codes.mean
         for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             values, offsets, sizes = _matrix(batch.column(3))
-            fits = np.flatnonzero(sizes == len(mean))
+            coded_ = (sizes == len(mean)) & ~batch.column(4).to_numpy(zero_copy_only=False)
+            fits = np.flatnonzero(coded_)
             parts = np.zeros((len(sizes), tables), np.int64)
             if len(fits):
                 x = values[offsets[fits][:, None] + np.arange(len(mean))].astype(float)
@@ -134,12 +135,13 @@ def coded(nodes: DataFrame, codes: Codes) -> DataFrame:
             vectors = [values[a:b].astype(kind).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             own = [p.astype("<i8").tobytes() for p in parts]
             for t in range(tables):
-                use = np.ones(len(sizes), bool) if t == 0 else sizes == len(mean)
+                use = np.ones(len(sizes), bool) if t == 0 else coded_
                 some = pa.array(use)
                 columns = [batch.column(1), pa.array(sizes, pa.int32()), pa.array(np.full(len(sizes), t), pa.int32()), pa.array(parts[:, t]), batch.column(0), batch.column(2), pa.array(own, pa.binary()), pa.array(vectors, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _ROWS.split(", ")]).filter(some)
 
-    return nodes.select("node", "label", "mult", "embedding").mapInArrow(run, _ROWS)
+    many = nodes.groupBy("label").agg((F.count("*") <= BUCKET).alias("small"))
+    return nodes.join(many, "label").select("node", "label", "mult", "embedding", "small").mapInArrow(run, _ROWS)
 
 
 def tiled(rows: DataFrame) -> DataFrame:
