@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -25,19 +26,22 @@ from colloquy.llm.textarrays import parts
 from colloquy.storage import bound_batches, materialize
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
-#: Words whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
-REMEMBERED_WORDS = 150_000
+#: Chunks whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
+REMEMBERED_WORDS = 300_000
 #: Pieces of one length that are ranked together.
 RANKED_TOGETHER = 20_000
-_NOT_SINGLE_SPACED = re.compile(r" (?:\s|\Z)")
+#: White space as the tokenizer's pattern means it, and what is encoded by itself: a run of it with what follows up to the next.
+_SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
 class WordIds:
-    """Token ids of whole texts by the byte-level BPE, one remembered word at a time.
+    """Token ids of whole texts by the byte-level BPE, one remembered chunk at a time.
 
-    The tokenizer never merges across a single space that stands before a word, so " word" has the same ids in any text;
-    texts with other spacing are encoded whole. Given the tokenizer's own file, texts that hold one of its added tokens are
-    left to the tokenizer, which finds those tokens in text; without it they are ordinary text.
+    The tokenizer's pattern never matches across a place where white space follows something else, and looks no further than
+    the end of the white space, so a chunk (white space and the run after it) has the same ids in any text. Given the
+    tokenizer's own file, texts that hold one of its added tokens are left to the tokenizer, which finds those tokens in
+    text; without it they are ordinary text.
     """
 
     def __init__(self, ranks_path: str, pattern: str, tokenizer_path: str | None = None):
@@ -62,27 +66,25 @@ class WordIds:
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, followed by the id 0 that ends a document."""
-        if len(self.codes) > REMEMBERED_WORDS:
+        if len(self.ids) > REMEMBERED_WORDS:
             self.forget()
-        codes, memory, encode, ends, whole = [], self.codes, self.encode, [], {}
+        codes, memory, ids, encode, ends, whole = [], self.codes, self.ids, self.encode, [], {}
         for i, text in enumerate(texts):
             if self.added and self.added.search(text):
                 whole[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
-            elif _NOT_SINGLE_SPACED.search(text):
-                whole[i] = np.array([*encode(text), 0], "<u4")
             else:
-                first, *rest = text.split(" ")
-                for word in (first, *map(" ".__add__, rest)):
-                    code = memory.get(word)
-                    if code is None:
-                        code = memory[word] = len(self.ids)
-                        self.ids.append(encode(word))
-                    codes.append(code)
+                chunks = _CHUNK.findall(text)
+                found = list(map(memory.get, chunks))
+                for k in [k for k, code in enumerate(found) if code is None]:
+                    found[k] = code = memory.setdefault(chunks[k], len(ids))
+                    if code == len(ids):
+                        ids.append(encode(chunks[k]))
+                codes += found
             ends.append(len(codes))
         used, places = np.unique(np.array(codes, np.int64), return_inverse=True)
-        lists = [self.ids[c] for c in used]
-        lengths = np.array([len(x) for x in lists], np.int64)
-        pool = np.array([x for ids in lists for x in ids], "<u4")
+        lists = [ids[c] for c in used]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        pool = np.fromiter(chain.from_iterable(lists), "<u4", int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
         n = lengths[places]
         bounds = np.concatenate([[0], np.cumsum(n)])

@@ -76,3 +76,11 @@ def test_patterns_use_up_the_counts_and_fit(seed):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chunks_are_cut_where_the_pattern_never_matches_across():
+    rng = np.random.default_rng(9)
+    letters = list("ab1!'é.ß世 \n\t\r") + ["\x1c", "\x85", "\xa0", " ", "　", "  ", " \n", "'s", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 60)))) for _ in range(800)]
+    got = WordIds(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).texts(texts)
+    assert all(np.array_equal(a, ids(t)) for a, t in zip(got, texts, strict=True))
