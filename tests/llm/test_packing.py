@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -13,10 +14,15 @@ from colloquy.llm.packing import WordIds, best_two_fit, pack_documents
 TEXTS = [None, "", "a", "  two  spaces \n and\t tabs ", "été, ça va ?", "x " * 5000, "end <|endoftext|>", " lead", "trail ", "\n\n a\n b", "word", "word", "it's 1234 ok... don't"]
 
 
-def ids(text):
+@cache
+def tokenizer():
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
-    return np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return tok
+
+
+def ids(text):
+    return np.array([*tokenizer().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def test_words_have_the_ids_of_the_whole_text():
