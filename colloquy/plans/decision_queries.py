@@ -161,7 +161,7 @@ _ladder(
     {"me_start": "(" + count(7, 40) + ") / 10e0", "me_end": "(" + count(7, 40) + ") / 10e0 + (" + count(11, 120) + ") / 10e0", "remote_start": "(" + count(13, 60) + ") / 10e0", "remote_end": "(" + count(13, 60) + ") / 10e0 + (" + count(17, 60) + ") / 10e0", "similarity": share(19) + " * 0.8", "overlap_type": pick(23, *["double_talk"] * 14, "probable_duplicate_unresolved")},
     """CASE WHEN similarity >= 0.7 OR overlap_type = 'probable_duplicate_unresolved' THEN 'probable_duplicate' WHEN o < 0.5 THEN 'short_overlap' WHEN me_end - me_start >= 6 AND me_start < remote_start AND me_end > remote_end AND remote_end - remote_start >= 0.8 AND me_end - remote_end >= 0.8 THEN 'probable_order_risk'
  WHEN me_end - me_start >= 6 AND o >= 2 THEN 'needs_review' WHEN o <= 2 THEN 'likely_timing_overlap' ELSE 'possible_double_talk' END AS order_label,
- CASE WHEN similarity >= 0.7 OR overlap_type = 'probable_duplicate_unresolved' THEN 0.82 WHEN o < 0.5 THEN 0.72 WHEN me_end - me_start >= 6 AND me_start < remote_start AND me_end > remote_end AND remote_end - remote_start >= 0.8 AND me_end - remote_end >= 0.8 THEN CASE WHEN remote_start >= me_start + 0.2 AND remote_end <= me_end - 0.2 THEN 0.86 ELSE 0.78 END
+ 1e0 * CASE WHEN similarity >= 0.7 OR overlap_type = 'probable_duplicate_unresolved' THEN 0.82 WHEN o < 0.5 THEN 0.72 WHEN me_end - me_start >= 6 AND me_start < remote_start AND me_end > remote_end AND remote_end - remote_start >= 0.8 AND me_end - remote_end >= 0.8 THEN CASE WHEN remote_start >= me_start + 0.2 AND remote_end <= me_end - 0.2 THEN 0.86 ELSE 0.78 END
  WHEN me_end - me_start >= 6 AND o >= 2 THEN 0.68 WHEN o <= 2 THEN 0.74 ELSE 0.64 END AS order_confidence""".replace(" o ", " greatest(least(me_end, remote_end) - greatest(me_start, remote_start), 0) "),
     dc.order_risk,
     "order_label",
@@ -299,7 +299,7 @@ _MODE = {"session": count(7, 60), "state": pick(11, "remote_only", "double_talk"
 @register("acoustic_mode", f"""WITH {evidence_sql(_MODE)}, r AS (SELECT session, coalesce(similarity, 0) AS v, row_number() OVER (PARTITION BY session ORDER BY coalesce(similarity, 0)) - 1 AS i, count(*) OVER (PARTITION BY session) AS n FROM x WHERE state = 'remote_only'),
 s AS (SELECT session, any_value(n) AS n, count_if(v >= 0.04) / CAST(any_value(n) AS DOUBLE) AS q, max(v) FILTER (i = least(n - 1, floor(n * 0.75))) AS a, max(v) FILTER (i = least(n - 1, floor(n * 0.9))) AS b FROM r GROUP BY session), t AS (SELECT DISTINCT session FROM x)
 SELECT session, CASE WHEN coalesce(n, 0) < 5 THEN 'uncertain' WHEN q >= 0.3 AND a >= 0.04 THEN 'speaker_playback' WHEN q <= 0.15 AND a <= 0.03 AND b <= 0.06 THEN 'headphones_or_low_leak' ELSE 'uncertain' END AS mode,
- CASE WHEN coalesce(n, 0) < 5 THEN 0 WHEN q >= 0.3 AND a >= 0.04 THEN CASE WHEN q >= 0.5 AND a >= 0.08 THEN 0.9 ELSE 0.75 END WHEN q <= 0.15 AND a <= 0.03 AND b <= 0.06 THEN CASE WHEN q <= 0.1 AND a <= 0.02 THEN 0.9 ELSE 0.75 END ELSE 0.5 END AS mode_confidence FROM t LEFT JOIN s USING (session)""")
+ 1e0 * CASE WHEN coalesce(n, 0) < 5 THEN 0 WHEN q >= 0.3 AND a >= 0.04 THEN CASE WHEN q >= 0.5 AND a >= 0.08 THEN 0.9 ELSE 0.75 END WHEN q <= 0.15 AND a <= 0.03 AND b <= 0.06 THEN CASE WHEN q <= 0.1 AND a <= 0.02 THEN 0.9 ELSE 0.75 END ELSE 0.5 END AS mode_confidence FROM t LEFT JOIN s USING (session)""")
 def acoustic_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.acoustic_mode(evidence(spark, sf_dir, _MODE), "session")
 

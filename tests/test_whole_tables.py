@@ -1,4 +1,4 @@
-"""Queries that no SQL checks on whole tables, against brute force."""
+"""Queries on whole tables and texts of any length, against brute force."""
 
 import re
 
@@ -14,6 +14,6 @@ def test_repeated_units_of_long_documents_are_found(spark, tmp_path):
     texts = ["yes " * 3000, "one two three " * 900, "one two three " * 900 + "four", "a b " * 4, "a b", "", "word " * 399 + "other"]
     rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.unit for r in registry.queries()["repeated_unit_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.unit for r in registry.queries()["repeated_unit"](spark, str(tmp_path)).collect()}
     assert got == {i: unit(re.findall(r"\w+", t)) for i, t in enumerate(texts)}
     assert got[0] == 1 and got[1] == 3
