@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6)
+        return "nan" if math.isnan(v) else round(v, 6) + 0.0
     if isinstance(v, list | tuple):
         return str([plain(x) for x in v])
     return "~" if v is None else v if isinstance(v, bool | int) else str(v)
