@@ -37,6 +37,6 @@ def discard(table: DataFrame) -> None:
         table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
 
 
-def bound_batches(spark: SparkSession, megabytes: int = 16) -> None:
+def bound_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """From now on, Arrow batches of this session hold no more than so much, whatever the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
