@@ -40,13 +40,13 @@ FREQUENT = 131_072
 #: Documents of a batch that must share a shingle before the batch counts it, and the count from which it is frequent.
 SHARED, FREQUENT_FROM = 2, 16
 #: Prefix shingles, and rows of tiles, that meet in one task.
-TOGETHER, TILE_ROWS = 1_000_000, 30_000
+TOGETHER, TILE_ROWS = 500_000, 30_000
 #: Nodes with one shingle that are one tile, and shingles of a cluster whose arrays are.
 BLOCK, ARRAYS_TOGETHER = 4096, 2_000_000
 #: Above so many nodes a tile goes node by node over those outside its largest class.
 SMALL_TILE = 48
 #: Arrays' shingles that meet in one task.
-CLUSTER_TASK = 4_000_000
+CLUSTER_TASK = 1_500_000
 MASK_SLOTS = 1 << 24
 #: Shingles whose documents are counted at once.
 COUNTED_TOGETHER = 1_000_000

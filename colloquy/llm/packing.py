@@ -27,7 +27,7 @@ from colloquy.storage import bound_batches, materialize
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Chunks whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 #: Pieces of one length that are ranked together.
 RANKED_TOGETHER = 20_000
 #: White space as the tokenizer's pattern means it, and what is encoded by itself: a run of it with what follows up to the next.

@@ -114,7 +114,7 @@ def row_key() -> Column:
 def later_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id, row_key and starts (little-endian 32-bit word numbers) of windows whose word sequence also starts earlier; several rows a document."""
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, 16)  # repeats inside a batch are sent once
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     held = spark.sparkContext.broadcast(recurring_mask(docs, window, phrase, max(64, size // 40 // PHRASES_TOGETHER)))
     shards = max(64, size // 10 // WORDS_TOGETHER)
