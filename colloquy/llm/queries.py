@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import embeddings, fingerprints, jaccard, language_id, language_model, mixing, oracles, packing, quality, secrets, substrings
+from colloquy.llm import alignment, embeddings, fingerprints, jaccard, language_id, language_model, mixing, oracles, packing, pages, quality, secrets, substrings, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(_documents(spark, sf_dir))
 
 
+def op11_text_ratio_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_documents(spark, sf_dir))
+
+
+def op13_subspace_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_itq_near_vectors": op1_itq_near_vectors,
     "op2_jaccard_join": op2_jaccard_join,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_markov_secrets": op8_markov_secrets,
     "op9_temperature_mixing": op9_temperature_mixing,
     "op10_maxent_scores": op10_maxent_scores,
+    "op11_text_ratio_pages": op11_text_ratio_pages,
+    "op12_segment_alignment": op12_segment_alignment,
+    "op13_subspace_whitening": op13_subspace_whitening,
 }
 #: Learned models, token ids and fingerprints have no SQL; tests hold them against brute force or held-out rows.
 ORACLE_SQL: dict[str, str] = {
