@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,16 +12,11 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from colloquy.functions import text as tx
+from colloquy.functions.blocks import sequence_ratio, word_edits  # noqa: F401
 
 _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 
 
-@pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters, matching blocks found longest first; 0 if a text is null or empty."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
-
-
 def text_similarity(a: Column, b: Column) -> Column:
     """The largest of the sequence ratio, the Jaccard of words and that of trigrams, of the normalised texts; 0 if one is empty."""
     x, y = tx.normalize(a), tx.normalize(b)
@@ -49,28 +43,6 @@ def display_token_spans(text: pd.Series) -> pd.Series:
     return pd.Series([[{"token": m[0].lower(), "start": m.start(), "end": m.end()} for m in re.finditer(r"\w+(?:[-+/]\w+)*", t or "")] for t in text])
 
 
-def _edits(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """Substitutions, deletions and insertions of a cheapest path; where paths cost the same, substitution goes before deletion before insertion."""
-    row = [(j, 0, 0, j) for j in range(len(hypothesis) + 1)]
-    for i, r in enumerate(reference, 1):
-        last, row = row, [(i, 0, i, 0)]
-        for j, h in enumerate(hypothesis, 1):
-            if r == h:
-                row.append(last[j - 1])
-                continue
-            (a, s, d, n), (a2, s2, d2, n2), (a3, s3, d3, n3) = last[j - 1], last[j], row[j - 1]
-            best = min(a, a2, a3)
-            row.append((best + 1, s + 1, d, n) if a == best else (best + 1, s2, d2 + 1, n2) if a2 == best else (best + 1, s3, d3, n3 + 1))
-    return row[-1][1:]
-
-
-@pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions")]))
-def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    """Edits that lead from one list of words to the other; nulls count as empty lists."""
-    rows = [_edits(list(r) if r is not None else [], list(h) if h is not None else []) for r, h in zip(reference, hypothesis, strict=True)]
-    return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions"])
-
-
 @pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two lists."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import strings as st
-from colloquy.operators import folds
+from colloquy.operators import chronology, folds
 from colloquy.operators import matching as mt
 from colloquy.operators import review as rv
 from colloquy.plans.registry import register
@@ -206,3 +206,22 @@ def word_alignment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = live_turns(spark, sf_dir).select("session", "id", F.col("start").cast("double").alias("at"), F.sha2(F.concat(F.lit("salt:"), F.col("id").cast("string")), 256).alias("salt"), (F.col("content") > 4).alias("domain"))
     return folds.spread_sample(rows, ["session"], 4)
+
+
+@register("word_chronology")
+def word_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What word times say of each turn of Me and the next turn of the other side: texts of the live turns, words and times of the batch ones.
+
+    Shares of words that only one side has stand for the evidence of sound. Matching blocks have no SQL; a test holds the
+    rule against a plain reading of it.
+    """
+    live = live_turns(spark, sf_dir)
+    after = Window.partitionBy("session").orderBy("id")
+    items = live.withColumn("remote_id", F.lead("id").over(after)).withColumn("remote_tokens", F.lead("tokens").over(after)).withColumn("other", F.lead("role").over(after)).filter("role = 'Me' and other = 'Colleagues'")
+    own, far = F.size(F.array_except("tokens", "remote_tokens")), F.size(F.array_except("remote_tokens", "tokens"))
+    items = items.select("session", "id", "remote_id", F.col("tokens").alias("me_tokens"), "remote_tokens", (100 * own / F.greatest(F.size("tokens"), F.lit(1))).alias("local_evidence"), (own / F.greatest(own + far, F.lit(1))).alias("local_only"), (F.size(F.array_intersect("tokens", "remote_tokens")) / F.greatest(own + far, F.lit(1))).alias("double_talk"), (far / F.greatest(own + far, F.lit(1))).alias("remote_only"), F.when(F.size("tokens") < 3, "remote_leak_or_asr_segmentation").alias("upstream"))
+    word = F.transform("tokens", lambda t, k: F.struct(t.alias("token"), (F.col("start") / 1000 + 0.3 * k).alias("start"), (F.col("start") / 1000 + 0.3 * k + 0.25).alias("end"), F.least(F.lit(0.95), F.lit(0.1) + 0.15 * F.length(t)).alias("probability")))
+    heard = batch_turns(spark, sf_dir).select("session", (F.col("id") - 1000).alias("of"), word.alias("words"), F.when(F.col("suspicious"), "decode_error").otherwise("ok").alias("status"))
+    sides = items.select("session", "id", F.explode(F.array(F.struct(F.lit("mic_clean").alias("source"), F.col("id").alias("of")), F.struct(F.lit("remote").alias("source"), F.col("remote_id").alias("of")))).alias("x")).select("session", "id", "x.*")
+    out = chronology.classify(items, sides.join(heard, ["session", "of"]).drop("of"), ["session", "id"])
+    return out.select("session", "id", "remote_id", "label", "localized", "confidence", "reason", "independent_local", "actual_overlap", "signed_gap", F.col("mic_me.a.score").alias("me_score"), F.col("remote_remote.a.score").alias("remote_score"), F.transform("mic_me.w", lambda w: w["start"]).alias("me_word_starts"))
