@@ -3,13 +3,14 @@
 A text is cut before runs of white space that begin with a character which no token of either vocabulary holds behind
 something else, so neither tokenizer merges across a cut and the ids of a text are those of its segments.
 
-1. Batches of documents give their distinct segments, with counts; the documents themselves shrink to segment numbers.
-2. Distinct segments of the corpus are encoded by both tokenizers and cut into groups where tokens of both end.
-3. Links (the two tokens that end a group) are counted over all occurrences of their segments.
-4. Each batch gets its segments' alignments and puts its documents together.
-
-The batch is the unit of the way back: a segment that all documents hold is one row for each batch of up to
-WORDS_TOGETHER words, not one for each occurrence.
+1. Batches of documents shrink to numbers of their distinct segments; a segment's hash names the shard that owns it.
+2. A shard encodes each of its distinct segments once by both tokenizers, cuts it into groups where tokens of both end, and
+   counts its links (the two tokens that end a group) over all occurrences.
+3. Pairs of ids are counted over all shards, and go back to the shards that hold them.
+4. Shards answer batches, and batches put their documents together.
+
+What a batch asks of a shard, and the answer, are one compressed row. A segment that all documents hold is asked for once by
+each batch of up to WORDS_TOGETHER words, not once for each occurrence.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache, cached_property
@@ -24,26 +26,55 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.textarrays import release_memory
-from colloquy.storage import bound_batches, discard, materialize
+from colloquy.storage import bound_batches, materialize
 
-#: A batch ends once it holds so many distinct segments, or words.
-SEGMENTS_TOGETHER, WORDS_TOGETHER = 250_000, 4_000_000
+#: A batch ends once it holds so many distinct segments, or words. Bytes of text for each shard of segments.
+SEGMENTS_TOGETHER, WORDS_TOGETHER, BYTES_A_SHARD = 400_000, 8_000_000, 16_000_000
 ALIGNED_TOGETHER = 4_000
 #: White space as the byte-level tokenizer's pattern means it.
 _BLANK = "\t\n\x0b\x0c\r "
 _WIDE = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = re.escape(_BLANK) + _WIDE
 _MARK = "▁"
-_BATCH = "batch long, docs array<long>, sizes array<int>, codes binary, segments array<string>, counts array<long>"
-_ALIGNED = "segment string, n long, n_a long, n_b long, n_groups long, groups string, a array<int>, b array<int>"
+#: Of each batch a row with its documents (shard -1), and one for each shard with the segments that it asks for, numbered from begin.
+_BATCH = "batch long, shard int, begin int, docs array<long>, sizes array<int>, body binary"
+#: Of each shard a row with its alignments and links (batch -1), and one for each batch with the places of what it asked for.
+_SHARD = "shard int, batch long, begin int, body binary, a array<int>, b array<int>, n array<long>, bad array<int>"
+_ANSWER = "batch long, begin int, body binary"
 _DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, {} string"
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _packed(*parts: np.ndarray | bytes) -> bytes:
+    raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
+    return zstandard.ZstdCompressor(3).compress(np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw))
+
+
+def _unpacked(body: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int64, n, 8))])
+    return [raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, bytes]:
+    return np.fromiter(map(len, texts), np.int32, len(texts)), b"".join(texts)
+
+
+def _split(lengths: bytes, raw: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(lengths, np.int32), dtype=np.int64).tolist()
+    return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def _byte_alphabet() -> dict[str, int]:
     """Bytes of the characters in which byte-level vocabularies are written: printable ones stand for themselves, others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -140,8 +171,26 @@ def tokenizer_pair(a_path: str, b_path: str) -> TokenizerPair:
     return TokenizerPair(a_path, b_path)
 
 
-def segment_batches(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """A row for each batch of documents: their ids and numbers of segments, the segments' numbers, the distinct segments and how often each occurs."""
+def _batch_rows(batch: int, docs: list[int | None], sizes: list[int], codes: np.ndarray, segments: list[bytes], shards: int) -> list[tuple]:
+    """Rows of _BATCH: segments in the order of their shards, each shard's with lengths and counts in this batch."""
+    shard = np.fromiter((zlib.crc32(s) % shards for s in segments), np.int64, len(segments))
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    codes = place[codes]
+    counts = np.bincount(codes, minlength=len(order))
+    rows = [(batch, -1, len(order), docs, sizes, _packed(codes.astype(np.int32)))]
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        rows.append((batch, int(shard[order[x]]), x, None, None, _packed(*_joined([segments[i] for i in order[x:y]]), counts[x:y])))
+    return rows
+
+
+_BATCH_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+
+
+def segment_batches(docs: DataFrame, a_path: str, b_path: str, shards: int) -> DataFrame:
+    """The rows of _BATCH of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = tokenizer_pair(a_path, b_path).segments
@@ -149,9 +198,8 @@ def segment_batches(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            row = [[task + next(serial)], [ids], [sizes], [pa.compress(flat.tobytes(), "zstd", asbytes=True)], [list(numbers)], [np.bincount(flat, minlength=len(numbers)).tolist()]]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _BATCH.split(", ")])
+            rows = _batch_rows(task + next(serial), ids, sizes, flat, [s.encode() for s in numbers], shards)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _BATCH_KINDS, strict=True)], names=_names(_BATCH))
 
         numbers: defaultdict[str, int] = defaultdict(count().__next__)
         ids, sizes, codes, words = [], [], [], 0
@@ -173,80 +221,127 @@ def segment_batches(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BATCH)
 
 
-def aligned_segments(distinct: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Alignments of distinct(segment, n)."""
+def aligned_shards(batches: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """The rows of _SHARD: each distinct segment of a shard is aligned once, however many batches ask for it."""
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         pair = tokenizer_pair(a_path, b_path)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        for batch in (x.slice(i, ALIGNED_TOGETHER) for x in batches for i in range(0, x.num_rows, ALIGNED_TOGETHER)):
-            rows = pair.align(batch.column(0).to_pylist())
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[x.split()[0] for x in _ALIGNED.split(", ")])
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        shard, asked, times = table["shard"][0].as_py(), [], []
+        for batch, begin, body in zip(table["batch"].to_pylist(), table["begin"].to_pylist(), table["body"], strict=True):
+            lengths, raw, counts = _unpacked(body.as_py())
+            found = _split(lengths, raw)
+            asked.append((batch, begin, np.fromiter(map(number.__getitem__, found), np.int32, len(found))))
+            times.append(np.frombuffer(counts, np.int64))
+        segments, n = list(number), np.zeros(len(number), np.int64)
+        del number
+        for (_, _, codes), counts in zip(asked, times, strict=True):
+            n[codes] += counts  # codes of one batch are distinct
+        sums, groups, links = [], [], []
+        for i in range(0, len(segments), ALIGNED_TOGETHER):
+            found = pair.align([s.decode() for s in segments[i : i + ALIGNED_TOGETHER]])
+            sums.append(np.array([r[:3] for r in found], np.int32))
+            groups.append(_joined([(r[3] or "").encode() for r in found]))
+            links.append(np.array([[x for r in found for x in r[4]], [x for r in found for x in r[5]]], np.int32).reshape(2, -1))
+        sums, links = np.concatenate(sums), np.concatenate(links, 1)
+        keys, back = np.unique(links[0].astype(np.int64) << 32 | links[1], return_inverse=True)
+        weight = np.zeros(len(keys), np.int64)
+        np.add.at(weight, back, np.repeat(n, sums[:, 2]))
+        body = _packed(np.ascontiguousarray(sums.T), np.concatenate([g[0] for g in groups]), b"".join(g[1] for g in groups), links)
+        rows = [(shard, -1, 0, body, keys >> 32, keys & 0xFFFFFFFF, weight, None)]
+        bad = sums[:, 0] < 0
+        for batch, begin, codes in asked:
+            odd = np.flatnonzero(bad[codes] & (n[codes] > 0)) + begin
+            rows.append((shard, batch, begin, _packed(codes), None, None, None, odd if len(odd) else None))
+        release_memory()
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(_SHARD))
+
+    return batches.filter("shard >= 0").select("shard", "batch", "begin", "body").groupBy("shard").applyInArrow(run, _SHARD)
+
+
+def answered(shards: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of _ANSWER: sums and groups of the segments that a batch asked a shard for. known: (of, a, b, count, is_best) for each shard's pairs."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        batch, begin, body = left["batch"].to_pylist(), left["begin"].to_pylist(), left["body"].to_pylist()
+        own = batch.index(-1)
+        sums, lengths, raw, links = _unpacked(body[own])
+        sums = np.frombuffer(sums, np.int32).reshape(3, -1).astype(np.int64)
+        links = np.frombuffer(links, np.int32).reshape(2, -1).astype(np.int64)
+        groups = _split(lengths, raw)
+        keys = right["a"].to_numpy().astype(np.int64) << 32 | right["b"].to_numpy()
+        order = np.argsort(keys)
+        at = order[np.searchsorted(keys[order], links[0] << 32 | links[1])] if links.size else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(sums[2])])
+        more = [np.diff(np.concatenate([[0], np.cumsum(right[c].to_numpy()[at])])[ends]) for c in ("is_best", "count")]
+        every = np.stack([*sums, *more])
+        rows = []
+        for k, (b, x, raw_codes) in enumerate(zip(batch, begin, body, strict=True)):
+            if k != own:
+                codes = np.frombuffer(_unpacked(raw_codes)[0], np.int32)
+                rows.append((b, x, _packed(np.ascontiguousarray(every[:, codes]), *_joined([groups[c] for c in codes.tolist()]))))
+        release_memory()
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=_names(_ANSWER))
 
-    return distinct.select("segment", "n").mapInArrow(run, _ALIGNED)
+    return shards.select("shard", "batch", "begin", "body").groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(run, _ANSWER)
 
 
-def _codes(row: dict) -> tuple[np.ndarray, np.ndarray]:
+def _codes(body: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Segment numbers of a batch's documents one behind the other, and where each document begins."""
-    sizes = np.array(row["sizes"], np.int64)
-    raw = pa.decompress(row["codes"], int(sizes.sum()) * 4, "zstd", asbytes=True) if sizes.sum() else b""
-    return np.frombuffer(raw, np.int32), np.concatenate([[0], np.cumsum(sizes)])
+    return np.frombuffer(_unpacked(body)[0], np.int32), np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
 
 
-def _withdrawn(batches: DataFrame, bad: DataFrame) -> DataFrame:
-    """batch, pos and w: occurrences of segments in documents that hold a bad segment, given the bad ones' (batch, pos)."""
+def without_odd_documents(batches: DataFrame, bad: DataFrame, shards: int) -> DataFrame:
+    """batches anew, with no segments left of documents that hold a bad one; bad: (of, pos)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        batch, pos, lost = [], [], []
-        for row in left.to_pylist():
-            codes, bounds = _codes(row)
-            odd = np.zeros(int(codes.max(initial=-1)) + 1, bool)
-            odd[right["pos"].to_numpy()] = True
-            marks = np.concatenate([[0], np.cumsum(odd[codes])])
-            gone = np.diff(marks[bounds]) > 0
-            n = np.bincount(codes[np.repeat(gone, np.diff(bounds))])
-            pos += np.flatnonzero(n).tolist()
-            lost += n[n > 0].tolist()
-            batch += [row["batch"]] * (len(pos) - len(batch))
-        return pa.table({"batch": pa.array(batch, pa.int64()), "pos": pa.array(pos, pa.int32()), "w": pa.array(lost, pa.int64())})
-
-    bad = bad.select((F.col("batch") + 0).alias("of"), "pos")
-    some = batches.select("batch", "sizes", "codes").join(bad.select("of").distinct(), F.col("batch") == F.col("of"), "left_semi")
-    return some.groupBy("batch").cogroup(bad.groupBy("of")).applyInArrow(run, "batch long, pos int, w long")
-
-
-def _composed(batches: DataFrame, placed: DataFrame, column: str) -> DataFrame:
+        rows, segments = left.to_pylist(), []
+        for row in sorted(rows, key=lambda r: (r["shard"] >= 0, r["begin"])):
+            if row["shard"] < 0:
+                own = row
+            else:
+                lengths, raw, _ = _unpacked(row["body"])
+                segments += _split(lengths, raw)
+        codes, bounds = _codes(own["body"], own["sizes"])
+        odd = np.zeros(own["begin"], bool)
+        odd[right["pos"].to_numpy()] = True
+        gone = np.diff(np.concatenate([[0], np.cumsum(odd[codes])])[bounds]) > 0
+        sizes = np.where(gone, 0, own["sizes"]).tolist()
+        out = _batch_rows(own["batch"], own["docs"], sizes, codes[np.repeat(~gone, np.diff(bounds))], segments, shards)
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _BATCH_KINDS, strict=True)], names=_names(_BATCH))
+
+    hit = bad.select("of").distinct()
+    changed = batches.join(hit, F.col("batch") == F.col("of"), "left_semi").groupBy("batch").cogroup(bad.groupBy("of")).applyInArrow(run, _BATCH)
+    return batches.join(hit, F.col("batch") == F.col("of"), "left_anti").unionByName(changed)
+
+
+def composed(batches: DataFrame, answers: DataFrame, column: str) -> DataFrame:
     """A row of _DIGEST for each document, from its batch and the alignments of that batch's segments."""
     kinds = [pa.int64()] * 7 + [pa.string()]
-    names = [x.split()[0] for x in _DIGEST.format(column).split(", ")]
     hashed = column.endswith("sha256")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in names]
-        for row in left.select(["docs", "sizes", "codes"]).to_pylist():
-            codes, bounds = _codes(row)
-            order = np.argsort(right["pos"].to_numpy())
-            sums = {}
-            for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum"):
-                each = right[c].to_numpy()[order]
-                total = np.concatenate([[0], np.cumsum(each[codes])]) if len(codes) else np.zeros(1, np.int64)
-                sums[c] = np.diff(total[bounds])
-                if c == "n_a":
-                    bad = np.concatenate([[0], np.cumsum(each[codes] < 0)]) if len(codes) else np.zeros(1, np.int64)
-            none = (np.diff(bad[bounds]) > 0) | (np.diff(bounds) == 0)
-            groups = right["groups"].take(pa.array(order)).to_pylist()
-            for i, doc in enumerate(row["docs"]):
-                out[0].append(doc)
-                text = "" if none[i] else ";".join(map(groups.__getitem__, codes[bounds[i] : bounds[i + 1]].tolist()))
-                out[7].append(hashlib.sha256(text.encode()).hexdigest() if hashed and text else text)
-            for k, c in enumerate(("n_a", "n_b", "n_groups", "n_groups", "n_best", "count_sum"), 1):
-                out[k] += np.where(none, 0, sums[c]).tolist()
-        table = pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+        row = left.to_pylist()[0]
+        codes, bounds = _codes(row["body"], row["sizes"])
+        parts, groups = [], []
+        for body in right.sort_by("begin")["body"]:
+            sums, lengths, raw = _unpacked(body.as_py())
+            parts.append(np.frombuffer(sums, np.int64).reshape(5, -1))
+            groups += [g.decode() for g in _split(lengths, raw)]
+        every = np.concatenate(parts, 1) if parts else np.zeros((5, 0), np.int64)
+        out: list = [row["docs"]]
+        for k in (0, 1, 2, 2, 3, 4):
+            out.append(np.diff(np.concatenate([[0], np.cumsum(every[k][codes])])[bounds]))
+        texts = (";".join(map(groups.__getitem__, codes[x:y].tolist())) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        out.append([hashlib.sha256(t.encode()).hexdigest() if hashed and t else t for t in texts])
+        table = pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=_names(_DIGEST.format(column)))
         release_memory()
         return table
 
-    return batches.select("batch", "docs", "sizes", "codes").groupBy("batch").cogroup(placed.groupBy("of")).applyInArrow(run, _DIGEST.format(column))
+    own = batches.filter("shard < 0").select("batch", "docs", "sizes", "body")
+    return own.groupBy("batch").cogroup(answers.select(F.col("batch").alias("of"), "begin", "body").groupBy("of")).applyInArrow(run, _DIGEST.format(column))
 
 
 def align_documents(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", digest: bool = True) -> DataFrame:
@@ -261,22 +356,16 @@ def align_documents(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "pie
 
     paths = public_tokenizers.path(a), public_tokenizers.path(b)
     bound_batches(docs.sparkSession)
-    batches = materialize(segment_batches(docs, *paths), "batches")
-    spread = batches.select("batch", F.posexplode(F.arrays_zip("segments", "counts"))).select("batch", "pos", F.col("col.segments").alias("segment"), F.col("col.counts").alias("n"))
-    distinct = spread.groupBy("segment").agg(F.sum("n").alias("n"))
-    aligned = materialize(aligned_segments(distinct, *paths).withColumn("sid", F.monotonically_increasing_id()), "aligned")
-    used = aligned.select("sid", "n", "a", "b")
-    bad = aligned.filter("n_a < 0").select("segment")
+    shards = max(16, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_SHARD)
+    batches = materialize(segment_batches(docs, *paths, shards), "batches")
+    owned = materialize(aligned_shards(batches, *paths), "shards")
+    bad = owned.filter("bad is not null").select((F.col("batch") + 0).alias("of"), F.explode("bad").alias("pos"))
     if bad.limit(1).count():
-        places = spread.select("batch", "pos", "segment")
-        gone = _withdrawn(batches, places.join(bad, "segment").select("batch", "pos")).join(places, ["batch", "pos"])
-        gone = gone.join(aligned.select("segment", "sid"), "segment").groupBy("sid").agg(F.sum("w").alias("w"))
-        used = used.join(gone, "sid", "left").withColumn("n", F.col("n") - F.coalesce("w", F.lit(0))).drop("w")
-    links = used.select("sid", "n", F.explode(F.arrays_zip("a", "b")).alias("l")).select("sid", "n", "l.a", "l.b")
-    pairs = materialize(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
-    best = pairs.groupBy("b").agg(F.max("count").alias("best"))
-    known = pairs.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("best")).cast("long").alias("is_best"))
-    sums = links.drop("n").join(known, ["a", "b"]).groupBy("sid").agg(F.sum("count").alias("count_sum"), F.sum("is_best").alias("n_best"))
-    each = aligned.drop("n", "a", "b").join(sums, "sid", "left").fillna(0, ["count_sum", "n_best"]).drop("sid")
-    placed = spread.select((F.col("batch") + 0).alias("of"), "pos", "segment").join(each, "segment").drop("segment")
-    return _composed(batches, placed, "groups_sha256" if digest else "groups")
+        batches = materialize(without_odd_documents(batches, bad, shards), "batches")
+        owned = materialize(aligned_shards(batches, *paths), "shards")
+    pairs = owned.filter("batch < 0").select((F.col("shard") + 0).alias("of"), F.explode(F.arrays_zip("a", "b", "n")).alias("p")).select("of", "p.*")
+    counts = materialize(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
+    best = counts.groupBy("b").agg(F.max("count").alias("best"))
+    known = counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("best")).cast("long").alias("is_best"))
+    answers = answered(owned, pairs.drop("n").join(known, ["a", "b"]))
+    return composed(batches, answers, "groups_sha256" if digest else "groups")

@@ -3,11 +3,12 @@
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import public_tokenizers as P
 import pytest
 
-from colloquy.llm import queries
+from colloquy.llm import alignment, queries
 from colloquy.llm.alignment import TokenizerPair, align_documents
 
 LETTERS = [*"ab1!'é.ß世 \n\t\r<>s", "\x1c", "\x85", "\xa0", "　", " ", "  ", " \n", "'s", "<|endoftext|>", "<s>", "the", "ing ", "\r\n", "😀", "\x00"]
@@ -76,37 +77,51 @@ def test_documents_against_brute_force(spark, pair):
     assert all(hashlib.sha256(full[r[0]].encode()).hexdigest() == r[7] for r in got if r[7])
 
 
-def test_texts_that_a_tokenizer_changes_count_for_nothing(spark, monkeypatch):
-    """One piece gives back other bytes, so texts that hold it have no tokens; segments they share with others aren't counted for them."""
-    monkeypatch.setattr(TokenizerPair, "_piece", lambda self, i: b"?" if self.b.id_to_piece(i) == "▁never" else (bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()))
-    pair = TokenizerPair(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
-    texts = ["the cat", "the never", "a cat never", "cat cat", "the"]
-    rows = list(brute(pair, texts))
-    assert rows[1][0] == 0 and rows[0][0] > 0
-    from colloquy.llm import alignment
-
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    batches = [alignment.tokenizer_pair.__wrapped__(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))]
-    monkeypatch.setattr(alignment, "tokenizer_pair", lambda *_: batches[0])
-    monkeypatch.setattr(alignment, "segment_batches", lambda d, *_: local_batches(spark, d, pair))
-    monkeypatch.setattr(alignment, "aligned_segments", lambda d, *_: spark.createDataFrame([(r.segment, r.n, *pair.align([r.segment])[0]) for r in d.collect()], alignment._ALIGNED))
-    assert [tuple(r)[1:] for r in sorted(alignment.align_documents(docs).collect())] == rows
-
-
-def local_batches(spark, docs, pair):
-    """Two batches, made on the driver."""
-    import numpy as np
+def run_shards(spark, pair, batches):
+    """aligned_shards on the driver, with a pair of its own."""
     import pyarrow as pa
 
-    from colloquy.llm import alignment
+    captured = []
+
+    class Grouped:
+        def groupBy(self, *_):
+            return self
+
+        filter = select = groupBy
+
+        def applyInArrow(self, run, _):
+            captured.append(run)
 
-    rows, out = sorted(docs.collect()), []
-    for k, part in enumerate((rows[:3], rows[3:])):
-        found = [pair.segments(r.text) for r in part]
-        distinct = sorted({s for f in found for s in f})
-        codes = np.array([distinct.index(s) for f in found for s in f], np.int32)
-        out.append((k, [r.doc_id for r in part], [len(f) for f in found], bytearray(pa.compress(codes.tobytes(), "zstd", asbytes=True)), distinct, np.bincount(codes, minlength=len(distinct)).tolist()))
-    return spark.createDataFrame(out, alignment._BATCH)
+    old, alignment.tokenizer_pair = alignment.tokenizer_pair, lambda *_: pair
+    try:
+        alignment.aligned_shards(Grouped(), "a", "b")
+        rows = [r for r in batches.collect() if r.shard >= 0]
+        out = []
+        for shard in sorted({r.shard for r in rows}):
+            own = [r for r in rows if r.shard == shard]
+            table = captured[0](pa.table({"shard": [shard] * len(own), "batch": [r.batch for r in own], "begin": pa.array([r.begin for r in own], pa.int32()), "body": pa.array([bytes(r.body) for r in own], pa.binary())}))
+            out += [SimpleNamespace(**r) for r in table.to_pylist()]
+        return out
+    finally:
+        alignment.tokenizer_pair = old
+
+
+def test_texts_that_a_tokenizer_changes_count_for_nothing(spark):
+    """A word is given back wrongly: documents that hold it lose their tokens, and segments they share with others aren't counted for them."""
+    pair = TokenizerPair(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    never = pair.b.piece_to_id("▁never")
+    texts = ["the cat", "the never", "a cat never", "cat cat", "the", "never"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pair.b_bytes[never] = b"?"
+    paths = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+    batches = alignment.segment_batches(docs, *paths, 4)
+    first = run_shards(spark, pair, batches)
+    bad = [(r.batch, p) for r in first for p in r.bad or []]
+    assert bad
+    again = alignment.without_odd_documents(batches, spark.createDataFrame(bad, "of long, pos int"), 4)
+    rows = [r for r in again.collect() if r.shard < 0]
+    assert [n for r in rows for n in r.sizes] == [2, 0, 0, 2, 1, 0]
+    assert not any(r.bad for r in run_shards(spark, pair, again))
 
 
 def test_query_on_whole_table(spark, pair):
