@@ -66,11 +66,11 @@ class Mean:
         return [v if v < 1 << 63 else None for v in exact]
 
 
-def _summed(fit: DataFrame, d: int, shape: tuple[int, ...], partial) -> np.ndarray:
+def _summed(fit: DataFrame, d: int, shape: tuple[int, ...], partial, kind: type = np.float64) -> np.ndarray:
     """The sum of partial(rows) over all rows of fit(x): by batch, by task, by PARTIALS groups of tasks and on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros(shape), False
+        total, some = np.zeros(shape, kind), False
         for batch in batches:
             x = _vectors(batch.column(0), d)
             for i in range(0, len(x), ROWS_TOGETHER):
@@ -80,22 +80,23 @@ def _summed(fit: DataFrame, d: int, shape: tuple[int, ...], partial) -> np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % PARTIALS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "total"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(shape)
+        total = np.zeros(shape, kind)
         for raw in table["total"]:
-            total += np.frombuffer(raw.as_buffer()).reshape(shape)
+            total += np.frombuffer(raw.as_buffer(), kind).reshape(shape)
         return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
 
     parts = fit.select("x").mapInArrow(run, "slot int, total binary").groupBy("slot").applyInArrow(add, "total binary")
-    return sum((np.frombuffer(r.total).reshape(shape) for r in parts.collect()), np.zeros(shape))  # at most PARTIALS rows
+    return sum((np.frombuffer(r.total, kind).reshape(shape) for r in parts.collect()), np.zeros(shape, kind))  # at most PARTIALS rows
 
 
 def fit_mean(fit: DataFrame, d: int) -> Mean:
-    """Exact column sums, as decimals, in one row."""
-    row = fit.agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i].cast("decimal(20,0)")).alias(f"s{i}") for i in range(d)]).first() if d <= 256 else None
-    if row is not None:
-        return Mean(row["n"], [int(row[f"s{i}"]) for i in range(d)])
-    rows = fit.select(F.posexplode("x")).groupBy("pos").agg(F.count("*").alias("n"), F.sum(F.col("col").cast("decimal(20,0)")).alias("s")).collect()  # a row for each dimension
-    return Mean(rows[0]["n"], [int(r["s"]) for r in sorted(rows, key=lambda r: r["pos"])])
+    """Exact sums of the columns: those of the upper and of the lower bits of entries fit in 64 bits, and meet as Python's whole numbers."""
+
+    def halves(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([(x >> 26).sum(0), (x & ((1 << 26) - 1)).sum(0), [len(x)]])
+
+    total = _summed(fit, d, (2 * d + 1,), halves, np.int64).tolist()
+    return Mean(total[-1], [(high << 26) + low for high, low in zip(total[:d], total[d:-1], strict=True)])
 
 
 def subspace(fit: DataFrame, d: int, mean: Mean, k: int, seed: int = 11, most: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
