@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.operators.intervals import with_carry
+from colloquy.operators.joins import null_safe
 
 
 def multiset_prf(rows: DataFrame, key: list[str], left: str, right: str) -> DataFrame:

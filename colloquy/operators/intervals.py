@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.joins import null_safe
+
 #: Width of the buckets of time that windows run in, in the unit of the bounds: an hour of milliseconds.
 WIDTH = 3_600_000
 
@@ -48,12 +50,13 @@ def with_carry(rows: DataFrame, by: list[str], before: dict[str, tuple[Column, C
     """rows(by, _k, ...) with what the other buckets of the key give: name: (aggregate of a bucket, how those of all earlier, or later, buckets combine).
 
     Windows then run inside a bucket `_k`, so no task sorts all rows of a key; only the short table of buckets is ordered by key.
+    Null keys are a key like any other, and a null bucket (a row without a time) one before all others.
     """
     named = [(n, a, f, True) for n, (a, f) in (before or {}).items()] + [(n, a, f, False) for n, (a, f) in (after or {}).items()]
     per = rows.groupBy(*by, "_k").agg(*[a.alias(n) for n, a, _, _ in named])
     w = Window.partitionBy(*by).orderBy("_k")
     sides = {True: w.rowsBetween(Window.unboundedPreceding, -1), False: w.rowsBetween(1, Window.unboundedFollowing)}
-    return rows.join(per.select(*by, "_k", *[f(n).over(sides[earlier]).alias(n) for n, _, f, earlier in named]), [*by, "_k"])
+    return null_safe(rows, per.select(*by, "_k", *[f(n).over(sides[earlier]).alias(n) for n, _, f, earlier in named]), [*by, "_k"])
 
 
 def bucketed(rows: DataFrame, at: str = "start", width: int = WIDTH) -> DataFrame:
