@@ -103,37 +103,43 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repetition: float
 
     place, in [0, 1), orders the whole mixture: at each point the sources have spent equal parts of their budgets. keep_all:
     documents of sources without tokens are dealt once, as is every document in epoch 0. Reads docs twice; repeated rows
-    count one by one. An empty table gives no rows.
+    count one by one. A null source is a source of its own; rows with null or equal doc_ids are dealt apart where any of
+    their columns differs. Columns that are called epoch or place are replaced, others may have any name. An empty table
+    gives no rows.
     """
     sources = materialize(source_weights(docs.select("source", "n_tokens"), target_entropy, repetition, budget), "weights")
     size = max(block_tokens, (sources.agg(F.sum("tokens")).first()[0] or 0) // MOST_BLOCKS)
-    sized = sources.withColumn("_blocks", F.greatest(F.ceil(F.col("tokens") / size), F.lit(1)))
-    same = docs["source"].eqNullSafe(sized["source"])
-    blocked = docs.join(sized.drop("weight"), same).drop(sized["source"])
-    blocked = blocked.withColumn("_block", F.floor(_unit("doc_id", F.lit(seed)) * F.col("_blocks")))
-    table = blocked.groupBy("source", "_block", "tokens", "quota").agg(F.sum("n_tokens").alias("_size"))
+    sized = sources.withColumn("blocks", F.greatest(F.ceil(F.col("tokens") / size), F.lit(1))).select(F.col("source").alias("of_source"), "tokens", "quota", "blocks")
+    kept = [c for c in docs.columns if c not in ("epoch", "place")]
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select("source", "n_tokens", F.xxhash64(*hashed).alias("key"), F.struct(*kept).alias("row"))
+    blocked = rows.join(sized, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("block", F.floor(_unit("key", F.lit(seed)) * F.col("blocks")))
+    table = blocked.groupBy("source", "block", "tokens", "quota").agg(F.sum("n_tokens").alias("size"))
     last = F.when(F.col("tokens") > 0, F.ceil(F.col("quota") / F.col("tokens")) - 1).otherwise(F.lit(0 if keep_all else -1))
     last = F.greatest(last, F.lit(0)) if keep_all else last
-    dealt = table.withColumn("_last", last.cast("int")).filter("_last >= 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    before = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("_block", "epoch", F.lit(seed + 1)), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.withColumn("_start", F.col("tokens") * F.col("epoch") + F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    whole = F.col("_start") + F.col("_size") <= F.col("quota")
+    dealt = table.withColumn("last", last.cast("int")).filter("last >= 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    before = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("start", F.col("tokens") * F.col("epoch") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    whole = F.col("start") + F.col("size") <= F.col("quota")
     if keep_all:
         whole = whole | (F.col("epoch") == 0)
-    dealt = dealt.filter((F.col("_start") < F.col("quota")) | whole).select(F.col("source").alias("_source"), F.col("_block").alias("_of"), "epoch", "_start", "_size", whole.alias("_whole"))
+    dealt = dealt.filter((F.col("start") < F.col("quota")) | whole).select(F.col("source").alias("of_source"), F.col("block").alias("of_block"), "epoch", "start", "size", whole.alias("whole"))
     dealt = materialize(dealt, "blocks")
-    rows = blocked.join(dealt, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_of")))
-    inside = _unit("doc_id", "epoch", F.lit(seed + 2))
-    place = F.least((F.col("_start") + inside * F.col("_size")) / F.greatest("quota", F.lit(1)), F.lit(1 - 1e-12))
-    kept = [c for c in docs.columns if c not in ("epoch", "place")]
-    out = rows.filter("_whole").select(*kept, "epoch", place.alias("place"))
-    spent = Window.partitionBy("_source", "_of", "epoch").orderBy(inside, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.filter("not _whole").withColumn("_spent", F.sum("n_tokens").over(spent)).filter(F.col("_start") + F.col("_spent") <= F.col("quota"))
-    return out.unionAll(edge.select(*kept, "epoch", place.alias("place")))
+    met = blocked.join(dealt, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("block") == F.col("of_block")))
+    inside = _unit("key", "epoch", F.lit(seed + 2))
+    place = F.least((F.col("start") + inside * F.col("size")) / F.greatest("quota", F.lit(1)), F.lit(1 - 1e-12))
+    out = met.filter("whole").select("row", "epoch", place.alias("place"))
+    spent = Window.partitionBy("of_source", "of_block", "epoch").orderBy(inside, "key").rowsBetween(Window.unboundedPreceding, 0)
+    edge = met.filter("not whole").withColumn("spent", F.sum("n_tokens").over(spent)).filter(F.col("start") + F.col("spent") <= F.col("quota"))
+    return out.unionAll(edge.select("row", "epoch", place.alias("place"))).select("row.*", "epoch", "place")
 
 
 def mix_documents(docs: DataFrame, target_entropy: float = 0.97) -> DataFrame:
-    """doc_id, source, n_tokens, epoch, place of a mixture with as many tokens as docs(doc_id, source, text) and at least this share of the highest entropy."""
+    """doc_id, source, n_tokens, epoch, place of a mixture with as many tokens as docs(doc_id, source, text) and at least this share of the highest entropy.
+
+    A null text has no tokens, and a null source is a source; sources without tokens aren't dealt. Null ids, repeated rows
+    and an empty table are as in mix; other columns are ignored.
+    """
     counted = materialize(with_token_counts(docs.select("doc_id", "source", "text"), "n_tokens", ["doc_id", "source"]), "counted")
     total = counted.agg(F.sum("n_tokens")).first()[0] or 0
     return mix(counted, target_entropy=target_entropy, budget=total)

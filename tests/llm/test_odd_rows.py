@@ -7,8 +7,8 @@ import pytest
 from colloquy.llm import embeddings, fingerprints, jaccard, language_id, language_model, mixing, packing, quality, secrets, substrings
 
 LONG = "lorem ipsum dolor sit amet " * 12_000
-CLASH = "score double, label int, sig string, component string, key long, place int, tile long, batch long, _row long, _statistics string"
-EXTRA = (0.5, 7, "s", "c", 1, 2, 3, 4, 5, "t")
+CLASH = "score double, label int, sig string, component string, key long, place int, tile long, batch long, _row long, _statistics string, tokens int, quota long, weight double, epoch int, n_tokens string, block int, row string, whole boolean"
+EXTRA = (0.5, 7, "s", "c", 1, 2, 3, 4, 5, "t", 1, 2, 0.5, 3, "n", 4, "r", True)
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +58,9 @@ def test_packing_and_mixing(docs):
     assert max(places.values()) == 1 and max(p for _, p in places) < 2048
     mixed = mixing.repeat_small_sources(docs, 1.5)
     assert mixed.columns == docs.columns and mixed.count() >= docs.count()
+    dealt = mixing.mix_documents(docs, 0.9)
+    assert dealt.columns == ["doc_id", "source", "n_tokens", "epoch", "place"] and dealt.count() > 0
+    assert {r.source for r in dealt.collect()} <= {"a", "b", None} and mixing.mix_documents(docs.filter("false")).count() == 0
 
 
 def test_stages_keep_columns(docs, labels):
