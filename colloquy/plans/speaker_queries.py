@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators import folds, speakers
+from colloquy.operators import folds, linkage, speakers
 from colloquy.plans.note_queries import LEX
 from colloquy.plans.registry import register
 from colloquy.plans.views import count, evidence, evidence_sql, flag, live_turns, pick, share, table
@@ -22,7 +22,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("adjusted_rand", f"WITH {_PARTS}, {_ARI.format(p='p')} SELECT k, round(ari, 9) AS ari FROM ari")
 def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speakers.adjusted_rand(_parts(spark, sf_dir), "k", "l", "r").select("k", F.round("ari", 9).alias("ari"))
+    return linkage.adjusted_rand(_parts(spark, sf_dir), ["k"], "l", "r").select("k", F.round("ari", 9).alias("ari"))
 
 
 @register("chunk_consistency", f"""WITH {_PARTS}, bl AS (SELECT k, l, count(*) >= 10 AS x FROM p GROUP BY ALL), br AS (SELECT k, r, count(*) >= 10 AS y FROM p GROUP BY ALL), q AS (SELECT p.*, x, y FROM p JOIN bl USING (k, l) JOIN br USING (k, r)), g AS (SELECT * FROM q WHERE x AND y), {_ARI.format(p='g')},
@@ -31,12 +31,30 @@ def chunk_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speakers.chunk_consistency(_parts(spark, sf_dir), "k", "l", "r").withColumn("ari", F.round("ari", 9))
 
 
-_CAND = {"session": count(7, 50), "distance": "0.1 + 0.02e0 * (" + count(11, 12) + ")", "clusters": count(13, 6), "ari": share(17), "viable": flag(19, 2), "expected": "2"}
+GRID = [0.5, 0.6, 0.7, 0.8, 0.9]
 
 
-@register("nearest_distance_pick", f"""WITH {evidence_sql(_CAND)}, r AS (SELECT session, distance, row_number() OVER (PARTITION BY session ORDER BY clusters - expected, abs(distance - 0.2e0), -ari, distance) AS r FROM x WHERE viable AND clusters >= expected) SELECT s.session, coalesce(r.distance, 0.2e0) AS chosen FROM (SELECT DISTINCT session FROM x) s LEFT JOIN r ON r.session = s.session AND r.r = 1""")
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as units of a meeting for each hundred ids: ten seconds apart, from two to six seconds long."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("vec_id div 100").alias("meeting"), (F.col("vec_id") % 100 * 10.0).alias("start"))
+    return e.withColumn("end", F.col("start") + 2 + F.col("vec_id") % 5)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.partition_candidates(_units(spark, sf_dir), "meeting", "vec_id", "embedding", "start", "end", GRID, chunk_seconds=250, merge_distance=0.5, least=(5, 15, 60, 0.3))
+
+
+@register("chunk_replay")
+def chunk_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far clusters of whole meetings, at each distance, are those of a replay by chunks of 250 seconds."""
+    return _candidates(spark, sf_dir)
+
+
+@register("nearest_distance_pick")
 def nearest_distance_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speakers.nearest_partition(evidence(spark, sf_dir, _CAND), "session", "expected", 0.2)
+    """The distance of each meeting at which its vectors fall into stable speakers, three expected."""
+    rows = linkage.viable(_candidates(spark, sf_dir).withColumn("expected", F.lit(3)), "expected", speech=0.3, ari=0.5, coverage=0.5)
+    return speakers.nearest_partition(rows, "meeting", "expected", GRID[0])
 
 
 _ENROL = {"session": count(7, 20), "role": pick(11, "Me", "Me", "Colleagues"), "duration_sec": "25 * " + share(13), "needs_review": flag(17, 6), "words": count(19, 20), "local_only": share(23), "remote_active": "0.4 * " + share(29)}
@@ -62,7 +80,7 @@ def micro_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the vectors of each hundred ids, as units of a meeting."""
     e = table(spark, sf_dir, "embeddings").withColumn("meeting", F.expr("vec_id div 100"))
-    return speakers.agglomerative(e, "meeting", "vec_id", "embedding", distance=0.5)
+    return linkage.agglomerative(e, "meeting", "vec_id", "embedding", distance=0.5)
 
 
 @register("audio_judge")
