@@ -54,6 +54,17 @@ def ranked(a: Column) -> Column:
     return F.transform(a, lambda x, i: F.struct(x.alias("t"), F.size(F.filter(F.slice(a, F.lit(1), i), lambda y: y == x)).alias("k")))
 
 
+def elements(a: Column) -> Column:
+    """Each item with its number among equal ones, as one string, in order: as a set, these are the multiset. Items hold no spaces."""
+    held = F.transform(F.array(F.sort_array(a)), lambda s: F.transform(s, lambda x, i: F.concat(x, F.lit(" "), (i - F.array_position(s, x)).cast("string"))))  # the sorted list is made once
+    return F.get(held, F.lit(0))
+
+
+def shared_count(a: Column, b: Column) -> Column:
+    """How many items two token lists share as multisets."""
+    return F.size(F.array_intersect(elements(a), elements(b)))
+
+
 def multiset_intersect(a: Column, b: Column) -> Column:
     """Items of a that b has as well, each as often as in both, in the order of a."""
     return F.transform(F.array_intersect(ranked(a), ranked(b)), lambda x: x["t"])

@@ -12,7 +12,8 @@ from colloquy.operators.joins import null_safe
 
 def multiset_prf(rows: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
     """key, both, recall (of left), precision (of right), f1 of two token arrays as multisets; null ratios where a side is empty. Row by row, without a shuffle."""
-    out = rows.select(*key, F.size(left).alias("_l"), F.size(right).alias("_r"), F.size(tx.multiset_intersect(F.col(left), F.col(right))).cast("long").alias("both"))
+    rows = rows.withColumn("_a", tx.elements(F.col(left))).withColumn("_b", tx.elements(F.col(right)))
+    out = rows.select(*key, F.size(left).alias("_l"), F.size(right).alias("_r"), F.size(F.array_intersect("_a", "_b")).cast("long").alias("both"))
     recall, precision = F.when(F.col("_l") > 0, F.col("both") / F.col("_l")), F.when(F.col("_r") > 0, F.col("both") / F.col("_r"))
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).when(precision + recall == 0, 0.0)
     return out.select(*key, "both", recall.alias("recall"), precision.alias("precision"), f1.alias("f1"))

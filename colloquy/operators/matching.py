@@ -1,7 +1,7 @@
 """Best matches between two lists of turns: scored pairs of a session, or of neighbouring time, of which the best stays.
 
-Turns are rows(session, id, role, start, end, tokens, ...) in milliseconds. A session is one meeting, so its pairs are few;
-where a rule has a time band, pairs meet in time buckets only.
+Turns are rows(session, id, role, start, end, tokens, ...) in milliseconds. Pairs meet in buckets of time or by words that both
+have, never by the session alone.
 """
 
 from __future__ import annotations
@@ -12,34 +12,99 @@ from pyspark.sql import functions as F
 from colloquy.functions import strings as st
 from colloquy.functions import text as tx
 from colloquy.operators import intervals as iv
+from colloquy.storage import materialize
 
 
 def recall(a: Column, b: Column) -> Column:
     """Share of a's items that b has, as multisets; 0 for an empty a."""
-    return F.when(F.size(a) > 0, F.size(tx.multiset_intersect(a, b)) / F.size(a)).otherwise(0.0)
+    return F.when(F.size(a) > 0, tx.shared_count(a, b) / F.size(a)).otherwise(0.0)
 
 
-def _named(rows: DataFrame, side: str, columns: list[str]) -> DataFrame:
-    return rows.select("session", *[F.col(c).alias(f"{side}_{c}") for c in columns])
+#: Beyond so many milliseconds between two starts, time speaks against a match; nearer rows all meet.
+FAR = 120_000
+#: Rarest words that give a turn its first candidates.
+SEEDS = 3
+
+
+def _beyond(a: DataFrame, b: DataFrame) -> DataFrame:
+    """session, id, batch_id: of each turn of a the two rows of b on either side that begin nearest to it but more than FAR away, among all rows and among those of its role.
+
+    Starts are ranked in buckets of time, a turn's two bounds with them, and the rows of the ranks beside a bound are looked up.
+    """
+
+    def places(side: str, role: Column, at: Column, tie: Column) -> Column:
+        return F.struct(role.alias("class"), F.lit(side).alias("side"), at.alias("at"), tie.cast("long").alias("tie"))
+
+    def four(rows: DataFrame, left: Column, right: Column, new: int) -> DataFrame:
+        named = [F.lit("*"), F.concat(F.lit("role "), "role")]
+        each = F.explode(F.array(*[p for r in named for p in (places("left", r, left, -F.col("id")), places("right", r, right, F.col("id")))]))
+        return rows.select("session", "id", each.alias("p")).select("session", "id", "p.*", F.lit(new).alias("new"), F.lit(1 - new).alias("asked")).filter("class is not null")
+
+    both = four(b, F.col("start"), F.col("start"), 1).unionByName(four(a, F.col("start") - FAR - 1, F.col("start") + FAR, 0))
+    by = ["session", "class", "side"]
+    ranked = iv.numbered(iv.bucketed(both, "at"), by, ["at", "asked", "tie"], "new", "rank")
+    first = F.when(F.col("side") == "left", F.col("rank") - 1).otherwise(F.col("rank") + 1)
+    wanted = ranked.filter("asked = 1").select(*by, "id", F.explode(F.array(first, first + 1)).alias("rank"))
+    return wanted.join(ranked.filter("asked = 0").select(*by, "rank", F.col("id").alias("batch_id")), [*by, "rank"]).select("session", "id", "batch_id")
+
+
+def _scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """session, id, batch_id, batch_start, score, token_recall, away of candidate pairs."""
+    left = a.select("session", "id", F.col("role").alias("a_role"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("items").alias("a_items"), "content")
+    right = b.select("session", F.col("id").alias("batch_id"), F.col("role").alias("b_role"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("items").alias("b_items"))
+    met = pairs.join(left, ["session", "id"]).join(right, ["session", "batch_id"])
+    away = F.abs(F.col("a_start") - F.col("b_start"))
+    nearness = F.when(F.col("content") > 3, 0.0).when(away <= 15_000, 0.35).when(away <= 45_000, 0.15).when(away > FAR, -0.25).otherwise(0.0)
+    shared = F.size(F.array_intersect("a_items", "b_items")) / F.size("a_items")
+    overlaps = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start"))
+    score = F.round(shared + F.when(overlaps, 0.15).otherwise(0.0) + F.when(F.col("a_role") == F.col("b_role"), 0.1).otherwise(0.0) + nearness, 6)
+    return met.select("session", "id", "batch_id", F.col("b_start").alias("batch_start"), score.alias("score"), F.round(shared, 6).alias("token_recall"), away.alias("away"))
 
 
 def best_match(turns: DataFrame, batch: DataFrame, same_role: bool = False) -> DataFrame:
-    """session, id, batch_id, score, token_recall, second_score, margin, plausible, ambiguous: for each turn with words, the best row of the batch in its session.
+    """session, id, batch_id, batch_start, score, token_recall, second_score, margin, plausible, ambiguous: for each turn with words, the best row of the batch in its session.
 
     The score is the recall of the turn's words, and more for overlap and an equal role; short turns (three content words at
     most) gain by nearness in time and lose by distance. Ties: higher recall, then nearer, then earlier, then smaller id.
+
+    Turns meet the rows near in time, the nearest ones beyond, and the rows that have one of their rarest words. The second
+    best of these bounds how many words any better row must share, so a turn looks up all but its commonest words, as many
+    as that bound allows, in an index of words (the k-th of equal words is a word of its own). All pairs that could be first,
+    second or plausible are scored exactly; no pair is made by the session alone. ids are whole numbers, unique in a session,
+    and starts whole milliseconds; rows with a null session, id, start or end take no part.
     """
-    a = _named(turns.filter(F.size("tokens") > 0), "a", ["id", "role", "start", "end", "tokens", "content"])
-    b = _named(batch.filter(F.size("tokens") > 0), "b", ["id", "role", "start", "end", "tokens"])
-    pairs = a.join(b, "session")
+    def prepared(rows: DataFrame, columns: list[str]) -> DataFrame:
+        known = rows.filter((F.size("tokens") > 0) & F.col("session").isNotNull() & F.col("id").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
+        if same_role:
+            known = known.filter(F.col("role").isNotNull()).withColumn("session", F.struct("session", "role"))
+        return known.select("session", "id", "role", "start", "end", *columns, tx.elements(F.col("tokens")).alias("items"))
+
+    a, b = materialize(prepared(turns, ["content"]), "turns"), materialize(prepared(batch, []), "batch")
+    near = iv.overlap_join(
+        a.select("session", "id", (F.col("start") - FAR).alias("start"), (F.greatest("end", F.col("start") + FAR) + 1).alias("end")),
+        b.select("session", "id", "start", F.greatest("end", F.col("start") + 1).alias("end")), ["session"], FAR,
+    ).select("session", F.col("l.id").alias("id"), F.col("r.id").alias("batch_id"))
+    near = materialize(near, "near")
+    whole, met = b.groupBy("session").agg(F.count("*").alias("_all")), near.groupBy("session", "id").agg(F.count("*").alias("_met"))
+    # turns that have met every row of their session have no more to look for
+    a_all, a = a, a.join(whole, "session").join(met, ["session", "id"], "left").filter(F.coalesce("_met", F.lit(0)) < F.col("_all")).drop("_all", "_met")
+    b_all, b = b, b.join(a.select("session").distinct(), "session", "left_semi")
+    index = b.select("session", F.col("id").alias("batch_id"), F.explode("items").alias("item"))
+    many = index.groupBy("session", "item").agg(F.count("*").alias("df"))
+    own = a.select("session", "id", F.size("items").alias("n"), F.explode("items").alias("item")).join(many, ["session", "item"], "left")
+    ordered = materialize(own.withColumn("place", F.row_number().over(Window.partitionBy("session", "id").orderBy("df", "item"))).filter("df is not null"), "items")
+    # an item that no row has comes first: it takes a place of the rarest, but finds nothing
+    seeds = ordered.withColumn("seed", F.row_number().over(Window.partitionBy("session", "id").orderBy("place"))).filter(F.col("seed") <= SEEDS)
+    first = near.unionByName(_beyond(a, b)).unionByName(seeds.join(index, ["session", "item"]).select("session", "id", "batch_id")).distinct()
+    first = materialize(_scored(first, a_all, b_all), "first")
+    top = first.groupBy("session", "id").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 2, 1).alias("second"))
+    # a row further off gets 0.1 at most beside its recall
+    least = F.ceil(F.least(F.lit(0.25), F.greatest(F.coalesce(F.get("second", F.lit(0)), F.lit(0.0)) - 0.1, F.lit(0.0))) * F.col("n") - 1e-5)
+    looked = ordered.join(top, ["session", "id"]).filter((F.col("place") <= F.col("n") - F.greatest(least, F.lit(1)) + 1))
+    more = looked.join(index, ["session", "item"]).select("session", "id", "batch_id").distinct().join(first, ["session", "id", "batch_id"], "left_anti")
+    scored = first.unionByName(_scored(more, a, b))
     if same_role:
-        pairs = pairs.filter("a_role = b_role")
-    away = F.abs(F.col("a_start") - F.col("b_start"))
-    nearness = F.when(F.col("a_content") > 3, 0.0).when(away <= 15_000, 0.35).when(away <= 45_000, 0.15).when(away > 120_000, -0.25).otherwise(0.0)
-    shared = recall(F.col("a_tokens"), F.col("b_tokens"))
-    met = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start"))
-    score = F.round(shared + F.when(met, 0.15).otherwise(0.0) + F.when(F.col("a_role") == F.col("b_role"), 0.1).otherwise(0.0) + nearness, 6)
-    scored = pairs.select("session", F.col("a_id").alias("id"), F.col("b_id").alias("batch_id"), F.col("b_start").alias("batch_start"), score.alias("score"), F.round(shared, 6).alias("token_recall"), away.alias("away"))
+        scored = scored.withColumn("session", F.col("session.session"))
     w = Window.partitionBy("session", "id")
     plausible = F.count_if((F.col("token_recall") >= 0.25) & (F.col("score") >= 0.35)).over(w)
     order = [F.desc("score"), F.desc("token_recall"), "away", "batch_start", "batch_id"]
@@ -105,7 +170,7 @@ def best_remote(candidates: DataFrame, remote: DataFrame, terms: list[str], band
 
 def lexical(a: Column, b: Column) -> tuple[Column, Column]:
     """Likeness of two token lists (the larger of shared words by the shorter list, and the sequence ratio of the joined words), and shared words."""
-    shared = F.size(tx.multiset_intersect(a, b))
+    shared = tx.shared_count(a, b)
     inside = F.when(F.least(F.size(a), F.size(b)) > 0, shared / F.least(F.size(a), F.size(b))).otherwise(0.0)
     return F.greatest(inside, st.sequence_ratio(F.array_join(a, " "), F.array_join(b, " "))), shared
 

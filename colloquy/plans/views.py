@@ -32,10 +32,13 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("end", F.expr("start + length(text) * 1000L div 15"))
 
 
+def _with_tokens(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tokens", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != ""))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, turn, track, tokens: lower-case runs of a-z."""
-    tokens = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
-    return turns(spark, sf_dir).select("session", "turn", "track", tokens.alias("tokens"))
+    return _with_tokens(turns(spark, sf_dir)).select("session", "turn", "track", "tokens")
 
 
 def share(a: int, m: int = 101) -> str:
@@ -72,7 +75,7 @@ batch AS (SELECT session, id + 1000 AS id, chunk, CASE WHEN id % 5 = 0 THEN 'Me'
 
 
 def live_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = turns(spark, sf_dir).join(words(spark, sf_dir).drop("track"), ["session", "turn"])
+    both = _with_tokens(turns(spark, sf_dir))
     content = F.array_distinct(F.filter("tokens", lambda t: (F.length(t) >= 3) & ~t.isin("the", "and", "that", "with", "for")))
     role = F.when(F.col("track") == "mic", "Me").when(F.col("track") == "remote", "Colleagues").otherwise("Other")
     return both.select("session", F.col("turn").cast("long").alias("id"), F.expr("turn div 6").alias("chunk"), role.alias("role"), "start", "end", "tokens", F.size(content).alias("content"), "text")
