@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from colloquy.functions import text as tx
 from colloquy.operators.intervals import with_carry
@@ -51,12 +58,31 @@ def purity(rows: DataFrame, truth: str, predicted: str, weight: str) -> DataFram
     return out.select("cluster", "total", (-F.col("m.k")).alias("dominant"), (F.col("m.w") / F.col("total")).alias("dominant_share"))
 
 
+#: Parts that a key's values are cut into at each narrowing; two narrowings leave a four-thousandth of them.
+PARTS = 64
+
+
 def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
-    """by, weighted_median: the first value whose cumulative weight reaches half."""
-    sums = rows.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*by)
-    sums = sums.withColumn("_c", F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("_w").over(w))
-    return sums.filter(F.col("_c") * 2 >= F.col("_t")).groupBy(*by).agg(F.min(value).alias("weighted_median"))
+    """by, weighted_median: the first value whose cumulative weight reaches half. Null values are left out, null keys are keys.
+
+    Twice, the values are cut at quantiles into parts of about as many rows, and only the part where half is reached goes on,
+    with the weight before it; so no task sorts a key, wherever its values lie.
+    """
+    sums = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
+    total = sums.groupBy(*by).agg(F.sum("_w").alias("_t"))
+    left = null_safe(sums, total, by).withColumn("_before", F.lit(0).cast(sums.schema["_w"].dataType))
+    for _ in range(2):
+        edges = left.groupBy(*by).agg(F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)], 1000).alias("_e"))
+        parted = null_safe(left, edges, by).withColumn("_k", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+        per = parted.groupBy(*by, "_k").agg(F.sum("_w").alias("_p"), F.first("_before").alias("_o"), F.first("_t").alias("_u"))
+        w = Window.partitionBy(*by).orderBy("_k")  # PARTS rows at most
+        run = F.col("_o") + F.sum("_p").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        reached = per.withColumn("_run", run).filter(F.col("_run") * 2 >= F.col("_u"))
+        part = reached.groupBy(*by).agg(F.min(F.struct("_k", (F.col("_run") - F.col("_p")).alias("b"))).alias("_m"))
+        left = null_safe(parted.drop("_before"), part, by).filter(F.col("_k") == F.col("_m._k")).withColumn("_before", F.col("_m.b")).drop("_m", "_k")
+    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = left.withColumn("_c", F.col("_before") + F.sum("_w").over(w))
+    return found.filter(F.col("_c") * 2 >= F.col("_t")).groupBy(*by).agg(F.min(value).alias("weighted_median"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -73,27 +99,39 @@ def baseline_compare(current: DataFrame, baseline: DataFrame, higher_is_better:
     return both.select(F.col("metric").alias("id"), F.when(F.col("base").isNull(), "soft").otherwise("hard").alias("severity"), status.alias("status"), F.col("value").alias("observed"), threshold.alias("threshold"))
 
 
+#: A sketch's ranks are off by less than one in ACCURACY; twice that on either side surely holds the value.
+ACCURACY = 10_000
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str, of: dict[str, float]) -> DataFrame:
-    """by and exact percentiles {name: share}, linear between neighbours; nulls are left out, and keys without values have no row.
+    """by and exact percentiles {name: share}, linear between neighbours; nulls are left out, null keys are keys, and keys without values have no row.
 
-    Equal values are counted first, and running counts are carried over buckets of the key's values, so no task sorts a key.
+    A mergeable sketch gives a bracket around each percentile; values below it are only counted, and those inside (a
+    two-thousandth of the key's) are ranked in parts of the bracket. So no task gets a key's values, wherever an outlier lies.
     """
-    spread = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ends = spread.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_t"))
-    counts = spread.join(ends, by).withColumn("_k", F.coalesce(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)) * 64), F.lit(0)))
-    counts = with_carry(counts, by, {"_before": (F.sum("_n"), F.sum)})
-    run = Window.partitionBy(*by, "_k").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_c", F.coalesce("_before", F.lit(0)) + F.sum("_n").over(run))
+    some = rows.filter(F.col(value).isNotNull())
+    around = [b for q in of.values() for b in (max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY))]
+    sketch = some.groupBy(*by).agg(F.percentile_approx(value, around, ACCURACY).alias("_e"), F.count("*").alias("_t"))
+    spread = null_safe(some.groupBy(*by, value).agg(F.count("*").alias("_n")), sketch, by)
+    brackets = F.array(*[F.struct(F.lit(i).alias("q"), F.get("_e", F.lit(2 * i)).alias("lo"), F.get("_e", F.lit(2 * i + 1)).alias("hi"), ((F.col("_t") - 1) * F.lit(q)).alias("place")) for i, q in enumerate(of.values())])
+    each = spread.select(*by, value, "_n", F.explode(brackets).alias("_b")).select(*by, value, "_n", "_b.*")
+    v, under, over = F.col(value), F.col(value) < F.col("lo"), F.col(value) > F.col("hi")
+    # a rank's neighbour may be the value next to the bracket
+    sides = each.groupBy(*by, "q").agg(F.coalesce(F.sum(F.when(under, F.col("_n"))), F.lit(0)).alias("_below"), F.max(F.when(under, v)).alias("_prev"), F.min(F.when(over, v)).alias("_next"))
+    inside = each.filter((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
+    width = F.nullif((F.col("hi") - F.col("lo")).cast("double"), F.lit(0.0))
+    inside = inside.withColumn("_k", F.coalesce(F.floor((F.col(value) - F.col("lo")).cast("double") / width * PARTS), F.lit(0)))
+    inside = with_carry(inside, [*by, "q"], {"_before": (F.sum("_n"), F.sum)})
+    run = Window.partitionBy(*by, "q", "_k").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counted = null_safe(inside, sides, [*by, "q"]).withColumn("_c", F.col("_below") + F.coalesce("_before", F.lit(0)) + F.sum("_n").over(run))
 
     def at(place: Column) -> Column:
-        return F.min(F.when(F.col("_c") > place, F.col(value)))
+        return F.when(F.first("_below") > F.first(place), F.first("_prev")).otherwise(F.coalesce(F.min(F.when(F.col("_c") > place, v)), F.first("_next")))
 
-    found = []
-    for name, q in of.items():
-        place = (F.col("_t") - 1) * F.lit(q)
-        found += [at(F.floor(place)).alias(f"{name}_lo"), at(F.ceil(place)).alias(f"{name}_hi"), F.first(place - F.floor(place)).alias(f"{name}_w")]
-    out = counts.groupBy(*by).agg(*found)
-    return out.select(*by, *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_w")).alias(n) for n in of])
+    part = F.first(F.col("place") - F.floor("place"))
+    found = counted.groupBy(*by, "q").agg(at(F.floor("place")).alias("lo"), at(F.ceil("place")).alias("hi"), part.alias("w"))
+    found = found.withColumn("v", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("q") == i, F.col("v"))).alias(n) for i, n in enumerate(of)])
 
 
 def centroids(rows: DataFrame, by: str, embedding: str) -> DataFrame:
@@ -103,25 +141,95 @@ def centroids(rows: DataFrame, by: str, embedding: str) -> DataFrame:
     return mean.withColumn("centroid", tx.unit("centroid"))
 
 
-#: Centroids that may be sent to every task.
-MOST_CENTROIDS = 10_000
+#: Centroids that are compared with a batch of rows at once; bytes of centroids that may be sent to every task.
+CENTROIDS_TOGETHER, SENT_BYTES = 4096, 32_000_000
+_TOP = "_c1 {0}, _s1 double, _c2 {0}, _s2 double"
+
+
+def _top_two(rows: DataFrame, blocks, by: str, embedding: str, kind: str) -> DataFrame:
+    """rows with _c1, _s1, _c2, _s2: class and similarity of the nearest and the second nearest centroid of a block; ties by class.
+
+    blocks gives, for a batch, (rows of it, classes, matrix of unit vectors) one after the other. Null, zero and non-finite
+    vectors, and those of another dimension, have none.
+    """
+    at = rows.columns.index(embedding)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(at).cast(pa.list_(pa.float64()))
+            n, sizes = batch.num_rows, pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+            top = [np.full((n, 2), -1, np.int64), np.full((n, 2), np.nan)]
+            names: list = []
+            for own, classes, centers in blocks(batch):
+                fit = own[sizes[own] == centers.shape[1]]
+                x = pc.list_flatten(vectors.take(pa.array(fit))).to_numpy(zero_copy_only=False).reshape(len(fit), -1)
+                norm = np.linalg.norm(x, axis=1)
+                good = np.isfinite(norm) & (norm > 0)
+                fit, near = fit[good], (x[good] / norm[good, None]) @ centers.T
+                for k in range(min(2, len(classes))):
+                    best = near.argmax(1)
+                    top[0][fit, k], top[1][fit, k] = best + len(names), near[np.arange(len(fit)), best]
+                    near[np.arange(len(fit)), best] = -np.inf
+                names += list(classes)
+            classes = pa.array(names, batch_kind)
+            columns = []
+            for k in (0, 1):
+                none = top[0][:, k] < 0
+                columns += [classes.take(pa.array(top[0][:, k], mask=none)), pa.array(top[1][:, k], mask=none)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "_c1", "_s1", "_c2", "_s2"])
+
+    batch_kind = to_arrow_type(T.DataType.fromDDL(kind))
+    fields = [*rows.schema.fields, *T.StructType.fromDDL(_TOP.format(kind)).fields]
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def _similarities(rows: DataFrame, centers: DataFrame, by: str, embedding: str) -> DataFrame:
-    """rows with `_s`: (similarity, class) of every centroid, nearest first, ties by class. The table of centroids is checked to be small."""
-    if centers.count() > MOST_CENTROIDS:
-        raise ValueError(f"more than {MOST_CENTROIDS} centroids: look for near vectors in tables instead")
-    held = centers.agg(F.collect_list(F.struct(F.col(by).alias("k"), F.col("centroid").alias("c"))).alias("_all"))
-    own = rows.join(F.broadcast(held)).withColumn("_u", tx.unit(embedding))
-    ranked = F.array_sort(F.transform("_all", lambda x: F.struct((-tx.dot(F.col("_u"), x["c"])).alias("d"), x["k"].alias("k"))))
-    return own.withColumn("_s", ranked).drop("_all", "_u")
+    """rows with _c1, _s1, _c2, _s2 over all centroids, by one matrix product for a batch of rows and a block of centroids.
+
+    Centroids whose size is checked to be small go to every task. More of them stay a table of blocks: rows meet block after
+    block, and the best two of each block are merged.
+    """
+    kind = centers.schema[by].dataType.simpleString()
+    size = centers.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    known = centers.filter(F.col("centroid").isNotNull()).select(F.col(by).alias("k"), F.col("centroid").alias("c"))
+    if size["n"] * max(size["d"] or 0, 1) * 8 <= SENT_BYTES:
+        held = sorted(known.collect(), key=lambda r: (r["k"] is None, r["k"]))
+        classes, matrix = [r["k"] for r in held], np.array([r["c"] for r in held], float).reshape(len(held), -1)
+        sent = rows.sparkSession.sparkContext.broadcast((classes, matrix))
+
+        def whole(batch: pa.RecordBatch) -> Iterator[tuple]:
+            if len(sent.value[0]):
+                yield np.arange(batch.num_rows), *sent.value
+
+        return _top_two(rows, whole, by, embedding, kind)
+    many = -(-size["n"] // CENTROIDS_TOGETHER)
+    blocks = known.groupBy(F.pmod(F.xxhash64("k"), F.lit(many)).cast("int").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("_all"))
+    blocks = blocks.select("_block", F.transform("_all", lambda x: x["k"]).alias("_ks"), F.flatten(F.transform("_all", lambda x: x["c"])).alias("_cs"))
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    batched = numbered.groupBy(F.expr(f"_row div {CENTROIDS_TOGETHER}").alias("_batch")).agg(F.collect_list(F.struct(*numbered.columns)).alias("_rows"))
+    met = batched.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(blocks, "_block")
+    each = met.select("_ks", "_cs", F.explode("_rows").alias("r")).select("r.*", "_ks", "_cs")
+
+    def of_block(batch: pa.RecordBatch) -> Iterator[tuple]:
+        ks, cs = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+        starts = [0, *[i for i in range(1, batch.num_rows) if ks[i] != ks[i - 1]], batch.num_rows]
+        for x, y in zip(starts[:-1], starts[1:], strict=True):
+            if y > x:
+                classes = ks[x].as_py()
+                yield np.arange(x, y), classes, np.array(cs[x].as_py()).reshape(len(classes), -1)
+
+    top = _top_two(each, of_block, by, embedding, kind).drop("_ks", "_cs")
+    both = F.array(F.struct((-F.col("_s1")).alias("s"), F.col("_c1").alias("c")), F.struct((-F.col("_s2")).alias("s"), F.col("_c2").alias("c")))
+    merged = top.groupBy("_row").agg(F.first(F.struct(*rows.columns)).alias("r"), F.slice(F.array_sort(F.filter(F.flatten(F.collect_list(both)), lambda x: x["s"].isNotNull())), 1, 2).alias("t"))
+    best = [[F.get("t", F.lit(i))["c"].alias(f"_c{i + 1}"), (-F.get("t", F.lit(i))["s"]).alias(f"_s{i + 1}")] for i in (0, 1)]
+    return merged.select("r.*", *best[0], *best[1])
 
 
 def nearest_centroid(rows: DataFrame, centers: DataFrame, by: str, embedding: str, similarity: float, margin: float) -> DataFrame:
-    """rows with `assigned`: the class of the nearest centroid if it is near enough and leads by the margin; a single centroid leads by its similarity."""
+    """rows with `assigned`: the class of the nearest centroid if it is near enough and leads by the margin; a single centroid leads by its similarity. Rows without a usable vector have none."""
     near = _similarities(rows, centers, by, embedding)
-    first, second = -F.get("_s", F.lit(0))["d"], -F.coalesce(F.get("_s", F.lit(1))["d"], F.lit(0.0))
-    return near.withColumn("assigned", F.when((first >= similarity) & (first - second >= margin), F.get("_s", F.lit(0))["k"])).drop("_s")
+    lead = F.col("_s1") - F.coalesce("_s2", F.lit(0.0))
+    return near.withColumn("assigned", F.when((F.col("_s1") >= similarity) & (lead >= margin), F.col("_c1"))).select(*rows.columns, "assigned")
 
 
 def _cohesion(rows: DataFrame, by: str, embedding: str) -> DataFrame:
@@ -146,8 +254,9 @@ def assign_speakers(rows: DataFrame, key: str, by: str, embedding: str, overlaps
     centers = centroids(rows, by, embedding)
     near = _similarities(rows, centers.join(large, by, "left_semi"), by, embedding)
     near = near.join(centers, by).withColumn("own", tx.dot(tx.unit(embedding), F.col("centroid")))
-    other = -F.get(F.filter("_s", lambda x: x["k"] != F.col(by)), F.lit(0))["d"]
-    is_large = F.exists("_s", lambda x: x["k"] == F.col(by))
+    near = null_safe(near, large.withColumn("_large", F.lit(True)), [by], "left")
+    other = F.when(F.col("_c1") == F.col(by), F.col("_s2")).otherwise(F.col("_s1"))
+    is_large = F.coalesce("_large", F.lit(False))
     reason = F.when(~F.col("is_unit"), "not_an_embedding_unit").when(~is_large, "minor_or_unstable_cluster").when(F.col("own") < similarity, "low_cluster_similarity")
     reason = reason.when(F.col("own") - F.coalesce(other, F.lit(0.0)) < margin, "low_cluster_margin").otherwise("stable_anonymous_cluster")
     first = near.select(key, F.col(by).alias("_by"), reason.alias("reason")).withColumn("speaker", F.when(F.col("reason") == "stable_anonymous_cluster", F.col("_by"))).drop("_by")

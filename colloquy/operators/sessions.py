@@ -124,14 +124,27 @@ def nearest_restart(gaps: DataFrame, restarts: DataFrame, by: list[str], reach:
     return best.select("id", F.col("b.at").alias("restart"), F.col("b.d").alias("distance"), F.when(F.col("b.at") < F.col("b.s"), "before").otherwise("after").alias("side"))
 
 
-def pareto(rows: DataFrame, risk: str, gains: list[str], key: str) -> DataFrame:
-    """rows that beat, in one of the gains, all rows of less risk, and those of their risk with more gain. Windows run inside a risk; the best of lower ones is carried."""
+def pareto(rows: DataFrame, risk: str, gains: list[str], key: str, parts: int = 256) -> DataFrame:
+    """rows that beat, in one of the gains, all rows of less risk, and those of their risk with more gain (ties: by key). A null risk comes first, null gains beat nothing.
+
+    Risks are cut at quantiles into ranges of about as many rows, and a risk with many rows into ranges of its first gain.
+    The best of earlier ranges is carried over the short table of ranges, and windows run inside a range.
+    """
+    cuts = rows.agg(F.percentile_approx(F.struct(risk).getField(risk), [k / parts for k in range(1, parts)], 10_000)).first()[0] or []  # at most `parts` numbers
+    edges = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    ranges = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col(risk))), F.lit(-1))
     best = {f"_g{i}": (F.max(g), F.max) for i, g in enumerate(gains)}
-    out = iv.with_carry(rows.withColumn("_k", F.col(risk)).withColumn("_all", F.lit(0)), ["_all"], best)
-    w = Window.partitionBy("_all", "_k").orderBy(*[F.desc(g) for g in gains], key).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_k", ranges)
+    per = out.groupBy("_k").agg(*[a.alias(n) for n, (a, _) in best.items()])
+    before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # over `parts` + 1 rows
+    carried = per.select("_k", *[F.max(n).over(before).alias(n) for n in best])
+    out = out.join(F.broadcast(carried), "_k")
+    # inside a range, risks that are equal to its upper end may be many: of each risk only rows that beat its own earlier risks matter
+    w = Window.partitionBy("_k").orderBy(F.asc_nulls_first(risk), *[F.desc_nulls_last(g) for g in gains], key).rowsBetween(Window.unboundedPreceding, -1)
     better = F.lit(False)
     for i, g in enumerate(gains):
-        better = better | F.coalesce(F.col(g) > F.greatest(F.max(g).over(w), F.col(f"_g{i}")), F.lit(True))
+        bar = F.greatest(F.max(g).over(w), F.col(f"_g{i}"))
+        better = better | F.coalesce(F.col(g) > bar, F.col(g).isNotNull() & bar.isNull())
     return out.withColumn("_better", better).filter("_better").select(*rows.columns)
 
 

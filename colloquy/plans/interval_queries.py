@@ -69,12 +69,12 @@ def free_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.complement(_track(spark, sf_dir, "view"), ["day"], frame, before=150, after=200)
 
 
-@register("interval_union_coverage", f"""{W}, c AS (SELECT c.id, c.s AS cs, c.e AS ce, greatest(c.s, v.s) AS s, least(c.e, v.e) AS e FROM iv c JOIN iv v ON c.day = v.day AND v.track = 'view' AND c.s < v.e AND c.e > v.s WHERE c.track = 'click'),
+@register("interval_union_coverage", f"""{W}, c AS (SELECT c.id, c.s AS cs, c.e AS ce, greatest(c.s, v.s) AS s, least(c.e, v.e) AS e FROM iv c JOIN iv v ON v.track = 'view' AND c.s < v.e AND c.e > v.s WHERE c.track = 'click'),
 o AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o)
 SELECT id, least(1.0, CAST(sum(len) AS DOUBLE) / greatest(1, any_value(d))) AS coverage FROM (SELECT id, g, max(e) - min(s) AS len, any_value(ce - cs) AS d FROM g GROUP BY id, g) GROUP BY id""")
 def interval_union_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = iv.overlap_join(_track(spark, sf_dir, "click"), _track(spark, sf_dir, "view"), ["day"], BUCKET)
+    pairs = iv.overlap_join(_track(spark, sf_dir, "click"), _track(spark, sf_dir, "view"), [], BUCKET)
     parts = pairs.select("l.id", (F.col("l.end") - F.col("l.start")).alias("d"), F.greatest("l.start", "r.start").alias("start"), F.least("l.end", "r.end").alias("end"))
     return iv.union_length(parts, ["id", "d"]).select("id", F.least(F.lit(1.0), F.col("union_length") / F.greatest("d", F.lit(1))).alias("coverage"))
 
@@ -90,9 +90,9 @@ def state_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.merge(inside, ["day"]).filter(F.col("end") - F.col("start") >= 350).select("day", "start", "end")
 
 
-@register("interval_intersection", f"{W} SELECT id FROM iv a WHERE track = 'purchase' AND EXISTS (SELECT 1 FROM iv b WHERE b.track = 'error' AND b.day = a.day AND b.s < a.e AND b.e > a.s)")
+@register("interval_intersection", f"{W} SELECT id FROM iv a WHERE track = 'purchase' AND EXISTS (SELECT 1 FROM iv b WHERE b.track = 'error' AND b.s < a.e AND b.e > a.s)")
 def interval_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.overlap_join(_track(spark, sf_dir, "purchase"), _track(spark, sf_dir, "error"), ["day"], BUCKET, "left_semi").select("id")
+    return iv.overlap_join(_track(spark, sf_dir, "purchase"), _track(spark, sf_dir, "error"), [], BUCKET, "left_semi").select("id")
 
 
 @register("tumbling_overlap_windows", f"""{W}, f AS (SELECT day, min(s) AS s, max(e) AS e FROM iv GROUP BY day), w AS (SELECT day, s, e, unnest(range(0, CAST(ceil((e - s) / 60000.0) AS BIGINT))) AS i FROM f)
@@ -140,58 +140,58 @@ def lag_order_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("start") + 1000 < F.col("previous_start")).select("id", "previous_start")
 
 
-@register("self_overlap_pairs", f"{W} SELECT a.id AS left_id, b.id AS right_id FROM iv a JOIN iv b ON a.day = b.day AND a.track = 'view' AND b.track = 'view' AND a.id < b.id AND least(a.e, b.e) - greatest(a.s, b.s) >= 500")
+@register("self_overlap_pairs", f"{W} SELECT a.id AS left_id, b.id AS right_id FROM iv a JOIN iv b ON a.track = 'view' AND b.track = 'view' AND a.id < b.id AND least(a.e, b.e) - greatest(a.s, b.s) >= 500")
 def self_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _track(spark, sf_dir, "view")
     enough = iv.overlap(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end")) >= 500
-    return iv.overlap_join(rows, rows, ["day"], BUCKET).filter((F.col("l.id") < F.col("r.id")) & enough).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
+    return iv.overlap_join(rows, rows, [], BUCKET).filter((F.col("l.id") < F.col("r.id")) & enough).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
 
 
-@register("overlap_flag_map", f"""{W}, p AS (SELECT a.id AS x, b.id AS y FROM iv a JOIN iv b ON a.day = b.day AND a.track = 'view' AND b.track = 'view' AND a.id <> b.id AND least(a.e, b.e) - greatest(a.s, b.s) >= 500) SELECT x AS id, string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) AS partners FROM p GROUP BY x""")
+@register("overlap_flag_map", f"""{W}, p AS (SELECT a.id AS x, b.id AS y FROM iv a JOIN iv b ON a.track = 'view' AND b.track = 'view' AND a.id <> b.id AND least(a.e, b.e) - greatest(a.s, b.s) >= 500) SELECT x AS id, string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) AS partners FROM p GROUP BY x""")
 def overlap_flag_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = self_overlap_pairs(spark, sf_dir)
     both = p.select(F.col("left_id").alias("id"), F.col("right_id").alias("y")).unionAll(p.select("right_id", "left_id"))
     return both.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("y")), lambda y: y.cast("string")), ",").alias("partners"))
 
 
-@register("interval_overlap_agg_join", f"""{W}, p AS (SELECT u.id, s.track, sum(least(u.e, s.e) - greatest(u.s, s.s)) AS ms FROM iv u JOIN iv s ON u.day = s.day AND s.s < u.e AND s.e > u.s AND s.id <> u.id WHERE u.track = 'signup' GROUP BY ALL)
+@register("interval_overlap_agg_join", f"""{W}, p AS (SELECT u.id, s.track, sum(least(u.e, s.e) - greatest(u.s, s.s)) AS ms FROM iv u JOIN iv s ON s.s < u.e AND s.e > u.s AND s.id <> u.id WHERE u.track = 'signup' GROUP BY ALL)
 SELECT id, track, CAST(ms AS DOUBLE) / sum(ms) OVER (PARTITION BY id) AS ratio FROM p""")
 def interval_overlap_agg_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = iv.overlap_join(_track(spark, sf_dir, "signup"), intervals(spark, sf_dir), ["day"], BUCKET).filter("l.id <> r.id")
+    pairs = iv.overlap_join(_track(spark, sf_dir, "signup"), intervals(spark, sf_dir), [], BUCKET).filter("l.id <> r.id")
     ms = iv.overlap(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end"))
     by = pairs.groupBy("l.id", "r.track").agg(F.sum(ms).alias("ms"))
     return by.select("id", "track", (F.col("ms") / F.sum("ms").over(Window.partitionBy("id"))).alias("ratio"))
 
 
-@register("support_bounds_join", f"""{W} SELECT u.id, min(greatest(u.s, s.s)) FILTER (s.id IS NOT NULL) AS support_start, max(least(u.e, s.e)) FILTER (s.id IS NOT NULL) AS support_end, coalesce(CAST(sum(least(u.e, s.e) - greatest(u.s, s.s)) FILTER (s.id IS NOT NULL) AS BIGINT), 0) AS support_ms FROM iv u LEFT JOIN iv s ON u.day = s.day AND s.track = 'view' AND least(u.e, s.e) - greatest(u.s, s.s) >= 500 WHERE u.track = 'signup' GROUP BY u.id""")
+@register("support_bounds_join", f"""{W} SELECT u.id, min(greatest(u.s, s.s)) FILTER (s.id IS NOT NULL) AS support_start, max(least(u.e, s.e)) FILTER (s.id IS NOT NULL) AS support_end, coalesce(CAST(sum(least(u.e, s.e) - greatest(u.s, s.s)) FILTER (s.id IS NOT NULL) AS BIGINT), 0) AS support_ms FROM iv u LEFT JOIN iv s ON s.track = 'view' AND least(u.e, s.e) - greatest(u.s, s.s) >= 500 WHERE u.track = 'signup' GROUP BY u.id""")
 def support_bounds_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _track(spark, sf_dir, "signup")
     start, end = F.greatest("l.start", "r.start"), F.least("l.end", "r.end")
-    support = iv.overlap_join(rows, _track(spark, sf_dir, "view"), ["day"], BUCKET).filter(end - start >= 500).groupBy("l.id").agg(F.min(start).alias("support_start"), F.max(end).alias("support_end"), F.sum(end - start).alias("support_ms"))
+    support = iv.overlap_join(rows, _track(spark, sf_dir, "view"), [], BUCKET).filter(end - start >= 500).groupBy("l.id").agg(F.min(start).alias("support_start"), F.max(end).alias("support_end"), F.sum(end - start).alias("support_ms"))
     return rows.select("id").join(support, "id", "left").withColumn("support_ms", F.coalesce("support_ms", F.lit(0)))
 
 
-@register("action_coverage_filter", f"""{W} SELECT u.id FROM iv u JOIN iv s ON u.day = s.day AND s.s < u.e AND s.e > u.s AND s.track <> 'signup' WHERE u.track = 'signup' GROUP BY u.id, u.s, u.e HAVING bool_and(s.track IN ('view', 'click')) AND sum(least(u.e, s.e) - greatest(u.s, s.s)) >= u.e - u.s - 50""")
+@register("action_coverage_filter", f"""{W} SELECT u.id FROM iv u JOIN iv s ON s.s < u.e AND s.e > u.s AND s.track <> 'signup' WHERE u.track = 'signup' GROUP BY u.id, u.s, u.e HAVING bool_and(s.track IN ('view', 'click')) AND sum(least(u.e, s.e) - greatest(u.s, s.s)) >= u.e - u.s - 50""")
 def action_coverage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = iv.overlap_join(_track(spark, sf_dir, "signup"), intervals(spark, sf_dir).filter("track <> 'signup'"), ["day"], BUCKET)
+    pairs = iv.overlap_join(_track(spark, sf_dir, "signup"), intervals(spark, sf_dir).filter("track <> 'signup'"), [], BUCKET)
     ms = iv.overlap(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end"))
     by = pairs.groupBy("l").agg(F.bool_and(F.col("r.track").isin("view", "click")).alias("allowed"), F.sum(ms).alias("ms"))
     return by.filter(F.col("allowed") & (F.col("ms") >= F.col("l.end") - F.col("l.start") - 50)).select("l.id")
 
 
-@register("point_in_interval_join", f"{W} SELECT c.id, count(*) AS n FROM iv c JOIN iv v ON c.day = v.day AND v.track = 'view' AND (c.s + c.e) // 2 BETWEEN v.s - 500 AND v.e + 500 WHERE c.track = 'click' GROUP BY c.id")
+@register("point_in_interval_join", f"{W} SELECT c.id, count(*) AS n FROM iv c JOIN iv v ON v.track = 'view' AND (c.s + c.e) // 2 BETWEEN v.s - 500 AND v.e + 500 WHERE c.track = 'click' GROUP BY c.id")
 def point_in_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = F.expr("(start + end) div 2")
     points = _track(spark, sf_dir, "click").withColumn("end", middle + 1).withColumn("start", F.col("end") - 1)
     wide = _track(spark, sf_dir, "view").withColumn("start", F.col("start") - 500).withColumn("end", F.col("end") + 501)
-    return iv.overlap_join(points, wide, ["day"], BUCKET).groupBy("l.id").agg(F.count("*").alias("n"))
+    return iv.overlap_join(points, wide, [], BUCKET).groupBy("l.id").agg(F.count("*").alias("n"))
 
 
 @register("nearest_join", f"""{W}, c AS (SELECT id, day, (s + e) // 2 AS m FROM iv WHERE track = 'purchase'), v AS (SELECT id, day, (s + e) // 2 AS m FROM iv WHERE track = 'error')
-SELECT id, near_id, distance FROM (SELECT c.id, v.id AS near_id, abs(c.m - v.m) AS distance, row_number() OVER (PARTITION BY c.id ORDER BY abs(c.m - v.m), v.m, v.id) AS r FROM c JOIN v USING (day)) WHERE r = 1""")
+SELECT id, near_id, distance FROM (SELECT c.id, v.id AS near_id, abs(c.m - v.m) AS distance, row_number() OVER (PARTITION BY c.id ORDER BY abs(c.m - v.m), v.m, v.id) AS r FROM c CROSS JOIN v) WHERE r = 1""")
 def nearest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = (_track(spark, sf_dir, t).select("id", "day", F.expr("(start + end) div 2").alias("m")) for t in ("purchase", "error"))
-    found = iv.nearest(left, right, ["day"], "m", "id").filter("near is not null")
+    found = iv.nearest(left, right, [], "m", "id").filter("near is not null")
     return found.select("id", F.col("near.id").alias("near_id"), F.abs(F.col("m") - F.col("near.m")).alias("distance"))
 
 

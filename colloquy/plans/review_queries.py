@@ -179,7 +179,7 @@ def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("quality") == 0
     sums = rows.groupBy("source").agg(F.count("*").alias("sessions"), F.count_if(F.col("lang") == "en").alias("n_en"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(bad).alias("bad"), F.coalesce(F.sum(F.when(bad, F.col("n_chars"))), F.lit(0)).alias("bad_chars"), F.sum("n_chars").alias("chars"), F.countDistinct("lang").alias("languages"))
     first = rv.top_per_group(rows.filter(bad), ["source"], [F.col("doc_id")], 10).groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("first_risks"))
-    return sums.join(ev.percentiles(rows, ["source"], "size", {"median_chars": 0.5}), "source").join(first, "source", "left")
+    return sums.join(ev.percentiles(rows, ["source"], "size", {"median_chars": 0.5}), "source", "left").join(first, "source", "left")
 
 
 @register("content_hash_agg", "SELECT source, doc_id // 1000 AS inventory, sha256(string_agg('doc/' || doc_id || chr(0) || n_chars || chr(10), '' ORDER BY 'doc/' || doc_id)) AS fingerprint FROM documents GROUP BY ALL")
@@ -272,7 +272,7 @@ def taxonomy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = m.groupBy("source").agg(F.sum("n").alias("items"), F.count("*").alias("classes"), F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("mode"))
     d = rows.groupBy("source").agg(F.sum("n_chars").alias("seconds"), F.countDistinct(F.expr("doc_id div 10")).alias("sessions"), F.count_if(F.col("quality") == 0).alias("attention"))
     first = rv.top_per_group(rows.filter("quality = 0"), ["source"], [F.col("doc_id")], 5).groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("first_attention"))
-    return k.join(d, "source").join(first, "source", "left")
+    return k.join(d, "source", "left").join(first, "source", "left")
 
 
 @register("progress_rollup", """SELECT lang, count(*) AS total, count_if(quality IS NOT NULL) AS reviewed, CAST(sum(n_chars) AS BIGINT) AS seconds, CAST(sum(CASE WHEN quality IS NULL THEN n_chars ELSE 0 END) AS BIGINT) AS remaining_seconds, count(*) - count_if(quality IS NOT NULL) AS remaining, CAST(count_if(quality IS NOT NULL) AS DOUBLE) / count(*) AS ratio,
@@ -335,10 +335,10 @@ def zero_lag_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", F.round(tx.zero_lag_corr(F.col("embedding"), F.col("other"), least=32), 9).alias("corr"))
 
 
-@register("align_constant", "SELECT vec_id, list_concat([0.0, 0.0, 0.0], embedding[:len(embedding) - 3])[1:8] AS shifted FROM embeddings")
+@register("align_constant", "SELECT vec_id, list_concat([0e0, 0e0, 0e0], CAST(embedding[:len(embedding) - 3] AS DOUBLE[])) AS shifted FROM embeddings")
 def align_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A signal moved by three samples, zeros in front."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.slice(tx.shifted(F.col("embedding"), 3), 1, 8).alias("shifted"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", tx.shifted(F.col("embedding"), 3).cast("array<double>").alias("shifted"))
 
 
 @register("vad_ratio", "WITH f AS (SELECT vec_id, i, 10 * log10(list_sum(list_transform(embedding[i * 16 + 1:i * 16 + 16], lambda x: CAST(x AS DOUBLE) * x)) / 16 + 1e-12) >= -18 AS raw, 10 * log10(list_sum(list_transform(embedding[i * 16 + 1:i * 16 + 16], lambda x: CAST(x AS DOUBLE) * x / 2)) / 16 + 1e-12) >= -18 AS clean FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 16)) AS i FROM embeddings)) SELECT vec_id, CASE WHEN count_if(raw) = 0 THEN 1.0 ELSE CAST(count_if(clean) AS DOUBLE) / count_if(raw) END AS ratio FROM f GROUP BY vec_id")

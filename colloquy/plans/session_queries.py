@@ -189,23 +189,23 @@ def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("utt_"), F.lpad(F.row_number().over(order).cast("string"), 6, "0")).alias("id"))
 
 
-@register("cross_role_overlap_join", f"""{W}, p AS (SELECT a.id AS left_id, b.id AS right_id, least(a.e, b.e) - greatest(a.s, b.s) AS overlap_ms, (a.user_id * b.user_id) % 100 / 100.0 AS sim, a.id % 6 = 0 OR b.id % 6 = 0 AS doubt FROM iv a JOIN iv b ON a.day = b.day AND a.track <> b.track AND (a.s < b.s OR a.s = b.s AND a.id < b.id) AND a.s < b.e AND a.e > b.s)
+@register("cross_role_overlap_join", f"""{W}, p AS (SELECT a.id AS left_id, b.id AS right_id, least(a.e, b.e) - greatest(a.s, b.s) AS overlap_ms, (a.user_id * b.user_id) % 100 / 100.0 AS sim, a.id % 6 = 0 OR b.id % 6 = 0 AS doubt FROM iv a JOIN iv b ON a.track <> b.track AND (a.s < b.s OR a.s = b.s AND a.id < b.id) AND a.s < b.e AND a.e > b.s)
 SELECT left_id, right_id, overlap_ms, CASE WHEN overlap_ms <= 2000 THEN 'short_overlap' WHEN sim > 0.65 THEN 'probable_duplicate_unresolved' WHEN doubt THEN 'uncertain' ELSE 'double_talk' END AS type FROM p""")
 def cross_role_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps between tracks with their kinds: short, of like text, in doubt, or double talk."""
     rows = intervals(spark, sf_dir)
-    pairs = iv.overlap_join(rows, rows, ["day"], BUCKET)
+    pairs = iv.overlap_join(rows, rows, [], BUCKET)
     first = (F.col("l.start") < F.col("r.start")) | ((F.col("l.start") == F.col("r.start")) & (F.col("l.id") < F.col("r.id")))
     shared = iv.overlap(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end"))
     similar, doubt = (F.col("l.user_id") * F.col("r.user_id")) % 100 / 100.0, (F.col("l.id") % 6 == 0) | (F.col("r.id") % 6 == 0)
     return pairs.filter((F.col("l.track") != F.col("r.track")) & first).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), shared.alias("overlap_ms"), ss.overlap_type(shared, similar, doubt).alias("type"))
 
 
-@register("dialogue_overlap_metrics", f"""{W}, p AS (SELECT m.id, sum(least(m.e, r.e) - greatest(m.s, r.s)) AS ms FROM iv m JOIN iv r ON m.day = r.day AND m.track = 'error' AND r.track = 'view' AND m.s < r.e AND m.e > r.s GROUP BY m.id) SELECT id, CAST(ms AS BIGINT) AS overlap_ms, ms > 1000 AS counted FROM p""")
+@register("dialogue_overlap_metrics", f"""{W}, p AS (SELECT m.id, sum(least(m.e, r.e) - greatest(m.s, r.s)) AS ms FROM iv m JOIN iv r ON m.track = 'error' AND r.track = 'view' AND m.s < r.e AND m.e > r.s GROUP BY m.id) SELECT id, CAST(ms AS BIGINT) AS overlap_ms, ms > 1000 AS counted FROM p""")
 def dialogue_overlap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long the other side speaks during each mic row, and whether that is more than a second."""
     e = intervals(spark, sf_dir)
-    pairs = iv.overlap_join(e.filter("track = 'error'"), e.filter("track = 'view'"), ["day"], BUCKET)
+    pairs = iv.overlap_join(e.filter("track = 'error'"), e.filter("track = 'view'"), [], BUCKET)
     ms = F.sum(iv.overlap(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end")))
     return pairs.groupBy(F.col("l.id").alias("id")).agg(ms.alias("overlap_ms")).withColumn("counted", F.col("overlap_ms") > 1000)
 
