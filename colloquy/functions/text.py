@@ -55,9 +55,10 @@ def ranked(a: Column) -> Column:
 
 
 def elements(a: Column) -> Column:
-    """Each item with its number among equal ones, as one string, in order: as a set, these are the multiset. Items hold no spaces."""
-    held = F.transform(F.array(F.sort_array(a)), lambda s: F.transform(s, lambda x, i: F.concat(x, F.lit(" "), (i - F.array_position(s, x)).cast("string"))))  # the sorted list is made once
-    return F.get(held, F.lit(0))
+    """Hashes of 64 bits of each item with its number among equal ones: as a set, these are the multiset."""
+    hashes = F.sort_array(F.transform(a, lambda x: F.xxhash64(x)))
+    numbered = F.transform(F.array(hashes), lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x))))  # the sorted list is made once
+    return F.get(numbered, F.lit(0))
 
 
 def shared_count(a: Column, b: Column) -> Column:

@@ -22,8 +22,8 @@ def recall(a: Column, b: Column) -> Column:
 
 #: Beyond so many milliseconds between two starts, time speaks against a match; nearer rows all meet.
 FAR = 120_000
-#: Rarest words that give a turn its first candidates.
-SEEDS = 3
+#: Rarest words that give a turn its first candidates; rows of a session that is compared whole.
+SEEDS, SMALL = 3, 64
 
 
 def _beyond(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -52,10 +52,12 @@ def _scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """session, id, batch_id, batch_start, score, token_recall, away of candidate pairs."""
     left = a.select("session", "id", F.col("role").alias("a_role"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("items").alias("a_items"), "content")
     right = b.select("session", F.col("id").alias("batch_id"), F.col("role").alias("b_role"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("items").alias("b_items"))
-    met = pairs.join(left, ["session", "id"]).join(right, ["session", "batch_id"])
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = pairs.repartition(spread, "session", "id").join(left, ["session", "id"]).join(right, ["session", "batch_id"])
+    met = met.withColumn("n_shared", F.size(F.array_intersect("a_items", "b_items")))
     away = F.abs(F.col("a_start") - F.col("b_start"))
     nearness = F.when(F.col("content") > 3, 0.0).when(away <= 15_000, 0.35).when(away <= 45_000, 0.15).when(away > FAR, -0.25).otherwise(0.0)
-    shared = F.size(F.array_intersect("a_items", "b_items")) / F.size("a_items")
+    shared = F.col("n_shared") / F.size("a_items")
     overlaps = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start"))
     score = F.round(shared + F.when(overlaps, 0.15).otherwise(0.0) + F.when(F.col("a_role") == F.col("b_role"), 0.1).otherwise(0.0) + nearness, 6)
     return met.select("session", "id", "batch_id", F.col("b_start").alias("batch_start"), score.alias("score"), F.round(shared, 6).alias("token_recall"), away.alias("away"))
@@ -73,22 +75,42 @@ def best_match(turns: DataFrame, batch: DataFrame, same_role: bool = False) -> D
     second or plausible are scored exactly; no pair is made by the session alone. ids are whole numbers, unique in a session,
     and starts whole milliseconds; rows with a null session, id, start or end take no part.
     """
+    spread = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables go to all cores as well
+
     def prepared(rows: DataFrame, columns: list[str]) -> DataFrame:
         known = rows.filter((F.size("tokens") > 0) & F.col("session").isNotNull() & F.col("id").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
         if same_role:
             known = known.filter(F.col("role").isNotNull()).withColumn("session", F.struct("session", "role"))
-        return known.select("session", "id", "role", "start", "end", *columns, tx.elements(F.col("tokens")).alias("items"))
+        return known.select("session", "id", "role", "start", "end", *columns, tx.elements(F.col("tokens")).alias("items")).repartition(spread, "session", "id")
 
     a, b = materialize(prepared(turns, ["content"]), "turns"), materialize(prepared(batch, []), "batch")
+    whole = b.groupBy("session").agg(F.count("*").alias("_all"))
+    # in a session of few rows all meet; the bound keeps pairs in proportion to turns
+    few = whole.filter(F.col("_all") <= SMALL).select("session")
+    pairs = a.join(few, "session").select("session", "id").join(b.select("session", F.col("id").alias("batch_id")), "session")
+    rest_a, rest_b = a.join(few, "session", "left_anti"), b.join(few, "session", "left_anti")
     near = iv.overlap_join(
-        a.select("session", "id", (F.col("start") - FAR).alias("start"), (F.greatest("end", F.col("start") + FAR) + 1).alias("end")),
-        b.select("session", "id", "start", F.greatest("end", F.col("start") + 1).alias("end")), ["session"], FAR,
+        rest_a.select("session", "id", (F.col("start") - FAR).alias("start"), (F.greatest("end", F.col("start") + FAR) + 1).alias("end")),
+        rest_b.select("session", "id", "start", F.greatest("end", F.col("start") + 1).alias("end")), ["session"], FAR,
     ).select("session", F.col("l.id").alias("id"), F.col("r.id").alias("batch_id"))
-    near = materialize(near, "near")
-    whole, met = b.groupBy("session").agg(F.count("*").alias("_all")), near.groupBy("session", "id").agg(F.count("*").alias("_met"))
+    near = materialize(pairs.unionByName(near), "near")
     # turns that have met every row of their session have no more to look for
-    a_all, a = a, a.join(whole, "session").join(met, ["session", "id"], "left").filter(F.coalesce("_met", F.lit(0)) < F.col("_all")).drop("_all", "_met")
-    b_all, b = b, b.join(a.select("session").distinct(), "session", "left_semi")
+    met = near.groupBy("session", "id").agg(F.count("*").alias("_met"))
+    open_ = rest_a.join(whole, "session").join(met, ["session", "id"], "left").filter(F.coalesce("_met", F.lit(0)) < F.col("_all")).drop("_all", "_met")
+    scored = _all_scored(near, a, b, open_) if open_.limit(1).count() else _scored(near, a, b)
+    if same_role:
+        scored = scored.withColumn("session", F.col("session.session"))
+    w = Window.partitionBy("session", "id")
+    plausible = F.count_if((F.col("token_recall") >= 0.25) & (F.col("score") >= 0.35)).over(w)
+    order = [F.desc("score"), F.desc("token_recall"), "away", "batch_start", "batch_id"]
+    ranked = scored.withColumn("plausible", plausible).withColumn("second_score", F.coalesce(F.lead("score").over(w.orderBy(*order)), F.lit(0.0))).withColumn("_r", F.row_number().over(w.orderBy(*order))).filter("_r = 1")
+    margin = F.round(F.col("score") - F.col("second_score"), 6)
+    return ranked.select("session", "id", "batch_id", "batch_start", "score", "token_recall", "second_score", margin.alias("margin"), "plausible", ((F.col("plausible") > 1) & (margin < 0.20)).alias("ambiguous"))
+
+
+def _all_scored(near: DataFrame, a_all: DataFrame, b_all: DataFrame, a: DataFrame) -> DataFrame:
+    """Scored pairs of best_match: those of near, and for the turns a that have rows left to meet, all further ones that could count."""
+    b = b_all.join(a.select("session").distinct(), "session", "left_semi")
     index = b.select("session", F.col("id").alias("batch_id"), F.explode("items").alias("item"))
     many = index.groupBy("session", "item").agg(F.count("*").alias("df"))
     own = a.select("session", "id", F.size("items").alias("n"), F.explode("items").alias("item")).join(many, ["session", "item"], "left")
@@ -102,15 +124,7 @@ def best_match(turns: DataFrame, batch: DataFrame, same_role: bool = False) -> D
     least = F.ceil(F.least(F.lit(0.25), F.greatest(F.coalesce(F.get("second", F.lit(0)), F.lit(0.0)) - 0.1, F.lit(0.0))) * F.col("n") - 1e-5)
     looked = ordered.join(top, ["session", "id"]).filter((F.col("place") <= F.col("n") - F.greatest(least, F.lit(1)) + 1))
     more = looked.join(index, ["session", "item"]).select("session", "id", "batch_id").distinct().join(first, ["session", "id", "batch_id"], "left_anti")
-    scored = first.unionByName(_scored(more, a, b))
-    if same_role:
-        scored = scored.withColumn("session", F.col("session.session"))
-    w = Window.partitionBy("session", "id")
-    plausible = F.count_if((F.col("token_recall") >= 0.25) & (F.col("score") >= 0.35)).over(w)
-    order = [F.desc("score"), F.desc("token_recall"), "away", "batch_start", "batch_id"]
-    ranked = scored.withColumn("plausible", plausible).withColumn("second_score", F.coalesce(F.lead("score").over(w.orderBy(*order)), F.lit(0.0))).withColumn("_r", F.row_number().over(w.orderBy(*order))).filter("_r = 1")
-    margin = F.round(F.col("score") - F.col("second_score"), 6)
-    return ranked.select("session", "id", "batch_id", "batch_start", "score", "token_recall", "second_score", margin.alias("margin"), "plausible", ((F.col("plausible") > 1) & (margin < 0.20)).alias("ambiguous"))
+    return first.unionByName(_scored(more, a, b))
 
 
 def matched(turns: DataFrame, batch: DataFrame, least_recall: float = 0.25, least_score: float = 0.0) -> DataFrame:

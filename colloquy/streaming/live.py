@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 SEGMENTS = "session string, source string, index int, start double, end double, text string, closed boolean, t timestamp"
 
@@ -59,6 +60,55 @@ def without_repeats(segments: DataFrame, recall: float = 0.8, idle_minutes: int
     return segments.groupBy("session").applyInPandasWithState(step, "session string, index int, text string, kept boolean", "words array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+LAG = "session string, index int, end double, run boolean, observed_live_lag_sec double, max_live_lag_sec double, reason string"
+
+
+class LagBudget(StatefulProcessor):
+    """Decides for each chunk of a session whether its optional stage still runs, by how far the chunk lags behind what has been captured.
+
+    The state of a session is one number, the latest end captured so far; an event-time timer clears it when the session has
+    been silent. A chunk that lags too far loses its optional stage, never its row; a budget of 0 or less lets all run.
+    """
+
+    def __init__(self, most: float, idle_ms: int):
+        self.most, self.idle_ms = most, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.captured = handle.getValueState("captured", "captured double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).sort_values(["t", "index"], kind="stable")
+        latest = self.captured.get()[0] if self.captured.exists() else 0.0
+        ends = frame["end"].astype(float)
+        captured = ends.cummax().clip(lower=latest)
+        lag = (captured - ends).clip(lower=0.0)
+        run = (lag <= self.most) if self.most > 0 else lag == lag
+        self.captured.update((float(captured.iloc[-1]),))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(frame["t"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        yield pd.DataFrame({"session": frame["session"], "index": frame["index"].astype("int32"), "end": ends, "run": run, "observed_live_lag_sec": lag.round(3), "max_live_lag_sec": round(self.most, 3), "reason": ["within_lag_budget" if r else "live_lag_budget_exceeded" for r in run]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.captured.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def lag_decisions(segments: DataFrame, most: float, delay: str = "10 minutes", idle_minutes: int = 240) -> DataFrame:
+    """A row of LAG for every streamed segment(session, index, end, t) that comes before the watermark has passed it.
+
+    The watermark follows the latest t less the delay; segments that come later than that are left out by Spark, and a
+    session's state goes once the watermark is idle_minutes beyond its last segment. Within a micro-batch segments count in
+    the order of t and index. Needs the RocksDB state store.
+    """
+    rows = segments.select("session", "index", "end", "t").withWatermark("t", delay)
+    return rows.groupBy("session").transformWithStateInPandas(LagBudget(most, idle_minutes * 60_000), LAG, "Append", "eventTime")
+
+
 def write_draft(segments: DataFrame, path: str, checkpoint: str):
     """Keeps a draft of streamed segments at path: each micro-batch appends its rows, told apart by batch, and readers see with `draft` what is provisional."""
 

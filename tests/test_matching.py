@@ -39,8 +39,9 @@ def made(rng, n, span, words):
 
 
 @pytest.mark.parametrize(("seed", "span", "vocabulary"), [(1, 200_000, 8), (2, 3_000_000, 40), (3, 20_000_000, 300)])
-@pytest.mark.parametrize("same_role", [False, True])
-def test_best_of_all_pairs(spark, seed, span, vocabulary, same_role):
+@pytest.mark.parametrize(("same_role", "small"), [(False, 0), (True, 0), (False, 64)])
+def test_best_of_all_pairs(spark, monkeypatch, seed, span, vocabulary, same_role, small):
+    monkeypatch.setattr(mt, "SMALL", small)
     rng = random.Random(seed)
     words = [f"w{int(vocabulary * rng.random() ** 2)}" for _ in range(vocabulary)]
     turns, batch = made(rng, 60, span, words), made(rng, 80, span, words)
