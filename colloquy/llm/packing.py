@@ -12,9 +12,10 @@ import base64
 import json
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain
+from itertools import chain, count, islice
 from pathlib import Path
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.textarrays import parts
+from colloquy.llm.textarrays import parts, release_memory
 from colloquy.storage import bound_batches, materialize
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -32,9 +33,15 @@ REMEMBERED_WORDS = 200_000
 RANKED_TOGETHER = 20_000
 #: White space as the tokenizer's pattern means it, and what is encoded by itself: a run of it with what follows up to the next.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BEFORE_SPACE = [c + " " for c in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
+def _key(chunk: str) -> str:
+    """A chunk's key: what follows its only, leading space; other chunks stand behind a space."""
+    return chunk[1:] if chunk[:1] == " " and " " not in chunk[1:] else " " + chunk
+
+
 class WordIds:
     """Token ids of whole texts by the byte-level BPE, one remembered chunk at a time.
 
@@ -61,27 +68,28 @@ class WordIds:
         return Tokenizer.from_file(self.path)
 
     def forget(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids: list[list[int]] = []
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, followed by the id 0 that ends a document."""
         if len(self.ids) > REMEMBERED_WORDS:
             self.forget()
-        codes, memory, ids, encode, ends, whole = [], self.codes, self.ids, self.encode, [], {}
+        codes, code, ids, whole = [], self.codes.__getitem__, self.ids, {}
         for i, text in enumerate(texts):
+            keys = []
             if self.added and self.added.search(text):
                 whole[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
-            else:
-                chunks = _CHUNK.findall(text)
-                found = list(map(memory.get, chunks))
-                for k in [k for k, code in enumerate(found) if code is None]:
-                    found[k] = code = memory.setdefault(chunks[k], len(ids))
-                    if code == len(ids):
-                        ids.append(encode(chunks[k]))
-                codes += found
-            ends.append(len(codes))
-        used, places = np.unique(np.array(codes, np.int64), return_inverse=True)
+            elif any(pair in text for pair in _BEFORE_SPACE):
+                keys = [_key(c) for c in _CHUNK.findall(text)]
+            else:  # no run of white space holds a space but as its first character, so texts may be cut before every space
+                keys = text.split(" ")
+                keys[0] = _key(keys[0])
+            codes.append(np.fromiter(map(code, keys), np.int64, len(keys)))
+        new = islice(self.codes, len(ids), None)  # keys are numbered as they first come
+        ids += [self.encode(k[1:] if k[:1] == " " else " " + k) for k in new]
+        ends = np.cumsum([len(c) for c in codes])
+        used, places = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_inverse=True)
         lists = [ids[c] for c in used]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         pool = np.fromiter(chain.from_iterable(lists), "<u4", int(lengths.sum()))
@@ -110,6 +118,8 @@ def token_pieces(docs: DataFrame, capacity: int, ranks_path: str, pattern: str,
                         rows.append((doc, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
                         piece, start, stop = piece + 1, stop, stop + capacity
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        encoder.forget()
+        release_memory()
 
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
