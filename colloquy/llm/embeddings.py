@@ -12,8 +12,10 @@ a whole large group.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from colloquy.storage import bound_batches, discard, materialize
 #: Vectors that ITQ learns from at most.
 SAMPLE = 20_000
 BITS, BLOCK, BUCKET = 64, 512, 32
-#: Rotations at most; beyond them recall falls, which only vectors that hardly differ from their mean need.
+#: Rotations at most. More than these are needed by vectors that hardly differ from their mean; what share of trial pairs is missed then is reported by a warning.
 MOST_ROTATIONS = 64
 ROWS_TOGETHER = 20_000
 _ROWS = "label long, dim int, tab int, code long, node long, mult long, parts binary, vector binary"
@@ -103,6 +105,8 @@ def learn(x: np.ndarray, vectors: int, cosine: float, misses: float = 0.005, see
             distance = differ.sum((1, 2))
             far = max(far, math.ceil(np.quantile(distance, 0.999) + 2 * distance.std()))
         codes.radius = far
+        if missed > misses and len(turns) == MOST_ROTATIONS and vectors > BUCKET:  # smaller labels are compared whole
+            warnings.warn(f"{missed:.2%} of trial pairs at cosine {cosine} share no table of {len(mean)} dimensions; about as many links may be missed", stacklevel=2)
         if missed <= misses or len(turns) == MOST_ROTATIONS:
             return codes
 
@@ -114,7 +118,7 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def coded(nodes: DataFrame, codes: Codes) -> DataFrame:
-    """A row of _ROWS for each table of each of nodes(node, label, mult, embedding). Vectors of other dimensions than mean, and those of small labels, share one bucket a label and dimension."""
+    """A row of _ROWS for each table of each of nodes(node, label, mult, embedding), all of the codes' dimension. Vectors of small labels share one bucket a label."""
     held = nodes.sparkSession.sparkContext.broadcast(codes)
     tables = codes.per * codes.rotations
     weights = np.int64(1) << np.arange(codes.width, dtype=np.int64)
@@ -218,6 +222,17 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(embedding.isNotNull() & ~bad & F.exists(embedding, lambda v: v != 0), F.lit(False))
 
 
+def _found(nodes: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """The rows of compare for nodes of one dimension, which get codes of their own."""
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
+    sample = np.array(sample["embedding"].to_pylist(), float)
+    codes = learn(sample, nodes.groupBy("label").count().agg(F.max("count")).first()[0], cosine)
+    tables = materialize(coded(nodes, codes), "tables")
+    found = materialize(compare(tiled(tables), cosine, max(96, tables.count() // ROWS_TOGETHER), codes.radius, kind), "found")
+    discard(tables)
+    return found
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors(vec_id, embedding, label); other columns are ignored.
 
@@ -225,7 +240,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
 
     Rows link if their labels are equal and not null, their dimensions equal and their cosine, in double precision, is at
     least the threshold. Rows whose vector is null, zero or has a null or non-finite component link with nothing, and are
-    their own component. Rows that repeat a vec_id are vectors of their own. An empty table gives no rows.
+    their own component. Vectors of each dimension are indexed by codes of their own, one dimension after the other. Rows
+    that repeat a vec_id are vectors of their own. An empty table gives no rows. A share of missed trial pairs that stays
+    above one in 200 is reported by a warning.
     """
     bound_batches(vectors.sparkSession)
     double = vectors.schema["embedding"].dataType.elementType.simpleString() == "double"
@@ -235,16 +252,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     rows = materialize(rows.withColumn("node", node), "vectors")
     valid = rows.filter("node is not null")
     nodes = materialize(valid.groupBy("node").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("mult")), "nodes")
-    most = nodes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if most is None:
+    dimensions = [r["d"] for r in nodes.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]  # a row for each dimension
+    if not dimensions:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = nodes.filter(F.size("embedding") == most["d"]).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
-    sample = np.array(sample["embedding"].to_pylist(), float)
-    codes = learn(sample, nodes.groupBy("label").count().agg(F.max("count")).first()[0], cosine)
-    tables = materialize(coded(nodes, codes), "tables")
-    tiles = tiled(tables)
-    found = materialize(compare(tiles, cosine, max(96, tables.count() // ROWS_TOGETHER), codes.radius, "<f8" if double else "<f4"), "found")
-    discard(tables)
+    parts = [_found(nodes.filter(F.size("embedding") == d) if len(dimensions) > 1 else nodes, cosine, "<f8" if double else "<f4") for d in dimensions]
+    found = reduce(DataFrame.unionByName, parts)
     sums = found.groupBy("node").agg(F.sum("n").alias("n"))
     labels = components(found.select(F.col("node").alias("a"), F.col("partner").alias("b")))
     ids = valid.groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"))

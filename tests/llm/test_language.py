@@ -300,3 +300,26 @@ def test_recall_does_not_depend_on_a_common_component(spark, dim, common):
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(none).count() == 0
+
+
+def test_each_dimension_has_codes_of_its_own(spark):
+    """Two dimensions, and a few single ones, in one label: links inside each, none between them."""
+    rng = np.random.default_rng(31)
+    rows, want = [], {}
+    for d, n in ((24, 700), (16, 600), (1, 3), (2, 40)):
+        x = rng.standard_normal((n, d))
+        x[1::2] = x[: n - 1 : 2][: len(x[1::2])] + 0.03 * rng.standard_normal((n // 2, d))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = (u @ u.T >= 0.98) & ~np.eye(n, dtype=bool)
+        want |= {len(rows) + i: int(near[i].sum()) for i in range(n)}
+        rows += [(len(rows) + i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    missed = sum(want[i] - got[i] for i in want)
+    assert all(got[i] <= want[i] for i in want) and missed <= 0.01 * sum(want.values()) > 5
+
+
+def test_a_cap_on_rotations_is_reported(monkeypatch):
+    x = np.random.default_rng(5).standard_normal((400, 12)) * 0.01 + np.eye(12)[0]
+    monkeypatch.setattr(embeddings, "MOST_ROTATIONS", 1)
+    with pytest.warns(UserWarning, match="trial pairs"):
+        embeddings.learn(x, 100_000, 0.98)
