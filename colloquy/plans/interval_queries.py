@@ -136,7 +136,7 @@ def isolation_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("lag_order_inversion", f"{W} SELECT id, p AS previous_start FROM (SELECT id, s, lag(s) OVER (PARTITION BY user_id ORDER BY e, id) AS p FROM iv) WHERE s + 1000 < p")
 def lag_order_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = intervals(spark, sf_dir).withColumn("previous_start", F.lag("start").over(Window.partitionBy("user_id").orderBy("end", "id")))
+    rows = iv.lagged(intervals(spark, sf_dir), ["user_id"], ["end", "id"], {"previous_start": "start"})
     return rows.filter(F.col("start") + 1000 < F.col("previous_start")).select("id", "previous_start")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import intervals as iv
@@ -43,7 +43,8 @@ def rttm_merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("aec_candidate_rank", "SELECT event_id, rank, rank = 1 AS selected FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS rank FROM events)")
 def aec_candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a segment by score; the best is selected."""
-    ranked = table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id")))
+    rows = table(spark, sf_dir, "events").withColumn("at", -F.col("value")).withColumn("one", F.lit(1))
+    ranked = iv.numbered(iv.bucketed(rows, "at", 10), ["user_id", "event_type"], ["at", "event_id"], "one", "rank")
     return ranked.select("event_id", "rank", (F.col("rank") == 1).alias("selected"))
 
 
@@ -185,8 +186,9 @@ def running_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("renumber", "SELECT event_id, 'utt_' || lpad(CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS VARCHAR), 6, '0') AS id FROM events")
 def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("utt_"), F.lpad(F.row_number().over(order).cast("string"), 6, "0")).alias("id"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.lit(1).alias("one"))
+    out = iv.numbered(iv.bucketed(rows, "at"), ["user_id"], ["ts", "event_id"], "one", "place")
+    return out.select("event_id", F.concat(F.lit("utt_"), F.lpad(F.col("place").cast("string"), 6, "0")).alias("id"))
 
 
 @register("cross_role_overlap_join", f"""{W}, p AS (SELECT a.id AS left_id, b.id AS right_id, least(a.e, b.e) - greatest(a.s, b.s) AS overlap_ms, (a.user_id * b.user_id) % 100 / 100.0 AS sim, a.id % 6 = 0 OR b.id % 6 = 0 AS doubt FROM iv a JOIN iv b ON a.track <> b.track AND (a.s < b.s OR a.s = b.s AND a.id < b.id) AND a.s < b.e AND a.e > b.s)

@@ -67,11 +67,11 @@ def enrollment_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MICRO = {"ms": "500 + (" + count(7, 4000) + ")", "chars": count(11, 60), "words": count(13, 6), "baseline": flag(17, 3), "raw_support": f"CASE WHEN {flag(19, 4)} THEN NULL ELSE {share(23)} END", "filtered_support": f"CASE WHEN {flag(29, 4)} THEN NULL ELSE {share(31)} END", "families": f"CASE WHEN {flag(19, 4)} OR {flag(29, 4)} THEN NULL ELSE {share(37)} END"}
-_BOTH = "(coalesce(raw_support >= @S, FALSE) AND coalesce(filtered_support >= @S, FALSE))"
+_BOTH = "(coalesce(raw_support >= 0.72, FALSE) AND coalesce(filtered_support >= 0.72, FALSE))"
 
 
-@register("micro_stability", f"""WITH {evidence_sql(_MICRO)}, b AS (SELECT id, list_filter([CASE WHEN ms <= @M AND chars * 1000.0 / ms > @C AND NOT {_BOTH} THEN 'implausible_short_island_speech_rate' END, CASE WHEN ms <= @M AND baseline AND NOT coalesce(raw_support >= @S, FALSE) AND NOT coalesce(filtered_support >= @S, FALSE) THEN 'baseline_only_selection_without_canonical_support' END,
- CASE WHEN ms <= @M AND words >= 2 AND NOT {_BOTH} AND families < @D THEN 'short_island_source_disagreement' END], lambda r: r IS NOT NULL) AS reasons FROM x) SELECT id, reasons, CASE WHEN len(reasons) > 0 THEN 'needs_review' ELSE 'stable' END AS status FROM b""".replace("@M", "1250").replace("@C", "24").replace("@S", "0.72").replace("@D", "0.45"))
+@register("micro_stability", f"""WITH {evidence_sql(_MICRO)}, b AS (SELECT id, list_filter([CASE WHEN ms <= 1250 AND chars * 1000.0 / ms > 24 AND NOT {_BOTH} THEN 'implausible_short_island_speech_rate' END, CASE WHEN ms <= 1250 AND baseline AND NOT coalesce(raw_support >= 0.72, FALSE) AND NOT coalesce(filtered_support >= 0.72, FALSE) THEN 'baseline_only_selection_without_canonical_support' END,
+ CASE WHEN ms <= 1250 AND words >= 2 AND NOT {_BOTH} AND families < 0.45 THEN 'short_island_source_disagreement' END], lambda r: r IS NOT NULL) AS reasons FROM x) SELECT id, reasons, CASE WHEN len(reasons) > 0 THEN 'needs_review' ELSE 'stable' END AS status FROM b""")
 def micro_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speakers.micro_stability(evidence(spark, sf_dir, _MICRO)).select("id", "reasons", "status")
 
