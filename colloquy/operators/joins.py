@@ -1,4 +1,4 @@
-"""Joins that keep null keys."""
+"""Joins that keep null keys, and rows dealt to all tasks."""
 
 from __future__ import annotations
 
@@ -15,3 +15,8 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
         same = one if same is None else same & one
     joined = left.join(other, same, how) if on else left.join(other, how="cross")
     return joined.drop(*[f"_{c}_of_right" for c in on])
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by their keys over all shuffle partitions, however few bytes they are: for steps whose rows cost much time."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
