@@ -1,12 +1,13 @@
-"""Matching blocks of two sequences, longest first, and alignments by least edits: small numpy helpers and their column functions.
+"""Matching blocks of two sequences, longest first, and alignments by least edits: small helpers and their column functions.
 
-A table of one text's symbols by the other's is filled a row at a time, so the work of a pair is one vector operation for each
-symbol of the first sequence.
+Blocks come from an index of the places of the second text's symbols, so a pair costs what its symbols meet. For edits, a table
+of one text's symbols by the other's is filled a row at a time: one vector operation for each symbol of the first sequence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -21,52 +22,14 @@ def coded(a: Sequence, b: Sequence) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
-def frequent(b: np.ndarray) -> np.ndarray:
-    """Places of b whose symbol makes up more than a hundredth of a sequence of 200 items and more, as a mask; such symbols are too common to begin a block."""
-    if len(b) < 200:
-        return np.zeros(len(b), bool)
-    return np.bincount(b)[b] > len(b) // 100 + 1
-
-
-def longest_run(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> tuple[int, int, int]:
-    """Start in a, start in b and length of the longest run that both have without common places of b, widened by equal items on both sides.
-
-    Of equal ones the first in a, then in b. Length 0 if there is none.
-    """
-    i, j, k = 0, 0, 0
-    run = np.zeros(len(b) + 1, np.int32)
-    for x, symbol in enumerate(a):
-        run[1:] = np.where((b == symbol) & ~common, run[:-1] + 1, 0)
-        y = int(run.argmax())
-        if run[y] > k:
-            k = int(run[y])
-            i, j = x + 1 - k, y - k
-    while i and j and a[i - 1] == b[j - 1]:
-        i, j, k = i - 1, j - 1, k + 1
-    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
-        k += 1
-    return i, j, k
-
-
-def matching_blocks(a: np.ndarray, b: np.ndarray, common: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """The longest common run, and those of what lies before it and behind it in both, in order."""
-    common = np.zeros(len(b), bool) if common is None else common
-    found, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        i, i2, j, j2 = todo.pop()
-        if i == i2 or j == j2:
-            continue
-        x, y, k = longest_run(a[i:i2], b[j:j2], common[j:j2])
-        if k:
-            found.append((i + x, j + y, k))
-            todo += [(i, i + x, j, j + y), (i + x + k, i2, j + y + k, j2)]
-    return sorted(found)
+def matching_blocks(a: Sequence, b: Sequence) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of the longest common run, and of those of what lies before it and behind it in both, in order. Of equal ones the first in a, then in b."""
+    return [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
 
 
 def ratio(a: Sequence, b: Sequence) -> float:
-    """Twice the items in matching blocks over all items; 0 if a sequence is empty."""
-    x, y = coded(a, b)
-    return 2 * sum(k for _, _, k in matching_blocks(x, y, frequent(y))) / (len(x) + len(y)) if len(x) and len(y) else 0.0
+    """Twice the items in matching blocks over all items; 0 if a sequence is empty. Symbols that make up more than a hundredth of a b of 200 items and more begin no block."""
+    return SequenceMatcher(None, a, b).ratio() if len(a) and len(b) else 0.0
 
 
 def edit_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,7 +79,13 @@ def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions"])
 
 
-@pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))
+@pandas_udf(T.ArrayType(T.IntegerType()))
 def aligned(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Pairs of places of equal items in matching blocks of two lists, in order; none for a null or empty list."""
-    return pd.Series([[{"i": i + k, "j": j + k} for i, j, n in matching_blocks(*coded(list(x), list(y))) for k in range(n)] if x is not None and y is not None else [] for x, y in zip(a, b, strict=True)])
+    """For each item of a list the place of the equal item of the other one that it is aligned to by matching blocks, null for one that isn't; empty for a null list."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        places: list[int | None] = [None] * (len(x) if x is not None else 0)
+        for i, j, n in matching_blocks(list(x), list(y)) if x is not None and y is not None else ():
+            places[i : i + n] = range(j, j + n)
+        out.append(places)
+    return pd.Series(out)

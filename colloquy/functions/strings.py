@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,15 +84,25 @@ def fuzzy_suffix_contains(long: Column, short: Column) -> Column:
 
 def adjacent_repeat(a: Column, most: int = 16, least: int = 3) -> Column:
     """start and length of the longest block, of most to least items, that follows itself at once; of equal lengths the first. Null if none."""
-    n = F.size(a)
-    lengths = F.sequence(F.lit(most), F.lit(least), F.lit(-1))
 
-    def places(k: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(n - 2 * k + 1, F.lit(1)))
-        return F.filter(starts, lambda i: (i + 2 * k - 1 <= n) & (F.slice(a, i, k) == F.slice(a, i + k, k)))
+    @pandas_udf(T.ArrayType(T.IntegerType()))
+    def repeat(lists: pd.Series) -> pd.Series:
+        return pd.Series([_repeat(x, most, least) if x is not None else None for x in lists], dtype=object)
 
-    found = F.filter(F.transform(lengths, lambda k: F.struct((F.get(places(k), F.lit(0)) - 1).alias("start"), k.alias("length"))), lambda x: x["start"].isNotNull())
-    return F.get(found, F.lit(0))
+    found = repeat(a)
+    return F.when(found.isNotNull(), F.struct(F.get(found, F.lit(0)).alias("start"), F.get(found, F.lit(1)).alias("length")))
+
+
+def _repeat(items: Sequence, most: int, least: int) -> list[int] | None:
+    number: dict = {}
+    x = np.fromiter((number.setdefault(t, len(number)) for t in items), np.int64, len(items))
+    for k in range(min(most, len(x) // 2), least - 1, -1):
+        # how many of the items up to a place equal those k places on; a block repeats where k in a row do
+        same = np.concatenate(([0], np.cumsum(x[:-k] == x[k:])))
+        found = np.flatnonzero(same[k:] - same[:-k] == k)
+        if len(found):
+            return [int(found[0]), k]
+    return None
 
 
 def strip_fragments(text: Column, suffixes: list[str], credits: str, phrases: list[str]) -> Column:
@@ -105,8 +117,7 @@ def strip_fragments(text: Column, suffixes: list[str], credits: str, phrases: li
 
 def terms_in(text: Column, terms: list[str]) -> Column:
     """The terms that are words of the normalised text, in the order of the list."""
-    own = tx.tokens(text)
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains(own, t))
+    return tx.once(tx.tokens(text), lambda own: F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains(own, t)))
 
 
 def term_overlap(a: Column, b: Column, terms: list[str]) -> Column:

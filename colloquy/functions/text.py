@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,15 +34,28 @@ def short(text: Column, limit: int) -> Column:
 
 def char_ngrams(text: Column, size: int = 3) -> Column:
     """Different n-grams of the normalised text without spaces; a shorter text is its own, an empty one has none."""
-    bare = F.regexp_replace(normalize(text), " ", "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - size + 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(size)))
-    return F.when(F.length(bare) == 0, F.array().cast("array<string>")).when(F.length(bare) <= size, F.array(bare)).otherwise(F.array_distinct(grams))
+    letters = F.filter(F.split(F.regexp_replace(normalize(text), " ", ""), ""), lambda c: c != "")
+
+    def grams(c: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(c) - size + 1, F.lit(1)))
+        return F.when(F.size(c) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(c, i, size), ""))))
+
+    return once(letters, grams)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once, however often it is used in conditions and lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets as arrays; 0 if either is empty."""
-    either = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+
+    def share(s: Column) -> Column:
+        x, y = s["a"], s["b"]
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+    return once(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -57,8 +72,7 @@ def ranked(a: Column) -> Column:
 def elements(a: Column) -> Column:
     """Hashes of 64 bits of each item with its number among equal ones: as a set, these are the multiset."""
     hashes = F.sort_array(F.transform(a, lambda x: F.xxhash64(x)))
-    numbered = F.transform(F.array(hashes), lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x))))  # the sorted list is made once
-    return F.get(numbered, F.lit(0))
+    return once(hashes, lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x))))
 
 
 def shared_count(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.blocks import aligned
+from colloquy.operators.joins import dealt
 
 
 @dataclass(frozen=True)
@@ -33,9 +34,13 @@ def word_times(texts: DataFrame, decodes: DataFrame, key: list[str], least: floa
     least probability don't count as heard.
     """
     heard = decodes.withColumn("words", F.filter(F.coalesce("words", F.array().cast(decodes.schema["words"].dataType)), lambda w: w["probability"] >= least))
-    both = texts.join(heard, key).withColumn("pairs", aligned(F.col("tokens"), F.transform("words", lambda w: w["token"])))
-    times = F.map_from_arrays(F.transform("pairs", lambda p: p["i"]), F.transform("pairs", lambda p: F.get("words", p["j"])))
-    return both.withColumn("times", F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"), F.try_element_at(times, i)["start"].alias("start"), F.try_element_at(times, i)["end"].alias("end"), F.try_element_at(times, i)["probability"].alias("probability"))))
+    both = dealt(texts.join(heard, key), *key)
+    both = both.withColumn("at", aligned(F.col("tokens"), F.transform("words", lambda w: w["token"])))
+
+    def word(i: Column) -> Column:
+        return F.get("words", F.get("at", i))
+
+    return both.withColumn("times", F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"), word(i)["start"].alias("start"), word(i)["end"].alias("end"), word(i)["probability"].alias("probability")))).drop("at")
 
 
 def alignment(times: Column, heard: Column, limits: Thresholds = Thresholds()) -> Column:

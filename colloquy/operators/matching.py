@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import strings as st
 from colloquy.functions import text as tx
 from colloquy.operators import intervals as iv
+from colloquy.operators.joins import dealt
 from colloquy.storage import materialize
 
 
@@ -174,7 +175,7 @@ def best_remote(candidates: DataFrame, remote: DataFrame, terms: list[str], band
     shared = iv.overlap(s, e, rs, re) / F.greatest(F.lit(1), F.least(e - s, re - rs))
     near = F.least(F.abs(s - re), F.abs(rs - e))
     flat = pairs.select("session", F.col("l.id").alias("id"), F.col("r.id").alias("remote_id"), rs.alias("rs"), re.alias("re"), shared.alias("o"), near.alias("near"), F.col("l.text").alias("x"), F.col("r.text").alias("y")).filter((F.col("o") > 0) | (F.col("near") <= band))
-    flat = flat.withColumn("t", st.text_similarity(F.col("x"), F.col("y"))).withColumn("d", st.term_overlap(F.col("x"), F.col("y"), terms))
+    flat = dealt(flat, "session", "id", "remote_id").withColumn("t", st.text_similarity(F.col("x"), F.col("y"))).withColumn("d", st.term_overlap(F.col("x"), F.col("y"), terms))
     score = F.col("o") * 0.50 + F.col("t") * 0.35 + F.col("d") * 0.15
     best = flat.groupBy("session", "id").agg(F.max_by(F.struct("remote_id", "o", "t", "d", F.when(F.col("o") > 0, 0).otherwise(F.col("near")).alias("n")), F.struct(score, -F.col("rs"), -F.col("re"))).alias("b"))
     out = candidates.join(best, ["session", "id"], "left")
@@ -202,7 +203,7 @@ def align(reference: DataFrame, turns: DataFrame, offset: int = 0, tolerance: in
     time = F.when(shared_time > 0, F.least(F.lit(1.0), shared_time / F.greatest(F.lit(10), e - s))).otherwise(F.greatest(F.lit(0.0), 1 - F.least(F.abs(s - te), F.abs(ts - e)) / 12_000))
     flat = pairs.select("session", F.col("l.id").alias("id"), F.col("r.id").alias("turn_id"), F.col("l.tokens").alias("a"), F.col("r.tokens").alias("b"), time.alias("time"))
     words, shared = lexical(F.col("a"), F.col("b"))
-    flat = flat.withColumn("lex", words).withColumn("shared", shared)
+    flat = dealt(flat, "session", "id", "turn_id").withColumn("lex", words).withColumn("shared", shared)
     score = 0.75 * F.col("lex") + 0.25 * F.col("time")
     best = flat.groupBy("session", "id").agg(F.max(F.struct(score.alias("score"), "lex", "time", "shared", (-F.col("turn_id")).alias("t"))).alias("b"))
     out = reference.join(best, ["session", "id"], "left")
@@ -226,7 +227,7 @@ def anchors(reference: DataFrame, local: DataFrame, least_words: int = 4, least_
     b = local.select("session", F.col("id").alias("local_id"), F.col("tokens").alias("b"), ((F.col("start") + F.col("end")) / 2).alias("bm"))
     pairs = rare_token_pairs(ref, local).join(a, ["session", "id"]).join(b, ["session", "local_id"])
     words, shared = lexical(F.col("a"), F.col("b"))
-    pairs = pairs.withColumn("shared", shared).filter(F.col("shared") >= least_words).withColumn("score", words)
+    pairs = dealt(pairs.withColumn("shared", shared).filter(F.col("shared") >= least_words), "session", "id", "local_id").withColumn("score", words)
     best = pairs.groupBy("session", "id").agg(F.max(F.struct("score", "shared", (-F.col("local_id")).alias("l"), (F.col("bm") - F.col("am")).alias("offset"))).alias("x"))
     return best.select("session", "id", (-F.col("x.l")).alias("local_id"), "x.offset", F.round("x.score", 6).alias("score"), "x.shared").filter(F.col("score") >= least_score)
 

@@ -9,6 +9,7 @@ from colloquy.functions import strings as st
 from colloquy.operators import chronology, folds
 from colloquy.operators import matching as mt
 from colloquy.operators import review as rv
+from colloquy.operators.joins import dealt
 from colloquy.plans.registry import register
 from colloquy.plans.views import LIVE_SQL, batch_turns, intervals, live_turns
 
@@ -116,15 +117,21 @@ def banded_best_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("session", "id", "remote_id", "time_overlap", "similarity", "term_overlap", "distance_sec")
 
 
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with the text of the next one."""
+    rows = live_turns(spark, sf_dir).withColumn("after", F.lead("text").over(Window.partitionBy("session").orderBy("id"))).filter("after is not null")
+    return dealt(rows, "session", "id")
+
+
 @register("text_similarity")
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = live_turns(spark, sf_dir).withColumn("after", F.lead("text").over(Window.partitionBy("session").orderBy("id"))).filter("after is not null")
+    rows = _followed(spark, sf_dir)
     return rows.select("session", "id", st.text_similarity(F.col("text"), F.col("after")).alias("similarity"))
 
 
 @register("sequence_ratio")
 def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = live_turns(spark, sf_dir).withColumn("after", F.lead("text").over(Window.partitionBy("session").orderBy("id"))).filter("after is not null")
+    rows = _followed(spark, sf_dir)
     return rows.select("session", "id", st.sequence_ratio(st.normalize_audit(F.col("text")), st.normalize_audit(F.col("after"))).alias("ratio"))
 
 

@@ -9,6 +9,7 @@ from colloquy.functions import strings as st
 from colloquy.functions import text as tx
 from colloquy.operators import decisions as dc
 from colloquy.operators import notes as nt
+from colloquy.operators.joins import dealt
 from colloquy.plans.registry import register
 from colloquy.plans.text_queries import NORM
 from colloquy.plans.views import LIVE_SQL, TURNS_SQL, evidence, evidence_sql, flag, live_turns, pick, share, table, turns
@@ -160,7 +161,7 @@ def fuzzy_suffix_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT session, id, k, i, row_number() OVER (PARTITION BY session, id ORDER BY k DESC, i) AS r FROM p WHERE a[i + 1:i + k] = a[i + k + 1:i + 2 * k]) SELECT session, id, CAST(i AS BIGINT) AS start, CAST(k AS BIGINT) AS length FROM r WHERE r = 1""")
 def adjacent_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.when(F.col("id") % 3 == 0, F.concat(F.slice("tokens", 1, 5), F.col("tokens"))).otherwise(F.col("tokens"))
-    rows = live_turns(spark, sf_dir).withColumn("a", a).select("session", "id", st.adjacent_repeat(F.col("a")).alias("x")).filter("x is not null")
+    rows = dealt(live_turns(spark, sf_dir).select("session", "id", a.alias("a")), "session", "id").withColumn("x", st.adjacent_repeat(F.col("a"))).filter("x is not null")
     return rows.select("session", "id", F.col("x.start").cast("long").alias("start"), F.col("x.length").cast("long").alias("length"))
 
 

@@ -1,6 +1,7 @@
 """Matching blocks and edit paths against other algorithms; word chronology against a plain reading of its rules."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -102,3 +103,15 @@ def test_query_gives_a_row_for_each_pair_of_turns(spark):
     assert rows and len({(r.session, r.id) for r in rows}) == len(rows)
     assert {"localized_sequential_boundary"} <= {r.label for r in rows}
     assert all((r.signed_gap is None) == (r.actual_overlap is None) and (r.signed_gap is None or r.actual_overlap == max(0, -r.signed_gap)) for r in rows)
+
+
+def test_ratios_of_long_texts_in_all_tasks(spark):
+    """Texts of thousands of characters take parts of a second, and few bytes of rows still go to all tasks."""
+    rng = random.Random(5)
+    a, b = ("".join(chr(0x4E00 + rng.randrange(300)) for _ in range(8000)) for _ in "ab")
+    began = time.time()
+    assert 0 < blocks.ratio(a, b) < 1 and time.time() - began < 10
+    assert blocks.matching_blocks("xabcy", "abcxab") == [(0, 3, 3)] and blocks.matching_blocks("", "a") == []
+    for name in ("sequence_ratio", "text_similarity", "offset_anchors", "banded_best_match_join", "reference_alignment_join", "word_chronology"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+        assert "REPARTITION_BY_NUM" in plan.split("== Physical Plan ==")[-1], name
