@@ -25,7 +25,8 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], width: int, h
     """Pairs of equal keys whose intervals overlap, as structs l and r. how: inner, left, left_semi or left_anti.
 
     Both sides are cut into buckets of `width`, so the join is an equality join on keys and bucket; a pair counts in the
-    first bucket that its overlap touches. Choose a width of about the usual interval length.
+    first bucket that its overlap touches. Choose a width of about the usual interval length. Neither side is broadcast: in
+    buckets a table is many times what its files say.
     """
 
     def bucketed(side: DataFrame, name: str) -> DataFrame:
@@ -35,7 +36,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], width: int, h
     lb, rb = bucketed(left, "l"), bucketed(right, "r")
     meet = (F.col("l.start") < F.col("r.end")) & (F.col("l.end") > F.col("r.start"))
     first = F.col("_bucket") == F.floor(F.greatest("l.start", "r.start") / width)
-    pairs = lb.join(rb, [*on, "_bucket"]).filter(meet & first).drop("_bucket")
+    pairs = lb.join(rb.hint("merge"), [*on, "_bucket"]).filter(meet & first).drop("_bucket")
     if how == "inner":
         return pairs
     hit = pairs.select(*on, "l").distinct()

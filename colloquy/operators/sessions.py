@@ -10,16 +10,43 @@ from colloquy.operators.decisions import label, num, yes
 from colloquy.operators.evaluation import percentiles
 from colloquy.operators.matching import recall
 from colloquy.operators.review import flags, ladder
+from colloquy.storage import materialize
 
 
 def explained_by_reliable(rows: DataFrame, reliable: DataFrame, by: list[str], width: int) -> DataFrame:
-    """rows(by, id, start, end, me_ids) each of whose me_ids has a reliable row(by, me_id, start, end) over .80 of it; without ids it isn't explained."""
-    each = rows.withColumn("me_id", F.explode(F.array_distinct("me_ids"))).drop("me_ids")
-    pairs = iv.overlap_join(each, reliable, [*by, "me_id"], width)
-    shared = iv.overlap(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end"))
-    good = pairs.filter(shared >= 0.80 * (F.col("l.end") - F.col("l.start"))).select(*by, "me_id", F.col("l.id").alias("id")).distinct().withColumn("_ok", F.lit(True))
-    told = each.filter(F.col("end") > F.col("start")).join(good, [*by, "me_id", "id"], "left")
-    return told.groupBy("id").agg(F.bool_and(F.coalesce("_ok", F.lit(False))).alias("_all")).filter("_all").select("id")
+    """rows(by, id, start, end, me_ids) each of whose me_ids has a reliable row(by, me_id, start, end) over .80 of it; without ids it isn't explained.
+
+    Of the reliable rows that begin no later than a row the one that ends last covers most of it, and of those that end no
+    earlier the one that begins first: both are running values in buckets of time. Only reliable rows that lie inside of a row,
+    in none as long, are joined with it.
+    """
+    keys = [*by, "me_id"]
+    each = rows.withColumn("me_id", F.explode(F.array_distinct("me_ids"))).filter(F.col("end") > F.col("start")).select(*keys, "id", "start", "end")
+    known = F.col("start").isNotNull() & F.col("end").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    good = reliable.filter(known).select(*keys, "start", "end")
+    enough = 0.80 * (F.col("end") - F.col("start"))
+
+    def beside(rows: DataFrame, at: str, value: str) -> DataFrame:
+        """rows and good together, good first at equal times, with its value."""
+        own = rows.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(good.schema[value].dataType))
+        return iv.bucketed(own.unionByName(good.withColumn("_side", F.lit(0)).withColumn("_v", F.col(value)), allowMissingColumns=True), at)
+
+    w = Window.partitionBy(*keys, "_k")
+    told = iv.with_carry(beside(each, "start", "end"), keys, {"_before": (F.max("_v"), F.max)})
+    reach = F.greatest(F.max("_v").over(w.orderBy("start", "_side").rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
+    told = told.withColumn("_reach", reach).filter("_side = 1").select(*each.columns, F.coalesce((F.least("end", "_reach") - F.col("start") >= enough) & F.col("_reach").isNotNull(), F.lit(False)).alias("_left"))
+    told = iv.with_carry(beside(told, "end", "start"), keys, after={"_after": (F.min("_v"), F.min)})
+    since = F.least(F.min("_v").over(w.orderBy(F.desc("end"), "_side").rowsBetween(Window.unboundedPreceding, 0)), F.col("_after"))
+    told = told.withColumn("_since", since).filter("_side = 1").select(*each.columns, (F.col("_left") | F.coalesce((F.col("end") - F.greatest("start", "_since") >= enough) & F.col("_since").isNotNull(), F.lit(False))).alias("_ok"))
+    told = materialize(told, "told")
+    longest = each.groupBy(*keys).agg(F.max(F.col("end") - F.col("start")).alias("_longest"))
+    short = good.join(longest, keys).filter((F.col("end") > F.col("start")) & (F.col("end") - F.col("start") < F.col("_longest"))).drop("_longest").distinct()
+    length = F.col("r.end") - F.col("r.start")
+    inside = iv.overlap_join(told.filter("not _ok").select(*keys, "id", "start", "end"), short, keys, width).filter((F.col("r.start") > F.col("l.start")) & (F.col("r.end") < F.col("l.end")) & (length >= 0.80 * (F.col("l.end") - F.col("l.start"))))
+    ok = told.select(*keys, "id", "_ok").unionAll(inside.select(*keys, F.col("l.id").alias("id"), F.lit(True).alias("_ok"))).groupBy(*keys, "id").agg(F.bool_or("_ok").alias("_ok"))
+    return ok.groupBy("id").agg(F.bool_and("_ok").alias("_all")).filter("_all").select("id")
 
 
 def vad_states(windows: DataFrame, by: str, remote_margin: float = 8.0, mic_margin: float = 6.0, least_remote: float = -55.0, least_mic: float = -58.0, gap: float = 6.0) -> DataFrame:
@@ -105,12 +132,33 @@ def stream_complete(rows: DataFrame, by: str) -> DataFrame:
 
 
 def nearest_run(points: DataFrame, runs: DataFrame, by: list[str], reach: int) -> DataFrame:
-    """points(by, id, at) with the nearest of runs(by, first, last) within reach: first and distance d, 0 inside; ties: longer, then earlier."""
-    around = points.select(*by, "id", "at", (F.col("at") - reach).alias("start"), (F.col("at") + reach + 1).alias("end"))
-    pairs = iv.overlap_join(around, runs.select(*by, F.col("first").alias("start"), (F.col("last") + 1).alias("end")), by, max(reach, 1))
-    at, first, last = F.col("l.at"), F.col("r.start"), F.col("r.end") - 1
-    d = F.when((at >= first) & (at <= last), 0).otherwise(F.least(F.abs(at - first), F.abs(at - last)))
-    best = pairs.groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct(d.alias("d"), (first - last).alias("n"), first.alias("first"))).alias("b"))
+    """points(by, id, at) with the nearest of runs(by, first, last) within reach: first and distance d, 0 inside; ties: longer, then earlier.
+
+    A point meets the runs that it lies in, of which only those outside of all others count, and the last one to end before
+    it and the first one to begin behind it, which are running values in buckets of time.
+    """
+    keyed = F.lit(True)
+    for k in by:
+        keyed = keyed & F.col(k).isNotNull()
+    runs = runs.filter(keyed & (F.col("last") >= F.col("first"))).select(*by, "first", "last")
+    points = points.filter(keyed & F.col("at").isNotNull()).select(*by, "id", "at")
+    # of runs that begin together the longest, and of these only what ends later than all that began before
+    heads = iv.with_carry(iv.bucketed(runs.groupBy(*by, "first").agg(F.max("last").alias("last")), "first"), by, {"_reach": (F.max("last"), F.max)})
+    w = Window.partitionBy(*by, "_k")
+    earlier = F.greatest(F.max("last").over(w.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    outer = heads.withColumn("_r", earlier).filter(F.col("_r").isNull() | (F.col("last") > F.col("_r"))).select(*by, "first", "last")
+    inside = iv.overlap_join(points.select("*", F.col("at").alias("start"), (F.col("at") + 1).alias("end")), outer.select(*by, F.col("first").alias("start"), (F.col("last") + 1).alias("end")), by, max(reach, 1))
+    inside = inside.select(F.col("l.id").alias("id"), F.lit(0).cast("long").alias("d"), F.col("r.start").alias("first"), (F.col("r.end") - 1).alias("last"))
+    both = points.withColumn("_side", F.lit(1)).unionByName(outer.select(*by, F.col("first").alias("at"), "first", "last", F.lit(0).alias("_side")), allowMissingColumns=True)
+    ends, begins = (F.when(F.col("_side") == 0, F.struct(*c)) for c in (("last", "first"), ("first", "last")))
+    both = iv.with_carry(iv.bucketed(both, "at"), by, {"_b": (F.max(ends), F.max)}, {"_a": (F.min(begins), F.min)})
+    so_far = (Window.unboundedPreceding, 0)
+    before = F.greatest(F.max(ends).over(w.orderBy("at", "_side").rowsBetween(*so_far)), F.col("_b"))
+    after = F.least(F.min(begins).over(w.orderBy(F.desc("at"), F.desc("_side")).rowsBetween(*so_far)), F.col("_a"))
+    near = both.withColumn("_before", before).withColumn("_after", after).filter("_side = 1")
+    found = [near.select("id", F.greatest(d, F.lit(0)).alias("d"), f"{n}.first", f"{n}.last") for n, d in (("_before", F.col("at") - F.col("_before.last")), ("_after", F.col("_after.first") - F.col("at")))]
+    close = found[0].unionByName(found[1]).filter(F.col("first").isNotNull() & (F.col("d") <= reach)).unionByName(inside)
+    best = close.groupBy("id").agg(F.min(F.struct("d", (F.col("first") - F.col("last")).alias("n"), "first")).alias("b"))
     return best.select("id", "b.first", "b.d")
 
 

@@ -160,7 +160,8 @@ def interval_overlap_agg_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = iv.overlap_join(_track(spark, sf_dir, "signup"), intervals(spark, sf_dir), [], BUCKET).filter("l.id <> r.id")
     ms = iv.overlap(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end"))
     by = pairs.groupBy("l.id", "r.track").agg(F.sum(ms).alias("ms"))
-    return by.select("id", "track", (F.col("ms") / F.sum("ms").over(Window.partitionBy("id"))).alias("ratio"))
+    whole = F.sum("ms").over(Window.partitionBy("id"))
+    return by.select("id", "track", F.when(whole == 0, F.lit(float("nan"))).otherwise(F.col("ms") / whole).alias("ratio"))
 
 
 @register("support_bounds_join", f"""{W} SELECT u.id, min(greatest(u.s, s.s)) FILTER (s.id IS NOT NULL) AS support_start, max(least(u.e, s.e)) FILTER (s.id IS NOT NULL) AS support_end, coalesce(CAST(sum(least(u.e, s.e) - greatest(u.s, s.s)) FILTER (s.id IS NOT NULL) AS BIGINT), 0) AS support_ms FROM iv u LEFT JOIN iv s ON s.track = 'view' AND least(u.e, s.e) - greatest(u.s, s.s) >= 500 WHERE u.track = 'signup' GROUP BY u.id""")
