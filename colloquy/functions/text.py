@@ -152,8 +152,11 @@ def level_db(samples: Column, floor: float = -120.0) -> Column:
 def unit(vector: Column | str) -> Column:
     """The vector at length 1; a zero vector stays."""
     vector = F.col(vector) if isinstance(vector, str) else vector
-    size = F.sqrt(dot(vector, vector))
-    return F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size)).otherwise(F.transform(vector, lambda x: x.cast("double")))
+
+    def scaled(v: Column) -> Column:
+        return once(F.sqrt(dot(v, v)), lambda size: F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v))
+
+    return once(F.transform(vector, lambda x: x.cast("double")), scaled)
 
 
 def target_score(x: Column, positive: Column, negative: Column) -> Column:

@@ -157,7 +157,7 @@ def agglomerative(rows: DataFrame, by: str, key: str, embedding: str, distance:
 def centers(rows: DataFrame, keys: list[str], embedding: str) -> DataFrame:
     """keys and the mean of the unit vectors, of unit length."""
     each = rows.select(*keys, F.posexplode(tx.unit(F.transform(embedding, lambda v: v.cast("double")))).alias("_i", "_v")).groupBy(*keys, "_i").agg(F.avg("_v").alias("_m"))
-    return each.groupBy(*keys).agg(tx.unit(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"])).alias("center"))
+    return each.groupBy(*keys).agg(tx.unit(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"])).alias("center"))
 
 
 def chunk_replay(rows: DataFrame, by: list[str], key: str, chunk: str, embedding: str, distances: list[float], merge_distance: float, block: int = BLOCK) -> DataFrame:

@@ -1,12 +1,14 @@
 """Dendrograms, replays and choices against plain loops over full distance tables; all folds at once against one fit for each."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions import text as tx
 from colloquy.operators import linkage as lk
 from colloquy.operators import speakers
 from colloquy.plans import catalogue, registry  # noqa: F401
@@ -161,3 +163,18 @@ def test_queries_read_vectors(spark):
     want = plain([e[i] for i in range(100)], 0.5)
     got = {r.vec_id: r.cluster for r in clusters}
     assert all((got[i] == got[j]) == (want[i] == want[j]) for i in got for j in got)
+
+
+def test_long_vectors_at_unit_length(spark):
+    """The length of a vector is taken once, not for each of its numbers."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3000).tolist()) for i in range(40)] + [(90, [0.0, 0.0]), (91, None), (92, []), (93, [3.0, 4.0])]
+    frame = spark.createDataFrame(rows, "i long, v array<float>")
+    began = time.time()
+    got = {r.i: r.u for r in frame.select("i", tx.unit("v").alias("u")).collect()}
+    middle = {r.i: r.center for r in lk.centers(frame.filter("i < 40"), ["i"], "v").collect()}
+    assert time.time() - began < 25
+    for i, v in rows[:40]:
+        x = np.asarray(v, np.float32).astype(float)
+        assert np.allclose(got[i], x / np.sqrt(x @ x), atol=1e-12) and np.allclose(middle[i], got[i], atol=1e-12)
+    assert got[90] == [0.0, 0.0] and got[91] is None and got[92] == [] and np.allclose(got[93], [0.6, 0.8])
