@@ -13,39 +13,45 @@ from colloquy.operators.review import flags, ladder
 from colloquy.storage import materialize
 
 
-def explained_by_reliable(rows: DataFrame, reliable: DataFrame, by: list[str], width: int) -> DataFrame:
+def explained_by_reliable(rows: DataFrame, reliable: DataFrame, by: list[str], width: int, points: bool = False) -> DataFrame:
     """rows(by, id, start, end, me_ids) each of whose me_ids has a reliable row(by, me_id, start, end) over .80 of it; without ids it isn't explained.
 
+    A row without length isn't either; with `points` it is by a reliable row that begins before and ends after it. Rows of equal
+    ids are one row of several parts: a me_id is covered if it is in one of them.
+
     Of the reliable rows that begin no later than a row the one that ends last covers most of it, and of those that end no
     earlier the one that begins first: both are running values in buckets of time. Only reliable rows that lie inside of a row,
     in none as long, are joined with it.
     """
     keys = [*by, "me_id"]
-    each = rows.withColumn("me_id", F.explode(F.array_distinct("me_ids"))).filter(F.col("end") > F.col("start")).select(*keys, "id", "start", "end")
     known = F.col("start").isNotNull() & F.col("end").isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
+    every = rows.withColumn("me_id", F.explode(F.array_distinct("me_ids"))).select(*keys, "id", "start", "end")
+    fits = known & (F.col("end") >= F.col("start") if points else F.col("end") > F.col("start"))
+    each = every.filter(fits)
+    never = every.filter(~F.coalesce(fits, F.lit(False))).select("me_id", "id", F.lit(False).alias("_ok"))
     good = reliable.filter(known).select(*keys, "start", "end")
     enough = 0.80 * (F.col("end") - F.col("start"))
 
     def beside(rows: DataFrame, at: str, value: str) -> DataFrame:
-        """rows and good together, good first at equal times, with its value."""
-        own = rows.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(good.schema[value].dataType))
+        """rows and good together, with good's value; at equal times good comes before rows, but after those without length."""
+        own = rows.withColumn("_side", F.when(F.col("end") > F.col("start"), 1).otherwise(-1)).withColumn("_v", F.lit(None).cast(good.schema[value].dataType))
         return iv.bucketed(own.unionByName(good.withColumn("_side", F.lit(0)).withColumn("_v", F.col(value)), allowMissingColumns=True), at)
 
     w = Window.partitionBy(*keys, "_k")
     told = iv.with_carry(beside(each, "start", "end"), keys, {"_before": (F.max("_v"), F.max)})
     reach = F.greatest(F.max("_v").over(w.orderBy("start", "_side").rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
-    told = told.withColumn("_reach", reach).filter("_side = 1").select(*each.columns, F.coalesce((F.least("end", "_reach") - F.col("start") >= enough) & F.col("_reach").isNotNull(), F.lit(False)).alias("_left"))
+    told = told.withColumn("_reach", reach).filter("_side <> 0").select(*each.columns, F.coalesce((F.least("end", "_reach") - F.col("start") >= enough) & (F.col("_reach") > F.col("start")), F.lit(False)).alias("_left"))
     told = iv.with_carry(beside(told, "end", "start"), keys, after={"_after": (F.min("_v"), F.min)})
     since = F.least(F.min("_v").over(w.orderBy(F.desc("end"), "_side").rowsBetween(Window.unboundedPreceding, 0)), F.col("_after"))
-    told = told.withColumn("_since", since).filter("_side = 1").select(*each.columns, (F.col("_left") | F.coalesce((F.col("end") - F.greatest("start", "_since") >= enough) & F.col("_since").isNotNull(), F.lit(False))).alias("_ok"))
+    told = told.withColumn("_since", since).filter("_side <> 0").select(*each.columns, (F.col("_left") | F.coalesce((F.col("end") - F.greatest("start", "_since") >= enough) & (F.col("_since") < F.col("end")), F.lit(False))).alias("_ok"))
     told = materialize(told, "told")
     longest = each.groupBy(*keys).agg(F.max(F.col("end") - F.col("start")).alias("_longest"))
     short = good.join(longest, keys).filter((F.col("end") > F.col("start")) & (F.col("end") - F.col("start") < F.col("_longest"))).drop("_longest").distinct()
     length = F.col("r.end") - F.col("r.start")
     inside = iv.overlap_join(told.filter("not _ok").select(*keys, "id", "start", "end"), short, keys, width).filter((F.col("r.start") > F.col("l.start")) & (F.col("r.end") < F.col("l.end")) & (length >= 0.80 * (F.col("l.end") - F.col("l.start"))))
-    ok = told.select(*keys, "id", "_ok").unionAll(inside.select(*keys, F.col("l.id").alias("id"), F.lit(True).alias("_ok"))).groupBy(*keys, "id").agg(F.bool_or("_ok").alias("_ok"))
+    ok = told.select("me_id", "id", "_ok").unionAll(inside.select("me_id", F.col("l.id").alias("id"), F.lit(True).alias("_ok"))).unionAll(never).groupBy("me_id", "id").agg(F.bool_or("_ok").alias("_ok"))
     return ok.groupBy("id").agg(F.bool_and("_ok").alias("_all")).filter("_all").select("id")
 
 

@@ -19,11 +19,11 @@ W = f"WITH {INTERVALS_SQL}"
 @register("audio_reliable_filter", f"""{W}, r AS (SELECT id, day, s, e, user_id, [user_id % 3, id % 2] AS ids FROM iv WHERE track = 'error'), x AS (SELECT id, day, s, e, unnest(list_distinct(ids)) AS me FROM r), c AS (SELECT x.id, x.me, coalesce(bool_or(g.s IS NOT NULL AND least(x.e, g.e) - greatest(x.s, g.s) >= 0.8 * (x.e - x.s)), FALSE) AS ok FROM x LEFT JOIN (SELECT day, user_id, s - 2400000 AS s, e + 2400000 AS e FROM iv WHERE track = 'view') g ON g.day = x.day AND g.user_id % 3 = x.me AND g.s < x.e AND g.e > x.s GROUP BY ALL)
 SELECT id FROM c GROUP BY id HAVING bool_and(ok)""")
 def audio_reliable_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows explained for each of their turns by a reliable row of it that covers .80 of them."""
+    """Rows explained for each of their turns by a reliable row of it that covers .80 of them, or is around them if they have no length. Null turns are none."""
     e = intervals(spark, sf_dir)
-    rows = e.filter("track = 'error'").withColumn("me_ids", F.expr("array(user_id % 3, id % 2)"))
+    rows = e.filter("track = 'error'").withColumn("me_ids", F.array_compact(F.expr("array(user_id % 3, id % 2)")))
     good = e.filter("track = 'view'").withColumn("me_id", F.expr("user_id % 3")).withColumn("start", F.col("start") - 2_400_000).withColumn("end", F.col("end") + 2_400_000)
-    return ss.explained_by_reliable(rows.select("day", "id", "start", "end", "me_ids"), good.select("day", "me_id", "start", "end"), ["day"], BUCKET).select("id")
+    return ss.explained_by_reliable(rows.select("day", "id", "start", "end", "me_ids"), good.select("day", "me_id", "start", "end"), ["day"], BUCKET, points=True).select("id")
 
 
 @register("interval_difference_sec", f"""{W}, edges AS (SELECT day, s AS t, 1 AS a, 0 AS b FROM iv WHERE track = 'purchase' UNION ALL SELECT day, e, -1, 0 FROM iv WHERE track = 'purchase' UNION ALL SELECT day, s, 0, 1 FROM iv WHERE track = 'error' UNION ALL SELECT day, e, 0, -1 FROM iv WHERE track = 'error'), net AS (SELECT day, t, sum(a) AS a, sum(b) AS b FROM edges GROUP BY day, t),

@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 
 from colloquy.operators import intervals as iv
@@ -25,6 +26,22 @@ def test_rows_explained_by_reliable_ones(spark, monkeypatch, seed, width, length
     assert {r.id for r in got.collect()} == want and want
 
 
+@pytest.mark.parametrize(("seed", "width"), [(7, 3_600_000), (8, 600_000), (9, 10_000_000_000)])
+def test_rows_without_length_null_turns_and_equal_ids_are_explained_as_in_sql(spark, tmp_path, monkeypatch, seed, width):
+    monkeypatch.setattr(iv.bucketed, "__defaults__", ("start", width))
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *range(240)]), 1_704_067_200 + 600 * rng.randrange(288), rng.choice([None, -1, *range(6)]), rng.choice(["error", "error", "view"]), rng.choice([None, -600.0, 0.0, 0.0, 0.0, 600.0, 1200.0, 6000.0])) for _ in range(200)]
+    rows += [(1000 + i, None if i % 20 == 0 else 1_704_067_200 + 600 * rng.randrange(288), rng.randrange(6), "view", -4800.0 + 600 * rng.randrange(3)) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, at long, user_id long, event_type string, value double").selectExpr("event_id", "timestamp_seconds(at) AS ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * REPLACE (epoch_ms(epoch_ms(ts)) AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = [r[0] for r in c.sql(registry.oracle_sql()["audio_reliable_filter"]).fetchall()]
+    got = [r.id for r in registry.queries()["audio_reliable_filter"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    points = {r[0] for r in rows if r[3] == "error" and r[4] == 0}
+    assert points & set(want) and points - set(want)
+
+
 def test_long_rows_are_not_broadcast_in_buckets(spark):
     """A few rows that cover many buckets each stay out of the driver's memory."""
     frame = spark.createDataFrame([("a", 0, 100_000_000)], "k string, start long, end long")
